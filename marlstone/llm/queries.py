@@ -27,13 +27,22 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op4_bpe": op4_bpe,
         "op5_secrets": op5_secrets,
+        "op6_decontam": op6_decontam,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .decontam import ORACLE
+
+    return {"op6_decontam": ORACLE}
