@@ -33,12 +33,19 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_simhash": op2_simhash,
         "op4_bpe": op4_bpe,
         "op5_secrets": op5_secrets,
         "op6_decontam": op6_decontam,
+        "op9_langid": op9_langid,
     }
 
 
