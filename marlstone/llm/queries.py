@@ -57,6 +57,12 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op10_sadedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sadedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -67,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontam": op6_decontam,
         "op8_html": op8_html,
         "op9_langid": op9_langid,
+        "op10_sadedup": op10_sadedup,
     }
 
 
