@@ -45,6 +45,12 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shards import materialised
+
+    return materialised(table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_extract import extract
 
@@ -63,6 +69,12 @@ def op10_sadedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -71,9 +83,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bpe": op4_bpe,
         "op5_secrets": op5_secrets,
         "op6_decontam": op6_decontam,
+        "op7_shards": op7_shards,
         "op8_html": op8_html,
         "op9_langid": op9_langid,
         "op10_sadedup": op10_sadedup,
+        "pipeline": pipeline,
     }
 
 
