@@ -112,19 +112,19 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id
     places = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     data = good.select("dim", "longest", "id", "v", F.pmod(F.xxhash64("id", "v"), F.col("nd")).alias("d"), places("nq").alias("q"))
     asked = good.filter(F.col("id") % every == 0).dropDuplicates(["id", "v"])
-    asked = asked.select("dim", "id", "v", F.pmod(F.xxhash64("v", "id"), F.col("nq")).alias("q"), places("nd").alias("d"))
+    asked = asked.select(F.col("dim").alias("qdim"), F.col("id").alias("qid"), F.col("v").alias("qv"), F.pmod(F.xxhash64("v", "id"), F.col("nq")).alias("qq"), places("nd").alias("qd"))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            queries = np.stack(right["v"].to_numpy())
+            queries = np.stack(right["qv"].to_numpy())
             for k0 in range(0, len(left), 60_000):  # ranks are 16 bits wide
                 part = left.iloc[k0 : k0 + 60_000]
                 block = Block(part["id"].to_numpy(), np.stack(part["v"].to_numpy()), float(part["longest"].iloc[0]))
-                for qid, (near, score) in zip(right["id"], block.search(right["id"].to_numpy(), queries, k), strict=True):
+                for qid, (near, score) in zip(right["qid"], block.search(right["qid"].to_numpy(), queries, k), strict=True):
                     found.append(pd.DataFrame({"query_id": np.full(len(near), qid), "vec_id": block.ids[near], "score": score}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
-    met = data.groupBy("dim", "d", "q").cogroup(asked.groupBy("dim", "d", "q")).applyInPandas(run, "query_id long, vec_id long, score double")
+    met = data.groupBy("dim", "d", "q").cogroup(asked.groupBy("qdim", "qd", "qq")).applyInPandas(run, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
