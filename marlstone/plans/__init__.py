@@ -1,0 +1,19 @@
+"""Registered queries over the driver's tables."""
+
+from __future__ import annotations
+
+from .registry import ORACLES, QUERIES, Query
+
+
+def _load() -> None:
+    from . import technical_queries  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(ORACLES)
