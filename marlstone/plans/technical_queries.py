@@ -74,15 +74,15 @@ def _pick(df: DataFrame, columns: str) -> DataFrame:
     return df.select("ticker", "date", *[F.round(F.col(c).cast("double"), 6).alias(c) for c in columns.split(", ")])
 
 
-@query("w27_bars", f"WITH {BARS} SELECT ticker, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume, round(vwap, 6) AS vwap, transactions FROM bars")
+@query("w27_bars", f"WITH {BARS} SELECT ticker, date, round(open, 8) AS open, round(high, 8) AS high, round(low, 8) AS low, round(close, 8) AS close, round(volume, 8) AS volume, round(vwap, 8) AS vwap, transactions FROM bars")
 def w27_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bars(spark, sf_dir))
+    return rounded(bars(spark, sf_dir), 8)
 
 
 @query("w26_weekly", f"""WITH {BARS}, w AS (SELECT *, date + CAST((12 - dayofweek(date)) % 7 AS INTEGER) AS week FROM bars)
-SELECT ticker, CAST(week AS DATE) AS date, round(arg_min(open, date), 6) AS open, round(max(high), 6) AS high, round(min(low), 6) AS low, round(arg_max(close, date), 6) AS close, round(sum(volume), 6) AS volume FROM w GROUP BY 1, week""")
+SELECT ticker, CAST(week AS DATE) AS date, round(arg_min(open, date), 8) AS open, round(max(high), 8) AS high, round(min(low), 8) AS low, round(arg_max(close, date), 8) AS close, round(sum(volume), 8) AS volume FROM w GROUP BY 1, week""")
 def w26_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(B.weekly(bars(spark, sf_dir)))
+    return rounded(B.weekly(bars(spark, sf_dir)), 8)
 
 
 SMA = "sma_20, sma_50, sma_100, sma_200, volume_avg_20"
@@ -280,8 +280,8 @@ n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY week DESC) AS n,
 t AS (SELECT ticker, any_value(spot) AS spot, list(greatest(high - low, abs(high - pc), abs(low - pc)) ORDER BY week) FILTER (WHERE n BETWEEN 2 AND 15 AND n < least(c, 16)) AS tr FROM n WHERE c >= 8 GROUP BY 1),
 s AS (SELECT ticker, spot, tr, len(tr) AS p, CAST(ceil(len(tr) / 2.0) AS INTEGER) AS h FROM t),
 a AS (SELECT ticker, spot, list_reduce(list_concat([list_sum(tr[1:h]) / h], tr[h + 1:]), lambda x, y: (x * (p - 1) + y) / p) AS a FROM s)
-SELECT ticker, round(spot, 6) AS spot, """ + ", ".join(f"round(floor(({x}) * 100 + 0.5) / 100, 6) AS {c}" for c, x in (("atr_w", "a"), ("up05", "spot + 0.5 * a"), ("up1", "spot + a"), ("up2", "spot + 2 * a"), ("dn05", "spot - 0.5 * a"), ("dn1", "spot - a"), ("dn2", "spot - 2 * a"))) + " FROM a")
+SELECT ticker, round(spot, 8) AS spot, """ + ", ".join(f"round(floor(({x}) * 100 + 0.5) / 100, 6) AS {c}" for c, x in (("atr_w", "a"), ("up05", "spot + 0.5 * a"), ("up1", "spot + a"), ("up2", "spot + 2 * a"), ("dn05", "spot - 0.5 * a"), ("dn1", "spot - a"), ("dn2", "spot - 2 * a"))) + " FROM a")
 def w25_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = B.weekly(bars(spark, sf_dir))
     spots = weeks.groupBy("ticker").agg(F.max_by("close", "date").alias("spot"))
-    return rounded(T.weekly_atr_ladder(weeks, spots))
+    return rounded(T.weekly_atr_ladder(weeks, spots), 8)
