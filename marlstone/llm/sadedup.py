@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from .common import as_bytes, broadcast_if_small, map_columns, written
+from .common import as_bytes, broadcast_if_small, map_columns, salted_join, written
 
 LENGTH, GRAM = 200, 32
 #: Texts are hashed in pieces of so many windows. Places within a piece fit into ``LOW`` bits.
@@ -205,7 +205,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
 
     mixed = hits.filter("differ")
     spans = written(mixed.groupBy("kh", "ch").agg(F.count("*").alias("n"), F.min(F.struct("rid", "pos")).alias("one")), "spans")
-    copied = mixed.join(spans.filter("n > 1").select("kh", "ch"), ["kh", "ch"]).select(*whole)
+    copied = salted_join(mixed, spans.filter("n > 1").select("kh", "ch"), ["kh", "ch"], ["rid", "pos"], salts=16).select(*whole)
 
     # The bytes of each distinct span, from one document that has it.
     large = written(spans.groupBy("kh").count().filter(F.col("count") > LARGE).select("kh", F.lit(True).alias("large")), "large")
