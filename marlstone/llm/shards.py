@@ -14,13 +14,13 @@ A record, little endian: id of the document (int64), number of the sequence in i
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,6 +35,8 @@ HEADER = np.dtype([("doc", "<i8"), ("nth", "<i4"), ("n", "<i4")])
 STRIDE = HEADER.itemsize + 2 * SEQUENCE + 2
 NO_ID = np.iinfo(np.int64).min
 SEPARATOR, ENCODING = END.to_bytes(2, "little").decode("latin-1"), "ISO-8859-1"
+_END, _HEAD = END.to_bytes(2, "little"), struct.Struct("<qii")
+REMEMBER = 500_000
 #: tiktoken's merges are quadratic in a piece; texts with longer runs than this go to our own encoder, which gives the same ids.
 LONG_RUN = 2_000
 
@@ -69,50 +71,93 @@ def _fast(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=codec(path, pattern).ranks, special_tokens={})
 
 
+class Tokens:
+    """Token ids as little-endian bytes; what a chunk of text encodes to is remembered."""
+
+    def __init__(self, vocabulary: tuple[str, str]):
+        self.own, self.fast, self.memo = codec(*vocabulary), _fast(*vocabulary), {}
+
+    def _encode(self, chunk: str) -> bytes:
+        long_ = len(chunk) > LONG_RUN and max(map(len, chunk.split()), default=len(chunk)) > LONG_RUN
+        ids = next(iter(self.own.encode_all([chunk]))) if long_ else self.fast.encode_ordinary(chunk)
+        return np.array(ids, "<u2").tobytes()
+
+    def of(self, text: str | None) -> bytes:
+        chunks = self.own._chunks(text)
+        if len(self.memo) > REMEMBER:
+            self.memo.clear()
+        for chunk in set(chunks).difference(self.memo):
+            self.memo[chunk] = self._encode(chunk)
+        return b"".join(map(self.memo.__getitem__, chunks))
+
+
+@lru_cache(maxsize=2)
+def tokens(vocabulary: tuple[str, str]) -> Tokens:
+    return Tokens(vocabulary)
+
+
 def token_ids(text: str | None, vocabulary: tuple[str, str]) -> list[int]:
-    if not text:
-        return []
-    if len(text) > LONG_RUN and max(map(len, text.split()), default=len(text)) > LONG_RUN:
-        return next(iter(codec(*vocabulary).encode_all([text])))
-    return _fast(*vocabulary).encode_ordinary(text)
+    return np.frombuffer(tokens(vocabulary).of(text), "<u2").tolist()
+
+
+def _record(doc: int | None, nth: int, own: bytes) -> bytes:
+    return _HEAD.pack(NO_ID if doc is None else doc, nth, len(own) // 2) + own + _END * (SEQUENCE - len(own) // 2)
+
 
+def _split_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, part): part is the file split that a row comes from."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("part"))
 
-def sequences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
+
+def _sizes(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
+    """(part, n): sequences of each file split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                n = [len(tokens(vocabulary).of(t)) // 2 // SEQUENCE + 1 for t in batch.column(0).to_pylist()]
+                yield pa.record_batch([batch.column(1), pa.array(n, pa.int64())], names=["part", "n"])
+
+    return docs.select("text", "part").mapInArrow(run, "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
+
+
+def sequences(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
     """(part, place, record): the records of every document in turn, without their last two bytes.
 
     Every document ends with one end-of-text id, so that a null or empty text is one sequence with that id alone.
     """
-    ship(docs.sparkSession)
-    vocabulary = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, place = TaskContext.get().partitionId(), 0
+        seen: dict[int, int] = {}
         for batch in batches:
-            records: list[bytes] = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(np.array(token_ids(text, vocabulary), "<u2"), np.uint16(END))
-                for nth, at in enumerate(range(0, len(ids), SEQUENCE)):
-                    own = ids[at : at + SEQUENCE]
-                    head = np.array([(NO_ID if doc is None else doc, nth, len(own))], HEADER)
-                    records.append(head.tobytes() + own.tobytes() + np.full(SEQUENCE - len(own), END, "<u2").tobytes())
-            if records:
-                yield pa.record_batch([pa.array(np.full(len(records), part, np.int32)), pa.array(np.arange(place, place + len(records))), pa.array(records, pa.binary())], names=["part", "place", "record"])
-            place += len(records)
+            out: tuple[list[int], list[int], list[bytes]] = ([], [], [])
+            for doc, text, part in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
+                raw, place = tokens(vocabulary).of(text) + _END, seen.get(part, 0)
+                for nth, at in enumerate(range(0, len(raw), 2 * SEQUENCE)):
+                    own = raw[at : at + 2 * SEQUENCE]
+                    out[0].append(part)
+                    out[1].append(place + nth)
+                    out[2].append(_record(doc, nth, own))
+                seen[part] = place + nth + 1
+            if out[0]:
+                yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], names=["part", "place", "record"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "part int, place long, record binary")
+    return docs.select("id", "text", "part").mapInArrow(run, "part long, place long, record binary")
 
 
 def materialise(docs: DataFrame, path: str, key: int = KEY, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None) -> int:
     """Write the shards of all documents under ``path`` as ``shard=K/``; returns the number of sequences.
 
-    Repeated rows are sequences of their own; an empty table writes no shard. The token table is written first: the
-    partition numbers in it stay as they are, whatever is computed again later.
+    ``docs`` is a scan of files (other tables are written first): its splits are counted in a first pass and numbered,
+    and the second pass finds the same rows in the same order. Tokenising twice costs less disk than a table of all
+    tokens would. Repeated rows are sequences of their own; an empty table writes no shard.
     """
-    rows = written(sequences(docs, id_col, text_col, vocabulary), "sequences")
-    parts = rows.groupBy("part").agg(F.count("*").alias("n"))
-    # One row for each input partition: a running sum over a small table.
+    ship(docs.sparkSession)
+    vocabulary = vocabulary or default_vocabulary()
+    rows = _split_key(docs if docs.inputFiles() else written(docs.select(id_col, text_col), "documents"), id_col, text_col)
+    # One row for each file split: a running sum over a small table.
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    parts = written(parts.select("part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "parts")
+    parts = written(written(_sizes(rows, vocabulary), "sizes").select("part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "parts")
     total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long")).first()[0]
     if not total:
         return 0
@@ -121,16 +166,19 @@ def materialise(docs: DataFrame, path: str, key: int = KEY, id_col: str = "doc_i
     def slot_of(index: pd.Series) -> pd.Series:
         return pd.Series(permute(index.to_numpy(), total, key))
 
-    placed = rows.join(broadcast_if_small(parts.select("part", "first"), 1_000_000), "part")
+    placed = sequences(rows, vocabulary).join(broadcast_if_small(parts.select("part", "first"), 1_000_000), "part")
     placed = placed.select(slot_of(F.col("first") + F.col("place")).alias("slot"), "record").withColumn("shard", F.expr(f"slot div {SHARD}"))
-    ranged = placed.repartitionByRange("shard").sortWithinPartitions("shard", "slot")
+    # Slots are dense, so that the bounds of equal ranges are known and no sample has to be taken.
+    shards = -(-total // SHARD)
+    n = max(1, min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    ranged = placed.repartitionById(n, F.expr(f"cast(shard * {n} div {shards} as int)")).sortWithinPartitions("shard", "slot")
     lines = ranged.select("shard", F.col("record").cast("string").alias("value"))
     lines.write.partitionBy("shard").option("lineSep", SEPARATOR).option("encoding", ENCODING).text(path)
     return total
 
 
-def read_shards(spark: SparkSession, path: str, first_slot: int = 0) -> DataFrame:
-    """(slot, shard, byte_offset, doc_id, seq_no, n_tokens, ids) in the shards from ``first_slot`` on.
+def read_shards(spark: SparkSession, path: str, first_slot: int = 0, digest: bool = False) -> DataFrame:
+    """(slot, shard, byte_offset, doc_id, seq_no, n_tokens, ids or ids_sha256) in the shards from ``first_slot`` on.
 
     Each file is read once, from its first record on; shards before the first slot's aren't opened.
     """
@@ -141,25 +189,26 @@ def read_shards(spark: SparkSession, path: str, first_slot: int = 0) -> DataFram
             for shard, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 grid = np.frombuffer(content, np.uint8).reshape(-1, STRIDE)
                 head = np.ascontiguousarray(grid[:, : HEADER.itemsize]).view(HEADER)[:, 0]
-                ids = np.ascontiguousarray(grid[:, HEADER.itemsize : -2]).view("<u2").astype(np.int32)
+                ids = np.ascontiguousarray(grid[:, HEADER.itemsize : -2]).view("<u2")
                 place = np.arange(len(grid))
                 keep = shard * SHARD + place >= first_slot
                 lists = [i[:n] for i, n in zip(ids[keep], head["n"][keep], strict=True)]
+                last = pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in lists]) if digest else pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))
                 doc = head["doc"][keep].astype(np.int64)
                 yield pa.record_batch(
-                    [pa.array(shard * SHARD + place[keep]), pa.array(np.full(len(lists), shard, np.int64)), pa.array(place[keep] * STRIDE), pa.array(doc, mask=doc == NO_ID), pa.array(head["nth"][keep].astype(np.int32)), pa.array(head["n"][keep].astype(np.int32)), pa.array(lists, pa.list_(pa.int32()))],
-                    names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "ids"],
+                    [pa.array(shard * SHARD + place[keep]), pa.array(np.full(len(lists), shard, np.int64)), pa.array(place[keep] * STRIDE), pa.array(doc, mask=doc == NO_ID), pa.array(head["nth"][keep].astype(np.int32)), pa.array(head["n"][keep].astype(np.int32)), last],
+                    names=["slot", "shard", "byte_offset", "doc_id", "seq_no", "n_tokens", "ids_sha256" if digest else "ids"],
                 )
 
     files = spark.read.format("binaryFile").load(path).select(F.col("shard").cast("long"), "content").filter(F.col("shard") >= first_slot // SHARD)
-    return files.mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, seq_no int, n_tokens int, ids array<int>")
+    return files.mapInArrow(run, "slot long, shard long, byte_offset long, doc_id long, seq_no int, n_tokens int, " + ("ids_sha256 string" if digest else "ids array<int>"))
 
 
 def materialised(docs: DataFrame, key: int = KEY) -> DataFrame:
     """Write shards to a new folder of the shared ones and return what is read back from them, one row a sequence,
-    with a digest in place of the ids (SHA-256 of the decimal ids joined by one blank)."""
+    with a digest in place of the ids (SHA-256 of the ids as 16-bit little-endian numbers)."""
     spark = docs.sparkSession
     path = fresh_path(spark, "shards")
     if not materialise(docs, path, key):
         return spark.createDataFrame([], "slot long, shard long, byte_offset long, doc_id long, seq_no int, n_tokens int, ids_sha256 string")
-    return read_shards(spark, path).withColumn("ids_sha256", F.sha2(F.array_join("ids", " "), 256)).drop("ids")
+    return read_shards(spark, path, digest=True)
