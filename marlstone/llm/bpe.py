@@ -29,8 +29,8 @@ NO_RANK = np.int32(2**31 - 1)
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512)
 BUCKET_OF = [next(b for b in BUCKETS if n <= b) for n in range(BUCKETS[-1] + 1)]
 #: A batch of a bucket holds at most this many places, and a worker remembers about so many chunks of text at most.
-PLACES, REMEMBER = 1 << 20, 500_000
-GROUP = 4_000_000
+PLACES, REMEMBER = 1 << 20, 300_000
+GROUP = 2_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -41,13 +41,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a batch that are worked on at once: what a task holds goes by it.
+ROWS = 2_000
+
+
 def map_columns(df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """Run ``fn`` on each Arrow batch of ``columns``; empty batches are passed over."""
+    """Run ``fn`` on slices of at most ``ROWS`` rows of ``columns``; empty batches are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield fn(batch)
+            for k in range(0, batch.num_rows, ROWS):
+                yield fn(batch.slice(k, ROWS))
 
     ship(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)

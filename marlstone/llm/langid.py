@@ -22,13 +22,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from .common import map_columns
+from .common import broadcast_if_small, map_columns, written
 
 #: The sample that the weights are fitted on: at most so many labelled documents of each language, of at most so many characters.
 TRAIN_DOCS, TRAIN_CHARS = 250, 20_000
 ROUNDS, RATE, DECAY = 24, 0.5, 1e-6
 BITS, GRAMS, BLOCK = 15, (1, 2, 3, 4, 5), 64
-REMEMBER, GROUP = 500_000, 4_000_000
+REMEMBER, GROUP = 200_000, 1_000_000
 UNKNOWN = "und"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 
@@ -237,7 +237,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     light = able.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), rank.alias("r"), F.pmod(rank, F.lit(64)).alias("salt"))
     for keys in (["lang", "salt"], ["lang"]):
         light = light.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy("r", "id"))).filter(F.col("n") <= per_language).drop("n")
-    chosen = able.join(light.select(F.col("id").alias(id_col)).distinct(), id_col, "left_semi").select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    ids = broadcast_if_small(written(light.select(F.col("id").alias(id_col)).distinct(), "sample"), 100_000)
+    chosen = able.join(ids, id_col, "left_semi").select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "text"]).groupby("lang").head(per_language * 2)
