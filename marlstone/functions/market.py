@@ -59,7 +59,7 @@ def symbol_from_label(ticker: Column, label: Column, as_of: Column) -> Column:
     part = lambda k: F.regexp_extract(label, r"^\$(\d+(?:\.\d+)?)([CP])\s+([A-Z][a-z]{2})\s+(\d{1,2})$", k)
     months = F.array(*[F.lit(m) for m in "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split()])
     month, strike = F.array_position(months, part(3)).cast("int"), part(1)
-    made = lambda year: F.try_to_date(F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(4), 2, "0")), F.lit("yyyy-MM-dd"))
+    made = lambda year: F.try_to_date(F.concat_ws("-", year.cast("string"), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(4), 2, "0")), "yyyy-MM-dd")
     this = made(F.year(as_of))
     expiry = F.when(this < F.date_sub(as_of, 7), made(F.year(as_of) + 1)).otherwise(this)
     symbol = option_symbol(ticker, expiry, F.when(part(2) == "P", "PUT").otherwise("CALL"), F.when(strike != "", strike).cast("double"))

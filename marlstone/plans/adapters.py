@@ -18,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, ticker, executed_at, price, size, premium; ``seq`` breaks ties of one day."""
     return read(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long")).alias("id"),
         F.concat(F.lit("S"), F.col("l_suppkey")).alias("ticker"),
         F.col("l_shipdate").cast("timestamp").alias("executed_at"),
         (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
@@ -29,7 +29,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRADES = """trades AS (
-  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, 'S' || l_suppkey AS ticker, l_shipdate AS executed_at,
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS id, 'S' || l_suppkey AS ticker, l_shipdate AS executed_at,
     l_extendedprice / l_quantity AS price, l_quantity AS size, l_extendedprice AS premium, l_orderkey * 100 + l_linenumber AS seq
   FROM lineitem)"""
 
