@@ -36,9 +36,8 @@ STRIDE = HEADER.itemsize + 2 * SEQUENCE + 2
 NO_ID = np.iinfo(np.int64).min
 SEPARATOR, ENCODING = END.to_bytes(2, "little").decode("latin-1"), "ISO-8859-1"
 _END, _HEAD = END.to_bytes(2, "little"), struct.Struct("<qii")
-REMEMBER = 500_000
-#: tiktoken's merges are quadratic in a piece; texts with longer runs than this go to our own encoder, which gives the same ids.
-LONG_RUN = 2_000
+#: tiktoken is slow on very long pieces; texts this long that hold such a run go to our own encoder, with the same ids.
+LONG_TEXT, LONG_RUN = 50_000, 20_000
 
 
 def half_bits(n: int) -> int:
@@ -71,33 +70,17 @@ def _fast(path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=codec(path, pattern).ranks, special_tokens={})
 
 
-class Tokens:
-    """Token ids as little-endian bytes; what a chunk of text encodes to is remembered."""
-
-    def __init__(self, vocabulary: tuple[str, str]):
-        self.own, self.fast, self.memo = codec(*vocabulary), _fast(*vocabulary), {}
-
-    def _encode(self, chunk: str) -> bytes:
-        long_ = len(chunk) > LONG_RUN and max(map(len, chunk.split()), default=len(chunk)) > LONG_RUN
-        ids = next(iter(self.own.encode_all([chunk]))) if long_ else self.fast.encode_ordinary(chunk)
-        return np.array(ids, "<u2").tobytes()
-
-    def of(self, text: str | None) -> bytes:
-        chunks = self.own._chunks(text)
-        if len(self.memo) > REMEMBER:
-            self.memo.clear()
-        for chunk in set(chunks).difference(self.memo):
-            self.memo[chunk] = self._encode(chunk)
-        return b"".join(map(self.memo.__getitem__, chunks))
-
-
-@lru_cache(maxsize=2)
-def tokens(vocabulary: tuple[str, str]) -> Tokens:
-    return Tokens(vocabulary)
+def token_bytes(text: str | None, vocabulary: tuple[str, str]) -> bytes:
+    """Token ids of the text as 16-bit little-endian numbers."""
+    if not text:
+        return b""
+    if len(text) > LONG_TEXT and max(map(len, text.split()), default=len(text)) > LONG_RUN:
+        return np.array(next(iter(codec(*vocabulary).encode_all([text]))), "<u2").tobytes()
+    return np.array(_fast(*vocabulary).encode_ordinary(text), "<u2").tobytes()
 
 
 def token_ids(text: str | None, vocabulary: tuple[str, str]) -> list[int]:
-    return np.frombuffer(tokens(vocabulary).of(text), "<u2").tolist()
+    return np.frombuffer(token_bytes(text, vocabulary), "<u2").tolist()
 
 
 def _record(doc: int | None, nth: int, own: bytes) -> bytes:
@@ -112,10 +95,13 @@ def _split_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _sizes(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
     """(part, n): sequences of each file split."""
 
+    def count(text: str | None) -> int:
+        return len(token_bytes(text, vocabulary)) // 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                n = [len(tokens(vocabulary).of(t)) // 2 // SEQUENCE + 1 for t in batch.column(0).to_pylist()]
+                n = [count(t) // SEQUENCE + 1 for t in batch.column(0).to_pylist()]
                 yield pa.record_batch([batch.column(1), pa.array(n, pa.int64())], names=["part", "n"])
 
     return docs.select("text", "part").mapInArrow(run, "part long, n long").groupBy("part").agg(F.sum("n").alias("n"))
@@ -132,7 +118,7 @@ def sequences(docs: DataFrame, vocabulary: tuple[str, str]) -> DataFrame:
         for batch in batches:
             out: tuple[list[int], list[int], list[bytes]] = ([], [], [])
             for doc, text, part in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                raw, place = tokens(vocabulary).of(text) + _END, seen.get(part, 0)
+                raw, place = token_bytes(text, vocabulary) + _END, seen.get(part, 0)
                 for nth, at in enumerate(range(0, len(raw), 2 * SEQUENCE)):
                     own = raw[at : at + 2 * SEQUENCE]
                     out[0].append(part)
