@@ -203,11 +203,11 @@ class Level:
     for its retest."""
 
     def __init__(self, price: float, side: int, t: int):
-        self.total, self.touches, self.side, self.since, self.armed, self.broke, self.last = price, 1, side, t, 0, -1, t
+        self.price, self.total, self.touches, self.side, self.since, self.armed, self.broke, self.last = price, price, 1, side, t, 0, -1, t
 
-    @property
-    def price(self) -> float:
-        return self.total / self.touches
+    def absorb(self, price: float, t: int) -> None:
+        self.total, self.touches, self.last = self.total + price, self.touches + 1, t
+        self.price = self.total / self.touches
 
 
 def level_flips(bars: dict[str, np.ndarray], p: dict, m: int = 3) -> Found:
@@ -250,7 +250,7 @@ def level_flips(bars: dict[str, np.ndarray], p: dict, m: int = 3) -> Found:
             near = [lev for lev in book if abs(lev.price - price) <= p["cluster"] * a]
             if near:
                 lev = min(reversed(near), key=lambda x: abs(x.price - price))
-                lev.total, lev.touches, lev.last = lev.total + price, lev.touches + 1, t
+                lev.absorb(price, t)
             else:
                 book.append(Level(price, 1 if close[t] > price else -1, t))
         book = [lev for lev in book if t - lev.last <= p["age"]]
@@ -330,6 +330,7 @@ def retracements(bars: dict[str, np.ndarray], p: dict) -> Found:
     high, low, close, atr, m = bars["high"], bars["low"], bars["close"], bars["atr"], p["m"]
     pivots = sorted([(int(k), 1, float(high[k])) for k in _pivots(high, m, True)] + [(int(k), -1, float(low[k])) for k in _pivots(low, m, False)])
     known: list[tuple[int, int, float]] = []
+    prices = np.array([x for _, _, x in pivots])
     nxt, leg, out = 0, None, []
     for t in range(len(close)):
         before = nxt
@@ -350,7 +351,8 @@ def retracements(bars: dict[str, np.ndarray], p: dict) -> Found:
             continue
         way = leg["way"]
         if leg["zone"] is None:
-            others = np.array([x for _, _, x in known if abs(x - leg["from"]) > 1e-9 and abs(x - leg["to"]) > 1e-9])
+            seen = prices[:nxt]
+            others = seen[(np.abs(seen - leg["from"]) > 1e-9) & (np.abs(seen - leg["to"]) > 1e-9)]
             best = 0
             for share in p["levels"]:
                 price = leg["to"] - share * (leg["to"] - leg["from"])

@@ -292,7 +292,8 @@ def p0_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _event_query(name: str, family) -> None:
     @query(name)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(family(detectors.prepared(bars(spark, sf_dir))))
+        df = bars(spark, sf_dir)
+        return rounded(family(T.with_recursions(df.repartition("ticker")) if family is detectors.detect_universe else detectors.prepared(df)))
 
 
 for _name, _family in (("p1_divergences", detectors.divergences), ("p2_gaps", detectors.gaps), ("p3_clouds", detectors.clouds), ("p4_false_breaks", detectors.false_breaks), ("p5_flags", detectors.flags), ("p6_squeezes", detectors.squeezes), ("p7_p8_p9_stateful", detectors.detect_universe)):
