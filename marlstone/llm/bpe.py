@@ -13,7 +13,6 @@ import gc
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -22,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import map_columns, only
 
 NO_RANK = np.int32(2**31 - 1)
 #: Upper lengths in bytes of the buckets; longer rows are each merged in a heap, as n rounds over n places would be quadratic.
@@ -254,12 +253,14 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-@lru_cache(maxsize=4)
-def codec(path: str, pattern: str) -> Codec:
-    """The codec of a rank file, built once in each worker."""
+def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return Codec(ranks, pattern)
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
+def codec(path: str, pattern: str) -> Codec:
+    """The codec of a rank file, kept by the worker."""
+    return only(("codec", path, pattern), lambda: Codec(read_ranks(path), pattern))
 
 
 def default_vocabulary() -> tuple[str, str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,6 +58,19 @@ def map_columns(df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa
     return df.select(*columns).mapInArrow(run, schema)
 
 
+_held: dict[tuple, object] = {}
+
+
+def only(key: tuple, make: Callable[[], object]) -> object:
+    """The object of ``key``, kept for the worker's next tasks. A worker keeps one such object: workers serve one
+    operator after the other, and what the last one remembered would only fill the executor."""
+    if key not in _held:
+        _held.clear()
+        gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import pickle
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,10 +21,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from .common import broadcast_if_small, map_columns, written
+from .common import broadcast_if_small, map_columns, only, written
 
 #: The sample that the weights are fitted on: at most so many labelled documents of each language, of at most so many characters.
-TRAIN_DOCS, TRAIN_CHARS = 250, 20_000
+TRAIN_DOCS, TRAIN_CHARS = 150, 20_000
 ROUNDS, RATE, DECAY = 24, 0.5, 1e-6
 BITS, GRAMS, BLOCK = 15, (1, 2, 3, 4, 5), 64
 REMEMBER, GROUP = 200_000, 1_000_000
@@ -248,25 +247,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return bytes(row["model"]) if row else pickle.dumps(fit([], []))
 
 
-@lru_cache(maxsize=2)
-def _tagger(digest: str, load) -> Tagger:
-    return Tagger(load())
-
-
-class _Loader:
-    """Holds the model; equal to every other one, so that the cache goes by the digest alone."""
-
-    def __init__(self, model: bytes):
-        self.model = model
-
-    def __call__(self) -> dict:
-        return pickle.loads(self.model)
-
-    def __hash__(self) -> int:
-        return 0
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Loader)
+def _tagger(digest: str, model: bytes) -> Tagger:
+    return only(("tagger", digest), lambda: Tagger(pickle.loads(model)))
 
 
 def predict(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,7 +260,7 @@ def predict(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     digest = hashlib.sha256(model).hexdigest()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tagger = _tagger(digest, _Loader(model))
+        tagger = _tagger(digest, model)
         names, scores = tagger.tag(batch.column(2).to_pylist()) if tagger.labels else ([UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows)
         return pa.record_batch([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "held_out", "lang_pred", "score"])
 
@@ -299,7 +281,7 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tagger = _tagger(digest, _Loader(model))
+        tagger = _tagger(digest, model)
         names, scores = tagger.tag(batch.column(at).to_pylist()) if tagger.labels else ([UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows)
         return batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)]))
 

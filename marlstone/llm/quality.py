@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from .common import map_columns, salted_join, written
+from .common import map_columns, only, salted_join, written
 
 #: The classifier is fitted on at most so many labelled documents of at most so many characters, with so many selected features a target.
 TRAIN_ROWS, TRAIN_CHARS, SELECTED = 6_000, 50_000, 300
@@ -149,22 +148,8 @@ class _Scorer:
         return np.clip(out, -12, 12)
 
 
-@lru_cache(maxsize=2)
-def _cached(digest: str, load: _Load) -> _Scorer:
-    return _Scorer(pickle.loads(load.model))
-
-
-class _Load:
-    """Holds the model; equal to every other one, so that the cache goes by the digest alone."""
-
-    def __init__(self, model: bytes):
-        self.model = model
-
-    def __hash__(self) -> int:
-        return 0
-
-    def __eq__(self, other: object) -> bool:
-        return isinstance(other, _Load)
+def _cached(digest: str, model: bytes) -> _Scorer:
+    return only(("scorer", digest), lambda: _Scorer(pickle.loads(model)))
 
 
 def evidence(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
@@ -172,7 +157,7 @@ def evidence(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: st
     digest = hashlib.sha256(model).hexdigest()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        odds = _cached(digest, _Load(model)).log_odds(batch.column(3).to_pylist())
+        odds = _cached(digest, model).log_odds(batch.column(3).to_pylist())
         return pa.record_batch([*batch.columns[:3], *[pa.array(odds[:, c]) for c in range(len(TARGETS))]], names=["id", "host", "path", *TARGETS])
 
     kind = docs.schema[id_col].dataType.simpleString()

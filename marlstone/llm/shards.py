@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from .bpe import codec, default_vocabulary
+from .bpe import codec, default_vocabulary, read_ranks
 from .common import broadcast_if_small, fresh_path, written
 
 SEQUENCE, SHARD, ROUNDS, KEY = 512, 4096, 6, 20260101
@@ -67,7 +67,7 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 def _fast(path: str, pattern: str):
     import tiktoken
 
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=codec(path, pattern).ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=read_ranks(path), special_tokens={})
 
 
 def token_bytes(text: str | None, vocabulary: tuple[str, str]) -> bytes:
