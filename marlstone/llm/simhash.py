@@ -129,12 +129,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows whose (id, hash of the text) is one of ``chosen`` (id, h); one of repeated rows."""
+    rows = docs.withColumn("_h", F.xxhash64(text_col)).withColumn("_id", F.col(id_col))
+    kept = rows.join(chosen, (rows["_h"] == chosen["h"]) & rows["_id"].eqNullSafe(chosen["id"]), "left_semi")
+    return kept.dropDuplicates(["_h", "_id"]).select(*docs.columns)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, limit: int = 4) -> DataFrame:
     """One row of each group of near duplicates, with all columns: the one with the smallest id (a null id first;
     among equal ids the smaller hash of the text; one of repeated rows)."""
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
     found = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", shingle, limit)
     chosen = written(found.filter(F.col("key").eqNullSafe(F.col("component_id"))).select("key.id", "key.h").distinct(), "chosen")
-    rows = docs.withColumn("_h", F.xxhash64(text_col)).withColumn("_id", F.col(id_col))
-    kept = rows.join(chosen, (rows["_h"] == chosen["h"]) & rows["_id"].eqNullSafe(chosen["id"]), "left_semi")
-    return kept.dropDuplicates(["_h", "_id"]).select(*docs.columns)
+    return keep_rows(docs, chosen, id_col, text_col)
