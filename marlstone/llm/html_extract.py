@@ -1,8 +1,8 @@
 """Main text of web pages, with a suffix array over the pages of a host.
 
-A page is cut into blocks of text. The token streams of a host's pages are concatenated (in shards of at most about
-``SHARD`` pages, so that no host makes a large task), sorted by suffix, and runs of at least ``RUN`` tokens that
-also stand on another page of the shard are boilerplate. Blocks that lie in an article keep their text; other
+A page is cut into blocks of text. The token streams of a host's pages are concatenated, sorted by suffix, and runs
+of at least ``RUN`` tokens that also stand on another page are boilerplate. For a host of more than ``SHARD`` pages
+the runs are found by a shuffle of the hashes of their ``RUN`` tokens instead, so that no host makes a large task. Blocks that lie in an article keep their text; other
 blocks lose what such runs cover, and keep their unique runs. Blocks in menus, headers, footers, side bars, forms,
 adverts, notices and comments are never part of the text.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-from .common import broadcast_if_small, map_columns, written
+from .common import broadcast_if_small, map_columns, salted_join, written
 
 SHARD, RUN = 256, 8
 
@@ -149,7 +149,7 @@ def repeated(tokens: np.ndarray, page: np.ndarray, part: np.ndarray | None = Non
 
 
 def main_texts(pages: list[list[tuple[int, str]]], names: list[str | None] | None = None) -> list[str]:
-    """The text of each page of one shard of a host. Pages of one name are one page: copies don't repeat each other.
+    """The text of each page of a host. Pages of one name are one page: copies don't repeat each other.
 
     A block outside of articles is dropped if runs, which may go over its ends, cover it all; else it loses only
     runs that lie within it.
@@ -165,20 +165,59 @@ def main_texts(pages: list[list[tuple[int, str]]], names: list[str | None] | Non
     across, within = repeated(tokens, owner, row), repeated(tokens, owner, block)
     out, at = [], 0
     for page, split in zip(pages, words, strict=True):
-        kept = []
-        for (place, text), parts in zip(page, split, strict=True):
-            whole, inner = across[at : at + len(parts)].all(), within[at : at + len(parts)]
-            at += len(parts)
-            if place == INSIDE:
-                kept.append(text)
-            elif place == OUTSIDE and not whole:
-                kept.append(" ".join(w for w, g in zip(parts, inner, strict=True) if not g) if inner.any() else text)
-        out.append("\n".join(kept))
+        end = at + sum(map(len, split))
+        out.append(_kept(page, split, across[at:end], within[at:end]))
+        at = end
     return out
 
 
-def _packed(page: str | None) -> bytes:
-    return zlib.compress("\x1e".join(f"{place}{text}" for place, text in blocks_of(page)).encode("utf-8", "surrogatepass"), 3)
+def _kept(page: list[tuple[int, str]], split: list[list[str]], across: np.ndarray, within: np.ndarray) -> str:
+    kept, at = [], 0
+    for (place, text), parts in zip(page, split, strict=True):
+        whole, inner = across[at : at + len(parts)].all(), within[at : at + len(parts)]
+        at += len(parts)
+        if place == INSIDE:
+            kept.append(text)
+        elif place == OUTSIDE and not whole:
+            kept.append(" ".join(w for w, g in zip(parts, inner, strict=True) if not g) if inner.any() else text)
+    return "\n".join(kept)
+
+
+def page_runs(split: list[list[str]], run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all runs of ``run`` tokens of a page; those of runs within one block, under another hash; and where
+    the latter are among the former. A run's place is its place in the first array."""
+    flat = [w for block in split for w in block]
+    n = len(flat) - run + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tokens = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in flat), np.uint64, len(flat))
+    value = np.zeros(n, np.uint64)
+    for j in range(run):
+        value = value * np.uint64(0x9E3779B97F4A7C15) + tokens[j : j + n]
+    value = (value ^ (value >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    value ^= value >> np.uint64(32)
+    block = np.repeat(np.arange(len(split)), [len(b) for b in split])
+    inner = np.flatnonzero(block[:n] == block[run - 1 :])
+    return value.view(np.int64), (value[inner] * np.uint64(0x94D049BB133111EB) + np.uint64(1)).view(np.int64), inner
+
+
+def _covered(n: int, starts: np.ndarray, run: int = RUN) -> np.ndarray:
+    edge = np.zeros(n + 1, np.int64)
+    edge[starts] += 1
+    edge[starts + run] -= 1
+    return np.cumsum(edge[:n]) > 0
+
+
+def text_with_runs(page: list[tuple[int, str]], shared: np.ndarray) -> str:
+    """The text of a page whose hashes of runs on other pages are known."""
+    split = [text.split(" ") for _, text in page]
+    n = sum(map(len, split))
+    whole, within, places = page_runs(split)
+    return _kept(page, split, _covered(n, np.flatnonzero(np.isin(whole, shared))), _covered(n, places[np.isin(within, shared)]))
+
+
+def _packed(blocks: list[tuple[int, str]]) -> bytes:
+    return zlib.compress("\x1e".join(f"{place}{text}" for place, text in blocks).encode("utf-8", "surrogatepass"), 3)
 
 
 def _unpacked(raw: bytes) -> list[tuple[int, str]]:
@@ -190,24 +229,73 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id, url, text, n_chars) for every row of ``pages``.
 
     Null or empty html and pages without main text give an empty text; null urls form a host of their own; repeated
-    rows stay; other columns are ignored. Only the packed blocks are shuffled, once, by host and shard.
+    rows stay; other columns are ignored. The packed blocks are shuffled by host; those of hosts of more than ``shard``
+    pages are written, and the hashes of their runs shuffled.
     """
     ship(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     large = pages.groupBy(host.alias("host")).count().filter(F.col("count") > shard)
-    large = broadcast_if_small(written(large.select("host", F.ceil(F.col("count") / shard).alias("shards")), "hosts"), 100_000)
+    large = written(large.select("host"), "hosts")
+    some, large = not large.isEmpty(), broadcast_if_small(large, 100_000)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array([_packed(x) for x in batch.column(3).to_pylist()], pa.binary())], names=["id", "url", "host", "blocks"])
+        found = [blocks_of(x) for x in batch.column(3).to_pylist()]
+        asks = [any(place == OUTSIDE for place, _ in x) for x in found]
+        return pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array([_packed(x) for x in found], pa.binary()), pa.array(asks, pa.bool_())], names=["id", "url", "host", "blocks", "asks"])
 
     named = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    packed = map_columns(named, ["id", "url", "host", "html"], f"id {kinds[id_col]}, url {kinds[url_col]}, host string, blocks binary", pack)
-    dealt = packed.join(large, "host", "left").withColumn("shard", F.pmod(F.xxhash64("id", "url"), F.coalesce("shards", F.lit(1).cast("long")))).drop("shards")
+    schema = f"id {kinds[id_col]}, url {kinds[url_col]}, host string, blocks binary, asks boolean"
+    small = named.join(large, "host", "left_anti") if some else named
+    packed = map_columns(small, ["id", "url", "host", "html"], schema, pack)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         texts = main_texts([_unpacked(b) for b in pdf["blocks"]], pdf["url"].tolist())
         return pd.DataFrame({"id": pdf["id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    out = dealt.groupBy("host", "shard").applyInPandas(run, f"id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long")
+    result = f"id {kinds[id_col]}, url {kinds[url_col]}, text string, n_chars long"
+    out = packed.drop("asks").groupBy("host").applyInPandas(run, result)
+    if some:
+        many = map_columns(named.join(large, "host", "left_semi"), ["id", "url", "host", "html"], schema, pack)
+        out = out.unionByName(_large_hosts(many, result))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+
+
+def _large_hosts(packed: DataFrame, result: str) -> DataFrame:
+    """(id, url, host, blocks) -> (id, url, text, n_chars). A run is repeated if pages of two names, or a page
+    without a name and any other one, have it; the join that hands repeated runs back to their pages is salted."""
+    owner = F.when(F.col("url").isNotNull(), F.xxhash64("url"))
+    rows = written(packed.select("*", F.xxhash64("id", "url", "blocks").alias("row"), owner.alias("owner"), F.xxhash64("host").alias("site")), "large-hosts")
+
+    # Only blocks outside articles can lose a run: sites and runs without one decide nothing.
+    sites = broadcast_if_small(rows.filter("asks").select("site").distinct(), 100_000)
+
+    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found, asked = [], []
+        for blocks in batch.column(3).to_pylist():
+            page = _unpacked(blocks)
+            split = [text.split(" ") for _, text in page]
+            whole, within, places = page_runs(split)
+            outside = np.repeat([place == OUTSIDE for place, _ in page], [len(b) for b in split]).astype(np.int64)
+            total = np.concatenate([[0], np.cumsum(outside)])
+            touches = total[RUN : RUN + len(whole)] > total[: len(whole)]
+            keys = np.concatenate([whole, within])
+            wanted = np.concatenate([whole[touches], within[touches[places]]])
+            found.append(np.unique(keys))
+            asked.append(np.isin(found[-1], wanted))
+        take = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+        columns = [batch.column(k).take(take) for k in range(3)]
+        return pa.record_batch([*columns, pa.array(np.concatenate(found), pa.int64()), pa.array(np.concatenate(asked), pa.bool_())], names=["row", "owner", "site", "run", "asked"])
+
+    runs = map_columns(rows.join(sites, "site", "left_semi"), ["row", "owner", "site", "blocks"], "row long, owner long, site long, run long, asked boolean", emit)
+    seen = runs.groupBy("site", "run").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.count_if(F.col("owner").isNull()).alias("unnamed"), F.max("asked").alias("asked"))
+    shared = seen.filter("asked and (low <> high or unnamed > 1 or (unnamed = 1 and low is not null))").select("site", "run")
+    runs = runs.filter("asked").select("site", "run", "row")
+    lists = salted_join(runs, shared, ["site", "run"], ["row"]).groupBy("row").agg(F.collect_set("run").alias("shared"))
+    known = rows.join(lists, "row", "left").select("id", "url", "blocks", F.coalesce("shared", F.array().cast("array<long>")).alias("shared"))
+
+    def text(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = [text_with_runs(_unpacked(b), np.array(s, np.int64)) for b, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        return pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["id", "url", "text", "n_chars"])
+
+    return map_columns(known, ["id", "url", "blocks", "shared"], result, text)
