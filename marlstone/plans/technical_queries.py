@@ -270,7 +270,7 @@ def w29_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("w30_sweep")
 def w30_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event counts and base rates over a row of the parameter grid."""
+    """Event counts and base rates over a 2 x 2 corner of the parameter grid (see README)."""
     made = [(f"K{k}_c{c}", T.Config(range_bars=k, tightness=c)) for k in (15, 20) for c in (3.0, 4.0)]
     return T.sweep(bars(spark, sf_dir), made, [F.count("*").alias("n"), F.count_if(F.col("range_breakout") != 0).alias("n_events"), F.round(F.avg("label_long"), 6).alias("base_long")])
 
