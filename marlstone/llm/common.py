@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,19 +19,32 @@ from ..functions.ship import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    found = spark.sparkContext.getCheckpointDir()
-    if not found:
+    """The folder all executors share: ``spark.checkpoint.dir``. A local session without one gets a temporary folder;
+    on a cluster that would be a folder of one machine, and is refused."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+        path = spark.sparkContext.getCheckpointDir()
+    return path.rstrip("/")
+
+
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application in the shared one."""
+    return f"{shared_dir(spark)}/marlstone-{spark.sparkContext.applicationId}"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_written(spark: SparkSession) -> bool:
+    """Delete all that this application's operators have written to the shared folder; their results can't be read
+    afterwards unless they were saved elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,19 +59,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a batch that are worked on at once: what a task holds goes by it.
-ROWS = 2_000
+def free_name(columns: list[str], name: str) -> str:
+    """A column name that isn't taken."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: Rows and bytes of text of a batch that are worked on at once: what a task holds goes by them, and by its longest text.
+ROWS, BYTES = 2_000, 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold at most ``ROWS`` rows and two slices' bytes, unless it asks for less."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", 2 * BYTES)):
+        held = spark.conf.get(key)
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(key, str(most))
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    total, at = np.concatenate([[0], np.cumsum(size)]), 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(total, total[at] + BYTES, "right")) - 1
+        end = min(max(end, at + 1), at + ROWS)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def map_columns(df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """Run ``fn`` on slices of at most ``ROWS`` rows of ``columns``; empty batches are passed over."""
+    """Run ``fn`` on slices of ``columns`` of at most ``ROWS`` rows and ``BYTES`` bytes of text, or of one longer row;
+    empty batches are passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, ROWS):
-                yield fn(batch.slice(k, ROWS))
+            for part in slices(batch):
+                yield fn(part)
+            del batch
+            pa.default_memory_pool().release_unused()
 
     ship(df.sparkSession)
+    bounded_batches(df.sparkSession)
     return df.select(*columns).mapInArrow(run, schema)
 
 
@@ -67,6 +117,8 @@ def only(key: tuple, make: Callable[[], object]) -> object:
     if key not in _held:
         _held.clear()
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # glibc keeps freed memory until it is told to hand it back
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
         _held[key] = make()
     return _held[key]
 

@@ -48,7 +48,7 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shards import materialised
 
-    return materialised(table(spark, sf_dir, "documents"))
+    return materialised(spark, f"{sf_dir}/documents.parquet")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,7 +67,8 @@ def test_permutation_and_shards(spark):
     path = fresh_path(spark, "test-shards")
     n = shards.materialise(spark.createDataFrame(rows, "doc_id long, text string"), path)
     back = shards.read_shards(spark, path).toPandas().sort_values("slot")
-    assert back.slot.tolist() == list(range(n)) and (back.byte_offset == back.slot % shards.SHARD * shards.STRIDE).all()
+    assert back.slot.tolist() == list(range(n)) and back.shard.is_monotonic_increasing
+    assert all(g.byte_offset.tolist() == [k * shards.STRIDE for k in range(len(g))] for _, g in back.groupby("shard"))
     vocabulary = shards.default_vocabulary()
     whole = sorted(hashlib.sha256(str([*shards.token_ids(t, vocabulary), shards.END]).encode()).hexdigest() for _, t in rows)
     parts = back.assign(group=back.doc_id.fillna(-1)).sort_values(["group", "slot"])
@@ -79,6 +80,20 @@ def test_permutation_and_shards(spark):
     assert shards.materialise(spark.createDataFrame([], "doc_id long, text string"), fresh_path(spark, "none")) == 0
 
 
+def test_shards_of_any_plan_have_every_sequence_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plans = {"scan": docs, "repartitioned": docs.repartition(4), "distinct": docs.dropDuplicates(["doc_id"]), "joined": docs.join(docs.select("doc_id"), "doc_id")}
+    seen = set()
+    for name, plan in plans.items():
+        path = fresh_path(spark, f"test-{name}")
+        n = shards.materialise(plan, path)
+        back = shards.read_shards(spark, path, digest=True).toPandas()
+        assert sorted(back.slot) == list(range(n)), name
+        seen.add(tuple(sorted(zip(back.doc_id, back.seq_no, back.ids_sha256, strict=True))))
+    assert len(seen) == 1
+    assert shards.materialised(spark, "/root/testdata/sf0.001/documents.parquet").count() == n
+
+
 def test_pipeline_stages_keep_columns_and_clean_rows(spark):
     import corpus_pipeline
 
