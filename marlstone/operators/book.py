@@ -91,22 +91,36 @@ def position_stats(positions: DataFrame) -> DataFrame:
 
 
 def equity_curve(positions: DataFrame) -> DataFrame:
-    """Running weighted result of closed positions in the order of entry, to 3 digits."""
-    order = W.orderBy("entry_at", "key", "open_id").rowsBetween(W.unboundedPreceding, 0)
-    closed = positions.filter("status = 'CLOSED'")
-    return closed.select("entry_at", "key", "open_id", F.round(F.sum(weight() * F.col("realized")).over(order), 3).alias("cum"))
+    """Running weighted result of closed positions in the order of entry, to 3 digits: within each day of entry, on top of
+    the days before (one row a day)."""
+    closed = positions.filter("status = 'CLOSED'").select("entry_at", "key", "open_id", F.to_date("entry_at").alias("day"), (weight() * F.col("realized")).alias("gain"))
+    days = closed.groupBy("day").agg(F.sum("gain").alias("gain"))
+    before = days.select("day", F.coalesce(F.sum("gain").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
+    own = F.sum("gain").over(W.partitionBy("day").orderBy("entry_at", "key", "open_id").rowsBetween(W.unboundedPreceding, 0))
+    return closed.withColumn("own", own).join(before, "day").select("entry_at", "key", "open_id", F.round(F.col("before") + F.col("own"), 3).alias("cum"))
 
 
 def apply_orphan_exits(stored: DataFrame, exits: DataFrame) -> DataFrame:
-    """Exits whose position is stored already: each message counts once, frozen rows take only a later close."""
-    new = exits.join(stored.select("key", "seen_ids", "frozen", "remaining"), "key").filter(~F.array_contains(F.coalesce("seen_ids", F.array().cast("array<bigint>")), F.col("message_id")) & (~F.col("frozen") | (F.col("action") == "close")))
-    g = new.groupBy("key").agg(F.max(F.col("action") == "close").alias("closes"), F.max_by("pct", "at").alias("pct"), F.collect_set("message_id").alias("ids"))
-    out = stored.join(g, "key", "left")
-    part = F.when(F.col("closes"), F.col("remaining")).when(F.col("closes").isNotNull(), TRIM_SHARE * F.col("remaining")).otherwise(0.0)
+    """Exits (key, action, at, message_id, pct, frac_hint) of positions that are stored already, in time order.
+
+    Only open positions take them, each message once; a frozen one takes a close only. A trim closes its hinted share (or
+    half) of what then remains, a close all of it; what comes after the last share finds nothing left.
+    """
+    none = F.array().cast("array<bigint>")
+    open_ = stored.filter("status = 'OPEN'").select("key", F.coalesce("seen_ids", none).alias("_seen"), "frozen")
+    new = exits.filter(F.col("action").isin("trim", "close")).dropDuplicates(["key", "message_id"]).join(open_, "key")
+    new = new.filter(~F.array_contains("_seen", F.col("message_id")) & (~F.col("frozen") | (F.col("action") == "close")))
+    share = F.when(F.col("action") == "close", 1.0).otherwise(F.coalesce("frac_hint", F.lit(TRIM_SHARE)))
+    steps = new.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "message_id", share.alias("share"), F.coalesce("pct", F.lit(0.0)).alias("pct")))).alias("_steps"))
+    out = stored.join(steps, "key", "left")
+    start = F.struct(F.col("remaining").cast("double").alias("left"), F.col("realized").cast("double").alias("sum"))
+    step = lambda a, x: F.struct((a["left"] * (1 - x["share"])).alias("left"), (a["sum"] + a["left"] * x["share"] * x["pct"]).alias("sum"))
+    out = out.withColumn("_end", F.when(F.col("_steps").isNotNull(), F.aggregate("_steps", start, step)))
+    left = F.coalesce("_end.left", "remaining")
     return out.withColumns({
-        "realized": F.col("realized") + part * F.coalesce("pct", F.lit(0.0)), "remaining": F.col("remaining") - part,
-        "status": F.when(F.col("remaining") - part < NOTHING, "CLOSED").otherwise(F.col("status")), "seen_ids": F.array_union(F.coalesce("seen_ids", F.array().cast("array<bigint>")), F.coalesce("ids", F.array().cast("array<bigint>"))),
-    }).drop("closes", "pct", "ids")
+        "realized": F.coalesce("_end.sum", "realized"), "remaining": F.when(left < NOTHING, 0.0).otherwise(left), "status": F.when(F.col("_end").isNotNull() & (left < NOTHING), "CLOSED").otherwise(F.col("status")),
+        "seen_ids": F.array_union(F.coalesce("seen_ids", none), F.coalesce(F.transform("_steps", lambda x: x["message_id"]), none)),
+    }).drop("_steps", "_end")
 
 
 def parse_messages(raw: DataFrame) -> DataFrame:
@@ -153,10 +167,19 @@ def earnings_focus(history: DataFrame, as_of: Column, most: int = 16) -> DataFra
     return focus.join(rows, "ticker", "left").withColumn("focus", F.coalesce("next", "last"))
 
 
+def _screener_keys(by: str) -> list[Column]:
+    keys = {"date": [F.col("report_date"), F.desc("market_cap")], "sector": [F.coalesce("sector", F.lit("z"))], "move": [F.desc(F.coalesce("implied_move", F.lit(-1.0)))], "watched": [F.desc("watched"), F.col("report_date")]}
+    return [*keys[by], F.col("ticker"), F.col("report_date")]
+
+
 def earnings_order(events: DataFrame, by: str) -> DataFrame:
     """Screener order: by date and size, sector (none last), implied move (none last), watched first."""
-    keys = {"date": ["report_date", F.desc("market_cap")], "sector": [F.coalesce("sector", F.lit("z"))], "move": [F.desc(F.coalesce("implied_move", F.lit(-1.0)))], "watched": [F.desc("watched"), "report_date"]}
-    return events.orderBy(*keys[by], "ticker")
+    return events.orderBy(*_screener_keys(by))
+
+
+def screener_places(events: DataFrame) -> DataFrame:
+    """The place of each event of a screen in all four orders; a screen shows some hundred events."""
+    return events.withColumns({f"by_{k}": F.row_number().over(W.orderBy(*_screener_keys(k))).cast("long") for k in ("date", "sector", "move", "watched")})
 
 
 def stale_histories(events: DataFrame, refreshed: DataFrame, as_of: Column, most: int = 80) -> DataFrame:
@@ -182,6 +205,19 @@ def retag(stored: DataFrame, resolved: DataFrame) -> DataFrame:
     return stored.join(new, "ticker").filter(~F.col("sector").eqNullSafe(F.col("new_sector")))
 
 
+def unresolved_tickers(stored: DataFrame, resolved: DataFrame, n: int = 30) -> DataFrame:
+    """The ``n`` tickers of unresolved sector with the most stored rows: (ticker, n_rows)."""
+    open_ = resolved.filter("unresolved").select("ticker").distinct()
+    return stored.join(open_, "ticker", "left_semi").groupBy("ticker").agg(F.count("*").alias("n_rows")).orderBy(F.desc("n_rows"), "ticker").limit(n)
+
+
+def etf_flips(stored: DataFrame, etfs: DataFrame) -> DataFrame:
+    """Stored rows whose ``is_etf`` isn't what the list of funds says, with the flag they should have."""
+    known = etfs.select("ticker").distinct().withColumn("_etf", F.lit(True))
+    out = stored.join(known, "ticker", "left").withColumn("new_is_etf", F.coalesce("_etf", F.lit(False))).drop("_etf")
+    return out.filter(~F.col("is_etf").eqNullSafe(F.col("new_is_etf")))
+
+
 def ticker_universe(watched: DataFrame, alerts: DataFrame, prints: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """Distinct tickers that are watched or were seen in the last days."""
     recent = lambda df, ts: df.filter(F.col(ts) >= F.date_sub(as_of, days)).select("ticker")

@@ -6,6 +6,7 @@ go along a ticker: small state machines, all variants in one grouped pass. ``reg
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable
 
 import numpy as np
@@ -182,8 +183,15 @@ def squeezes(df: DataFrame) -> DataFrame:
 Found = list[tuple[int, str, float]]
 
 
-def _pivots(x: np.ndarray, m: int, top: bool) -> np.ndarray:
-    """Places whose value is the extreme of the m bars on either side."""
+def _pivots(bars: dict[str, np.ndarray], m: int, top: bool) -> np.ndarray:
+    """Places whose high (low) is the extreme of the m bars on either side; found once for all variants."""
+    key = f"_pivots_{m}_{top}"
+    if key not in bars:
+        bars[key] = _extremes(bars["high" if top else "low"], m, top)
+    return bars[key]
+
+
+def _extremes(x: np.ndarray, m: int, top: bool) -> np.ndarray:
     n = len(x)
     if n < 2 * m + 1:
         return np.empty(0, int)
@@ -215,7 +223,7 @@ def level_flips(bars: dict[str, np.ndarray], p: dict, m: int = 3) -> Found:
     high, low, close, atr = bars["high"], bars["low"], bars["close"], bars["atr"]
     confirmed: dict[int, list[float]] = {}
     for x, top in ((high, True), (low, False)):
-        for at in _pivots(x, m, top):
+        for at in _pivots(bars, m, top):
             confirmed.setdefault(int(at) + m, []).append(float(x[at]))
     book: list[Level] = []
     out: Found = []
@@ -286,7 +294,7 @@ def _breaks(top: float, bottom: float, flat: float) -> tuple[int, ...]:
 def wedges(bars: dict[str, np.ndarray], p: dict) -> Found:
     """Converging lines through recent pivots, refitted at each confirmed one; the first close beyond a line uses them up."""
     high, low, close, atr, m = bars["high"], bars["low"], bars["close"], bars["atr"], p["m"]
-    tops, bottoms = _pivots(high, m, True), _pivots(low, m, False)
+    tops, bottoms = _pivots(bars, m, True), _pivots(bars, m, False)
     at_pivot = set((tops + m).tolist()) | set((bottoms + m).tolist())
     lines, out = None, []
     for t in range(len(close)):
@@ -324,18 +332,25 @@ RETRACEMENTS = {
 }
 
 
+def _others(prices: list[float], price: float, reach: float, ends: tuple[float, float]) -> int:
+    """How many sorted prices lie within reach of a price and aren't the leg's own ends."""
+    found = prices[bisect_left(prices, price - reach) : bisect_right(prices, price + reach)]
+    return sum(abs(x - ends[0]) > 1e-9 and abs(x - ends[1]) > 1e-9 for x in found)
+
+
 def retracements(bars: dict[str, np.ndarray], p: dict) -> Found:
     """A leg between the last two opposite pivots, pulled back into a retracement near other pivots, and closed out of
     the pull-back bar again. Without ``use`` any pull-back counts: the control."""
     high, low, close, atr, m = bars["high"], bars["low"], bars["close"], bars["atr"], p["m"]
-    pivots = sorted([(int(k), 1, float(high[k])) for k in _pivots(high, m, True)] + [(int(k), -1, float(low[k])) for k in _pivots(low, m, False)])
+    pivots = sorted([(int(k), 1, float(high[k])) for k in _pivots(bars, m, True)] + [(int(k), -1, float(low[k])) for k in _pivots(bars, m, False)])
     known: list[tuple[int, int, float]] = []
-    prices = np.array([x for _, _, x in pivots])
+    prices: list[float] = []  # of the known pivots, sorted
     nxt, leg, out = 0, None, []
     for t in range(len(close)):
         before = nxt
         while nxt < len(pivots) and pivots[nxt][0] + m <= t:
             known.append(pivots[nxt])
+            insort(prices, pivots[nxt][2])
             nxt += 1
         a = atr[t]
         if not a > 0:
@@ -351,13 +366,11 @@ def retracements(bars: dict[str, np.ndarray], p: dict) -> Found:
             continue
         way = leg["way"]
         if leg["zone"] is None:
-            seen = prices[:nxt]
-            others = seen[(np.abs(seen - leg["from"]) > 1e-9) & (np.abs(seen - leg["to"]) > 1e-9)]
             best = 0
             for share in p["levels"]:
                 price = leg["to"] - share * (leg["to"] - leg["from"])
                 met = low[t] <= price <= high[t] if p["use"] else (low[t] < leg["to"] if way > 0 else high[t] > leg["to"])
-                near = int((np.abs(others - price) <= p["near"] * a).sum()) if met and len(others) else 0
+                near = _others(prices, price, p["near"] * a, (leg["from"], leg["to"])) if met else 0
                 if near:
                     best = max(best, near + p["use"])
             if best:
@@ -398,20 +411,31 @@ def detect_universe(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return df.select("ticker", "date", "open", "high", "low", "close", "volume", "atr_14").groupBy("ticker").applyInPandas(run, EVENTS)
 
 
-def prepared(bars: DataFrame) -> DataFrame:
-    """Bars with all columns that the detectors read, the 5-bar momentum's percentile included."""
-    base = T.with_recursions(T.swings(T.bollinger(bars.repartition("ticker"))), spans=CLOUD_SPANS)
-    base = base.withColumn("momentum", ratio(F.col("close") - lag("close", 5), F.col("atr_14")))
-    frame = per_ticker().rowsBetween(-251, 0)
-    seen, x = F.collect_list("momentum").over(frame), F.col("momentum")
-    rank = (F.size(F.filter("_seen", lambda v: v < x)) + (F.size(F.filter("_seen", lambda v: v == x)) + 1) / 2) / 252
-    return base.withColumn("_seen", seen).withColumn("momentum_pctile", F.when((F.size("_seen") == 252) & x.isNotNull(), rank)).drop("_seen")
+#: What each family reads besides the bars: recursive columns, averages' spans, and window blocks.
+NEEDS: dict[Callable[[DataFrame], DataFrame], tuple[tuple[str, ...], tuple[int, ...], bool]] = {
+    divergences: (("rsi_14",), (), True),
+    gaps: (("atr_14",), (), False),
+    clouds: (("atr_14",), CLOUD_SPANS, False),
+    false_breaks: (("atr_14",), (), False),
+    flags: (("atr_14", "momentum_pctile"), (), False),
+    squeezes: (("atr_14", "bb_bandwidth_pctile"), (), False),
+    detect_universe: (("atr_14",), (), False),
+}
+
+
+def prepared(bars: DataFrame, *families: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Bars with the columns that the families (all, if none is named) read."""
+    needs = [NEEDS[f] for f in families or NEEDS]
+    want = tuple(sorted({c for n in needs for c in n[0]}))
+    out = T.with_recursions(bars, spans=tuple(sorted({s for n in needs for s in n[1]})), want=want)
+    return T.swings(out) if any(n[2] for n in needs) else out
 
 
 def all_events(bars: DataFrame) -> DataFrame:
     """Events of every detector."""
     df = prepared(bars)
-    out = detect_universe(df)
-    for family in (divergences, gaps, clouds, false_breaks, flags, squeezes):
-        out = out.unionByName(family(df))
+    out = None
+    for family in NEEDS:
+        found = family(df)
+        out = found if out is None else out.unionByName(found)
     return out

@@ -29,33 +29,65 @@ def folds(matrix: DataFrame, n: int = 5, oos_months: int = 12, embargo: int = 10
     return out.join(F.broadcast(first)).select("fold", "train_start", "train_end", "test_start", "test_end", "is_oos")
 
 
-def assign_folds(matrix: DataFrame, plan: DataFrame, calibration: float = 0.15) -> DataFrame:
-    """Rows of each fold as fit, calibrate (the last share of the training span's days) or test: an interval join
-    with the handful of folds."""
-    f = F.broadcast(plan)
+def assign_folds(matrix: DataFrame, plan: DataFrame, calibration: float = 0.15, embargo: int = 10) -> DataFrame:
+    """Rows of each fold as fit, calibrate or test.
+
+    The last share of a training span's distinct dates calibrates; the embargo's dates before it belong to neither (a fold
+    too short for that has no inner embargo). Cuts are made on the small table of dates; the rows meet the handful of
+    folds in an interval join.
+    """
+    dates = matrix.select("date").distinct()
+    f = plan.select("fold", "train_start", "train_end", "test_start", "test_end", "is_oos")
+    own = dates.join(F.broadcast(f), (dates["date"] >= f["train_start"]) & (dates["date"] <= f["train_end"]))
+    key = W.partitionBy("fold")
+    ranked = own.select("fold", "date", (F.row_number().over(key.orderBy("date")) - 1).alias("i"), F.count("*").over(key).alias("n"))
+    first = F.col("n") - F.greatest(F.lit(1), F.rint(F.col("n") * calibration).cast("int"))
+    last = F.when(first - 1 - embargo < 0, first - 1).otherwise(first - 1 - embargo)
+    cuts = ranked.groupBy("fold").agg(F.max(F.when(F.col("i") == last, F.col("date"))).alias("fit_end"), F.max(F.when(F.col("i") == first, F.col("date"))).alias("calibrate_start"))
+    f = F.broadcast(f.join(cuts, "fold"))
     out = matrix.join(f, (matrix["date"] >= f["train_start"]) & (matrix["date"] <= f["test_end"]))
-    late = F.datediff("date", "train_start") > (1 - calibration) * F.datediff("train_end", "train_start")
-    return out.withColumn("role", F.when(F.col("date") >= F.col("test_start"), "test").when(F.col("date") <= F.col("train_end"), F.when(late, "calibrate").otherwise("fit"))).filter("role is not null")
+    role = F.when(F.col("date") >= F.col("test_start"), "test").when(F.col("date") <= F.col("fit_end"), "fit").when(F.col("date").between(F.col("calibrate_start"), F.col("train_end")), "calibrate")
+    return out.withColumn("role", role).filter("role is not null").drop("fit_end", "calibrate_start")
 
 
-def event_study(events: DataFrame, labels: DataFrame, plan: DataFrame, min_fold_events: int = 5) -> DataFrame:
-    """(detector, side): events, hit rate, base rate, lift, median outcome, the same with the weekly trend, and the
-    lift's range over the folds that have enough events.
+def event_study(events: DataFrame, labels: DataFrame, plan: DataFrame, state: DataFrame | None = None, min_fold_events: int = 5, window: str = "folds") -> DataFrame:
+    """(detector, side) -> how the label does on event rows against all rows of the cross-validation window.
 
-    ``events``: (ticker, date, detector, side, htf); ``labels``: (ticker, date, label_*, label_*_outcome_return).
+    ``events``: (ticker, date, detector, side, strength); ``labels``: (ticker, date, label_*, label_*_outcome_return);
+    ``state``: (ticker, date, htf), the weekly trend of every row. The window is the span of the folds' test parts, or with
+    ``window="history"`` all that is not after it; the held-out year never counts. Blocks: all events; those with the
+    weekly trend (also against the base of such rows); those against it, following either the event or the trend; and
+    the lift's range over the folds with enough events.
     """
-    sides = labels.select("ticker", "date", F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(f"label_{s}").alias("label"), F.col(f"label_{s}_outcome_return").alias("outcome")) for s in ("long", "short")])).alias("x")).select("ticker", "date", "x.*").filter("label is not null")
-    base = sides.groupBy("side").agg(F.avg("label").alias("base"))
-    hit = events.join(sides, ["ticker", "date", "side"])
-    with_trend = F.when(F.col("side") == "long", F.col("htf") > 0).otherwise(F.col("htf") < 0)
-    main = hit.groupBy("detector", "side").agg(F.count("*").alias("n"), F.avg("label").alias("hit_rate"), F.percentile("outcome", 0.5).alias("median_outcome"), F.count_if(with_trend).alias("n_htf"), F.avg(F.when(with_trend, F.col("label"))).alias("hit_rate_htf"))
     f = F.broadcast(plan.filter("not is_oos").select("fold", "test_start", "test_end"))
+    span = F.broadcast(plan.filter("not is_oos").agg(F.min("test_start").alias("_from"), F.max("test_end").alias("_to")))
+    inside = (F.col("date") <= F.col("_to")) & (F.col("date") >= F.col("_from") if window == "folds" else F.lit(True))
+    rows = labels.join(span).filter(inside).drop("_from", "_to")
+    rows = rows.join(state.select("ticker", "date", "htf"), ["ticker", "date"], "left") if state is not None else rows.withColumn("htf", F.lit(None).cast("double"))
+    each = [F.struct(F.lit(s).alias("side"), F.col(f"label_{s}").alias("label"), F.col(f"label_{s}_outcome_return").alias("outcome"), F.col(f"label_{o}").alias("other"), F.col(f"label_{o}_outcome_return").alias("other_outcome")) for s, o in (("long", "short"), ("short", "long"))]
+    sides = rows.select("ticker", "date", "htf", F.explode(F.array(*each)).alias("x")).select("ticker", "date", "htf", "x.*")
+    way = F.when(F.col("side") == "long", F.col("htf")).otherwise(-F.col("htf"))
+    sides = sides.withColumns({"with_trend": F.coalesce(way == 1, F.lit(False)), "against": F.coalesce(way == -1, F.lit(False))})
+    base = sides.groupBy("side").agg(F.avg("label").alias("base"), F.avg(F.when(F.col("with_trend"), F.col("label"))).alias("base_htf"), F.avg("other").alias("base_other"), F.count("label").alias("n_rows"))
+    hit = events.select("ticker", "date", "detector", "side", "strength").join(sides.filter("label is not null"), ["ticker", "date", "side"])
+    on = lambda c, v: F.when(F.col(c), F.col(v))
+    main = hit.groupBy("detector", "side").agg(
+        F.count("*").alias("n"), F.avg("label").alias("hit_rate"), F.percentile("outcome", 0.5).alias("median_outcome"), F.percentile("strength", 0.5).alias("median_strength"),
+        F.count_if("with_trend").alias("n_htf"), F.avg(on("with_trend", "label")).alias("hit_rate_htf"), F.percentile(on("with_trend", "outcome"), 0.5).alias("median_outcome_htf"),
+        F.count_if("against").alias("n_opposed"), F.avg(on("against", "label")).alias("hit_rate_opposed"), F.avg(on("against", "other")).alias("hit_rate_trend"),
+        F.percentile(on("against", "outcome"), 0.5).alias("median_outcome_opposed"), F.percentile(on("against", "other_outcome"), 0.5).alias("median_outcome_trend"),
+    )
     in_fold = lambda df: df.join(f, (df["date"] >= f["test_start"]) & (df["date"] <= f["test_end"]))
     fold_base = in_fold(sides).groupBy("fold", "side").agg(F.avg("label").alias("fold_base"))
-    per = in_fold(hit).groupBy("fold", "detector", "side").agg(F.count("*").alias("k"), F.avg("label").alias("rate")).filter(F.col("k") >= min_fold_events).join(fold_base, ["fold", "side"])
-    lifts = per.groupBy("detector", "side").agg(F.count("*").alias("n_folds"), F.min(F.col("rate") / F.col("fold_base")).alias("min_lift"), F.max(F.col("rate") / F.col("fold_base")).alias("max_lift"))
+    per = in_fold(hit).groupBy("fold", "detector", "side").agg(F.count("*").alias("k"), F.avg("label").alias("rate")).filter(F.col("k") >= min_fold_events)
+    lift = F.col("rate") / F.nullif("fold_base", F.lit(0.0))
+    lifts = per.join(fold_base, ["fold", "side"]).withColumn("l", lift).groupBy("detector", "side").agg(F.count("l").alias("n_folds"), F.min("l").alias("min_lift"), F.max("l").alias("max_lift"))
     out = main.join(F.broadcast(base), "side").join(lifts, ["detector", "side"], "left")
-    return out.withColumns({"lift": F.col("hit_rate") / F.nullif("base", F.lit(0.0)), "lift_htf": F.col("hit_rate_htf") / F.nullif("base", F.lit(0.0))})
+    over = lambda a, b: F.col(a) / F.nullif(b, F.lit(0.0))
+    return out.withColumns({
+        "lift": over("hit_rate", "base"), "lift_htf": over("hit_rate_htf", "base"), "lift_htf_base": over("hit_rate_htf", "base_htf"), "lift_opposed": over("hit_rate_opposed", "base"),
+        "lift_trend": over("hit_rate_trend", "base_other"), "events_per_1k": F.col("n") * 1000.0 / F.greatest("n_rows", F.lit(1)),
+    }).drop("n_rows", "base_other")
 
 
 def long_form(panel: DataFrame, signals: list[str], returns: list[str]) -> DataFrame:
@@ -65,7 +97,7 @@ def long_form(panel: DataFrame, signals: list[str], returns: list[str]) -> DataF
 
 
 def mean_rank(column: Column, *keys: str) -> Column:
-    """Rank within the keys, ties at their mean."""
+    """Rank within the keys, ties at their mean; for keys whose rows fit one task, such as a date's tickers."""
     w = W.partitionBy(*keys)
     return F.rank().over(w.orderBy(column)) + (F.count("*").over(W.partitionBy(*keys, column)) - 1) / 2
 
@@ -75,6 +107,20 @@ def _ranked(pairs: DataFrame, *keys: str) -> DataFrame:
     return whole.withColumns({"rx": mean_rank(F.col("x"), *keys), "ry": mean_rank(F.col("y"), *keys)})
 
 
+def _wide_ranks(rows: DataFrame, value: str, name: str, keys: list[str], parts: int = 256) -> DataFrame:
+    """Mean ranks within few keys of very many rows. Approximate quantiles cut the values into ranges; distinct values are
+    counted, ranked within their range, and moved up by the counts of the ranges below. The cuts balance the ranges and
+    decide nothing else."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    cuts = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, [k / parts for k in range(1, parts)])).alias("_cuts"))
+    placed = counts.join(F.broadcast(cuts), keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+    sums = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"))
+    below = sums.withColumn("_below", F.coalesce(F.sum("_s").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    own = F.coalesce(F.sum("_n").over(W.partitionBy(*keys, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = placed.withColumn("_own", own).join(F.broadcast(below), [*keys, "_part"]).select(*keys, value, (F.col("_below") + F.col("_own") + (F.col("_n") + 1) / 2).alias(name))
+    return rows.join(ranks, [*keys, value])
+
+
 def fama_macbeth(pairs: DataFrame, least: int = 20) -> DataFrame:
     """Spearman correlation of each date with enough signals, its mean over the dates and t."""
     keys = ("signal", "horizon", "date")
@@ -100,27 +146,31 @@ def quintile_spread(pairs: DataFrame, least: int = 20) -> DataFrame:
 
 
 def between_within(pairs: DataFrame) -> DataFrame:
-    """Spearman of ticker means and of deviations from them; confounded if the first is large and over twice the second."""
+    """Spearman of ticker means (a row for each ticker) and of deviations from them (all rows); confounded if the first is large and over twice the second."""
     whole = pairs.filter("x is not null and y is not null")
     keys = ("signal", "horizon")
     means = whole.groupBy(*keys, "ticker").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     between = _ranked(means, *keys).groupBy(*keys).agg(F.corr("rx", "ry").alias("between"))
     own = W.partitionBy(*keys, "ticker")
     moved = whole.withColumns({"x": F.round(F.col("x") - F.avg("x").over(own), 9), "y": F.round(F.col("y") - F.avg("y").over(own), 9)})
-    within = _ranked(moved, *keys).groupBy(*keys).agg(F.corr("rx", "ry").alias("within"))
+    ranked = _wide_ranks(_wide_ranks(moved.select(*keys, "x", "y"), "x", "rx", list(keys)), "y", "ry", list(keys))
+    within = ranked.groupBy(*keys).agg(F.corr("rx", "ry").alias("within"))
     return between.join(within, list(keys)).withColumn("confounded", (F.abs("between") > 0.3) & (F.abs("between") > 2 * F.abs("within")))
 
 
 def metrics(scored: DataFrame) -> DataFrame:
     """(side, segment, y, p) -> n, base rate, PR-AUC, lift, ROC-AUC, Brier score, precision and recall of the top tenth.
 
-    Scores are grouped first, so that the running sums go over distinct scores of a side and segment.
+    Distinct scores are summed up within 1,024 ranges of a side and segment, on top of the ranges above them.
     """
     keys = ["side", "segment"]
-    g = scored.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
-    down = W.partitionBy(*keys).orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*keys)
-    g = g.withColumns({"tp": F.sum("pos").over(down), "cn": F.sum("n").over(down), "all_pos": F.sum("pos").over(whole), "all_n": F.sum("n").over(whole)})
+    g = scored.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).withColumn("part", F.floor(F.col("p") * 1024))
+    down = W.partitionBy(*keys, "part").orderBy(F.desc("p")).rowsBetween(W.unboundedPreceding, 0)
+    sums = g.groupBy(*keys, "part").agg(F.sum("pos").alias("tp0"), F.sum("n").alias("cn0"))
+    above, whole = W.partitionBy(*keys).orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*keys)
+    sums = sums.select(*keys, "part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("tp0", "cn0")], F.sum("tp0").over(whole).alias("all_pos"), F.sum("cn0").over(whole).alias("all_n"))
+    g = g.withColumns({"tp": F.sum("pos").over(down), "cn": F.sum("n").over(down)}).join(F.broadcast(sums), [*keys, "part"])
+    g = g.withColumns({"tp": F.col("tp") + F.col("tp0_above"), "cn": F.col("cn") + F.col("cn0_above")})
     neg = F.col("n") - F.col("pos")
     auc = F.sum(neg * (F.col("tp") - F.col("pos") / 2)) / F.nullif(F.first("all_pos") * (F.first("all_n") - F.first("all_pos")), F.lit(0.0))
     ap = F.sum(F.col("pos") * F.col("tp") / F.col("cn")) / F.nullif(F.first("all_pos"), F.lit(0.0))
@@ -156,11 +206,22 @@ def directional_labels(df: DataFrame, signals: list[str]) -> DataFrame:
     return out.withColumn("label_directional", F.when(F.col("direction") > 0, F.col("label_long")).otherwise(F.col("label_short")))
 
 
+def directional_sets(df: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+    """(subset, ticker, date, direction, label_directional): ``directional_labels`` by the signals of each event set."""
+    way = lambda signals: F.signum(sum((F.coalesce(c, F.lit(0.0)) for c in signals), F.lit(0.0)))
+    rows = F.array(*[F.struct(F.lit(n).alias("subset"), way(signals).alias("direction")) for n, signals in sets.items()])
+    out = df.select("ticker", "date", "label_long", "label_short", F.explode(rows).alias("x")).select("*", "x.*").filter("direction <> 0")
+    return out.select("subset", "ticker", "date", "direction", F.when(F.col("direction") > 0, F.col("label_long")).otherwise(F.col("label_short")).alias("label_directional"))
+
+
 def event_subsets(df: DataFrame) -> DataFrame:
-    """Sizes and base rates of all rows, breakouts, reclaims, both at once and either."""
+    """Sizes and base rates of all rows and of the event sets: breakouts, reclaims, either of them (strict), and these or
+    touches of the 50 or 200 average (broad)."""
     b, r = F.col("range_breakout") != 0, F.col("swing_reclaim") != 0
-    sets = F.array_compact(F.array(F.lit("all"), F.when(b, "breakout"), F.when(r, "reclaim"), F.when(b & r, "strict"), F.when(b | r, "broad")))
-    return df.select("ticker", "date", "label_long", "label_short", F.explode(sets).alias("subset")).groupBy("subset").agg(F.count("*").alias("n"), F.count_distinct("date").alias("n_dates"), F.count_distinct("ticker").alias("n_tickers"), F.avg("label_long").alias("base_long"), F.avg("label_short").alias("base_short"))
+    touch = (F.col("touch_50") != 0) | (F.col("touch_200") != 0)
+    sets = F.array_compact(F.array(F.lit("all"), F.when(b, "breakout_only"), F.when(r, "reclaim_only"), F.when(b | r, "strict"), F.when(b | r | touch, "broad")))
+    long = df.select("ticker", "date", "label_long", "label_short", F.explode(sets).alias("subset"))
+    return long.groupBy("subset").agg(F.count("*").alias("n"), F.count_distinct("date").alias("n_dates"), F.count_distinct("ticker").alias("n_tickers"), F.avg("label_long").alias("base_long"), F.avg("label_short").alias("base_short"))
 
 
 def predictions_table(predictions: DataFrame, matrix: DataFrame, profit: float = 1.5, stop: float = 1.0) -> DataFrame:
@@ -175,19 +236,21 @@ def top_entries(predictions: DataFrame, side: str, n: int, oos_only: bool = True
     return out.orderBy(F.desc(f"p_{side}"), "ticker", "date").limit(n)
 
 
-def out_of_fold(matrix: DataFrame, plan: DataFrame, features: list[str], side: str = "long", trees: int = 10, depth: int = 3) -> DataFrame:
-    """Out-of-fold scores of boosted trees, calibrated by isotonic regression on the late training rows of each fold."""
+def out_of_fold(matrix: DataFrame, plan: DataFrame, features: list[str], side: str = "long", trees: int = 10, depth: int = 5) -> DataFrame:
+    """(ticker, date, fold, is_oos, label_*, raw, p_*): out-of-fold scores of boosted trees, calibrated by isotonic regression
+    on the late training rows of each fold. Missing values are a value of their own below all others."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
 
-    rows = assign_folds(matrix.select("ticker", "date", f"label_{side}", *[F.coalesce(F.col(c).cast("double"), F.lit(-9.0)).alias(c) for c in features]), plan).filter(F.col(f"label_{side}").isNotNull())
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows).withColumn("label", F.col(f"label_{side}"))
+    low = [F.coalesce(F.col(c).cast("double"), F.lit(-999.0)).alias(c) for c in features]
+    rows = assign_folds(matrix.select("ticker", "date", f"label_{side}", *low), plan).filter(F.col(f"label_{side}").isNotNull())
+    rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows).withColumn("label", F.col(f"label_{side}")).select("ticker", "date", "fold", "is_oos", "role", "label", "features")
     names = [r["fold"] for r in plan.select("fold").collect()]  # a handful of folds
     out = None
     for name in names:
         one = rows.filter(F.col("fold") == name)
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7).fit(one.filter("role = 'fit'"))
+        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=64).fit(one.filter("role = 'fit'"))
         scored = model.transform(one.filter("role <> 'fit'")).withColumn("raw", _second(F.col("probability")))
         iso = IsotonicRegression(featuresCol="raw", predictionCol="p").fit(scored.filter("role = 'calibrate'").select("raw", "label"))
         test = iso.transform(scored.filter("role = 'test'").select("ticker", "date", "fold", "is_oos", "label", "raw"))
@@ -195,6 +258,36 @@ def out_of_fold(matrix: DataFrame, plan: DataFrame, features: list[str], side: s
     return out.withColumnRenamed("p", f"p_{side}").withColumnRenamed("label", f"label_{side}")
 
 
+def score_both_sides(matrix: DataFrame, plan: DataFrame, features: list[str], **settings) -> DataFrame:
+    """Out-of-fold scores of both sides in one row for each test row: (ticker, date, fold, is_oos, label_*, p_*)."""
+    keys = ["ticker", "date", "fold", "is_oos"]
+    sides = [out_of_fold(matrix, plan, features, side, **settings).drop("raw") for side in ("long", "short")]
+    return sides[0].join(sides[1], keys, "full")
+
+
+def ablation(matrix: DataFrame, plan_of, sets: dict[str, list[str]], start, against: tuple[str, str], **settings) -> tuple[DataFrame, DataFrame]:
+    """Metrics of models on feature sets over one window of dates, and what the second named set adds over the first.
+
+    ``start``: the window's first date (a column), as what only later rows have can't be compared on earlier ones;
+    ``plan_of`` makes the folds of the windowed matrix. Returns (feature_set, side, segment, metrics...) and
+    (side, delta_roc_auc, delta_pr_auc) on the held-out rows.
+    """
+    window = matrix.filter(F.col("date") >= start)
+    plan = plan_of(window)
+    reports = None
+    for name, features in sets.items():
+        for side in ("long", "short"):
+            scored = out_of_fold(window, plan, features, side, **settings)
+            flat = scored.select(F.lit(side).alias("side"), F.when(F.col("is_oos"), "oos").otherwise("cv").alias("segment"), F.col(f"label_{side}").alias("y"), F.col(f"p_{side}").alias("p"))
+            report = metrics(flat).withColumn("feature_set", F.lit(name))
+            reports = report if reports is None else reports.unionByName(report)
+    first, second = against
+    of = lambda n: F.col("feature_set") == n
+    pick = lambda n, c: F.max(F.when(of(n), F.col(c)))
+    delta = reports.filter("segment = 'oos'").groupBy("side").agg(*[(pick(second, c) - pick(first, c)).alias(f"delta_{c}") for c in ("roc_auc", "pr_auc")])
+    return reports, delta
+
+
 def _second(vector: Column) -> Column:
     from pyspark.ml.functions import vector_to_array
 

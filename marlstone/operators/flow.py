@@ -108,12 +108,19 @@ def screen(alerts: DataFrame, as_of: Column, kind: str, exact: bool = False, lim
     return alerts.filter(passed).orderBy(F.desc("time"), "id").limit(limit)
 
 
-def screen_funnel(alerts: DataFrame, as_of: Column, kind: str) -> DataFrame:
-    """How many alerts survive each further condition, in one pass."""
+def screen_funnel(alerts: DataFrame, as_of: Column, kind: str, relaxed: tuple[str, ...] = ("size_over_oi", "otm")) -> DataFrame:
+    """How many alerts survive each further condition, and how many pass the screen without one of the relaxed
+    conditions (``alt_no_*``): which of them cuts most. One pass."""
+    named = screen_predicates(as_of, kind)
     counts, passed = [F.count("*").alias("all")], F.lit(True)
-    for name, c in screen_predicates(as_of, kind):
+    for name, c in named:
         passed = passed & c
         counts.append(F.count_if(passed).alias(name))
+    for name in relaxed:
+        others = F.lit(True)
+        for n, c in named:
+            others = others if n == name else others & c
+        counts.append(F.count_if(others).alias(f"alt_no_{name}"))
     return alerts.agg(*counts)
 
 
@@ -143,10 +150,17 @@ def flow_feed(alerts: DataFrame, *, kind=None, side=None, exec_=None, confidence
     return out.orderBy(F.desc({"time": "time", "premium": "premium", "size": "size"}[sort]), "id")
 
 
-def preset_shape(alerts: DataFrame, max_dte: int = 14, band: tuple[float, float] = (0.2, 1.0), min_premium: float = 1000.0) -> DataFrame:
-    """Coarse filter of the provider's presets: days left, distance band, all opening, size over open interest, ask side."""
+#: Least and most distance out of the money and least premium of the provider's two presets.
+PRESETS = {"lotto": (0.2, 1.0, 1_000.0), "sweeper": (0.0, 0.12, 100_000.0)}
+
+
+def preset_shape(alerts: DataFrame, preset: str = "lotto", max_dte: int = 14) -> DataFrame:
+    """Coarse filter of a preset: single-leg common stock, days left, distance band, all opening, size over open
+    interest, ask side, premium."""
+    low, high, premium = PRESETS[preset]
     otm = otm_share(F.col("type"), F.col("strike"), F.col("spot"))
-    return alerts.filter((F.datediff("expiry", local_date(F.col("time"))) <= max_dte) & otm.between(*band) & F.coalesce("all_opening", F.lit(False)) & (F.col("size") > F.col("oi")) & (F.col("ask_prem") >= F.col("bid_prem")) & (F.col("premium") >= min_premium))
+    shape = (F.col("issue_type") == "Common Stock") & ~F.col("multi_leg") & F.coalesce("all_opening", F.lit(False)) & (F.col("size") > F.col("oi")) & (F.col("ask_prem") >= F.col("bid_prem"))
+    return alerts.filter(shape & (F.datediff("expiry", local_date(F.col("time"))) <= max_dte) & otm.between(low, high) & (F.col("premium") >= premium))
 
 
 def flow_stats(alerts: DataFrame) -> DataFrame:
@@ -165,9 +179,9 @@ def sector_flow(alerts: DataFrame) -> DataFrame:
 
 
 def net_impact(alerts: DataFrame, n: int = 10) -> DataFrame:
-    """For each day the ``n`` tickers with the largest net premium either way: call ask - bid + put bid - ask."""
+    """For each New York day the ``n`` tickers with the largest net premium either way: call ask - bid + put bid - ask."""
     net = F.when(F.col("type") == "CALL", F.col("ask_prem") - F.col("bid_prem")).otherwise(F.col("bid_prem") - F.col("ask_prem"))
-    daily = alerts.groupBy(F.to_date("time").alias("date"), "ticker").agg(F.round(F.sum(net), 6).alias("net"))
+    daily = alerts.groupBy(local_date(F.col("time")).alias("date"), "ticker").agg(F.round(F.sum(net), 6).alias("net"))
     order = W.partitionBy("date").orderBy(F.desc(F.abs("net")), "ticker")
     return daily.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n).drop("n")
 
@@ -197,56 +211,104 @@ def join_sentiment(matrix: DataFrame, sentiment: DataFrame) -> DataFrame:
     return join_daily(matrix, sentiment, "has_sentiment", ratios)
 
 
+SIDES = ("cA", "cB", "pA", "pB")
+PREMIUMS = ("cPA", "cPB", "pPA", "pPB")
+
+
 def chain_minute(chain: DataFrame, band: float = 0.12, most: int = 60) -> DataFrame:
-    """A chain within 12 % of the reference (all strikes if none is), its 60 nearest strikes, as one snapshot row."""
+    """A chain within 12 % of the reference (all strikes if none is), its 60 nearest strikes, as one snapshot row.
+
+    Premiums by side are carried along where the chain has them.
+    """
     inside = F.abs(F.col("k") - F.col("spot")) <= F.col("spot") * band
     key = W.partitionBy("ticker", "date")
     some = chain.withColumn("_in", inside).withColumn("_any", F.max("_in").over(key)).filter("_in or not _any")
     near = some.withColumn("_n", F.row_number().over(key.orderBy(F.abs(F.col("k") - F.col("spot")), "k"))).filter(F.col("_n") <= most)
+    held = ["k", *SIDES, "cP", "pP", *[c for c in PREMIUMS if c in chain.columns]]
     g = near.groupBy("ticker", "date").agg(
-        F.sum(F.col("cA") + F.col("cB")).alias("call_vol"), F.sum(F.col("pA") + F.col("pB")).alias("put_vol"), F.sum(F.col("cP") - F.col("pP")).alias("net"), F.sum(F.abs("cP") + F.abs("pP")).alias("abs_prem"),
-        F.sort_array(F.collect_list(F.struct("k", "cA", "cB", "pA", "pB", "cP", "pP"))).alias("strikes"),
+        F.max("spot").alias("spot"), F.sum(F.col("cA") + F.col("cB")).alias("call_vol"), F.sum(F.col("pA") + F.col("pB")).alias("put_vol"), F.sum(F.col("cP") - F.col("pP")).alias("net"), F.sum(F.abs("cP") + F.abs("pP")).alias("abs_prem"),
+        F.sort_array(F.collect_list(F.struct(*held))).alias("strikes"),
     )
     mood = F.when((F.col("abs_prem") > 0) & (F.abs("net") < 0.1 * F.col("abs_prem")), "NEUTRAL").when(F.col("net") >= 0, "BULLISH").otherwise("BEARISH")
     return g.withColumns({"cp_ratio": F.when(F.col("put_vol") > 0, F.col("call_vol") / F.col("put_vol")).otherwise(0.0), "sentiment": mood})
 
 
 def capped_ratio(a: Column, b: Column, cap: float = 99.0) -> Column:
-    return F.when(b > 0, F.least(a / b, F.lit(cap))).when(a > 0, cap)
+    """a / b up to the cap, which also stands in for a positive a over nothing; 0 for nothing over nothing."""
+    return F.when(b > 0, F.least(a / b, F.lit(cap))).when(a > 0, cap).otherwise(0.0)
+
+
+def mode_legs(ask: Column, bid: Column, mode: str) -> Column:
+    """A side's volume or premium: all of it, the ask side only, or ask less bid with its sign."""
+    return ask + bid if mode == "all" else ask if mode == "ask" else ask - bid
+
 
+def mode_ratio(calls: tuple[Column, Column], puts: tuple[Column, Column], mode: str, cap: float = 99.0) -> Column:
+    """Calls over puts, signed in net mode, within the cap either way; null without puts."""
+    c, p = mode_legs(*calls, mode), mode_legs(*puts, mode)
+    return F.greatest(F.lit(-cap), F.least(c / F.nullif(p, F.lit(0.0)), F.lit(cap)))
 
-def market_sentiment(snapshots: DataFrame) -> DataFrame:
-    """The last snapshot of each ticker: volumes, ratios capped at 99, and whether it trades enough (5000)."""
-    last = snapshots.groupBy("ticker").agg(F.max_by(F.struct("call_vol", "put_vol", "strikes", "sentiment"), "date").alias("x")).select("ticker", "x.*")
-    side = lambda c: F.aggregate("strikes", F.lit(0.0), lambda acc, s: acc + s[c])
-    out = last.withColumns({x: side(x) for x in ("cA", "cB", "pA", "pB")})
-    return out.select("ticker", "sentiment", "call_vol", "put_vol", capped_ratio(F.col("call_vol"), F.col("put_vol")).alias("cp"), capped_ratio(F.col("cA"), F.col("cB")).alias("call_bs"), capped_ratio(F.col("pA"), F.col("pB")).alias("put_bs"), (F.col("call_vol") + F.col("put_vol") >= 5000).alias("liquid"))
 
+def _strike_sums(snapshots: DataFrame) -> tuple[DataFrame, bool]:
+    """Snapshots with the sum of each side over their strikes, and whether there are premiums by side."""
+    fields = snapshots.schema["strikes"].dataType.elementType.fieldNames()
+    some = all(c in fields for c in PREMIUMS)
+    add = lambda c: F.aggregate("strikes", F.lit(0.0), lambda acc, s: acc + F.coalesce(s[c], F.lit(0.0)))
+    return snapshots.withColumns({c: add(c) for c in (*SIDES, *(PREMIUMS if some else ()))}), some
 
-def sentiment_leaders(summary: DataFrame, n: int = 20) -> DataFrame:
-    """The ``n`` most bullish (ratio over 2, high first) and bearish (under 0.5, low first) tickers."""
+
+def market_sentiment(snapshots: DataFrame, day: Column | None = None, least: float = 5000.0) -> DataFrame:
+    """The last snapshot of each ticker of one day, the newest by default: volumes, ratios capped at 99, and whether it
+    trades enough. Buy to sell ratios go by premium where it is known by side, else by volume."""
+    of_day = snapshots.filter(F.col("date") == day) if day is not None else snapshots.join(F.broadcast(snapshots.agg(F.max("date").alias("date"))), "date")
+    last = of_day.groupBy("ticker").agg(F.max_by(F.struct("call_vol", "put_vol", "strikes", "sentiment"), "date").alias("x")).select("ticker", "x.*")
+    out, premium = _strike_sums(last)
+    ca, cb, pa, pb = (F.col(c) for c in (PREMIUMS if premium else SIDES))
+    legs = [c for c in (*SIDES, *(PREMIUMS if premium else ()))]
+    return out.select(
+        "ticker", "sentiment", "call_vol", "put_vol", capped_ratio(F.col("call_vol"), F.col("put_vol")).alias("cp"), capped_ratio(ca, cb).alias("call_bs"), capped_ratio(pa, pb).alias("put_bs"),
+        (F.col("call_vol") + F.col("put_vol") >= least).alias("liquid"), *legs,
+    )
+
+
+def sentiment_leaders(summary: DataFrame, mode: str = "all", n: int = 20) -> DataFrame:
+    """Of the tickers that trade enough, the ``n`` most bullish (ratio over 2, high first) and bearish (under 0.5, low
+    first) by the ratio of a side mode; those without one are left out."""
+    ca, cb, pa, pb = (F.col(c) for c in (PREMIUMS if "cPA" in summary.columns else SIDES))
+    rated = summary.filter("liquid").select("ticker", mode_ratio((ca, cb), (pa, pb), mode).alias("cp"))
     cp = F.col("cp")
-    sided = summary.withColumn("board", F.when(cp > 2, "bull").when(cp < 0.5, "bear")).filter("board is not null")
+    sided = rated.withColumn("board", F.when(cp > 2, "bull").when(cp < 0.5, "bear")).filter("board is not null")
     order = W.partitionBy("board").orderBy(F.when(F.col("board") == "bull", -cp).otherwise(cp), "ticker")
     return sided.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n).select("board", "rank", "ticker", "cp")
 
 
 def side_mode(strikes: DataFrame, mode: str) -> DataFrame:
-    """Per-strike volumes for all sides, the ask side only, or net (positive legs of ask less bid)."""
+    """Per-strike volumes for all sides, the ask side only, or net (positive legs of ask less bid), and the buy to sell
+    ratio of either side (infinite without sales, null without any flow)."""
     c = F.col
+    bs = lambda a, b: F.when(b > 0, a / b).when(a > 0, F.lit(float("inf")))
+    out = strikes.withColumns({"call_bs": bs(c("cA"), c("cB")), "put_bs": bs(c("pA"), c("pB"))})
     if mode == "ask":
-        return strikes.withColumns({"call": c("cA"), "put": c("pA")})
+        return out.withColumns({"call": c("cA"), "put": c("pA")})
     if mode == "net":
-        return strikes.withColumns({"call": F.greatest(c("cA") - c("cB"), F.lit(0.0)), "put": F.greatest(c("pA") - c("pB"), F.lit(0.0)), "call_sold": F.greatest(c("cB") - c("cA"), F.lit(0.0)), "put_sold": F.greatest(c("pB") - c("pA"), F.lit(0.0))})
-    return strikes.withColumns({"call": c("cA") + c("cB"), "put": c("pA") + c("pB")})
+        return out.withColumns({"call": F.greatest(c("cA") - c("cB"), F.lit(0.0)), "put": F.greatest(c("pA") - c("pB"), F.lit(0.0)), "call_sold": F.greatest(c("cB") - c("cA"), F.lit(0.0)), "put_sold": F.greatest(c("pB") - c("pA"), F.lit(0.0))})
+    return out.withColumns({"call": c("cA") + c("cB"), "put": c("pA") + c("pB")})
 
 
 def chain_totals(snapshots: DataFrame, mode: str = "all", n: int = 20) -> DataFrame:
-    """Totals over a snapshot's whole chain by side mode, and buy to sell ratios over the ``n`` strikes around spot."""
-    rows = snapshots.select("ticker", "date", F.explode("strikes").alias("s")).select("ticker", "date", F.lit(100.0).alias("spot"), F.col("s.k").alias("strike"), "s.*")
-    whole = side_mode(rows, mode).groupBy("ticker", "date").agg(F.sum("call").alias("call"), F.sum("put").alias("put"))
+    """(ticker, date, call, put, cp, and buys, sales and their ratio of either side over the ``n`` strikes around spot).
+
+    Call and put totals are over the snapshot's whole chain by side mode, signed in net mode; ``cp`` goes by premium where
+    it is known by side. Ratios of the shown strikes don't depend on the mode; they are 0 without sales.
+    """
+    sums, premium = _strike_sums(snapshots)
+    ca, cb, pa, pb = (F.col(c) for c in SIDES)
+    rated = [F.col(c) for c in (PREMIUMS if premium else SIDES)]
+    whole = sums.select("ticker", "date", mode_legs(ca, cb, mode).alias("call"), mode_legs(pa, pb, mode).alias("put"), mode_ratio((rated[0], rated[1]), (rated[2], rated[3]), mode).alias("cp"))
+    rows = snapshots.select("ticker", "date", "spot", F.explode("strikes").alias("s")).select("ticker", "date", "spot", F.col("s.k").alias("strike"), *[F.col(f"s.{c}").alias(c) for c in SIDES])
     shown = centred_strikes(rows, ["ticker", "date"], n).groupBy("ticker", "date").agg(F.sum("cA").alias("buy_call"), F.sum("cB").alias("sell_call"), F.sum("pA").alias("buy_put"), F.sum("pB").alias("sell_put"))
-    return whole.join(shown, ["ticker", "date"]).withColumns({"cp": capped_ratio(F.col("call"), F.col("put")), "call_bs": capped_ratio(F.col("buy_call"), F.col("sell_call")), "put_bs": capped_ratio(F.col("buy_put"), F.col("sell_put"))})
+    rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    return whole.join(shown, ["ticker", "date"], "left").withColumns({"call_bs": rate("buy_call", "sell_call"), "put_bs": rate("buy_put", "sell_put")})
 
 
 def centred_strikes(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -286,18 +348,33 @@ def split_by_date(df: DataFrame, holdout: float = 0.35) -> DataFrame:
 
 
 def normalise_alerts(raw: DataFrame) -> DataFrame:
-    """Raw provider alerts -> alerts: option symbol parsed, side, sentiment, execution, confidence and label derived."""
-    tail = lambda k: F.regexp_extract("option_chain", r"(\d{6})([CP])(\d{8})$", k)
-    kind = F.when(tail(2) == "C", "CALL").when(tail(2) == "P", "PUT").otherwise(F.upper("type"))
-    expiry = F.coalesce(F.try_to_date(F.when(tail(1) != "", tail(1)), "yyMMdd"), F.try_to_date(F.col("expiry")), F.to_date("created_at"))
-    strike = F.coalesce(F.when(tail(3) != "", tail(3).cast("double") / 1000), F.expr("try_cast(strike AS double)"))
-    num = lambda c: F.coalesce(F.expr(f"try_cast({c} AS double)"), F.lit(0.0))
-    out = raw.filter(F.col("id").isNotNull() & F.col("ticker").isNotNull() & (F.trim("ticker") != ""))
-    out = out.withColumns({"type": kind, "expiry": expiry, "strike": strike, "ask_prem": num("ask_prem"), "bid_prem": num("bid_prem"), "size": num("size"), "oi": num("oi")})
-    buy = F.col("ask_prem") >= F.col("bid_prem")
-    out = out.withColumn("side", F.when(buy, "BUY").otherwise("SELL"))
-    out = out.withColumn("sentiment", F.when((F.col("type") == "CALL") == buy, "BULLISH").otherwise("BEARISH"))
-    out = out.withColumn("exec", F.when(F.col("has_sweep"), "SWEEP").when(F.col("has_floor"), "FLOOR").when(F.col("multi_leg"), "BLOCK").otherwise("SINGLE"))
-    busy = ratio(F.col("size"), F.col("oi"))
-    out = out.withColumn("confidence", F.when(busy >= 5, "HIGH").when(busy >= 1, "MED").otherwise("LOW"))
-    return out.withColumns({"ticker": F.upper(F.trim("ticker")), "contract": contract_label(F.col("strike"), F.col("type"), F.col("expiry"))})
+    """Raw provider alerts, all fields as text or flags -> alerts; rows without id or ticker are left out.
+
+    Type, expiry and strike come from the option symbol where it has them; side, sentiment, execution, confidence (by the
+    provider's volume to open interest) and label are derived. Ask and bid premium, the opening, floor and single-leg flags
+    and the issue type stay null where they are missing, so that screens don't pass on absent data; other numbers are 0.
+    ``raw_sector`` is what ``resolve_sector`` works on.
+    """
+    have = set(raw.columns)
+    text = lambda *names: F.coalesce(*[F.col(n).cast("string") for n in names if n in have], F.lit(None).cast("string"))
+    number = lambda *names: F.coalesce(*[F.col(n).try_cast("double") for n in names if n in have], F.lit(None).cast("double"))
+    whole = lambda *names: F.coalesce(number(*names), F.lit(0.0)).cast("long")
+    flag = lambda name: F.col(name).cast("boolean") if name in have else F.lit(None).cast("boolean")
+    tail = lambda k: F.nullif(F.regexp_extract(text("option_chain"), r"(\d{6})([CP])(\d{8})$", k), F.lit(""))
+    out = raw.filter((F.coalesce(text("id"), F.lit("")) != "") & (F.trim(F.coalesce(text("ticker"), F.lit(""))) != ""))
+    time = F.coalesce(*[F.col(c).cast("timestamp") for c in ("created_at", "executed_at", "time") if c in have])
+    kind = F.when(tail(2) == "P", "PUT").otherwise("CALL")
+    expiry = F.coalesce(F.try_to_date(tail(1), "yyMMdd"), text("expiry").try_cast("date"), text("expiration").try_cast("date"), F.to_date(time))
+    ask, bid = number("total_ask_side_prem"), number("total_bid_side_prem")
+    buy = F.coalesce(ask, F.lit(0.0)) >= F.coalesce(bid, F.lit(0.0))
+    ratio_ = F.coalesce(number("volume_oi_ratio"), F.lit(0.0))
+    strike = F.coalesce(number("strike"), F.lit(0.0))
+    sure = lambda name: F.coalesce(flag(name), F.lit(False))
+    return out.select(
+        text("id").alias("id"), time.alias("time"), F.upper(F.trim(text("ticker"))).alias("ticker"), kind.alias("type"), F.when(buy, "BUY").otherwise("SELL").alias("side"),
+        F.when((kind == "CALL") == buy, "BULLISH").otherwise("BEARISH").alias("sentiment"), F.when(sure("has_sweep"), "SWEEP").when(sure("has_floor"), "FLOOR").when(sure("has_multileg"), "BLOCK").otherwise("SINGLE").alias("exec"),
+        sure("has_multileg").alias("multi_leg"), contract_label(strike, kind, expiry).alias("contract"), strike.alias("strike"), expiry.alias("expiry"), whole("volume", "size").alias("size"), whole("open_interest").alias("oi"),
+        F.coalesce(number("total_premium", "premium"), F.lit(0.0)).alias("premium"), F.coalesce(number("underlying_price", "spot"), F.lit(0.0)).alias("spot"), F.coalesce(text("alert_rule", "rule"), F.lit("Unusual activity")).alias("rule"),
+        F.when(ratio_ >= 5, "HIGH").when(ratio_ >= 1, "MED").otherwise("LOW").alias("confidence"), text("sector").alias("raw_sector"), ask.alias("ask_prem"), bid.alias("bid_prem"),
+        flag("all_opening_trades").alias("all_opening"), text("issue_type").alias("issue_type"), flag("has_floor").alias("has_floor"), flag("has_singleleg").alias("has_single_leg"),
+    )

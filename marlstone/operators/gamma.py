@@ -64,10 +64,31 @@ def choose_expirations(expirations: DataFrame, as_of: Column, nearest: int = 7,
     return out.filter((F.col("_n") <= nearest) | (friday & (F.col("_f") <= fridays)) | (F.col("dte") == 0)).drop("_n", "_f")
 
 
-def heatmap_view(cells: DataFrame, keys: list[str], as_of: Column, band: float = 0.15, strikes: int = 50, dense: int = 5, columns: int = 5, fridays_only: bool = False) -> DataFrame:
-    """Cells of the strikes around spot within the band, for at most ``columns`` expirations: those with ``dense`` or
+#: The share of spot within which a ticker's strikes are shown, and that of all others.
+BANDS = {"SPY": 0.10, "QQQ": 0.10, "SPX": 0.10, "META": 0.15, "AMZN": 0.15, "GOOGL": 0.15, "MSFT": 0.15, "TSLA": 0.25, "NVDA": 0.25, "NFLX": 0.25, "AMD": 0.20}
+OTHER_BAND = 0.15
+
+
+def strike_band(ticker: Column, bands: dict[str, float] = BANDS) -> Column:
+    out = F.when(ticker.isNull(), OTHER_BAND)
+    for name, share in bands.items():
+        out = out.when(ticker == name, share)
+    return out.otherwise(OTHER_BAND)
+
+
+def chart_rows(snapshots: DataFrame, n: int = 100, band: float = 0.10) -> DataFrame:
+    """Of each ticker's latest snapshot (ticker, captured_at, spot, strikes with a ``strike``) the ``n`` (1 to 200) strikes
+    around spot within 10 % of it."""
+    last = snapshots.groupBy("ticker").agg(F.max_by(F.struct("captured_at", "spot", "strikes"), "captured_at").alias("x")).select("ticker", "x.*")
+    rows = last.select("ticker", "captured_at", "spot", F.explode("strikes").alias("s")).select("ticker", "captured_at", "spot", "s.*")
+    near = rows.filter(F.col("strike").isNotNull() & (F.abs(F.col("strike") - F.col("spot")) <= band * F.col("spot")))
+    return centred_strikes(near, ["ticker"], max(1, min(200, n)))
+
+
+def heatmap_view(cells: DataFrame, keys: list[str], as_of: Column, bands: dict[str, float] = BANDS, strikes: int = 50, dense: int = 5, columns: int = 5, fridays_only: bool = False) -> DataFrame:
+    """Cells of the strikes around spot within the ticker's band, for at most ``columns`` expirations: those with ``dense`` or
     more cells by days left first, then the sparser ones."""
-    inside = cells.filter(F.abs(F.col("strike") - F.col("spot")) <= F.col("spot") * band)
+    inside = cells.filter(F.abs(F.col("strike") - F.col("spot")) <= F.col("spot") * strike_band(F.col("ticker"), bands))
     picked = centred_strikes(inside.select(*keys, "strike", "spot").distinct(), keys, strikes).select(*keys, "strike")
     shown = inside.join(picked, [*keys, "strike"])
     if fridays_only:

@@ -23,8 +23,8 @@ EXECUTIONS = ("SWEEP", "BLOCK", "FLOOR", "SINGLE")
 class Criteria:
     """What qualifies; values out of range are refused."""
 
-    min_premium: float = 100_000.0
-    confidence: str = "ALL"
+    min_premium: float = 700_000.0
+    confidence: str = "HIGH_MED"
     executions: tuple[str, ...] = EXECUTIONS
     max_alerts: int = 10
     exclude_sectors: tuple[str, ...] = ()
@@ -162,6 +162,12 @@ def available_dates(hits: DataFrame, n: int = 30) -> DataFrame:
     return hits.select("date").distinct().orderBy(F.desc("date")).limit(n)
 
 
+def list_of_day(hits: DataFrame, day: Column) -> DataFrame:
+    """The hits of a day, or of the latest one where that day has none, by rank."""
+    which = hits.agg(F.coalesce(F.max(F.when(F.col("date") == day, F.col("date"))), F.max("date")).alias("date"))
+    return hits.join(F.broadcast(which), "date").orderBy("rank")
+
+
 def attach_positions(hits: DataFrame, positions: DataFrame) -> DataFrame:
     """Open positions of each hit's ticker, the newest entry first."""
     open_ = positions.filter("status = 'OPEN'").groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("entry_at", "key", "book_delta")), asc=False).alias("open_positions"))

@@ -109,6 +109,17 @@ def keep_recent(rows: DataFrame, ts_col: str, as_of: Column, days: int, exempt:
     return rows.filter(stay if exempt is None else stay | F.coalesce(exempt, F.lit(False)))
 
 
+#: Days that each table keeps.
+RETENTION = {"flow": 60, "prints": 30, "heatmap": 30, "sentiment": 30, "hits": 30}
+
+
+def sweep_counts(rows: DataFrame, ts_col: str, as_of: Column, days: int, exempt: Column | None = None) -> DataFrame:
+    """(n_kept, n_deleted) of a retention sweep."""
+    stay = F.coalesce(F.col(ts_col) >= as_of - F.make_dt_interval(F.lit(days)), F.lit(False))
+    stay = stay if exempt is None else stay | F.coalesce(exempt, F.lit(False))
+    return rows.agg(F.count_if(stay).alias("n_kept"), F.count_if(~stay).alias("n_deleted"))
+
+
 def corpus_stats(rows: DataFrame, ts_col: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_rows"), F.min(ts_col).alias("first"), F.max(ts_col).alias("last"), F.count_distinct("ticker").alias("n_tickers"), F.count_distinct(F.to_date(ts_col)).alias("n_dates"))
 

@@ -7,7 +7,7 @@ A value at a bar uses bars up to it only; the swing columns without ``_conf`` an
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -86,23 +86,44 @@ def swings(bars: DataFrame, cfg: Config = Config()) -> DataFrame:
     return out
 
 
-def with_recursions(bars: DataFrame, cfg: Config = Config(), spans: tuple[int, ...] = ()) -> DataFrame:
-    """Adds atr_14, rsi_p, their percentiles, that of the bandwidth, and ema_s for ``spans``: one pass over each ticker."""
+def bandwidth(close: np.ndarray, cfg: Config) -> np.ndarray:
+    """The relative width of the bands of ``bollinger`` over an array; missing until the period is full."""
+    out, n = np.full(len(close), np.nan), cfg.bb_period
+    if len(close) >= n:
+        view = np.lib.stride_tricks.sliding_window_view(close, n)
+        mean, width = view.mean(axis=1), 2 * cfg.bb_std * view.std(axis=1)
+        out[n - 1 :] = np.divide(width, mean, out=np.full(len(mean), np.nan), where=mean != 0)
+    return out
+
+
+def with_recursions(bars: DataFrame, cfg: Config = Config(), spans: tuple[int, ...] = (), want: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds true_range, atr_14, rsi_p, their percentiles, that of the bandwidth, and ema_s for ``spans``: one pass over
+    each ticker, before all window blocks, so that only the bars themselves cross to Python and back. ``want`` names
+    the columns that are made, if not all; momentum_pctile (that of the 5-bar move in ATR) is made on request only.
+    """
     ship(bars.sparkSession)
-    names = [f"atr_{cfg.atr_period}", "atr_pctile", *[f"rsi_{p}" for p in cfg.rsi_periods], "rsi_14_pctile", "bb_bandwidth_pctile", *[f"ema_{s}" for s in spans]]
-    has_width = "bb_bandwidth" in bars.columns
+    atr, rsi = f"atr_{cfg.atr_period}", [f"rsi_{p}" for p in cfg.rsi_periods]
+    names = [n for n in (atr, "atr_pctile", *rsi, "rsi_14_pctile", "bb_bandwidth_pctile") if want is None or n in want]
+    names += [f"ema_{s}" for s in spans] + ["momentum_pctile"] * ("momentum_pctile" in (want or ()))
     ranged = bars.withColumn("true_range", true_range())
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date", kind="stable")
         close = pdf["close"].to_numpy(float)
-        made = {names[0]: wilder(pdf["true_range"].to_numpy(float), cfg.atr_period)}
-        made["atr_pctile"] = percentile_rank(made[names[0]], cfg.long_window)
-        made |= {f"rsi_{p}": relative_strength(close, p) for p in cfg.rsi_periods}
-        made["rsi_14_pctile"] = percentile_rank(made[f"rsi_{cfg.rsi_periods[-1]}"], cfg.long_window)
-        made["bb_bandwidth_pctile"] = percentile_rank(pdf["bb_bandwidth"].to_numpy(float), cfg.bb_window) if has_width else np.full(len(close), np.nan)
-        made |= {f"ema_{s}": exponential(close, s) for s in spans}
-        return pdf.assign(**made)
+        at = wilder(pdf["true_range"].to_numpy(float), cfg.atr_period)
+        index = {n: relative_strength(close, p) for n, p in zip(rsi, cfg.rsi_periods, strict=True) if n in names or n == rsi[-1] and "rsi_14_pctile" in names}
+        made = {atr: at, **index, **{f"ema_{s}": exponential(close, s) for s in spans}}
+        if "atr_pctile" in names:
+            made["atr_pctile"] = percentile_rank(at, cfg.long_window)
+        if "rsi_14_pctile" in names:
+            made["rsi_14_pctile"] = percentile_rank(index[rsi[-1]], cfg.long_window)
+        if "bb_bandwidth_pctile" in names:
+            made["bb_bandwidth_pctile"] = percentile_rank(bandwidth(close, cfg), cfg.bb_window)
+        if "momentum_pctile" in names:
+            move = np.full(len(close), np.nan)
+            move[5:] = close[5:] - close[:-5]
+            made["momentum_pctile"] = percentile_rank(np.divide(move, at, out=np.full(len(close), np.nan), where=at != 0), 252)
+        return pdf.assign(**{n: made[n] for n in names})
 
     schema = ranged.select("*", *[F.lit(None).cast("double").alias(n) for n in names]).schema
     out = ranged.groupBy("ticker").applyInPandas(run, schema)
@@ -223,31 +244,29 @@ def barrier_labels(df: DataFrame, cfg: Config = Config()) -> DataFrame:
     """First touch of the profit or stop level within the horizon, for both sides; a bar with both is a stop.
 
     Without a touch the sign of the return at the horizon decides; bars without a full horizon and a touch have no
-    label. The forward bars come as one array of at most ``horizon`` rows.
+    label. The bars ahead are ``lead`` columns of the window that all blocks share.
     """
-    atr, close, h = F.col(f"atr_{cfg.atr_period}"), F.col("close"), cfg.horizon
-    ahead = F.collect_list(F.struct("high", "low", "close")).over(per_ticker().rowsBetween(1, h))
-    out = df.withColumn("_ahead", ahead)
+    atr, close, days = F.col(f"atr_{cfg.atr_period}"), F.col("close"), range(1, cfg.horizon + 1)
+    ahead = {f"_{c}_{d}": F.lead(c, d).over(per_ticker()) for d in days for c in ("high", "low", "close")}
+    out = df.withColumns(ahead)
     for side, sign in (("long", 1.0), ("short", -1.0)):
         profit, stop = close + sign * cfg.profit_atr * atr, close - sign * cfg.stop_atr * atr
-        hit = lambda b, s=side, p=profit, q=stop: F.when(flag(b["low"] <= q if s == "long" else b["high"] >= q), "stop").when(flag(b["high"] >= p if s == "long" else b["low"] <= p), "profit").otherwise("")
-        out = out.withColumn("_hits", F.transform("_ahead", _one_argument(hit)))
-        first = F.array_position(F.transform("_hits", lambda x: F.when(x == "", 0).otherwise(1)), 1).cast("int")
-        out = out.withColumn("_first", first)
-        full_ = F.size("_ahead") == h
-        bars_to = F.when(F.col("_first") > 0, F.col("_first")).when(full_, F.lit(h))
-        out = out.withColumn(f"label_{side}_bars_to_outcome", bars_to.cast("double"))
-        out = out.withColumn(f"label_{side}_barrier", F.when(F.col("_first") > 0, F.try_element_at("_hits", F.col("_first"))).when(full_, "timeout"))
-        at_end = F.try_element_at("_ahead", F.col(f"label_{side}_bars_to_outcome").cast("int"))["close"]
+        hits = {}
+        for d in days:
+            high, low = F.col(f"_high_{d}"), F.col(f"_low_{d}")
+            stopped, paid = (low <= stop, high >= profit) if side == "long" else (high >= stop, low <= profit)
+            hits[f"_{side}_{d}"] = F.when(stopped, "stop").when(paid, "profit")
+        out = out.withColumns(hits)
+        whole = F.col(f"_close_{cfg.horizon}").isNotNull()
+        bars_to = F.coalesce(*[F.when(F.col(f"_{side}_{d}").isNotNull(), d) for d in days], F.when(whole, cfg.horizon))
+        barrier = F.coalesce(*[F.col(f"_{side}_{d}") for d in days], F.when(whole, "timeout"))
+        out = out.withColumns({f"label_{side}_bars_to_outcome": bars_to.cast("double"), f"label_{side}_barrier": barrier})
+        at_end = F.coalesce(*[F.when(F.col(f"label_{side}_bars_to_outcome") == d, F.col(f"_close_{d}")) for d in days])
         out = out.withColumn(f"label_{side}_outcome_return", sign * (ratio(at_end, close) - 1))
         kind = F.col(f"label_{side}_barrier")
         out = out.withColumn(f"label_{side}", F.when(kind == "profit", 1.0).when(kind == "stop", 0.0).when(kind == "timeout", (F.col(f"label_{side}_outcome_return") > 0).cast("double")))
-    return forward_returns(out.drop("_ahead", "_hits", "_first"), cfg.terminals, "terminal_return")
-
-
-def _one_argument(fn):
-    """Spark looks at a lambda's parameters: hide the bound ones."""
-    return lambda b: fn(b)
+        out = out.drop(*hits)
+    return forward_returns(out.drop(*ahead), cfg.terminals, "terminal_return")
 
 
 def validity(df: DataFrame, cfg: Config = Config(), trim: bool = False) -> DataFrame:
@@ -259,9 +278,8 @@ def validity(df: DataFrame, cfg: Config = Config(), trim: bool = False) -> DataF
 
 
 def build_features(bars: DataFrame, cfg: Config = Config(), spans: tuple[int, ...] = ()) -> DataFrame:
-    """All blocks. Bars are dealt by ticker once; every window and the grouped pass keep that partitioning."""
-    dealt = bars.repartition("ticker")
-    out = with_recursions(swings(bollinger(moving_averages(dealt, cfg), cfg), cfg), cfg, spans)
+    """All blocks: the recursions first, over the bars alone; then every window shares one partitioning and order."""
+    out = swings(bollinger(moving_averages(with_recursions(bars, cfg, spans), cfg), cfg), cfg)
     for block in (momentum, volatility, trend, zones, reclaims, breakouts):
         out = block(out, cfg)
     return out
@@ -312,11 +330,64 @@ def weekly_atr_ladder(weekly_bars: DataFrame, spots: DataFrame, weeks: int = 14)
     return out.select("ticker", "spot", js_round(F.col("a"), 2).alias("atr_w"), target(0.5).alias("up05"), target(1).alias("up1"), target(2).alias("up2"), target(-0.5).alias("dn05"), target(-1).alias("dn1"), target(-2).alias("dn2"))
 
 
-def sweep(bars: DataFrame, configs: list[tuple[str, Config]], measure) -> DataFrame:
-    """One row for each named configuration: ``measure`` (aggregate columns) over its dataset. The configurations'
-    datasets are separate branches over the same bars."""
-    out = None
-    for name, cfg in configs:
-        row = build_dataset(bars, cfg).agg(*measure).select(F.lit(name).alias("config"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+#: The swept parameters and their ranges, 720 configurations.
+GRID = {"swing_m": (2, 3, 4, 5, 6), "breach_bars": (3, 4, 5, 6, 7, 8), "range_bars": (15, 20, 25, 30, 35, 40), "tightness": (3.0, 4.0, 5.0, 6.0)}
+
+
+def sweep_flags(bars: DataFrame, grid: dict[str, tuple] = GRID, cfg: Config = Config()) -> DataFrame:
+    """(ticker, date, label_long, label_short, breaks, turns) of the valid rows: whether each pair of (range_bars,
+    tightness) sees a breakout, and each pair of (swing_m, breach_bars) a reclaim, in the order of the grid.
+
+    Every rolling value belongs to one parameter and is computed once for each of its values, in the one window that
+    all share; the pairs only compare them.
+    """
+    base = with_recursions(bars, cfg, want=(f"atr_{cfg.atr_period}", "bb_bandwidth_pctile"))
+    base = swings(bollinger(base, cfg), replace(cfg, swings=tuple(grid["swing_m"])))
+    close, atr = F.col("close"), F.col(f"atr_{cfg.atr_period}")
+    early = {k: max(1, min(k - 1, int(round(k * cfg.anchor)))) for k in grid["range_bars"]}
+    cols = {f"_c{d}": lag("close", d) for d in range(1, max(k - e for k, e in early.items()) + 1)}
+    for k, e in early.items():
+        cols |= {f"_hi{k}": rolling(F.max, "high", k, 1), f"_lo{k}": rolling(F.min, "low", k, 1), f"_ehi{k}": rolling(F.max, "high", e, k - e + 1), f"_elo{k}": rolling(F.min, "low", e, k - e + 1)}
+    for n in grid["breach_bars"]:
+        cols |= {f"_min{n}": rolling(F.min, "low", n), f"_max{n}": rolling(F.max, "high", n)}
+    for m in grid["swing_m"]:
+        for side in ("low", "high"):
+            conf = F.col(f"swing_{side}_m{m}_conf")
+            cols[f"_{side}{m}"] = F.when(bars_since(conf.isNotNull()) + m <= cfg.reclaim_age, last_value(conf))
+    cols |= {"_atr1": lag(atr), "_bw1": lag("bb_bandwidth"), "_bp1": lag("bb_bandwidth_pctile")}
+    out = barrier_labels(base.withColumns(cols), cfg)
+    wide = flag(F.col("bb_bandwidth") > F.col("_bw1")) | flag(atr > F.col("_atr1"))
+    breaks, turns = [], []
+    for k, e in early.items():
+        hi, lo, ehi, elo = (F.col(f"_{x}{k}") for x in ("hi", "lo", "ehi", "elo"))
+        escaped = sum((flag((F.col(f"_c{d}") > ehi) | (F.col(f"_c{d}") < elo)).cast("int") for d in range(1, k - e + 1)), F.lit(0))
+        calm = (escaped <= cfg.outside) & hi.isNotNull() & ehi.isNotNull() & wide & (flag(close > hi) | flag(close < lo))
+        breaks += [calm & (flag(F.col("_bp1") <= cfg.squeeze_share) | flag(ratio(hi - lo, F.col("_atr1")) < c)) for c in grid["tightness"]]
+    deep = lambda v: (v >= cfg.breach_min) & (v <= cfg.breach_max)
+    for m in grid["swing_m"]:
+        low, high = F.col(f"_low{m}"), F.col(f"_high{m}")
+        up = (close > low) & (F.col("_c1") > low) & (F.col("_c2") <= low)
+        down = (close < high) & (F.col("_c1") < high) & (F.col("_c2") >= high)
+        turns += [flag(deep(ratio(low - F.col(f"_min{n}"), atr)) & up) | flag(deep(ratio(F.col(f"_max{n}") - high, atr)) & down) for n in grid["breach_bars"]]
+    bits = lambda flags: F.concat(*[F.when(f, "1").otherwise("0") for f in flags])
+    return validity(out, cfg, trim=True).select("ticker", "date", "label_long", "label_short", bits(breaks).alias("breaks"), bits(turns).alias("turns"))
+
+
+def sweep(bars: DataFrame, grid: dict[str, tuple] = GRID, cfg: Config = Config()) -> DataFrame:
+    """(swing_m, breach_bars, range_bars, tightness, n_rows, n_breakouts, n_reclaims, n_events, base_long, base_short) for
+    every configuration of the grid: how often either event fires, and the base rates of the labels where one does.
+
+    Rows are grouped by their two masks first, so that the grid meets the distinct groups and not the rows.
+    """
+    rows = sweep_flags(bars, grid, cfg).groupBy("breaks", "turns").agg(F.count("*").alias("n"), F.sum("label_long").alias("long"), F.sum("label_short").alias("short"))
+    pairs = lambda a, b, at: F.array(*[F.struct(F.lit(x).alias(a), F.lit(y).alias(b), (F.substring(at, k + 1, 1) == "1").alias("hit")) for k, (x, y) in enumerate((x, y) for x in grid[a] for y in grid[b])])
+    met = rows.select("n", "long", "short", "turns", F.explode(pairs("range_bars", "tightness", "breaks")).alias("b"))
+    met = met.groupBy("b", "turns").agg(*[F.sum(c).alias(c) for c in ("n", "long", "short")])
+    met = met.select("n", "long", "short", "b", F.explode(pairs("swing_m", "breach_bars", "turns")).alias("r"))
+    hit_b, hit_r = F.col("b.hit"), F.col("r.hit")
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    either = lambda v: F.sum(F.when(hit_b | hit_r, F.col(v)))
+    return met.groupBy("r.swing_m", "r.breach_bars", "b.range_bars", "b.tightness").agg(
+        F.sum("n").alias("n_rows"), count(hit_b).alias("n_breakouts"), count(hit_r).alias("n_reclaims"), count(hit_b | hit_r).alias("n_events"),
+        (either("long") / either("n")).alias("base_long"), (either("short") / either("n")).alias("base_short"),
+    )

@@ -98,13 +98,14 @@ alerts AS (
 
 
 def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-strike option volumes and net premiums: (ticker, date, spot, k, cA, cB, pA, pB, cP, pP)."""
+    """Per-strike option volumes, net premiums and premiums by side: (ticker, date, spot, k, cA, cB, pA, pB, cP, pP, cPA, ...)."""
     a = alerts(spark, sf_dir).withColumn("date", F.to_date("time")).withColumn("k", F.round(SPOT * F.col("strike") / F.col("spot"), 6))
     call, buy = F.col("type") == "CALL", F.col("side") == "BUY"
     pick = lambda c, x: F.sum(F.when(c, x).otherwise(0.0))
     size, signed = F.col("size").cast("double"), F.when(buy, F.col("premium")).otherwise(-F.col("premium"))
     return a.groupBy("ticker", "date", "k").agg(
-        F.lit(SPOT).alias("spot"), pick(call & buy, size).alias("cA"), pick(call & ~buy, size).alias("cB"), pick(~call & buy, size).alias("pA"), pick(~call & ~buy, size).alias("pB"), pick(call, signed).alias("cP"), pick(~call, signed).alias("pP")
+        F.lit(SPOT).alias("spot"), pick(call & buy, size).alias("cA"), pick(call & ~buy, size).alias("cB"), pick(~call & buy, size).alias("pA"), pick(~call & ~buy, size).alias("pB"), pick(call, signed).alias("cP"), pick(~call, signed).alias("pP"),
+        pick(call & buy, F.col("premium")).alias("cPA"), pick(call & ~buy, F.col("premium")).alias("cPB"), pick(~call & buy, F.col("premium")).alias("pPA"), pick(~call & ~buy, F.col("premium")).alias("pPB"),
     )
 
 
@@ -113,7 +114,9 @@ CHAIN = f"""{ALERTS}, chain AS (
     sum(CASE WHEN type = 'CALL' AND side = 'BUY' THEN size::DOUBLE ELSE 0 END) AS "cA", sum(CASE WHEN type = 'CALL' AND side = 'SELL' THEN size::DOUBLE ELSE 0 END) AS "cB",
     sum(CASE WHEN type = 'PUT' AND side = 'BUY' THEN size::DOUBLE ELSE 0 END) AS "pA", sum(CASE WHEN type = 'PUT' AND side = 'SELL' THEN size::DOUBLE ELSE 0 END) AS "pB",
     sum(CASE WHEN type = 'CALL' THEN CASE side WHEN 'BUY' THEN premium ELSE -premium END ELSE 0 END) AS "cP",
-    sum(CASE WHEN type = 'PUT' THEN CASE side WHEN 'BUY' THEN premium ELSE -premium END ELSE 0 END) AS "pP"
+    sum(CASE WHEN type = 'PUT' THEN CASE side WHEN 'BUY' THEN premium ELSE -premium END ELSE 0 END) AS "pP",
+    sum(CASE WHEN type = 'CALL' AND side = 'BUY' THEN premium ELSE 0 END) AS "cPA", sum(CASE WHEN type = 'CALL' AND side = 'SELL' THEN premium ELSE 0 END) AS "cPB",
+    sum(CASE WHEN type = 'PUT' AND side = 'BUY' THEN premium ELSE 0 END) AS "pPA", sum(CASE WHEN type = 'PUT' AND side = 'SELL' THEN premium ELSE 0 END) AS "pPB"
   FROM alerts GROUP BY 1, 2, 4)"""
 
 
@@ -152,3 +155,19 @@ EARNINGS = """earnings AS (
   SELECT 'C' || o_custkey AS ticker, CAST(o_orderdate AS DATE) AS report_date, round(min(o_totalprice) / 1e5, 4) AS eps_estimate, round(avg(o_totalprice) / 1e5, 4) AS eps_actual,
     round(max(o_totalprice) % 17 - 8, 4) AS move_1d, sum(o_totalprice) AS market_cap
   FROM orders GROUP BY 1, 2)"""
+
+
+def raw_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts as a provider would send them: text and flags, some of them missing."""
+    e = read(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("int")
+    premium = F.round(F.col("value") * 10000, 2)
+    symbol = F.concat(F.upper(F.concat(F.lit("u"), F.col("user_id"))), F.date_format(F.date_add(F.to_date("ts"), k % 30), "yyMMdd"), F.when(k % 2 == 0, "C").otherwise("P"), F.lpad((k * 1000 + 500).cast("string"), 8, "0"))
+    return e.select(
+        F.when(F.col("event_id") % 50 != 0, F.col("event_id").cast("string")).alias("id"), F.when(F.col("event_id") % 41 != 0, F.concat(F.lit(" u"), F.col("user_id"))).alias("ticker"), F.col("ts").cast("timestamp").alias("created_at"),
+        F.when(k % 7 != 0, symbol).alias("option_chain"), F.when(k % 2 == 0, F.date_add(F.to_date("ts"), 9).cast("string")).alias("expiry"), (k + 0.5).cast("string").alias("strike"),
+        F.when(k % 5 != 0, (premium * 0.6).cast("string")).alias("total_ask_side_prem"), F.when(k % 3 != 0, (premium * F.when(k % 4 == 1, 0.7).otherwise(0.2)).cast("string")).alias("total_bid_side_prem"), premium.cast("string").alias("total_premium"),
+        (k % 4 == 0).alias("has_sweep"), (k % 6 == 0).alias("has_floor"), (k % 9 == 0).alias("has_multileg"), F.when(k % 8 != 0, k % 9 != 0).alias("has_singleleg"), (k / 10.0).cast("string").alias("volume_oi_ratio"),
+        (k * 5).cast("string").alias("volume"), (100 - k).cast("string").alias("open_interest"), F.lit("100.0").alias("underlying_price"), F.when(k % 10 != 0, F.concat(F.lit("rule"), k % 5)).alias("alert_rule"),
+        F.when(k % 10 != 9, k % 2 == 0).alias("all_opening_trades"), F.when(k % 4 != 3, "Common Stock").alias("issue_type"), F.when(k % 3 == 0, " Building ").when(k % 3 == 1, "mining").alias("sector"),
+    )

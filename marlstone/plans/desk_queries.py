@@ -43,12 +43,6 @@ def k3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gamma.nearest_strikes(_strikes(spark, sf_dir), ["ticker", "date"], 3).select("ticker", "date", "strike", "n")
 
 
-@query("k4_top_nodes")
-def k4_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _strikes(spark, sf_dir)
-    return gamma.top_nodes(s, gamma.gex_levels(s, ["ticker", "date"]), ["ticker", "date"])
-
-
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = alerts(spark, sf_dir)
     return a.select("ticker", F.lit(100.0).alias("spot"), F.round(F.col("strike") * 100 / F.col("spot"), 6).alias("strike"), "expiry", F.col("id").alias("seq"), F.col("premium").alias("net_oi"), F.col("ask_prem").alias("net_dv"))
@@ -64,11 +58,6 @@ def a13_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gamma.heatmap_cells(_cells(spark, sf_dir), ["ticker"]).select("ticker", "strike", "expiry", "net_oi"), 4)
 
 
-@query("a15_heatmap_view")
-def a15_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(gamma.heatmap_view(gamma.heatmap_cells(_cells(spark, sf_dir), ["ticker"]), ["ticker"], F.lit(DAY).cast("date")), 4)
-
-
 @query("a16_heatmap_scale", f"WITH {CELLS}, r AS (SELECT ticker, strike, net_oi, row_number() OVER (PARTITION BY ticker ORDER BY abs(net_oi) DESC, strike, expiry) AS n FROM cells SEMI JOIN ok USING (ticker)) SELECT ticker, max(strike) FILTER (WHERE n = 1) AS max_strike, round(max(abs(net_oi)) FILTER (WHERE n = 2), 4) AS scale FROM r GROUP BY 1")
 def a16_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gamma.heatmap_scale(gamma.heatmap_cells(_cells(spark, sf_dir), ["ticker"]), ["ticker"]), 4)
@@ -116,18 +105,26 @@ def q3_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("q4_q5_trim_reused", f"""WITH {BARS}, g AS (SELECT ticker, date, date - lag(date) OVER (PARTITION BY ticker ORDER BY date) AS gap FROM bars), s AS (SELECT ticker, date AS seam, gap FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY gap DESC, date) AS n FROM g WHERE gap IS NOT NULL) WHERE n = 1 AND gap >= 25),
-c AS (SELECT b.ticker, any_value(seam) AS seam, CAST(any_value(gap) AS INTEGER) AS gap, count(*) FILTER (WHERE date < seam) AS n_pre, count(*) FILTER (WHERE date >= seam) AS n_post FROM bars b LEFT JOIN s USING (ticker) GROUP BY 1)
-SELECT *, CASE WHEN seam IS NULL THEN 'no-seam' WHEN n_post > n_pre THEN 'trimmed' ELSE 'refused:tail-seam' END AS status FROM c""")
+c AS (SELECT b.ticker, any_value(seam) AS seam, CAST(any_value(gap) AS INTEGER) AS gap, count(*) FILTER (WHERE date < seam) AS n_pre, count(*) FILTER (WHERE date >= seam) AS n_post FROM bars b LEFT JOIN s USING (ticker) GROUP BY 1),
+r AS (SELECT *, CASE WHEN seam IS NULL THEN 'no-seam' WHEN n_post > n_pre THEN 'trimmed' ELSE 'refused:tail-seam' END AS status FROM c),
+k AS (SELECT b.ticker, count(*) AS n_kept, min(date) AS first_kept, round(sum(close), 4) AS close_kept FROM bars b JOIN r USING (ticker) WHERE status <> 'trimmed' OR date >= seam GROUP BY 1) SELECT * FROM r JOIN k USING (ticker)""")
 def q5_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return candles.trim_reused(bars(spark, sf_dir), 25)[1]
+    """The report, and what is kept of each ticker."""
+    kept, report = candles.trim_reused(bars(spark, sf_dir), 25)
+    sums = kept.groupBy("ticker").agg(F.count("*").alias("n_kept"), F.min("date").alias("first_kept"), F.round(F.sum("close"), 4).alias("close_kept"))
+    return report.join(sums, "ticker")
 
 
-@query("q6_stitch", f"""WITH {BARS}, f AS (SELECT ticker, min(date) AS start, arg_min(close, date) AS after FROM bars WHERE date >= DATE '1998-01-01' OR ticker <> 'S2' GROUP BY 1), o AS (SELECT max(date) AS last_old, arg_max(close, date) AS before FROM bars WHERE ticker = 'S1' AND date < (SELECT start FROM f WHERE ticker = 'S2'))
-SELECT 'S2' AS ticker, round(after / before, 4) AS ratio, CAST(start - last_old AS INTEGER) AS gap_days, round(after / before, 4) BETWEEN 0.67 AND 1.5 AND start - last_old <= 7 AS clean FROM f, o WHERE f.ticker = 'S2'""")
+@query("q6_stitch", f"""WITH {BARS}, b AS (SELECT * FROM bars WHERE date >= DATE '1998-01-01' OR ticker <> 'S2'), f AS (SELECT min(date) AS start, arg_min(close, date) AS after FROM b WHERE ticker = 'S2'), o AS (SELECT max(date) AS last_old, arg_max(close, date) AS before FROM b WHERE ticker = 'S1' AND date < (SELECT start FROM f)),
+j AS (SELECT CASE WHEN ticker = 'S1' THEN 'S2' ELSE ticker END AS ticker, date, close FROM b WHERE ticker <> 'S1' OR date < (SELECT start FROM f)), c AS (SELECT ticker, count(*) AS n, min(date) AS first, round(sum(close), 4) AS total FROM j GROUP BY 1)
+SELECT c.*, CASE WHEN ticker = 'S2' THEN round(after / before, 4) END AS ratio, CASE WHEN ticker = 'S2' THEN CAST(start - last_old AS INTEGER) END AS gap_days, CASE WHEN ticker = 'S2' THEN round(after / before, 4) BETWEEN 0.67 AND 1.5 AND start - last_old <= 7 END AS clean FROM c, f, o""")
 def q6_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seam, and what the stitched table has of each ticker."""
     b = bars(spark, sf_dir).filter("date >= '1998-01-01' or ticker <> 'S2'")
     renames = spark.range(1).select(F.lit("S1").alias("old"), F.lit("S2").alias("new"))
-    return candles.stitch(b, renames)[1]
+    joined, seams = candles.stitch(b, renames)
+    sums = joined.groupBy("ticker").agg(F.count("*").alias("n"), F.min("date").alias("first"), F.round(F.sum("close"), 4).alias("total"))
+    return sums.join(seams, "ticker", "left")
 
 
 @query("q7_drop_tickers", f"WITH {BARS} SELECT ticker, count(*) AS n FROM bars WHERE ticker NOT IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY 1")
@@ -159,27 +156,6 @@ def a27_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- positions, earnings, metadata ---------------------------------------------------------------------------------
 
 
-@query("r5_positions")
-def r5_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(book.stitch_positions(position_events(spark, sf_dir)))
-
-
-def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = book.stitch_positions(position_events(spark, sf_dir))
-    marks = position_events(spark, sf_dir).groupBy("key").agg(F.max_by("price", "message_id").alias("mark"), F.lit("2024-06-01").cast("date").alias("expiry"))
-    return book.price_positions(p, marks, F.lit(DAY).cast("date"))
-
-
-@query("r7_a21_position_stats")
-def a21_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(book.position_stats(_priced(spark, sf_dir)))
-
-
-@query("a22_equity_curve")
-def a22_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.equity_curve(_priced(spark, sf_dir))
-
-
 @query("a23_monthly_gains", """WITH m AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, sum(o_totalprice) AS gain FROM orders GROUP BY 1) SELECT month, round(gain, 2) AS gain, round(sum(gain) OVER (ORDER BY month ROWS UNBOUNDED PRECEDING), 2) AS cumulative, round(sum(gain) OVER (), 2) AS total FROM m""")
 def a23_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(book.monthly_gains(read(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("gain"))), 2)
@@ -242,36 +218,6 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prints.rerank(a)
 
 
-HIT = f"""q AS (SELECT * FROM alerts WHERE CAST(time - INTERVAL 5 HOUR AS DATE) = DATE '2024-01-16' AND side = 'BUY' AND premium >= 100000),
-w AS (SELECT *, premium * CASE WHEN strike <= 0 THEN 1.0 WHEN abs(strike - spot) / spot <= 0.025 THEN 1.0 WHEN (type = 'CALL' AND strike > spot) OR (type = 'PUT' AND strike < spot) THEN 1.5 ELSE 0.75 END AS wp FROM q),
-g AS (SELECT ticker, sum(premium) AS total_premium, sum(wp) AS weighted_premium, count(*) AS n_alerts, max(CASE confidence WHEN 'HIGH' THEN 3 WHEN 'MED' THEN 2 ELSE 1 END) AS grade,
-  CASE WHEN count(*) FILTER (WHERE sentiment = 'BEARISH') > count(*) FILTER (WHERE sentiment = 'BULLISH') THEN 'DOWN' ELSE 'UP' END AS direction FROM w GROUP BY 1)"""
-
-
-@query("h1_ticker_totals", f"WITH {ALERTS}, {HIT} SELECT ticker, round(total_premium, 4) AS total_premium, round(weighted_premium, 4) AS weighted_premium, n_alerts, grade, direction FROM g")
-def h1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.lit(DAY).cast("date")
-    out = hitlist.by_ticker(hitlist.qualifying(alerts(spark, sf_dir), hitlist.Criteria(), day), day)
-    return rounded(out.select("ticker", "total_premium", "weighted_premium", "n_alerts", "grade", "direction"), 4)
-
-
-@query("h4_persistence")
-def h4_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hitlist.persistence(alerts(spark, sf_dir), _snapshots(spark, sf_dir), F.lit(DAY).cast("date"), 300_000.0)
-
-
-@query("h1_hit_list")
-def h1_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = hitlist.hit_list(alerts(spark, sf_dir), _ranked(spark, sf_dir), _snapshots(spark, sf_dir), hitlist.Criteria(), F.lit(DAY).cast("date"))
-    return out.select("rank", "ticker", "direction", "flow_pts", "sentiment_pts", "print_pts", "persistence_pts", "agree", "total", "contract", "contract_occ", F.size("peers").alias("n_peers"), "theme_tickers", "thesis")
-
-
-@query("a9_session_meta")
-def a9_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.lit(DAY).cast("date")
-    return rounded(hitlist.session_meta(hitlist.by_ticker(hitlist.qualifying(alerts(spark, sf_dir), hitlist.Criteria(), day), day)), 4)
-
-
 @query("f6_option_marks", f"""WITH {ALERTS}, q AS (SELECT ticker AS occ, arg_max(bid_prem, id) AS bid, arg_max(ask_prem, id) AS ask, arg_max(premium, id) AS last FROM alerts GROUP BY 1) SELECT occ, round(CASE WHEN bid > 0 AND ask > 0 THEN (bid + ask) / 2 WHEN last > 0 THEN last END, 4) AS mark FROM q""")
 def f6_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = alerts(spark, sf_dir).select(F.col("ticker").alias("occ"), F.col("id").alias("date"), F.col("bid_prem").alias("bid"), F.col("ask_prem").alias("ask"), F.col("premium").alias("last"))
@@ -289,17 +235,6 @@ def p0_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detectors.weekly_state(bars(spark, sf_dir))
 
 
-def _event_query(name: str, family) -> None:
-    @query(name)
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = bars(spark, sf_dir)
-        return rounded(family(T.with_recursions(df.repartition("ticker")) if family is detectors.detect_universe else detectors.prepared(df)))
-
-
-for _name, _family in (("p1_divergences", detectors.divergences), ("p2_gaps", detectors.gaps), ("p3_clouds", detectors.clouds), ("p4_false_breaks", detectors.false_breaks), ("p5_flags", detectors.flags), ("p6_squeezes", detectors.squeezes), ("p7_p8_p9_stateful", detectors.detect_universe)):
-    _event_query(_name, _family)
-
-
 @query("e1_folds", f"""WITH {BARS}, d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM bars)), o AS (SELECT min(i) FILTER (WHERE date >= (SELECT max(date) FROM d) - INTERVAL 12 MONTH) AS oos, max(i) AS last FROM d),
 f AS (SELECT 'cv' || k AS fold, CAST(floor(oos * k / 6.0) AS INTEGER) AS lo, CAST(floor(oos * (k + 1) / 6.0) AS INTEGER) - 1 AS hi, false AS is_oos FROM o, range(1, 6) t(k) UNION ALL SELECT 'oos', oos, last, true FROM o)
 SELECT fold, (SELECT date FROM d WHERE i = 0) AS train_start, (SELECT date FROM d WHERE i = lo - 11) AS train_end, (SELECT date FROM d WHERE i = lo) AS test_start, (SELECT date FROM d WHERE i = hi) AS test_end, is_oos FROM f""")
@@ -307,32 +242,6 @@ def e1_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.folds(bars(spark, sf_dir))
 
 
-@query("e2_fold_roles")
-def e2_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = bars(spark, sf_dir)
-    return evaluation.assign_folds(b, evaluation.folds(b)).groupBy("fold", "role").agg(F.count("*").alias("n"))
-
-
-@query("e5_event_study")
-def e5_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All detectors' events against the barrier labels."""
-    b = bars(spark, sf_dir)
-    labels = T.barrier_labels(T.with_recursions(b))
-    events = detectors.all_events(b).join(detectors.weekly_state(b), ["ticker", "date"], "left")
-    return rounded(evaluation.event_study(events, labels, evaluation.folds(b)))
-
-
-@query("e6_event_subsets")
-def e6_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluation.event_subsets(T.build_dataset(bars(spark, sf_dir))))
-
-
-@query("e7_directional_labels")
-def e7_directional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = evaluation.directional_labels(T.build_dataset(bars(spark, sf_dir)), ["range_breakout", "swing_reclaim", "rsi_divergence"])
-    return rounded(out.groupBy("direction").agg(F.count("*").alias("n"), F.avg("label_directional").alias("base")))
-
-
 def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chain features with the ratio of the day to come as the return."""
     s = flow.aggregate_sentiment(chain(spark, sf_dir))
@@ -358,43 +267,15 @@ def e10_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.quintile_spread(evaluation.long_form(_panel(spark, sf_dir), ["sent_cp_ratio"], ["fwd_1"])))
 
 
-@query("e11_between_within")
-def e11_between(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluation.between_within(evaluation.long_form(_panel(spark, sf_dir), ["sent_cp_ratio", "sent_net_dir_prem"], ["fwd_1", "fwd_2"])))
-
-
 SCORED = """sc AS (SELECT 'long' AS side, CASE WHEN l_shipdate >= TIMESTAMP '2001-01-01' THEN 'oos' ELSE 'cv' END AS segment, (l_returnflag = 'R')::INT::DOUBLE AS y, l_discount + round(l_tax, 2) / 10 AS p FROM lineitem)"""
 
 
 @query("e4_metrics", f"""WITH {SCORED}, g AS (SELECT side, segment, round(p, 6) AS p, count(*) AS n, sum(y) AS pos FROM sc GROUP BY 1, 2, 3), c AS (SELECT *, sum(pos) OVER d AS tp, sum(n) OVER d AS cn, sum(pos) OVER (PARTITION BY side, segment) AS ap, sum(n) OVER (PARTITION BY side, segment) AS an FROM g WINDOW d AS (PARTITION BY side, segment ORDER BY p DESC ROWS UNBOUNDED PRECEDING)),
-k AS (SELECT side, segment, sum((n - pos) * (tp - pos / 2)) / (any_value(ap) * (any_value(an) - any_value(ap))) AS roc_auc, sum(pos * tp / cn) / any_value(ap) AS pr_auc FROM c GROUP BY 1, 2), b AS (SELECT side, segment, count(*) AS n, avg(y) AS base_rate, avg(pow(round(p, 6) - y, 2)) AS brier FROM sc GROUP BY 1, 2)
-SELECT side, segment, n, round(base_rate, 6) AS base_rate, round(brier, 6) AS brier, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, round(pr_auc / base_rate, 6) AS pr_auc_lift FROM b JOIN k USING (side, segment)""")
+k AS (SELECT side, segment, sum((n - pos) * (tp - pos / 2)) / (any_value(ap) * (any_value(an) - any_value(ap))) AS roc_auc, sum(pos * tp / cn) / any_value(ap) AS pr_auc FROM c GROUP BY 1, 2), b AS (SELECT side, segment, count(*) AS n, avg(y) AS base_rate, avg(pow(round(p, 6) - y, 2)) AS brier FROM sc GROUP BY 1, 2),
+q AS (SELECT side, segment, quantile_cont(round(p, 6), 0.9) AS cut FROM sc GROUP BY 1, 2), t AS (SELECT side, segment, avg(y) FILTER (WHERE round(p, 6) >= cut) AS tdp, sum(y) FILTER (WHERE round(p, 6) >= cut) / sum(y) AS tdr FROM sc JOIN q USING (side, segment) GROUP BY 1, 2)
+SELECT side, segment, n, round(base_rate, 6) AS base_rate, round(brier, 6) AS brier, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, round(pr_auc / base_rate, 6) AS pr_auc_lift, round(tdp, 6) AS top_decile_precision, round(tdr, 6) AS top_decile_recall FROM b JOIN k USING (side, segment) JOIN t USING (side, segment)""")
 def e4_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read(spark, sf_dir, "lineitem").select(F.lit("long").alias("side"), F.when(F.col("l_shipdate") >= "2001-01-01", "oos").otherwise("cv").alias("segment"), (F.col("l_returnflag") == "R").cast("double").alias("y"), F.round(F.col("l_discount") + F.round("l_tax", 2) / 10, 6).alias("p"))
-    return rounded(evaluation.metrics(s).select("side", "segment", "n", "base_rate", "brier", "roc_auc", "pr_auc", "pr_auc_lift"))
-
-
-@query("d4_rule_grid")
-def d4_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A grid of rules on alert characteristics against the signed size of the next day."""
-    a, cal = alerts(spark, sf_dir), calendar(spark, sf_dir)
-    px = flow.add_feature_date(a, "time", cal).filter("feature_date is not null").groupBy("ticker", F.col("feature_date").alias("date")).agg(F.sum("size").cast("double").alias("close"))
-    rows = flow.order_mining_set(a, cal, T.forward_returns(px, (1,)), (1,))
-    rules = {f"{k}_{c}_{p}": (F.col("type") == k) & (F.col("confidence") == c) & (F.col("premium") >= p) for k in ("CALL", "PUT") for c in ("HIGH", "MED", "LOW") for p in (0, 100_000, 500_000)}
-    return rounded(evaluation.score_rules(rows, rules, "pnl_1", min_rows=20, min_dates=5))
-
-
-@query("e3_out_of_fold")
-def e3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of boosted trees for two walk-forward folds and the held-out year, summed up by fold."""
-    m = T.build_dataset(bars(spark, sf_dir)).select("ticker", "date", "label_long", "rsi_14", "bb_percent_b", "atr_normalized", "trend_stack_state").persist()
-    out = evaluation.out_of_fold(m, evaluation.folds(m, n=2), ["rsi_14", "bb_percent_b", "atr_normalized", "trend_stack_state"], trees=3, depth=2)
-    return out.groupBy("fold", "is_oos").agg(F.count("*").alias("n"), F.round(F.avg("p_long"), 2).alias("mean_p"))
+    return rounded(evaluation.metrics(s).select("side", "segment", "n", "base_rate", "brier", "roc_auc", "pr_auc", "pr_auc_lift", "top_decile_precision", "top_decile_recall"))
 
 
-@query("w25_h_targets")
-def w25_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Targets in the direction of the last week's move."""
-    weeks = B.weekly(bars(spark, sf_dir))
-    ladder = T.weekly_atr_ladder(weeks, weeks.groupBy("ticker").agg(F.max_by("close", "date").alias("spot")))
-    return hitlist.ladder_overlay(ladder.withColumns({"direction": F.lit("UP"), "date": F.lit(DAY).cast("date")})).withColumn("t05", js_round(F.col("t05"), 2))

@@ -85,26 +85,56 @@ def a4_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.chain_minute(chain(spark, sf_dir)).select("ticker", "date", "call_vol", "put_vol", F.size("strikes").cast("long").alias("n_strikes"), F.round("cp_ratio", 6).alias("cp_ratio"), "sentiment")
 
 
-LAST = f"""{CHAIN}, i AS (SELECT *, abs(k - spot) <= spot * 0.12 AS inside FROM chain), j AS (SELECT *, bool_or(inside) OVER (PARTITION BY ticker, date) AS any_in, max(date) OVER (PARTITION BY ticker) AS newest FROM i),
-l AS (SELECT ticker, sum("cA") AS ca, sum("cB") AS cb, sum("pA") AS pa, sum("pB") AS pb FROM (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY abs(k - spot), k) AS n FROM j WHERE (inside OR NOT any_in) AND date = newest) WHERE n <= 60 GROUP BY 1),
-summary AS (SELECT ticker, ca + cb AS call_vol, pa + pb AS put_vol, CASE WHEN pa + pb > 0 THEN least((ca + cb) / (pa + pb), 99) WHEN ca + cb > 0 THEN 99 END AS cp,
-  CASE WHEN cb > 0 THEN least(ca / cb, 99) WHEN ca > 0 THEN 99 END AS call_bs, CASE WHEN pb > 0 THEN least(pa / pb, 99) WHEN pa > 0 THEN 99 END AS put_bs FROM l)"""
+LAST = f"""{CHAIN}, i AS (SELECT *, abs(k - spot) <= spot * 0.12 AS inside FROM chain), j AS (SELECT *, bool_or(inside) OVER (PARTITION BY ticker, date) AS any_in FROM i),
+near AS (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY abs(k - spot), k) AS n FROM j WHERE inside OR NOT any_in),
+days AS (SELECT ticker, date, any_value(spot) AS spot, sum("cA") AS ca, sum("cB") AS cb, sum("pA") AS pa, sum("pB") AS pb, sum("cPA") AS cpa, sum("cPB") AS cpb, sum("pPA") AS ppa, sum("pPB") AS ppb FROM near WHERE n <= 60 GROUP BY 1, 2),
+summary AS (SELECT *, ca + cb AS call_vol, pa + pb AS put_vol FROM days WHERE date = (SELECT max(date) FROM days))"""
 
 
-@query("a5_market_sentiment", f"WITH {LAST} SELECT ticker, call_vol, put_vol, round(cp, 6) AS cp, round(call_bs, 6) AS call_bs, round(put_bs, 6) AS put_bs, call_vol + put_vol >= 5000 AS liquid FROM summary")
+def _capped(a: str, b: str) -> str:
+    return f"CASE WHEN {b} > 0 THEN least({a} / {b}, 99) WHEN {a} > 0 THEN 99 ELSE 0 END::DOUBLE"
+
+
+def _legs(ask: str, bid: str, mode: str) -> str:
+    return f"({ask} + {bid})" if mode == "all" else f"({ask})" if mode == "ask" else f"({ask} - {bid})"
+
+
+LEGS = "round(ca, 4) AS \"cA\", round(cb, 4) AS \"cB\", round(pa, 4) AS \"pA\", round(pb, 4) AS \"pB\", round(cpa, 4) AS \"cPA\", round(cpb, 4) AS \"cPB\", round(ppa, 4) AS \"pPA\", round(ppb, 4) AS \"pPB\""
+
+
+@query("a5_market_sentiment", f"WITH {LAST} SELECT ticker, call_vol, put_vol, round({_capped('call_vol', 'put_vol')}, 4) AS cp, round({_capped('cpa', 'cpb')}, 4) AS call_bs, round({_capped('ppa', 'ppb')}, 4) AS put_bs, call_vol + put_vol >= 500 AS liquid, {LEGS} FROM summary")
 def a5_market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(O.market_sentiment(O.chain_minute(chain(spark, sf_dir))).drop("sentiment"))
+    return rounded(O.market_sentiment(O.chain_minute(chain(spark, sf_dir)), least=500.0).drop("sentiment"), 4)
+
 
+def _leaders_sql(mode: str) -> str:
+    cp = f"greatest(-99, least({_legs('cpa', 'cpb', mode)} / nullif({_legs('ppa', 'ppb', mode)}, 0), 99))"
+    return f"SELECT '{mode}' AS mode, ticker, {cp} AS cp FROM summary WHERE call_vol + put_vol >= 200"
 
-@query("a6_sentiment_leaders", f"""WITH {LAST}, b AS (SELECT ticker, cp, CASE WHEN cp > 2 THEN 'bull' WHEN cp < 0.5 THEN 'bear' END AS board FROM summary)
-SELECT board, CAST(rank AS INTEGER) AS rank, ticker, round(cp, 6) AS cp FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY CASE WHEN board = 'bull' THEN -cp ELSE cp END, ticker) AS rank FROM b WHERE board IS NOT NULL) WHERE rank <= 20""")
+
+@query("a6_sentiment_leaders", f"""WITH {LAST}, r AS ({' UNION ALL '.join(map(_leaders_sql, ('all', 'ask', 'net')))}), b AS (SELECT *, CASE WHEN cp > 2 THEN 'bull' WHEN cp < 0.5 THEN 'bear' END AS board FROM r)
+SELECT mode, board, CAST(rank AS INTEGER) AS rank, ticker, round(cp, 6) AS cp FROM (SELECT *, row_number() OVER (PARTITION BY mode, board ORDER BY CASE WHEN board = 'bull' THEN -cp ELSE cp END, ticker) AS rank FROM b WHERE board IS NOT NULL) WHERE rank <= 20""")
 def a6_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(O.sentiment_leaders(O.market_sentiment(O.chain_minute(chain(spark, sf_dir)))))
+    """The boards of all three side modes."""
+    summary = O.market_sentiment(O.chain_minute(chain(spark, sf_dir)), least=200.0)
+    boards = [O.sentiment_leaders(summary, m).withColumn("mode", F.lit(m)) for m in ("all", "ask", "net")]
+    return rounded(boards[0].unionByName(boards[1]).unionByName(boards[2]))
+
 
+def _totals_sql(mode: str) -> str:
+    cp = f"greatest(-99, least({_legs('cpa', 'cpb', mode)} / nullif({_legs('ppa', 'ppb', mode)}, 0), 99))"
+    return f"SELECT '{mode}' AS mode, ticker, date, {_legs('ca', 'cb', mode)} AS call, {_legs('pa', 'pb', mode)} AS put, round({cp}, 6) AS cp FROM days"
 
-@query("a28_k2_chain_totals")
+
+@query("a28_k2_chain_totals", f"""WITH {LAST}, w AS ({' UNION ALL '.join(map(_totals_sql, ('all', 'ask', 'net')))}),
+p AS (SELECT *, k < spot AS b FROM near WHERE n <= 60), q AS (SELECT *, row_number() OVER (PARTITION BY ticker, date, b ORDER BY abs(k - spot), k) AS m, count(*) FILTER (WHERE b) OVER (PARTITION BY ticker, date) AS nb, count(*) FILTER (WHERE NOT b) OVER (PARTITION BY ticker, date) AS na FROM p),
+t AS (SELECT *, least(10 + greatest(0, 10 - nb), na) AS ta FROM q), s AS (SELECT ticker, date, sum("cA") AS buy_call, sum("cB") AS sell_call, sum("pA") AS buy_put, sum("pB") AS sell_put FROM t WHERE CASE WHEN b THEN m <= least(10 + greatest(0, 10 - ta), nb) ELSE m <= ta END GROUP BY 1, 2)
+SELECT w.*, buy_call, sell_call, buy_put, sell_put, round(CASE WHEN sell_call > 0 THEN buy_call / sell_call ELSE 0 END, 6)::DOUBLE AS call_bs, round(CASE WHEN sell_put > 0 THEN buy_put / sell_put ELSE 0 END, 6)::DOUBLE AS put_bs FROM w JOIN s USING (ticker, date)""")
 def a28_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(O.chain_totals(O.chain_minute(chain(spark, sf_dir)), "net"))
+    """Totals of every snapshot by all three side modes."""
+    days = O.chain_minute(chain(spark, sf_dir))
+    parts = [O.chain_totals(days, m).withColumn("mode", F.lit(m)) for m in ("all", "ask", "net")]
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 @query("k2_centred_strikes", f"""WITH {CHAIN}, r AS (SELECT ticker, date, k AS strike, spot, k < spot AS b FROM chain), n AS (SELECT *, row_number() OVER (PARTITION BY ticker, date, b ORDER BY abs(strike - spot), strike) AS n, count(*) FILTER (WHERE b) OVER (PARTITION BY ticker, date) AS nb, count(*) FILTER (WHERE NOT b) OVER (PARTITION BY ticker, date) AS na FROM r),
@@ -114,9 +144,12 @@ def k2_centred(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.centred_strikes(c, ["ticker", "date"], 6).select("ticker", "date", "strike")
 
 
-@query("f16_side_mode", f"""WITH {CHAIN} SELECT ticker, date, k, greatest("cA" - "cB", 0) AS "call", greatest("pA" - "pB", 0) AS put, greatest("cB" - "cA", 0) AS call_sold, greatest("pB" - "pA", 0) AS put_sold FROM chain""")
+@query("f16_side_mode", f"""WITH {CHAIN} SELECT ticker, date, k, greatest("cA" - "cB", 0) AS "call", greatest("pA" - "pB", 0) AS put, greatest("cB" - "cA", 0) AS call_sold, greatest("pB" - "pA", 0) AS put_sold,
+  round(CASE WHEN "cB" > 0 THEN "cA" / "cB" WHEN "cA" > 0 THEN -1 END, 6) AS call_bs, round(CASE WHEN "pB" > 0 THEN "pA" / "pB" WHEN "pA" > 0 THEN -1 END, 6) AS put_bs FROM chain""")
 def f16_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.side_mode(chain(spark, sf_dir), "net").select("ticker", "date", "k", "call", "put", "call_sold", "put_sold")
+    """An infinite ratio is shown as -1."""
+    finite = lambda c: F.round(F.when(F.col(c) == float("inf"), -1.0).otherwise(F.col(c)), 6).alias(c)
+    return O.side_mode(chain(spark, sf_dir), "net").select("ticker", "date", "k", "call", "put", "call_sold", "put_sold", finite("call_bs"), finite("put_bs"))
 
 
 AS_OF = "2024-01-10"
@@ -135,12 +168,27 @@ def f9_lottos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(O.screen(alerts(spark, sf_dir), F.lit(AS_OF).cast("date"), "lotto").select("id", "ticker", "type", "strike", "premium"))
 
 
+TAGGED = "CASE WHEN id % 97 = 0 THEN CAST(time - INTERVAL 5 HOUR AS DATE) END"
+
+
+@query("f9_exact_lottos", f"WITH {ALERTS}, t AS (SELECT * REPLACE (CASE WHEN id % 3 = 0 THEN 0 ELSE bid_prem END AS bid_prem, CASE WHEN id % 3 = 0 THEN premium ELSE ask_prem END AS ask_prem), {TAGGED} AS tag FROM alerts) SELECT id, ticker, type FROM t WHERE ({' AND '.join(f'({c})' for c in [*LOTTO[:5], 'bid_prem = 0 AND ask_prem >= premium - 1', *LOTTO[6:]])}) OR tag = CAST({LOCAL} AS DATE) ORDER BY time DESC, id LIMIT 200")
+def f9_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact form, on alerts of which a third is all on the ask side, with some tagged by hand."""
+    third = F.col("id") % 3 == 0
+    a = alerts(spark, sf_dir).withColumns({"bid_prem": F.when(third, 0.0).otherwise(F.col("bid_prem")), "ask_prem": F.when(third, F.col("premium")).otherwise(F.col("ask_prem")), "manual_lotto_date": F.when(F.col("id") % 97 == 0, M.local_date(F.col("time")))})
+    return O.screen(a, F.lit(AS_OF).cast("date"), "lotto", exact=True).select("id", "ticker", "type")
+
+
 @query("f10_sweepers", f"WITH {ALERTS} SELECT id, ticker, type, round(strike, 6) AS strike, round(premium, 4) AS premium FROM alerts WHERE {' AND '.join(f'({c})' for c in SWEEPER)} ORDER BY time DESC, id LIMIT 200")
 def f10_sweepers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(O.screen(alerts(spark, sf_dir), F.lit(AS_OF).cast("date"), "sweeper").select("id", "ticker", "type", "strike", "premium"))
 
 
-@query("f11_funnel", f"WITH {ALERTS} SELECT {_funnel(LOTTO, ['type', 'common', 'single_leg', 'premium', 'size_over_oi', 'exec', 'dte', 'alive', 'otm'])} FROM alerts")
+def _relaxed(conditions: list[str], left_out: int) -> str:
+    return f"count(*) FILTER (WHERE {' AND '.join(f'({c})' for k, c in enumerate(conditions) if k != left_out)})"
+
+
+@query("f11_funnel", f"WITH {ALERTS} SELECT {_funnel(LOTTO, ['type', 'common', 'single_leg', 'premium', 'size_over_oi', 'exec', 'dte', 'alive', 'otm'])}, {_relaxed(LOTTO, 4)} AS alt_no_size_over_oi, {_relaxed(LOTTO, 8)} AS alt_no_otm FROM alerts")
 def f11_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.screen_funnel(alerts(spark, sf_dir), F.lit(AS_OF).cast("date"), "lotto")
 
@@ -150,9 +198,13 @@ def f7_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(O.flow_feed(alerts(spark, sf_dir), side="BUY", min_premium=50_000, sweep_only=True, otm_only=True, rule_prefix="rule", dte=21).select("id", "ticker", "exec", "premium"))
 
 
-@query("f13_preset_shape", f"WITH {ALERTS} SELECT id FROM alerts WHERE {DTE} <= 14 AND {OTM} BETWEEN 0.2 AND 1.0 AND coalesce(all_opening, false) AND size > oi AND ask_prem >= bid_prem AND premium >= 1000")
+SHAPE = f"issue_type = 'Common Stock' AND NOT multi_leg AND {DTE} <= 14 AND coalesce(all_opening, false) AND size > oi AND ask_prem >= bid_prem"
+
+
+@query("f13_preset_shape", f"WITH {ALERTS} SELECT 'lotto' AS preset, id FROM alerts WHERE {SHAPE} AND {OTM} BETWEEN 0.2 AND 1.0 AND premium >= 1000 UNION ALL SELECT 'sweeper', id FROM alerts WHERE {SHAPE} AND {OTM} BETWEEN 0.0 AND 0.12 AND premium >= 100000")
 def f13_preset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return O.preset_shape(alerts(spark, sf_dir)).select("id")
+    a = alerts(spark, sf_dir)
+    return O.preset_shape(a, "lotto").select(F.lit("lotto").alias("preset"), "id").unionByName(O.preset_shape(a, "sweeper").select(F.lit("sweeper").alias("preset"), "id"))
 
 
 @query("f4_f14_predicates", f"""WITH {ALERTS} SELECT id, CAST({LOCAL} AS DATE) AS et_date, dayofweek({LOCAL}) BETWEEN 1 AND 5 AND CAST({LOCAL} AS TIME) >= TIME '09:30:00' AND CAST({LOCAL} AS TIME) < TIME '16:00:00' AS intraday,
@@ -179,7 +231,7 @@ def a8_sector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(O.sector_flow(alerts(spark, sf_dir)), 4)
 
 
-@query("a10_net_impact", f"""WITH {ALERTS}, d AS (SELECT CAST(time AS DATE) AS date, ticker, round(sum(CASE WHEN type = 'CALL' THEN ask_prem - bid_prem ELSE bid_prem - ask_prem END), 6) AS net FROM alerts GROUP BY 1, 2)
+@query("a10_net_impact", f"""WITH {ALERTS}, d AS (SELECT CAST({LOCAL} AS DATE) AS date, ticker, round(sum(CASE WHEN type = 'CALL' THEN ask_prem - bid_prem ELSE bid_prem - ask_prem END), 6) AS net FROM alerts GROUP BY 1, 2)
 SELECT date, ticker, round(net, 4) AS net FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(net) DESC, ticker) AS n FROM d) WHERE n <= 10""")
 def a10_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(O.net_impact(alerts(spark, sf_dir)), 4)
@@ -246,10 +298,17 @@ def j13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.nearest_bar(t, b).select("ticker", "id", F.to_date("bar_time").alias("bar_date"))
 
 
-@query("u3_retention", f"""WITH {TRADES}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY price * size DESC, executed_at DESC, id) AS rank FROM trades) SELECT ticker, count(*) AS n FROM r WHERE executed_at >= TIMESTAMP '2001-10-05' OR rank <= 200 GROUP BY 1""")
+@query("u3_retention", f"""WITH {TRADES}, {ALERTS}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY price * size DESC, executed_at DESC, id) AS rank FROM trades), c AS (SELECT 'prints' AS sweep, executed_at >= TIMESTAMP '2001-10-05' OR rank <= 200 AS stay FROM r
+UNION ALL SELECT 'flow', time >= TIMESTAMP '2024-01-01' FROM alerts UNION ALL SELECT 'heatmap', time >= TIMESTAMP '2024-01-31' FROM alerts)
+SELECT sweep, count(*) FILTER (WHERE stay) AS n_kept, count(*) FILTER (WHERE NOT stay) AS n_deleted FROM c GROUP BY 1""")
 def u3_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = P.keep_recent(P.rerank(trades(spark, sf_dir)), "executed_at", F.lit("2001-11-04").cast("timestamp"), 30, F.col("rank").isNotNull())
-    return kept.groupBy("ticker").agg(F.count("*").alias("n"))
+    """What the sweeps of prints, flow and heatmaps keep and delete."""
+    at = lambda d: F.lit(d).cast("timestamp")
+    ranked, a = P.rerank(trades(spark, sf_dir)), alerts(spark, sf_dir)
+    out = P.sweep_counts(ranked, "executed_at", at("2001-11-04"), P.RETENTION["prints"], F.col("rank").isNotNull()).withColumn("sweep", F.lit("prints"))
+    for name in ("flow", "heatmap"):
+        out = out.unionByName(P.sweep_counts(a, "time", at("2024-03-01"), P.RETENTION[name]).withColumn("sweep", F.lit(name)))
+    return out
 
 
 @query("a24_corpus_stats", f"WITH {TRADES} SELECT count(*) AS n_rows, CAST(min(executed_at) AS DATE) AS first, CAST(max(executed_at) AS DATE) AS last, count(DISTINCT ticker) AS n_tickers, count(DISTINCT CAST(executed_at AS DATE)) AS n_dates FROM trades")

@@ -12,6 +12,7 @@ from ..sources import io
 from ..streaming import streams
 from .adapters import ALERTS, BARS, EARNINGS, TRADES, alerts, bars, earnings, read, trades
 from .registry import query, rounded
+from .technical_queries import BASE
 
 
 @query("j12_drop_overlap", f"WITH {TRADES} SELECT ticker, count(*) AS n FROM trades WHERE NOT (size < 25 AND executed_at >= TIMESTAMP '1998-01-01' AND executed_at < TIMESTAMP '1999-01-01') GROUP BY 1")
@@ -44,13 +45,15 @@ def h9_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hitlist.update_marks(hits, marks), 4)
 
 
-@query("j5_k7_predictions", f"""WITH {BARS}, p AS (SELECT ticker, date, volume / 100 AS p_long, close FROM bars WHERE date >= DATE '2001-01-01' ORDER BY p_long DESC, ticker, date LIMIT 50) SELECT ticker, date, round(p_long, 6) AS p_long, round(close, 8) AS entry FROM p""")
+@query("j5_k7_predictions", f"""WITH {BASE}, p AS (SELECT ticker, date, volume / 100 AS p_long, close, atr_14 FROM i3 WHERE date >= DATE '2001-01-01' ORDER BY p_long DESC, ticker, date LIMIT 50) SELECT ticker, date, round(p_long, 6) AS p_long, round(close, 8) AS entry,
+  round(close + 1.5 * atr_14, 4) AS long_target, round(close - atr_14, 4) AS long_stop, round(close - 1.5 * atr_14, 4) AS short_target, round(close + atr_14, 4) AS short_stop FROM p""")
 def j5_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume stands in for a score."""
     b = bars(spark, sf_dir)
     p = b.select("ticker", "date", (F.col("volume") / 100).alias("p_long"), (F.col("date") >= "2001-01-01").alias("is_oos"))
-    out = evaluation.predictions_table(evaluation.top_entries(p, "long", 50), T.with_recursions(b))
-    return out.select("ticker", "date", F.round("p_long", 6).alias("p_long"), F.round("entry", 8).alias("entry"))
+    out = evaluation.predictions_table(evaluation.top_entries(p, "long", 50), T.with_recursions(b, want=("atr_14",)))
+    levels = [F.round(c, 4).alias(c) for c in ("long_target", "long_stop", "short_target", "short_stop")]
+    return out.select("ticker", "date", F.round("p_long", 6).alias("p_long"), F.round("entry", 8).alias("entry"), *levels)
 
 
 @query("j6_events_with_labels", f"""WITH {BARS}, f AS (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) > close AS up, close > open AS ev FROM bars) SELECT ev AS event, count(*) AS n, count(*) FILTER (WHERE up) AS n_up FROM f GROUP BY 1""")
@@ -67,7 +70,7 @@ def r3_tide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.tide_buckets(e).select(F.unix_micros("bucket").alias("bucket_us"), F.round("net_premium", 4).alias("net_premium"), "n")
 
 
-@query("r9_live_flow", f"WITH {ALERTS} SELECT CAST(time AS DATE) AS date, ticker, count(*) AS n, round(sum(premium), 4) AS premium FROM alerts GROUP BY 1, 2")
+@query("r9_live_flow", f"WITH {ALERTS} SELECT CAST(time - INTERVAL 5 HOUR AS DATE) AS date, ticker, count(*) AS n, round(sum(premium), 4) AS premium FROM alerts GROUP BY 1, 2")
 def r9_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(streams.live_flow(alerts(spark, sf_dir)), 4)
 
@@ -91,10 +94,13 @@ def s8_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(io.extract_table(read(spark, sf_dir, "lineitem"), {"l_orderkey": "bigint", "l_shipdate": "date", "l_extendedprice": "double", "l_returnflag": "bigint"}), 4)
 
 
-@query("k10_screener_order", f"WITH {EARNINGS} SELECT ticker, report_date, round(market_cap, 2) AS market_cap FROM earnings WHERE report_date BETWEEN DATE '2001-01-01' AND DATE '2001-01-31'")
+@query("k10_screener_order", f"""WITH {EARNINGS}, w AS (SELECT ticker, report_date, market_cap, CASE WHEN CAST(substr(ticker, 2) AS INTEGER) % 5 > 0 THEN 's' || (CAST(substr(ticker, 2) AS INTEGER) % 5) END AS sector, CASE WHEN eps_actual > 1 THEN move_1d END AS implied_move, CAST(substr(ticker, 2) AS INTEGER) % 7 = 0 AS watched FROM earnings WHERE report_date BETWEEN DATE '2001-01-01' AND DATE '2001-01-31')
+SELECT ticker, report_date, round(market_cap, 2) AS market_cap, row_number() OVER (ORDER BY report_date, market_cap DESC, ticker) AS by_date, row_number() OVER (ORDER BY coalesce(sector, 'z'), ticker, report_date) AS by_sector, row_number() OVER (ORDER BY coalesce(implied_move, -1) DESC, ticker, report_date) AS by_move, row_number() OVER (ORDER BY watched DESC, report_date, ticker) AS by_watched FROM w""")
 def k10_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = earnings(spark, sf_dir).filter("report_date between '2001-01-01' and '2001-01-31'")
-    return rounded(book.earnings_order(window, "date").select("ticker", "report_date", "market_cap"), 2)
+    """A month's reports with their places in all four orders."""
+    n = F.substring("ticker", 2, 9).cast("int")
+    window = earnings(spark, sf_dir).filter("report_date between '2001-01-01' and '2001-01-31'").withColumns({"sector": F.when(n % 5 > 0, F.concat(F.lit("s"), n % 5)), "implied_move": F.when(F.col("eps_actual") > 1, F.col("move_1d")), "watched": n % 7 == 0})
+    return rounded(book.screener_places(window).select("ticker", "report_date", "market_cap", "by_date", "by_sector", "by_move", "by_watched"), 2)
 
 
 @query("u2_retag", f"WITH {ALERTS} SELECT ticker, count(*) AS n FROM alerts WHERE sector <> 'sector1' AND CAST(substr(ticker, 2) AS INTEGER) % 2 = 0 GROUP BY 1")
@@ -102,10 +108,3 @@ def u2_retag(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = alerts(spark, sf_dir)
     resolved = a.select("ticker").distinct().filter(F.substring("ticker", 2, 9).cast("int") % 2 == 0).withColumn("sector", F.lit("sector1"))
     return book.retag(a, resolved).groupBy("ticker").agg(F.count("*").alias("n"))
-
-
-@query("d2_ticker_mining", f"""WITH {BARS}, r AS (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) / nullif(close, 0) - 1 AS fwd_1 FROM bars), c AS (SELECT date, row_number() OVER (ORDER BY date) AS k, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars))
-SELECT CASE WHEN k - 1 < floor(n * (1 - 0.35::DOUBLE)) THEN 'mine' ELSE 'holdout' END AS split, count(*) AS n, round(avg(fwd_1), 6) AS mean FROM r JOIN c USING (date) GROUP BY 1""")
-def d2_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flow.split_by_date(T.forward_returns(bars(spark, sf_dir), (1,)))
-    return rounded(rows.groupBy("split").agg(F.count("*").alias("n"), F.avg("fwd_1").alias("mean")))

@@ -252,35 +252,14 @@ def w23_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("ticker").agg(F.count("*").alias("n"), F.count_if("is_warmup").alias("n_warmup"), F.count_if("is_labelable").alias("n_labelable"), F.count_if("is_valid").alias("n_valid"))
 
 
-@query("w28_dataset")
-def w28_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: the whole trimmed matrix of features and labels."""
-    return rounded(T.build_dataset(bars(spark, sf_dir)))
-
-
-@query("w29_feature_groups")
-def w29_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and share of missing values of each feature column, with its group."""
-    df = T.build_dataset(bars(spark, sf_dir), trim=False)
-    groups = T.feature_groups(df)
-    named = [(g, c) for g, cs in groups.items() for c in cs]
-    stacked = df.select(F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for g, c in named])).alias("x")).select("x.*")
-    return stacked.groupBy("grp", "feature").agg(F.count("*").alias("n"), F.count("v").alias("n_present"), F.round(F.avg("v"), 4).alias("mean"))
-
-
-@query("w30_sweep")
-def w30_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event counts and base rates over a 2 x 2 corner of the parameter grid (see README)."""
-    made = [(f"K{k}_c{c}", T.Config(range_bars=k, tightness=c)) for k in (15, 20) for c in (3.0, 4.0)]
-    return T.sweep(bars(spark, sf_dir), made, [F.count("*").alias("n"), F.count_if(F.col("range_breakout") != 0).alias("n_events"), F.round(F.avg("label_long"), 6).alias("base_long")])
-
-
-@query("w25_weekly_ladder", f"""WITH {BARS}, w AS (SELECT ticker, date + CAST((12 - dayofweek(date)) % 7 AS INTEGER) AS week, max(high) AS high, min(low) AS low, arg_max(close, date) AS close FROM bars GROUP BY 1, 2),
+LADDER = f"""{BARS}, w AS (SELECT ticker, date + CAST((12 - dayofweek(date)) % 7 AS INTEGER) AS week, max(high) AS high, min(low) AS low, arg_max(close, date) AS close FROM bars GROUP BY 1, 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY week DESC) AS n, lag(close) OVER (PARTITION BY ticker ORDER BY week) AS pc, first_value(close) OVER (PARTITION BY ticker ORDER BY week DESC) AS spot, count(*) OVER (PARTITION BY ticker) AS c FROM w),
 t AS (SELECT ticker, any_value(spot) AS spot, list(greatest(high - low, abs(high - pc), abs(low - pc)) ORDER BY week) FILTER (WHERE n BETWEEN 2 AND 15 AND n < least(c, 16)) AS tr FROM n WHERE c >= 8 GROUP BY 1),
 s AS (SELECT ticker, spot, tr, len(tr) AS p, CAST(ceil(len(tr) / 2.0) AS INTEGER) AS h FROM t),
-a AS (SELECT ticker, spot, list_reduce(list_concat([list_sum(tr[1:h]) / h], tr[h + 1:]), lambda x, y: (x * (p - 1) + y) / p) AS a FROM s)
-SELECT ticker, round(spot, 8) AS spot, """ + ", ".join(f"round(floor(({x}) * 100 + 0.5) / 100, 6) AS {c}" for c, x in (("atr_w", "a"), ("up05", "spot + 0.5 * a"), ("up1", "spot + a"), ("up2", "spot + 2 * a"), ("dn05", "spot - 0.5 * a"), ("dn1", "spot - a"), ("dn2", "spot - 2 * a"))) + " FROM a")
+a AS (SELECT ticker, spot, list_reduce(list_concat([list_sum(tr[1:h]) / h], tr[h + 1:]), lambda x, y: (x * (p - 1) + y) / p) AS a FROM s)"""
+
+
+@query("w25_weekly_ladder", f"WITH {LADDER} SELECT ticker, round(spot, 8) AS spot, " + ", ".join(f"round(floor(({x}) * 100 + 0.5) / 100, 6) AS {c}" for c, x in (("atr_w", "a"), ("up05", "spot + 0.5 * a"), ("up1", "spot + a"), ("up2", "spot + 2 * a"), ("dn05", "spot - 0.5 * a"), ("dn1", "spot - a"), ("dn2", "spot - 2 * a"))) + " FROM a")
 def w25_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks = B.weekly(bars(spark, sf_dir))
     spots = weeks.groupBy("ticker").agg(F.max_by("close", "date").alias("spot"))

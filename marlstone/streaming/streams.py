@@ -62,9 +62,11 @@ def tide_buckets(rows: DataFrame, width: str = "5 minutes", delay: str = "10 min
 
 
 def live_flow(alerts: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Premium by ticker and UTC day, kept current (update mode)."""
-    held = alerts.withWatermark("time", delay) if alerts.isStreaming else alerts
-    return held.groupBy(F.window("time", "1 day"), "ticker").agg(F.count("*").alias("n"), F.sum("premium").alias("premium")).select(F.to_date("window.start").alias("date"), "ticker", "n", "premium")
+    """Premium by ticker and New York day, kept current (update mode); a day's state goes once the watermark passes it."""
+    local = alerts.withColumn("_local", F.from_utc_timestamp("time", "America/New_York"))
+    held = local.withWatermark("_local", delay) if alerts.isStreaming else local
+    g = held.groupBy(F.window("_local", "1 day"), "ticker").agg(F.count("*").alias("n"), F.sum("premium").alias("premium"))
+    return g.select(F.to_date("window.start").alias("date"), "ticker", "n", "premium")
 
 
 STATE = "open_id long, size string, price double, entry_at timestamp, left double, sum double, n int, orphans int, has boolean"

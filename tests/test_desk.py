@@ -57,13 +57,33 @@ def test_option_symbols(spark):
 
 
 def test_alerts_are_normalised(spark):
-    raw = spark.createDataFrame(
-        [("1", "abc", "ABC260720C00202500", None, None, utc("2026-05-05"), "80", "20", "50", "10", True, False, False, None), (None, "x", None, None, None, utc("2026-05-05"), None, None, None, None, False, False, False, None), ("3", "x", "", "PUT", "2026-06-19", utc("2026-05-05"), "1", "9", "5", "0", False, False, True, "7")],
-        "id string, ticker string, option_chain string, type string, expiry string, created_at timestamp, ask_prem string, bid_prem string, size string, oi string, has_sweep boolean, has_floor boolean, multi_leg boolean, strike string",
-    )
-    a, b = sorted(flow.normalise_alerts(raw).collect(), key=lambda r: r.id)
-    assert (a.type, a.expiry, a.strike, a.side, a.sentiment, a.exec, a.confidence, a.contract) == ("CALL", D(2026, 7, 20), 202.5, "BUY", "BULLISH", "SWEEP", "HIGH", "$202.5C Jul 20")
-    assert (b.type, b.expiry, b.strike, b.side, b.sentiment, b.exec, b.confidence) == ("PUT", D(2026, 6, 19), 7.0, "SELL", "BULLISH", "BLOCK", "LOW")
+    fields = "id ticker option_chain expiry created_at total_ask_side_prem total_bid_side_prem volume open_interest volume_oi_ratio has_sweep has_floor has_multileg strike total_premium"
+    rows = [
+        ("1", "abc", "ABC260720P00202500", None, "2026-05-05", "80", "20", "50", "10", "7.5", True, True, False, "202.5", "1e3"),
+        (None, "x", None, None, "2026-05-05", None, None, None, None, None, False, False, False, None, None),
+        ("2", " ", None, None, "2026-05-05", None, None, None, None, None, False, False, False, None, None),
+        ("3", "x", "", "2026-06-19", "2026-05-05", "1", "9", "5.9", "many", None, None, False, True, "7", None),
+        ("4", "y", None, None, "2026-05-05", None, None, None, None, "1", False, False, False, None, "5"),
+    ]
+    kinds = ", ".join(f"{f} {'boolean' if f.startswith('has_') else 'string'}" for f in fields.split())
+    a, b, c = sorted(flow.normalise_alerts(spark.createDataFrame(rows, kinds)).collect(), key=lambda r: r.id)
+    assert (a.ticker, a.type, a.expiry, a.strike, a.side, a.sentiment, a.exec, a.confidence, a.contract, a.premium) == ("ABC", "PUT", D(2026, 7, 20), 202.5, "BUY", "BEARISH", "SWEEP", "HIGH", "$202.5P Jul 20", 1000.0)
+    assert (b.type, b.expiry, b.side, b.sentiment, b.exec, b.confidence, b.size, b.oi) == ("CALL", D(2026, 6, 19), "SELL", "BEARISH", "BLOCK", "LOW", 5, 0)
+    assert (c.ask_prem, c.bid_prem, c.all_opening, c.issue_type, c.has_single_leg, c.side, c.confidence, c.expiry, c.rule) == (None, None, None, None, None, "BUY", "MED", D(2026, 5, 5), "Unusual activity")
+    # Nothing known of the ask side: the exact screen must not take nulls for zeros.
+    held = flow.normalise_alerts(spark.createDataFrame(rows, kinds)).withColumn("issue_type", F.lit("Common Stock"))
+    assert flow.screen(held, F.lit(D(2026, 5, 5)), "lotto", exact=True).count() == 0
+
+
+def test_exits_of_stored_positions(spark):
+    stored = spark.createDataFrame([("a", 0.5, 20.0, "OPEN", [1], False), ("b", 1.0, 0.0, "OPEN", None, True), ("c", 0.0, 5.0, "CLOSED", None, False), ("d", 0.4, 1.0, "OPEN", None, False)], "key string, remaining double, realized double, status string, seen_ids array<bigint>, frozen boolean")
+    rows = [("a", "trim", 1, 1, 99.0, None), ("a", "trim", 2, 2, 40.0, 0.5), ("a", "trim", 3, 3, 80.0, None), ("a", "trim", 3, 3, 80.0, None), ("a", "close", 4, 4, 10.0, None), ("a", "trim", 5, 5, 70.0, None), ("b", "trim", 6, 6, 50.0, None), ("c", "close", 7, 7, 50.0, None)]
+    exits = spark.createDataFrame([(k, a, utc("2026-05-05T10:00:00") + dt.timedelta(minutes=t), i, p, h) for k, a, t, i, p, h in rows], "key string, action string, at timestamp, message_id long, pct double, frac_hint double")
+    got = {r.key: r for r in book.apply_orphan_exits(stored, exits).collect()}
+    assert (got["a"].remaining, got["a"].realized, got["a"].status) == (0.0, 20 + 0.25 * 40 + 0.125 * 80 + 0.125 * 10, "CLOSED") and got["a"].seen_ids == [1, 2, 3, 4, 5]
+    assert [(got[k].remaining, got[k].realized, got[k].status) for k in "bcd"] == [(1.0, 0.0, "OPEN"), (0.0, 5.0, "CLOSED"), (0.4, 1.0, "OPEN")]
+    late = exits.withColumn("action", F.lit("close"))
+    assert {r.key: r.status for r in book.apply_orphan_exits(stored, late).collect()}["b"] == "CLOSED"
 
 
 def test_daily_join_fills(spark):
@@ -161,6 +181,24 @@ def test_folds_are_ordered_and_embargoed(spark):
     assert all(a.test_end < b.test_start for a, b in zip(f, f[1:]))
 
 
+def test_fold_roles_have_an_inner_embargo(spark):
+    m = spark.sql("SELECT explode(sequence(DATE '2018-01-01', DATE '2023-12-31')) AS date").filter("dayofweek(date) between 2 and 6")
+    days = sorted(r.date for r in m.collect())
+    got = evaluation.assign_folds(m, evaluation.folds(m)).collect()
+    for f in evaluation.folds(m).collect():
+        own = {role: sorted(r.date for r in got if r.fold == f.fold and r.role == role) for role in ("fit", "calibrate", "test")}
+        train = [d for d in days if d <= f.train_end]
+        n = max(1, round(len(train) * 0.15))
+        assert own["calibrate"] == train[len(train) - n :] and own["fit"] == train[: len(train) - n - 10] and own["test"][0] == f.test_start
+
+
+def test_ranks_in_ranges_are_the_plain_ones(spark):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("g"), F.floor(F.pow(F.col("id") % 700, 2) / 7).cast("double").alias("x"))
+    wide = evaluation._wide_ranks(rows, "x", "r", ["g"], parts=16).groupBy("g", "x").agg(F.first("r").alias("r"), F.count("*").alias("n"))
+    plain = rows.withColumn("r", evaluation.mean_rank(F.col("x"), "g")).groupBy("g", "x").agg(F.first("r").alias("r"), F.count("*").alias("n"))
+    assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, plain.collect()))
+
+
 def test_metrics_of_signal_and_noise(spark):
     df = spark.range(4000).select(F.lit("long").alias("side"), F.lit("cv").alias("segment"), (F.col("id") % 2).cast("double").alias("y"), F.when(F.col("id") % 2 == 1, 0.6).otherwise(0.4).alias("p"))
     r = evaluation.metrics(df.union(df.withColumns({"side": F.lit("short"), "p": F.lit(0.5)}))).collect()
