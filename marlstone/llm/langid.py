@@ -27,7 +27,7 @@ from .common import broadcast_if_small, map_columns, only, written
 TRAIN_DOCS, TRAIN_CHARS = 150, 20_000
 ROUNDS, RATE, DECAY = 24, 0.5, 1e-6
 BITS, GRAMS, BLOCK = 15, (1, 2, 3, 4, 5), 64
-REMEMBER, GROUP = 200_000, 1_000_000
+REMEMBER, GROUP = 200_000, 500_000
 UNKNOWN = "und"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 
@@ -63,14 +63,17 @@ def emissions(weights: np.ndarray, words: list[bytes]) -> np.ndarray:
     return np.add.reduceat(weights[feat], starts, axis=0) / np.sqrt(n)[:, None]
 
 
-def marginals(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+def messages(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, pairs: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over chains that follow one another in ``emit`` (words, labels; logarithms).
 
-    ``lengths``: words of each chain, none of them 0. ``trans``: (from, to), logarithms.
+    ``lengths``: words of each chain, none of them 0. ``trans``: (from, to), logarithms. Returns each word's distribution
+    over the labels, and (``pairs``) the expected number of each transition, from the messages of both sides of it.
+    A chain's first word has no transition before it.
     """
     k = emit.shape[1]
     step = np.exp(trans - trans.max())
     power = np.exp(emit - emit.max(axis=1, keepdims=True))
+    power[np.cumsum(lengths) - lengths] /= step.sum(axis=0)  # undoes the step from the even start
     blocks = -(-lengths // BLOCK)
     total = int(blocks.sum())
     first_block = np.cumsum(blocks) - blocks
@@ -105,14 +108,28 @@ def marginals(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.nd
         state[who] = norm((carry[at] @ state[who][:, :, None])[:, :, 0], 1)
     # Inside the blocks.
     ahead, state = np.empty((total, width, k)), into
+    behind = np.empty((total, width, k)) if pairs else None
     for t in range(width):
         state = np.where(live[:, t, None], norm((state @ step) * e[:, t], 1), state)
         ahead[:, t] = state
-    state = out_of
+    state, on = out_of, live[:, :width]
+    before = ahead[on] if pairs else None
     for t in range(width - 1, -1, -1):
         ahead[:, t] *= state
+        if pairs:
+            behind[:, t] = state * e[:, t]
         state = np.where(live[:, t, None], norm((e[:, t] * state) @ step.T, 1), state)
-    return norm(ahead[live[:, :width]], 1)
+    p, expected = norm(ahead[on], 1), np.zeros((k, k))
+    if pairs and len(emit) > len(lengths):
+        inner = np.setdiff1d(np.arange(len(emit) - 1), np.cumsum(lengths) - 1)
+        joint = before[inner][:, :, None] * step[None] * behind[on][inner + 1][:, None, :]
+        expected = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    return p, expected
+
+
+def marginals(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Each word's distribution over the labels."""
+    return messages(emit, lengths, trans)[0]
 
 
 class Tagger:
@@ -198,13 +215,12 @@ def fit(texts: list[str], langs: list[str]) -> dict:
     feat, starts = features(list(place))
     count = np.diff(np.append(starts, len(feat)))
     owner, scale = np.repeat(np.arange(len(place)), count), 1 / np.sqrt(count)
-    last = np.cumsum(n) - 1
-    inner = np.setdiff1d(np.arange(len(ids) - 1), last)
+    inner = np.setdiff1d(np.arange(len(ids) - 1), np.cumsum(n) - 1)
     seen = np.bincount(want[inner] * k + want[inner + 1], minlength=k * k).reshape(k, k)
     hist_w, hist_t = np.full_like(weights, 1e-8), np.full_like(trans, 1e-8)
     for _ in range(ROUNDS):
         emit = np.add.reduceat(weights[feat], starts, axis=0) * scale[:, None]
-        p = marginals(emit[ids], n, trans)
+        p, pairs = messages(emit[ids], n, trans, pairs=True)
         wrong = np.zeros((len(place), k))
         for c in range(k):
             wrong[:, c] = np.bincount(ids, p[:, c] - (want == c), minlength=len(place))
@@ -212,9 +228,6 @@ def fit(texts: list[str], langs: list[str]) -> dict:
         grad = np.stack([np.bincount(feat, wrong[owner, c], minlength=1 << BITS) for c in range(k)], axis=1) / len(ids) + DECAY * weights
         hist_w += grad**2
         weights -= RATE * grad / np.sqrt(hist_w)
-        # Expected transitions, by the marginals of neighbours and the present transitions.
-        joint = p[inner][:, :, None] * np.exp(trans - trans.max())[None] * p[inner + 1][:, None, :]
-        pairs = (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
         step = (pairs - seen) / max(1, len(inner)) + DECAY * trans
         hist_t += step**2
         trans -= RATE / 2 * step / np.sqrt(hist_t)

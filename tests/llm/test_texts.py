@@ -166,7 +166,7 @@ def test_chain_marginals_match_plain_recursions():
     for n in lengths:
         e = np.exp(emit[at : at + n])
         a, b = np.zeros((n, 3)), np.ones((n, 3))
-        a[0] = np.full(3, 1 / 3) @ step * e[0]
+        a[0] = e[0] / e[0].sum()
         for t in range(1, n):
             a[t] = a[t - 1] @ step * e[t]
             a[t] /= a[t].sum()
@@ -178,6 +178,38 @@ def test_chain_marginals_match_plain_recursions():
         at += n
 
 
+def test_chain_gradient_matches_finite_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    lengths, k = np.array([1, 7, 70, 3]), 3
+    emit, trans, gold = rng.normal(size=(81, k)), rng.normal(size=(k, k)), rng.integers(0, k, 81)
+
+    def likelihood(emit, trans):
+        total, at = 0.0, 0
+        for n in lengths:
+            z, y = emit[at], gold[at : at + n]
+            for t in range(1, n):
+                z = np.log(np.exp(z[:, None] + trans).sum(axis=0)) + emit[at + t]
+            total += emit[np.arange(at, at + n), y].sum() + trans[y[:-1], y[1:]].sum() - np.log(np.exp(z).sum())
+            at += n
+        return total
+
+    p, pairs = langid.messages(emit, lengths, trans, pairs=True)
+    inner = [t for t in range(80) if t not in (0, 7, 77)]
+    seen = np.zeros((k, k))
+    np.add.at(seen, (gold[inner], gold[np.array(inner) + 1]), 1)
+    for i in range(k):
+        for j in range(k):
+            up = trans.copy()
+            up[i, j] += 1e-5
+            assert abs((likelihood(emit, up) - likelihood(emit, trans)) / 1e-5 - (seen - pairs)[i, j]) < 1e-3
+    for t in (0, 1, 7, 40, 80):
+        up = emit.copy()
+        up[t, 1] += 1e-5
+        assert abs((likelihood(up, trans) - likelihood(emit, trans)) / 1e-5 - ((gold[t] == 1) - p[t, 1])) < 1e-3
+
+
 def test_languages_held_out(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     extra = spark.createDataFrame([(-1, None, None, None, None), (-2, "123 ###", None, None, None), (-3, "", "en", "", 0)], table.schema)
