@@ -150,12 +150,92 @@ def test_secrets(spark):
     assert (got[4].spans, got[4].base_sha256) == ("", hashlib.sha256(b"").hexdigest())
     assert got[5].n_hex == 3
     assert got[6].spans == "guess:14:26"
-    assert secret_scan.guess_bits("password123") < secret_scan.guess_bits("x7Kq9vR2mZ")
-    assert secret_scan.guess_bits("qwertyuiop") < 20 and secret_scan.guess_bits("aaaaaaaaaaaa") < 20 and secret_scan.guess_bits("20230115") < 20
+    bits = lambda v: secret_scan.guess_bits(v, secret_scan.ranked(["thunder", "castle"]))
+    assert bits("password123") < bits("x7Kq9vR2mZ") and bits("Thunder99") < bits("Tnuhder99")
+    assert bits("qwertyuiop") < 20 and bits("aaaaaaaaaaaa") < 20 and bits("20230115") < 20 and bits("xq" * 150) < 25 < bits("xq7Zp0Lm")
+    assert bits("zaqwsxcde") < bits("zaqwmxcdk")
     clean = secret_scan.mask_secrets(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_chars long")).collect()
     assert len(clean) == 6 and "04dbebab" not in clean[0].text and clean[0].n_chars == len(clean[0].text)
 
 
+def plain_cost(value, ranks):
+    """Every cut into segments, each priced by itself."""
+    import math
+    from functools import lru_cache
+
+    low, plain, n = value.lower(), value.lower().translate(secret_scan.LEET), len(value)
+    bits = secret_scan._alphabet(value)
+    steps = lambda j: (ord(low[j + 1]) - ord(low[j])) if j + 1 < n else None
+
+    def longest(i, good):
+        j = i + 1
+        while j < n and good(j):
+            j += 1
+        return j
+
+    def priced(i, j):
+        out = []
+        if j - i >= 3:
+            for word, factor in ((low[i:j], 1), (plain[i:j], 4)):
+                if word in ranks:
+                    part = value[i:j]
+                    out.append(math.log2(ranks[word] * factor) + (0 if part.islower() else 1 if part.istitle() or part.isupper() else 3))
+                    break
+            if j == longest(i, lambda k: low[k] == low[k - 1]):
+                out.append(bits + math.log2(j - i))
+            for d in (1, -1):
+                if j == longest(i, lambda k: steps(k - 1) == d):  # noqa: B023
+                    out.append(bits + 1 + math.log2(j - i))
+            if j == longest(i, lambda k: (low[k - 1], low[k]) in secret_scan.MOVES):
+                ways = [secret_scan.MOVES[low[k], low[k + 1]] for k in range(i, j - 1)]
+                turns = 1 + sum(a != b for a, b in zip(ways, ways[1:], strict=False))
+                out.append(math.log2(secret_scan.KEYS) + turns * math.log2(secret_scan.DEGREE) + math.log2(math.comb(j - i - 1, turns - 1)))
+        for u in range(2, 9):
+            whole = 1
+            while low[i + whole * u : i + whole * u + u] == low[i : i + u] and i + whole * u + u <= n:
+                whole += 1
+            if whole > 1 and j == i + whole * u:
+                out.append(u * bits + math.log2(whole))
+        m = secret_scan.DATE.match(value, i)
+        if m and m.end() == j:
+            out.append(7 if j - i == 4 else 15)
+        return min([c + 1 for c in out] + ([bits] if j == i + 1 else []), default=math.inf)
+
+    @lru_cache(None)
+    def least(i):
+        return 0.0 if i == n else min(priced(i, j) + least(j) for j in range(i + 1, n + 1))
+
+    return least(0)
+
+
+def test_guess_costs_against_all_cuts():
+    import random
+
+    rnd = random.Random(8)
+    ranks = secret_scan.ranked(["tree", "house", "horse", "ouse"])
+    parts = ["tree", "House", "h0rse", "aaaa", "abcdef", "7654", "qwert", "zaqwsx", "1999", "2021-03-04", "xyxyxy", "ab1ab1", "K", "9", "_", "mZ"]
+    for _ in range(300):
+        value = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 4)))
+        assert abs(secret_scan.guess_bits(value, ranks) - plain_cost(value, ranks)) < 1e-9, value
+
+
+def test_base_spans_are_those_of_the_plain_patterns(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assign = re.compile("(?ai)(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    got = {r.doc_id: r for r in secret_scan.scan(table).collect()}
+    for r in table.collect():
+        text = r.text or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 12]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        said = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        x = got[r.doc_id]
+        assert x.base_sha256 == hashlib.sha256(said.encode()).hexdigest() and (x.n_assign, x.n_access, x.n_hex) == tuple(sum(k == j for _, k, _ in spans) for j in range(3))
+    assert secret_scan.frequent_words(table.limit(0)) == []
+    long = spark.createDataFrame([(1, ("word " * 200_000) + "token" + " " * 100_000 + "= 8fK2pQ9xLm3Z"), (1, None), (1, None)], "doc_id long, text string")
+    assert sorted(r.spans for r in secret_scan.scan(long).collect())[:2] == ["", ""] and "guess:" in max(r.spans for r in secret_scan.scan(long).collect())
+
+
 def test_chain_marginals_match_plain_recursions():
     import numpy as np
 
