@@ -16,6 +16,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -156,7 +157,8 @@ def main_texts(pages: list[list[tuple[int, str]]], names: list[str | None] | Non
     """
     words = [[text.split(" ") for _, text in page] for page in pages]
     flat = [w for page in words for block in page for w in block]
-    tokens = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in flat), np.int64, len(flat))
+    numbers: dict[str, int] = {}
+    tokens = np.fromiter((numbers.setdefault(w, len(numbers)) for w in flat), np.int64, len(flat))
     counts = [sum(map(len, page)) for page in words]
     known: dict[str, int] = {}
     number = [len(pages) + k if names is None or names[k] is None else known.setdefault(names[k], k) for k in range(len(pages))]
@@ -190,7 +192,7 @@ def page_runs(split: list[list[str]], run: int = RUN) -> tuple[np.ndarray, np.nd
     n = len(flat) - run + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    tokens = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in flat), np.uint64, len(flat))
+    tokens = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in flat), np.uint64, len(flat))
     value = np.zeros(n, np.uint64)
     for j in range(run):
         value = value * np.uint64(0x9E3779B97F4A7C15) + tokens[j : j + n]

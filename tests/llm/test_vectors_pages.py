@@ -38,6 +38,25 @@ def test_recall_ties_and_bad_vectors(spark):
     assert ann.nearest(table.limit(0)).count() == 0
 
 
+def test_recall_on_the_given_vectors(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    doubled = table.unionByName(table.filter("vec_id in (0, 1, 21)"))
+    pdf = table.toPandas()
+    data, ids = np.stack(pdf["embedding"].to_numpy()).astype(float), pdf["vec_id"].to_numpy()
+    got = ann.nearest(table).toPandas()
+    asked = ids[ids % 20 == 0]
+    assert len(got) == 20 * len(asked)
+    mine = {q: set(g) for q, g in got.groupby("query_id")["vec_id"]}
+    hit = 0
+    for q in asked:
+        score = data @ data[ids == q][0]
+        score[ids == q] = -np.inf
+        hit += len(mine[q] & set(ids[np.argsort(-score, kind="stable")[:20]]))
+    assert hit >= 0.95 * 20 * len(asked)
+    again = ann.nearest(doubled).toPandas()
+    assert set(again.groupby("query_id").size()) == {20} and set(again["query_id"]) == set(asked)
+
+
 def test_pages(spark):
     page = (
         '<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Site</header><nav><a>Home</a></nav><div class="cookie-notice">We use</div>'
