@@ -49,13 +49,11 @@ def normalise_prints(raw: DataFrame, etfs: list[str] = ()) -> DataFrame:
 
 def rerank(prints: DataFrame, top: int = TOP) -> DataFrame:
     """rank by price times size (then the newer first) and its percentile for the first ``top`` of a ticker; null beyond.
-
-    The limit is pushed below the shuffle, and the ranks are joined back by id.
-    """
+    One shuffle: the window carries every row."""
     order = W.partitionBy("ticker").orderBy(F.desc(F.col("price") * F.col("size")), F.desc("executed_at"), "id")
-    best = prints.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
-    best = best.select("id", "rank", F.round((top + 1 - F.col("rank")) / 2.0, 2).alias("percentile"))
-    return prints.drop("rank", "percentile").join(best, "id", "left")
+    n = prints.drop("rank", "percentile").withColumn("rank", F.row_number().over(order))
+    n = n.withColumn("rank", F.when(F.col("rank") <= top, F.col("rank")))
+    return n.withColumn("percentile", F.round((top + 1 - F.col("rank")) / 2.0, 2))
 
 
 def rank_changes(before: DataFrame, after: DataFrame) -> DataFrame:

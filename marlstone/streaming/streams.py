@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -12,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.ship import ship
 from ..operators.bars import newest_per_key, upsert
 from ..operators.book import MESSAGE, POSITION, fold
-from ..operators.prints import filter_trades, insert_new
+from ..operators.prints import filter_trades, insert_new, rerank
 
 
 def file_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet") -> DataFrame:
@@ -24,32 +25,58 @@ def distinct_alerts(alerts: DataFrame, delay: str = "1 day") -> DataFrame:
     return alerts.withWatermark("time", delay).dropDuplicatesWithinWatermark(["id"])
 
 
-def upsert_into(path: str, keys: list[str], order: str | None = None):
-    """A ``foreachBatch`` sink: rows replace those of their keys; a batch that runs again changes nothing.
+def _stored(spark: SparkSession, path: str, days: list) -> DataFrame | None:
+    """Rows of the given days of a table that is partitioned by day; None while there is no table."""
+    try:
+        return spark.read.parquet(path).filter(F.col("day").isin(*days)) if days else None
+    except AnalysisException:
+        return None
 
-    The table is a sequence of versions under ``path``; the next one is written whole, then named by the batch.
+
+def _replace_days(rows: DataFrame, path: str, batch_id: int, day: str = "day") -> None:
+    """Overwrite exactly the partitions that ``rows`` holds. They are staged first, as they were read from the same table."""
+    stage = f"{path.rstrip('/')}_staged/batch={batch_id}"
+    rows.write.mode("overwrite").parquet(stage)
+    staged = rows.sparkSession.read.parquet(stage)
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
+def upsert_into(path: str, keys: list[str], order: str | None = None, time_col: str = "time"):
+    """A ``foreachBatch`` sink: rows replace those of their keys, in a table partitioned by the UTC day of ``time_col``.
+
+    Only the days that a batch touches are read and written again, and a batch that runs again changes nothing. A key's
+    rows have to stay on one day.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = newest_per_key(batch, keys, F.desc(order)) if order else batch.dropDuplicates(keys)
-        if batch_id > 0:
-            new = upsert(spark.read.parquet(f"{path}/v={batch_id - 1}"), new, keys)
-        new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        new = batch.withColumn("day", F.to_date(time_col))
+        new = newest_per_key(new, keys, F.desc(order)) if order else new.dropDuplicates(keys)
+        old = _stored(batch.sparkSession, path, [r["day"] for r in new.select("day").distinct().collect()])  # the days of one batch
+        _replace_days(new if old is None else upsert(old.select(*new.columns), new, keys), path, batch_id)
 
     return run
 
 
-def insert_trades_into(path: str, thresholds: DataFrame):
-    """A ``foreachBatch`` sink of the trade tape: filtered, without trades that are there already."""
+def insert_trades_into(path: str, thresholds: DataFrame, top: int = 200, lookback_hours: int = 24):
+    """A ``foreachBatch`` sink of the trade tape: trades at or over their ticker's threshold that aren't there already, in a
+    table partitioned by day at ``path``; and the ranks of the tickers that got some, at ``{path}_ranks``.
+
+    A batch is compared with the days from its first trade less the look-back on; other tickers' ranks aren't touched.
+    """
+    ranks = f"{path.rstrip('/')}_ranks"
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = filter_trades(batch, thresholds)
-        if batch_id > 0:
-            old = spark.read.parquet(f"{path}/v={batch_id - 1}")
-            new = insert_new(old, new.select(*old.columns), "id")
-        new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        kept = filter_trades(batch, thresholds).withColumn("day", F.to_date("executed_at"))
+        span = kept.agg(F.min(F.col("executed_at") - F.make_dt_interval(F.lit(0), F.lit(lookback_hours))).alias("a"), F.max("day").alias("b"))
+        span = span.select(F.explode(F.sequence(F.to_date("a"), F.col("b"))).alias("day")).filter("day is not null")
+        days = [r["day"] for r in span.collect()]  # the days of one batch
+        if not days:
+            return
+        old = _stored(spark, path, days)
+        _replace_days(kept if old is None else insert_new(old.select(*kept.columns), kept, "id"), path, batch_id)
+        whole = spark.read.parquet(path).join(kept.select("ticker").distinct(), "ticker", "left_semi")
+        rerank(whole, top).filter("rank is not null").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(ranks)
 
     return run
 
@@ -72,23 +99,33 @@ def live_flow(alerts: DataFrame, delay: str = "1 day") -> DataFrame:
 STATE = "open_id long, size string, price double, entry_at timestamp, left double, sum double, n int, orphans int, has boolean"
 
 
-def stitch_stream(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
+def stitch_stream(messages: DataFrame, delay: str = "1 hour", idle_days: int = 30) -> DataFrame:
     """Positions as messages arrive: the fold of the batch operator, with the open position of a key as its state.
 
-    Messages of a micro-batch are taken in time order. Each batch emits the positions of the keys it touched.
+    Messages of a micro-batch are taken in time order. Each batch emits the positions of the keys it touched. A key
+    without an open position is forgotten, its count of orphans too, once the watermark is ``idle_days`` past its last message.
     """
     ship(messages.sparkSession)
+    number = lambda x: float("nan") if x is None else float(x)
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        columns = [x.split(" ")[0] for x in POSITION.split(", ")]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
         held = None
         if state.exists:
             open_id, size, price, at, left, total, n, orphans, has = state.get
-            held = {"open": {"id": open_id, "size": size, "price": price, "at": at, "left": left, "sum": total, "n": n, "status": "OPEN"} if has else None, "orphans": orphans}
+            held = {"open": {"id": open_id, "size": size or None, "price": price, "at": at, "left": left, "sum": total, "n": n, "status": "OPEN"} if has else None, "orphans": orphans}
         rows = pd.concat(list(pdfs)).sort_values(["at", "message_id"])
         found, held = fold(str(key[0]), list(rows[MESSAGE].itertuples(index=False, name=None)), held)
         p = held["open"] or {"id": 0, "size": "", "price": 0.0, "at": pd.Timestamp(0), "left": 0.0, "sum": 0.0, "n": 0}
-        state.update((int(p["id"]), str(p["size"]), float(p["price"]), pd.Timestamp(p["at"]).to_pydatetime(), float(p["left"]), float(p["sum"]), int(p["n"]), int(held["orphans"]), held["open"] is not None))
-        yield pd.DataFrame(found, columns=[x.split(" ")[0] for x in POSITION.split(", ")])
+        state.update((int(p["id"]), str(p["size"] or ""), number(p["price"]), pd.Timestamp(p["at"]).to_pydatetime(), float(p["left"]), float(p["sum"]), int(p["n"]), int(held["orphans"]), held["open"] is not None))
+        if held["open"] is None:
+            last = int(rows["at"].max().timestamp() * 1000) + idle_days * 86_400_000
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(found, columns=columns)
 
     held = messages.withWatermark("at", delay)
-    return held.groupBy("key").applyInPandasWithState(run, POSITION, STATE, "append", GroupStateTimeout.NoTimeout)
+    return held.groupBy("key").applyInPandasWithState(run, POSITION, STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -143,7 +143,30 @@ def test_streams_agree_with_batches(spark, tmp_path):
     path = str(tmp_path / "up")
     q = source.writeStream.foreachBatch(streams.upsert_into(path, ["id"], "time")).option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {r.id: r.net_premium for r in spark.read.parquet(f"{path}/v=0").collect()} == {k % 7: float(k) for k in range(20)}
+    assert {r.id: r.net_premium for r in spark.read.parquet(path).collect()} == {k % 7: float(k) for k in range(20)}
+
+
+def test_sinks_replace_touched_days_only(spark, tmp_path):
+    path = str(tmp_path / "alerts")
+    put = streams.upsert_into(path, ["id"], "time")
+    rows = lambda *x: spark.createDataFrame([(i, utc(t), v) for i, t, v in x], "id long, time timestamp, v double")
+    put(rows((1, "2026-05-05T10:00:00", 1.0), (2, "2026-05-06T10:00:00", 2.0)), 0)
+    other = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "alerts/day=2026-05-05").glob("*.parquet")}
+    more = rows((2, "2026-05-06T11:00:00", 3.0), (3, "2026-05-06T12:00:00", 4.0), (2, "2026-05-06T10:30:00", 9.0))
+    for _ in range(2):  # a batch that runs again changes nothing
+        put(more, 1)
+        assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [(1, 1.0), (2, 3.0), (3, 4.0)]
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "alerts/day=2026-05-05").glob("*.parquet")} == other
+
+    tape = str(tmp_path / "tape")
+    thresholds = spark.createDataFrame([("T", 100.0), ("U", 100.0)], "ticker string, threshold double")
+    take = streams.insert_trades_into(tape, thresholds, top=2)
+    trades = lambda *x: spark.createDataFrame([(i, k, utc(t), p, 10.0, p * 10, n) for n, (i, k, t, p) in enumerate(x)], "id string, ticker string, executed_at timestamp, price double, size double, premium double, seq long")
+    take(trades(("a", "T", "2026-05-05T23:00:00", 20.0), ("b", "T", "2026-05-06T00:30:00", 30.0), ("c", "U", "2026-05-06T00:30:00", 11.0), ("d", "T", "2026-05-06T00:31:00", 1.0)), 0)
+    take(trades(("b", "T", "2026-05-06T00:30:00", 30.0), ("e", "T", "2026-05-06T09:00:00", 40.0)), 1)
+    assert sorted(r.id for r in spark.read.parquet(tape).collect()) == ["a", "b", "c", "e"]
+    ranks = spark.read.parquet(f"{tape}_ranks")
+    assert sorted((r.ticker, r["rank"], r.id) for r in ranks.collect()) == [("T", 1, "e"), ("T", 2, "b"), ("U", 1, "c")]
 
 
 def test_sources(spark, tmp_path):
