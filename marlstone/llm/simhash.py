@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_columns, salted_join, written
+from .common import as_bytes, free_name, map_columns, salted_join, written
 from .graph import connected_components
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -130,10 +130,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows whose (id, hash of the text) is one of ``chosen`` (id, h); one of repeated rows."""
-    rows = docs.withColumn("_h", F.xxhash64(text_col)).withColumn("_id", F.col(id_col))
-    kept = rows.join(chosen, (rows["_h"] == chosen["h"]) & rows["_id"].eqNullSafe(chosen["id"]), "left_semi")
-    return kept.dropDuplicates(["_h", "_id"]).select(*docs.columns)
+    """The rows whose (id, hash of the text) is one of ``chosen`` (id, h); one of repeated rows. All columns stay."""
+    h, own = free_name(docs.columns, "row_hash"), free_name(docs.columns, "row_id")
+    keys = chosen.select(F.col("id").alias(own), F.col("h").alias(h))
+    rows = docs.withColumns({h: F.xxhash64(text_col), own: F.col(id_col)})
+    kept = rows.join(keys, (rows[h] == keys[h]) & rows[own].eqNullSafe(keys[own]), "left_semi")
+    return kept.dropDuplicates([h, own]).select(*docs.columns)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, limit: int = 4) -> DataFrame:
