@@ -27,9 +27,10 @@ NO_RANK = np.int32(2**31 - 1)
 #: Upper lengths in bytes of the buckets; longer rows are each merged in a heap, as n rounds over n places would be quadratic.
 BUCKETS = (4, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 512)
 BUCKET_OF = [next(b for b in BUCKETS if n <= b) for n in range(BUCKETS[-1] + 1)]
-#: A batch of a bucket holds at most this many places, and a worker remembers about so many chunks of text at most.
-PLACES, REMEMBER = 1 << 20, 300_000
-GROUP = 2_000_000
+#: A batch of a bucket holds at most this many places; a worker remembers chunks of text until they take about so many bytes.
+PLACES, REMEMBER = 1 << 18, 64 << 20
+#: What a remembered chunk takes besides three times its own length, and the characters whose new pieces are merged together.
+EACH, GROUP = 240, 1_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -91,6 +92,29 @@ class PairTable:
         return out
 
 
+class Memo:
+    """What chunks of text turned into, in two halves: a full one is put aside, and only what comes again is taken over
+    from it."""
+
+    def __init__(self) -> None:
+        self.now: dict[str, object] = {}
+        self.before: dict[str, object] = {}
+        self.held = 0
+
+    def missing(self, chunks: set[str]) -> set[str]:
+        """Take over what is known of the chunks, and return the others."""
+        if self.held > REMEMBER // 2:
+            self.now, self.before, self.held = {}, self.now, 0
+        new = chunks.difference(self.now)
+        for chunk in new.intersection(self.before):
+            self.put(chunk, self.before[chunk])
+        return new.difference(self.before)
+
+    def put(self, chunk: str, value: object) -> None:
+        self.now[chunk] = value
+        self.held += EACH + 3 * len(chunk)
+
+
 class Codec:
     """Encoder and decoder for the ranks of one vocabulary file."""
 
@@ -102,8 +126,7 @@ class Codec:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.known: dict[str, object] = {}
-        self.said: dict[str, object] = {}
+        self.known, self.said = Memo(), Memo()
 
     def _merge_matrix(self, rows: list[bytes]) -> list[tuple[int, ...]]:
         width = max(map(len, rows))
@@ -199,14 +222,12 @@ class Codec:
                 out.update(zip([p for p, _ in part], self._merge_matrix([r for _, r in part]), strict=True))
         return out
 
-    def _learn(self, chunks: set[str], memo: dict[str, object], make: Callable[[tuple[int, ...]], object]) -> None:
+    def _learn(self, chunks: set[str], memo: Memo, make: Callable[[tuple[int, ...]], object]) -> None:
         """Encode the chunks that ``memo`` doesn't have yet; it gets what ``make`` does with their ids."""
-        if len(memo) > REMEMBER:
-            memo.clear()
-        split = {c: self.pieces.findall(c) for c in chunks.difference(memo)}
+        split = {c: self.pieces.findall(c) for c in memo.missing(chunks)}
         ids = self.encode_pieces(set(chain.from_iterable(split.values())))
         for chunk, pieces in split.items():
-            memo[chunk] = make(ids[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable([ids[p] for p in pieces])))
+            memo.put(chunk, make(ids[pieces[0]] if len(pieces) == 1 else tuple(chain.from_iterable([ids[p] for p in pieces]))))
 
     def _chunks(self, text: str | None) -> list[str]:
         """Parts of the text that the pattern splits separately. No match goes on over a blank that follows a
@@ -218,7 +239,7 @@ class Codec:
             return [text]
         return text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
 
-    def _groups(self, texts: list[str | None], memo: dict[str, object], make: Callable[[tuple[int, ...]], object]) -> Iterator[list[str]]:
+    def _groups(self, texts: list[str | None], memo: Memo, make: Callable[[tuple[int, ...]], object]) -> Iterator[list[str]]:
         """The chunks of each text, once ``memo`` has them all. Texts are taken in groups of about ``GROUP``
         characters, so that the matrices hold the new pieces of many texts; a longer text is a group of its own."""
         k = 0
@@ -235,14 +256,14 @@ class Codec:
     def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
         """Ids of each text; null is empty."""
         for chunks in self._groups(texts, self.known, tuple):
-            yield list(chain.from_iterable(map(self.known.__getitem__, chunks)))
+            yield list(chain.from_iterable(map(self.known.now.__getitem__, chunks)))
 
     def digests(self, texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
         """For each text: number of ids, SHA-256 of the ids in decimal, SHA-256 of the bytes decoded from the ids.
         What a chunk's ids read and decode to is remembered with the chunk."""
         out: tuple[list[int], list[str], list[str]] = ([], [], [])
         for chunks in self._groups(texts, self.said, lambda ids: (" ".join(map(str, ids)), self.decode(ids))):
-            both = [*map(self.said.__getitem__, chunks)]
+            both = [*map(self.said.now.__getitem__, chunks)]
             line = " ".join([x[0] for x in both])
             out[0].append(line.count(" ") + 1 if line else 0)
             out[1].append(hashlib.sha256(line.encode()).hexdigest())
@@ -271,7 +292,10 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """(id, ids array<int>) for every row: the token ids of the whole text, without special tokens."""
+    """(id, ids array<int>) for every row: the token ids of the whole text, however long, without special tokens.
+
+    Null and empty texts have no ids; repeated rows stay; other columns are ignored; empty in, empty out.
+    """
     path, pattern = vocabulary or default_vocabulary()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -311,7 +335,10 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def add_tokens(docs: DataFrame, text_col: str = "text", vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """All columns of ``docs`` and n_tokens, ids_sha256, decoded_sha256; those names, where taken, are replaced."""
+    """All columns of ``docs`` and n_tokens, ids_sha256, decoded_sha256; those names, where taken, are replaced.
+
+    Null and empty texts have no tokens; repeated rows stay; very long texts are encoded whole; empty in, empty out.
+    """
     path, pattern = vocabulary or default_vocabulary()
     made = ["n_tokens", "ids_sha256", "decoded_sha256"]
     kept = [c for c in docs.columns if c not in made]

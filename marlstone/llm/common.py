@@ -68,12 +68,12 @@ def free_name(columns: list[str], name: str) -> str:
 
 
 #: Rows and bytes of text of a batch that are worked on at once: what a task holds goes by them, and by its longest text.
-ROWS, BYTES = 2_000, 4 << 20
+ROWS, BYTES = 1_000, 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of the session hold at most ``ROWS`` rows and two slices' bytes, unless it asks for less."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", 2 * BYTES)):
+    """Arrow batches of the session hold at most ``ROWS`` rows and about ``BYTES`` bytes, unless it asks for less: such buffers come from a pool of both sides, where larger ones would scatter over the executor's memory."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BYTES)):
         held = spark.conf.get(key)
         if not (held.isdigit() and 0 < int(held) <= most):
             spark.conf.set(key, str(most))

@@ -31,7 +31,7 @@ PREFIXES = (3, 4, 5, 6, 7)
 TARGETS = ("quality", "toxic")
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SYMBOLS = "*%$&#!|@<>{}[]=~^_/\\"
-REMEMBER = 500_000
+REMEMBER = 200_000
 
 
 def token_features(token: str) -> list[str]:
