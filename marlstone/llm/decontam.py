@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, written
+from .common import broadcast_if_small, free_name, written
 
 WINDOW = 10
 #: The benchmark's fingerprints and windows are broadcast up to so many rows, and joined by a shuffle beyond.
@@ -65,6 +65,11 @@ def _hits_of(starts: Column) -> Column:
     return folded["n"]
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """128 bits that stand for a row: equal rows share them, which is all the same to their result."""
+    return F.struct(F.xxhash64(id_, text).alias("h"), F.xxhash64(F.lit(1), text, id_).alias("g"))
+
+
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, n_words, n_hit, n_items, items_sha256, contaminated) for every row of ``docs``.
 
@@ -88,7 +93,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
     kept = broadcast_if_small(written(kept, "kept"), BROADCAST_ROWS)
 
     # First pass over the texts: kept k-grams that the benchmark has too, and one row for each document.
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    key = row_key(F.col(id_col), F.col(text_col))
     base = docs.select(F.col(id_col), key.alias("key"), words_of(F.col(text_col)).alias("words")).withColumn("n_words", F.size("words").cast("long")).withColumn("hashes", hashed)
     nothing = F.array().cast("array<struct<p:int,h:bigint>>")
 
@@ -97,13 +102,13 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
         return F.transform(found, lambda f: F.struct(F.lit(n).alias("width"), f["p"].alias("p"), f["h"].alias("h")))
 
     parts = [prints(n) for n in widths]
-    mark = F.array(F.struct(F.lit(0).alias("width"), F.lit(0).alias("p"), F.pmod(F.col("key"), F.lit(SENTINELS)).alias("h")))
+    mark = F.array(F.struct(F.lit(0).alias("width"), F.lit(0).alias("p"), F.pmod(F.col("key.h"), F.lit(SENTINELS)).alias("h")))
     seen = base.select(id_col, "key", "n_words", F.explode(F.concat(mark, *parts)).alias("f")).select(id_col, "key", "n_words", "f.*")
     met = written(seen.join(kept, ["h", "width"]).select(id_col, "key", "n_words", "width", "p"), "met")
 
     # Second pass, over documents with such a k-gram only: the windows around it, as text.
     places = written(met.filter("p > 0").groupBy("key").agg(F.collect_set(F.struct("width", "p")).alias("places")), "places")
-    again = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text")).join(places, "key").select("key", "places", words_of(F.col("text")).alias("words"))
+    again = docs.select(key.alias("key"), F.col(text_col).alias("text")).join(places, "key").select("key", "places", words_of(F.col("text")).alias("words"))
 
     def around(f: Column) -> Column:
         reach = f["width"] - F.floor((f["width"] + 1) / 2).cast("int")
@@ -132,10 +137,16 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that share no window with the benchmark, with all their columns."""
-    found = contamination(docs.select(F.xxhash64(id_col, text_col).alias("_row"), F.col(text_col).alias("_text")), items, window, "_row", "_text")
-    bad = written(found.filter("contaminated").select("_row").distinct(), "contaminated")
-    return docs.withColumn("_row", F.xxhash64(id_col, text_col)).join(bad, "_row", "left_anti").drop("_row")
+    """The rows of ``docs`` that share no window with the benchmark, with all their columns.
+
+    Null and empty texts stay, repeated rows share their fate, an empty benchmark leaves all rows, and an empty table
+    is no error. Columns may have any names.
+    """
+    name = free_name(docs.columns, "row_key")
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(1), text_col).alias("g"))
+    found = contamination(docs.select(row.alias("row_key"), F.col(text_col).alias("text")), items, window, "row_key", "text")
+    bad = written(found.filter("contaminated").select("row_key").distinct(), "contaminated").select(F.col("row_key").alias(name))
+    return docs.withColumn(name, row).join(bad, name, "left_anti").drop(name)
 
 
 ORACLE = """

@@ -2,9 +2,10 @@
 
 A page is cut into blocks of text. The token streams of a host's pages are concatenated, sorted by suffix, and runs
 of at least ``RUN`` tokens that also stand on another page are boilerplate. For a host of more than ``SHARD`` pages
-the runs are found by a shuffle of the hashes of their ``RUN`` tokens instead, so that no host makes a large task. Blocks that lie in an article keep their text; other
-blocks lose what such runs cover, and keep their unique runs. Blocks in menus, headers, footers, side bars, forms,
-adverts, notices and comments are never part of the text.
+the runs are found by a shuffle of the hashes of their ``RUN`` tokens instead, so that no host makes a large task: the
+result is the same. Blocks that lie in an article keep their text; other blocks lose what such runs cover, and keep
+their unique runs. Blocks in menus, headers, footers, side bars, forms, adverts, notices and comments are never part of
+the text.
 """
 
 from __future__ import annotations
@@ -231,7 +232,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(id, url, text, n_chars) for every row of ``pages``.
 
     Null or empty html and pages without main text give an empty text; null urls form a host of their own; repeated
-    rows stay; other columns are ignored. The packed blocks are shuffled by host; those of hosts of more than ``shard``
+    rows stay, and rows of one url don't repeat each other; very long pages are read whole; other columns are ignored;
+    empty in, empty out. The packed blocks are shuffled by host; those of hosts of more than ``shard``
     pages are written, and the hashes of their runs shuffled.
     """
     ship(pages.sparkSession)

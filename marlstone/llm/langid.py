@@ -288,7 +288,12 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.3) -> DataFrame:
-    """The rows whose text has a language with a mean probability of at least ``least``, with all their columns."""
+    """The rows whose text has a language with a mean probability of at least ``least``, with all their columns.
+
+    Null and empty texts and texts without a letter go; repeated rows share their fate; a null label only keeps a row from
+    the training sample; very long texts are judged whole; without labels nothing is known and nothing stays; an empty table
+    is no error. A tie between languages goes to the first by name.
+    """
     model = train(docs, id_col, text_col, lang_col)
     digest, columns = hashlib.sha256(model).hexdigest(), docs.columns
     at = columns.index(text_col)

@@ -275,7 +275,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) for every row of ``docs``.
 
     Each byte covered by a string of ``length`` bytes that also starts anywhere else, in the same or another row, is
-    removed; strings are judged on the input. ``kept`` are the remaining bytes. Null and empty texts and texts
+    removed; strings are judged on the input. Equal strings are found by 64-bit hashes of windows of the same k-gram hash,
+    and rows are told apart by 64 bits: two different ones count as equal with a probability of about 1e-19 for each pair
+    that meets. ``kept`` are the remaining bytes. Null and empty texts and texts
     shorter than ``length`` lose nothing; of repeated rows each loses what it shares with the other; other columns
     are ignored; empty in, empty out.
     """
