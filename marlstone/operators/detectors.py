@@ -1,4 +1,7 @@
-"""Chart-pattern detectors: events (ticker, date, detector, side, strength) on closed bars.
+"""Chart-pattern detectors: events (ticker, date, detector, side, strength, kind, meta) on closed bars.
+
+``kind`` names the shape where a family knows several; ``meta`` has the family's own figures of the event by name.
+``with_state`` adds the weekly trend.
 
 The first six families are window expressions. Level flips, wedges and retracements keep a book of pivots as they
 go along a ticker: small state machines, all variants in one grouped pass. ``register_detector`` adds one's own.
@@ -20,13 +23,18 @@ from ..functions.market import week_end
 from ..functions.ship import ship
 from . import technicals as T
 
-EVENTS = "ticker string, date date, detector string, side string, strength double"
+EVENTS = "ticker string, date date, detector string, side string, strength double, kind string, meta map<string,double>"
 
 
-def weekly_state(bars: DataFrame, warmup_value: float | None = None, exponential_: bool = False, fast: int = 10, slow: int = 20) -> DataFrame:
+def weekly_state(bars: DataFrame, warmup_value: float | None = None, exponential_: bool = False, fast: int = 10, slow: int = 20, empty_weeks: bool = False) -> DataFrame:
     """(ticker, date, htf): the trend of the week completed before each day's: close over fast over slow average is 1,
-    the reverse -1, else 0; ``warmup_value`` until the slow average is there."""
+    the reverse -1, else 0; ``warmup_value`` until the slow average is there. A week without bars doesn't count, or with
+    ``empty_weeks`` it leaves the averages missing until they are full again (the convention of the squeezes)."""
     weeks = bars.groupBy("ticker", week_end(F.col("date")).alias("date")).agg(F.max_by("close", "date").alias("close"))
+    if empty_weeks:
+        span = weeks.groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("b"))
+        dense = span.select("ticker", F.explode(F.expr("sequence(a, b, interval 7 days)")).alias("date"))
+        weeks = dense.join(weeks, ["ticker", "date"], "left")
     if exponential_:
         ship(bars.sparkSession)
 
@@ -45,9 +53,22 @@ def weekly_state(bars: DataFrame, warmup_value: float | None = None, exponential
     return out.na.fill(warmup_value, ["htf"]) if warmup_value is not None else out
 
 
-def _events(df: DataFrame, found: list[tuple[str, Column, Column, Column, Column]]) -> DataFrame:
-    """(name, long, short, strength if long, strength if short) columns -> the rows of events, in long form."""
-    entries = [F.when(flag(c), F.struct(F.lit(n).alias("detector"), F.lit(s).alias("side"), F.coalesce(v, F.lit(0.0)).alias("strength"))) for n, a, b, x, y in found for s, c, v in (("long", a, x), ("short", b, y))]
+def with_state(events: DataFrame, bars: DataFrame, **how) -> DataFrame:
+    """Events with ``htf``, the weekly trend of their day; ``how`` goes to ``weekly_state``."""
+    return events.join(weekly_state(bars, **how), ["ticker", "date"], "left")
+
+
+Meta = dict[str, tuple[Column, Column]]
+
+
+def _events(df: DataFrame, found: list[tuple[str, Column, Column, Column, Column, Meta]]) -> DataFrame:
+    """(name, long, short, strength if long, strength if short, figures by name for either) -> the rows of events."""
+    entries = []
+    for name, long_, short, x, y, meta in found:
+        for k, (side, c, v) in enumerate((("long", long_, x), ("short", short, y))):
+            pairs = [z for key, both in meta.items() for z in (F.lit(key), both[k].cast("double"))]
+            figures = F.create_map(*pairs) if pairs else F.lit(None)
+            entries.append(F.when(flag(c), F.struct(F.lit(name).alias("detector"), F.lit(side).alias("side"), F.coalesce(v, F.lit(0.0)).alias("strength"), F.lit(None).cast("string").alias("kind"), figures.cast("map<string,double>").alias("meta"))))
     return df.select("ticker", "date", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("ticker", "date", "e.*")
 
 
@@ -62,7 +83,7 @@ def divergences(df: DataFrame) -> DataFrame:
         short = (c(f"_{m}high_price") > c(f"_{m}high_price_0")) & (high < 0)
         if extreme is not None:
             long_, short = long_ & (c(f"_{m}low_rsi_0") <= extreme), short & (c(f"_{m}high_rsi_0") >= 100 - extreme)
-        found.append((name, long_, short, low, -high))
+        found.append((name, long_, short, low, -high, {}))
     return _events(out, found)
 
 
@@ -71,8 +92,8 @@ def gaps(df: DataFrame) -> DataFrame:
     out = df.withColumn("_g", ratio(F.col("open") - lag("close"), lag("atr_14")))
     g, up, down, found = F.col("_g"), F.col("close") > F.col("open"), F.col("close") < F.col("open"), []
     for k in (1.0, 1.5):
-        found.append((f"gap_go_{k}", (g >= k) & up, (g <= -k) & down, F.abs(g), F.abs(g)))
-        found.append((f"gap_fade_{k}", (g <= -k) & up, (g >= k) & down, F.abs(g), F.abs(g)))
+        found.append((f"gap_go_{k}", (g >= k) & up, (g <= -k) & down, F.abs(g), F.abs(g), {"gap_atr": (g, g)}))
+        found.append((f"gap_fade_{k}", (g <= -k) & up, (g >= k) & down, F.abs(g), F.abs(g), {"gap_atr": (g, g)}))
     return _events(out, found)
 
 
@@ -95,8 +116,9 @@ def clouds(df: DataFrame) -> DataFrame:
         x = lambda k, p=name: F.col(f"_{p}_{k}")
         bull, bear = (close > x("st")) & (x("slope") >= 0), (close < x("sb")) & (x("slope") <= 0)
         pos = lambda v: F.greatest(v, F.lit(0.0))
-        found.append((f"{name}_reclaim", x("warm") & (x("c1") < x("fb1")) & (close > x("ft")) & bull, x("warm") & (x("c1") > x("ft1")) & (close < x("fb")) & bear, pos(ratio(close - x("ft"), atr)), pos(ratio(x("fb") - close, atr))))
-        found.append((f"{name}_curl_flip", x("warm") & (x("slope1") <= 0) & (x("slope") > 0) & (close > x("st")), x("warm") & (x("slope1") >= 0) & (x("slope") < 0) & (close < x("sb")), pos(ratio(x("slope"), atr)), pos(-ratio(x("slope"), atr))))
+        tilt = {"slow_slope_atr": (ratio(x("slope"), atr),) * 2}
+        found.append((f"{name}_reclaim", x("warm") & (x("c1") < x("fb1")) & (close > x("ft")) & bull, x("warm") & (x("c1") > x("ft1")) & (close < x("fb")) & bear, pos(ratio(close - x("ft"), atr)), pos(ratio(x("fb") - close, atr)), tilt))
+        found.append((f"{name}_curl_flip", x("warm") & (x("slope1") <= 0) & (x("slope") > 0) & (close > x("st")), x("warm") & (x("slope1") >= 0) & (x("slope") < 0) & (close < x("sb")), pos(ratio(x("slope"), atr)), pos(-ratio(x("slope"), atr)), tilt))
     return _events(out, found)
 
 
@@ -108,13 +130,13 @@ def false_breaks(df: DataFrame, least: float = 0.25, most: float = 1.5) -> DataF
         out = out.withColumns({f"_lo{k}": rolling(F.min, "low", k, 1), f"_hi{k}": rolling(F.max, "high", k, 1)})
         lo, hi = F.col(f"_lo{k}"), F.col(f"_hi{k}")
         under, over = ratio(lo - F.col("low"), atr), ratio(F.col("high") - hi, atr)
-        found.append((name, (F.col("low") < lo) & (close > lo) & deep(under), (F.col("high") > hi) & (close < hi) & deep(over), under, over))
+        found.append((name, (F.col("low") < lo) & (close > lo) & deep(under), (F.col("high") > hi) & (close < hi) & deep(over), under, over, {"overshoot_atr": (under, over), "level": (lo, hi)}))
     out = out.withColumns({"_lo": rolling(F.min, "low", 20, 3), "_hi": rolling(F.max, "high", 20, 3), "_c1": lag("close"), "_c2": lag("close", 2), "_c3": lag("close", 3), "_dlo": rolling(F.min, "low", 3), "_dhi": rolling(F.max, "high", 3)})
     lo, hi, c1, c2, c3 = (F.col(x) for x in ("_lo", "_hi", "_c1", "_c2", "_c3"))
     below = (c1 < lo) & (flag(c2 >= lo) | (flag(c2 < lo) & flag(c3 >= lo)))
     above = (c1 > hi) & (flag(c2 <= hi) | (flag(c2 > hi) & flag(c3 <= hi)))
     under, over = ratio(lo - F.col("_dlo"), atr), ratio(F.col("_dhi") - hi, atr)
-    found.append(("k20_2bar", below & (close > lo) & deep(under), above & (close < hi) & deep(over), under, over))
+    found.append(("k20_2bar", below & (close > lo) & deep(under), above & (close < hi) & deep(over), under, over, {"overshoot_atr": (under, over), "level": (lo, hi)}))
     return _events(out, found)
 
 
@@ -150,10 +172,12 @@ def flags(df: DataFrame, pole: int = 5, lengths: range = range(3, 11)) -> DataFr
             else:
                 up = down = F.lit(False)
             strength = F.abs(move) / F.greatest(span, F.lit(0.25))
-            longs.append(F.when(flag(common & up & (c("dr") <= 0) & (-c("dr") <= retrace * pm) & (close > c("fh"))), strength))
-            shorts.append(F.when(flag(common & down & (c("dr") >= 0) & (c("dr") <= retrace * -pm) & (close < c("fl"))), strength))
-        a, b = F.greatest(*longs), F.greatest(*shorts)
-        found.append((name, a.isNotNull() & b.isNull(), b.isNotNull() & a.isNull(), a, b))
+            won = F.struct(strength.alias("s"), F.lit(-f).alias("len"), move.alias("move"))  # the shorter pause wins a tie
+            longs.append(F.when(flag(common & up & (c("dr") <= 0) & (-c("dr") <= retrace * pm) & (close > c("fh"))), won))
+            shorts.append(F.when(flag(common & down & (c("dr") >= 0) & (c("dr") <= retrace * -pm) & (close < c("fl"))), won))
+        out = out.withColumns({f"_{name}_a": F.greatest(*longs), f"_{name}_b": F.greatest(*shorts)})
+        a, b = F.col(f"_{name}_a"), F.col(f"_{name}_b")
+        found.append((name, a.isNotNull() & b.isNull(), b.isNotNull() & a.isNull(), a["s"], b["s"], {"flag_len": (-a["len"], -b["len"]), "pole_move_atr": (a["move"], b["move"])}))
     return _events(out, found)
 
 
@@ -174,13 +198,14 @@ def squeezes(df: DataFrame) -> DataFrame:
         if narrow:
             ready = ready & flag(F.col("_nr71"))
         calm = F.greatest(1 - F.col("_bp1"), F.lit(0.0))
-        found.append((name, ready & (close > hi), ready & (close < lo), ratio(close - hi, atr) * calm, ratio(lo - close, atr) * calm))
+        found.append((name, ready & (close > hi), ready & (close < lo), ratio(close - hi, atr) * calm, ratio(lo - close, atr) * calm, {"squeeze_pctile_prev": (F.col("_bp1"),) * 2, "squeeze_run_prev": (F.col(f"_{name}_run1"),) * 2, "expansion_tr_atr": (ratio(F.col("true_range"), atr),) * 2}))
     return _events(out, found)
 
 
 # --- detectors with state ------------------------------------------------------------------------------------------
 
-Found = list[tuple[int, str, float]]
+#: Row, side, strength, kind and figures by name of each event.
+Found = list[tuple[int, str, float, str | None, dict[str, float]]]
 
 
 def _pivots(bars: dict[str, np.ndarray], m: int, top: bool) -> np.ndarray:
@@ -231,7 +256,7 @@ def level_flips(bars: dict[str, np.ndarray], p: dict, m: int = 3) -> Found:
         a = atr[t]
         if not a > 0:
             continue
-        best = {1: 0.0, -1: 0.0}
+        best: dict[int, tuple] = {1: (0.0, None), -1: (0.0, None)}
         for lev in book:
             way = lev.armed
             if way == 0 or t - lev.broke < p["soonest"]:
@@ -245,8 +270,9 @@ def level_flips(bars: dict[str, np.ndarray], p: dict, m: int = 3) -> Found:
                 holds = depth <= p["pierce"] * a and way * (close[t] - lev.price) > p["hold"] * a and way * (close[t - 1] - lev.price) > 0
                 if holds and lev.touches >= p["touches"]:
                     clean = 1 - 0.75 * min(max(depth, 0.0) / (p["pierce"] * a), 1.0)
-                    best[way] = max(best[way], lev.touches * clean)
-        out += [(t, "long" if way > 0 else "short", s) for way, s in best.items() if s > 0]
+                    if lev.touches * clean > best[way][0]:
+                        best[way] = (lev.touches * clean, {"level_price": lev.price, "level_touches": float(lev.touches), "break_age": float(t - lev.broke)})
+        out += [(t, "long" if way > 0 else "short", s, None, meta) for way, (s, meta) in best.items() if s > 0]
         for lev in book:
             beyond = close[t] - lev.price
             now = 1 if beyond > p["margin"] * a else -1 if beyond < -p["margin"] * a else lev.side
@@ -281,14 +307,18 @@ def _line(at: list[int], x: np.ndarray) -> tuple[float, float, float]:
     return slope, base, float(np.abs(y - base - slope * t).mean())
 
 
-def _breaks(top: float, bottom: float, flat: float) -> tuple[int, ...]:
-    """Directions that a pair of slopes may break in: rising wedges down, falling ones up, triangles either way."""
+def _breaks(top: float, bottom: float, flat: float) -> tuple[str | None, tuple[int, ...]]:
+    """The shape of a pair of slopes, and the directions it may break in: rising wedges down, falling ones up, triangles
+    either way."""
     if top > flat and bottom > flat:
-        return (-1,)
+        return "rising_wedge", (-1,)
     if top < -flat and bottom < -flat:
-        return (1,)
-    triangle = (abs(top) <= flat and bottom > flat) or (top < -flat and abs(bottom) <= flat) or (top < -flat and bottom > flat)
-    return (1, -1) if triangle else ()
+        return "falling_wedge", (1,)
+    if abs(top) <= flat and bottom > flat:
+        return "ascending_triangle", (1, -1)
+    if top < -flat and abs(bottom) <= flat:
+        return "descending_triangle", (1, -1)
+    return ("symmetric_triangle", (1, -1)) if top < -flat and bottom > flat else (None, ())
 
 
 def wedges(bars: dict[str, np.ndarray], p: dict) -> Found:
@@ -304,14 +334,14 @@ def wedges(bars: dict[str, np.ndarray], p: dict) -> Found:
             recent = [[int(k) for k in piv[piv + m <= t][-12:] if k >= t - p["back"]][-p["most"] :] for piv in (tops, bottoms)]
             if a > 0 and min(map(len, recent)) >= 2:
                 (rs, rb, rm), (ss, sb, sm) = _line(recent[0], high), _line(recent[1], low)
-                ways, start = _breaks(rs / a, ss / a, p["flat"]), min(recent[0][0], recent[1][0])
+                (kind, ways), start = _breaks(rs / a, ss / a, p["flat"]), min(recent[0][0], recent[1][0])
                 first, now = (rb + rs * start) - (sb + ss * start), (rb + rs * t) - (sb + ss * t)
                 fits = max(rm, sm) <= p["fit"] * a and (ss - rs) / a >= p["converge"] and first > 0 and now > 0
                 if fits and ways and 1 - now / first >= p["shrink"] and sb + ss * t - p["margin"] * a <= close[t] <= rb + rs * t + p["margin"] * a:
-                    lines = (rs, rb, ss, sb, first, ways, len(recent[0]) + len(recent[1]), t)
+                    lines = (rs, rb, ss, sb, first, ways, len(recent[0]) + len(recent[1]), t, kind)
         if lines is None:
             continue
-        rs, rb, ss, sb, first, ways, touches, made = lines
+        rs, rb, ss, sb, first, ways, touches, made, kind = lines
         top, bottom = rb + rs * t, sb + ss * t
         if t - made > p["age"] or top <= bottom or not a > 0:
             lines = None
@@ -319,7 +349,8 @@ def wedges(bars: dict[str, np.ndarray], p: dict) -> Found:
         way = 1 if close[t] > top + p["margin"] * a else -1 if close[t] < bottom - p["margin"] * a else 0
         if way:
             if way in ways:
-                out.append((t, "long" if way > 0 else "short", touches * min(max(1 - (top - bottom) / first, 0.0), 1.0)))
+                narrowed = min(max(1 - (top - bottom) / first, 0.0), 1.0)
+                out.append((t, "long" if way > 0 else "short", touches * narrowed, kind, {"touch_count": float(touches), "convergence": narrowed}))
             lines = None
     return out
 
@@ -366,19 +397,20 @@ def retracements(bars: dict[str, np.ndarray], p: dict) -> Found:
             continue
         way = leg["way"]
         if leg["zone"] is None:
-            best = 0
+            best, at_share = 0, 0.0
             for share in p["levels"]:
                 price = leg["to"] - share * (leg["to"] - leg["from"])
                 met = low[t] <= price <= high[t] if p["use"] else (low[t] < leg["to"] if way > 0 else high[t] > leg["to"])
                 near = _others(prices, price, p["near"] * a, (leg["from"], leg["to"])) if met else 0
-                if near:
-                    best = max(best, near + p["use"])
+                if near and near + p["use"] > best:
+                    best, at_share = near + p["use"], share
             if best:
-                leg["zone"] = (high[t] if way > 0 else low[t], best)
+                leg["zone"] = (high[t] if way > 0 else low[t], best, at_share)
             continue
-        edge, factors = leg["zone"]
+        edge, factors, at_share = leg["zone"]
         if way * (close[t] - edge) > 0:
-            out.append((t, "long" if way > 0 else "short", factors * way * (close[t] - edge) / a))
+            clean = way * (close[t] - edge) / a
+            out.append((t, "long" if way > 0 else "short", factors * clean, None, {"confluence_count": float(factors), "fib_level": at_share, "reclaim_cleanliness": clean}))
             leg = None
         elif (low[t] < leg["from"]) if way > 0 else (high[t] > leg["from"]):
             leg = None
@@ -393,7 +425,8 @@ STATEFUL: dict[str, Callable[[dict[str, np.ndarray]], Found]] = {
 
 
 def register_detector(name: str, fn: Callable[[dict[str, np.ndarray]], Found]) -> None:
-    """``fn`` gets arrays (open, high, low, close, volume, atr) of one ticker and returns (row, side, strength) events."""
+    """``fn`` gets arrays (open, high, low, close, volume, atr) of one ticker and returns (row, side, strength, kind, figures)
+    of its events; the last two may be left out."""
     STATEFUL[name] = fn
 
 
@@ -405,8 +438,8 @@ def detect_universe(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
         arrays = {c: pdf[c].to_numpy(float) for c in ("open", "high", "low", "close", "volume")} | {"atr": np.nan_to_num(pdf["atr_14"].to_numpy(float))}
-        rows = [(pdf["ticker"].iloc[0], pdf["date"].iloc[t], n, side, float(s)) for n, fn in chosen.items() for t, side, s in fn(arrays)]
-        return pd.DataFrame(rows, columns=["ticker", "date", "detector", "side", "strength"])
+        rows = [(pdf["ticker"].iloc[0], pdf["date"].iloc[t], n, side, float(s), *(more or (None, None))) for n, fn in chosen.items() for t, side, s, *more in fn(arrays)]
+        return pd.DataFrame(rows, columns=["ticker", "date", "detector", "side", "strength", "kind", "meta"])
 
     return df.select("ticker", "date", "open", "high", "low", "close", "volume", "atr_14").groupBy("ticker").applyInPandas(run, EVENTS)
 

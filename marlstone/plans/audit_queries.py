@@ -9,10 +9,10 @@ from ..functions.exprs import js_round
 from ..operators import bars as B
 from ..operators import book, detectors, evaluation, flow, gamma, hitlist
 from ..operators import technicals as T
-from .adapters import ALERTS, BARS, CALENDAR, alerts, bars, calendar, chain, position_events, raw_alerts, read
+from .adapters import ALERTS, BARS, CALENDAR, alerts, bars, calendar, position_events, raw_alerts, read, trades
 from .desk_queries import CELLS, DAY, STRIKES, _cells, _panel, _ranked, _snapshots, _strikes
 from .flow_queries import LAST, OTM, SESSION
-from .pattern_queries import _VALID, _divergence_sql, _false_break_sql, _flag_sql, _squeeze_sql
+from .pattern_queries import STATE, _divergence_sql, _false_break_sql, _flag_sql, _squeeze_sql
 from .registry import query, rounded
 from .technical_queries import BASE, LABELS, LADDER, W
 
@@ -276,13 +276,10 @@ def e5_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _study_sql(found: list[str], window: str, least: int) -> str:
     """The same from SQL events. Each source is a whole statement with its own CTEs."""
-    state = """sw AS (SELECT ticker, date + CAST((12 - dayofweek(date)) % 7 AS INTEGER) AS week, arg_max(close, date) AS c FROM bars GROUP BY 1, 2),
-sm AS (SELECT *, CASE WHEN count(*) OVER f = 10 THEN avg(c) OVER f END AS fast, CASE WHEN count(*) OVER s = 20 THEN avg(c) OVER s END AS slow FROM sw WINDOW f AS (PARTITION BY ticker ORDER BY week ROWS 9 PRECEDING), s AS (PARTITION BY ticker ORDER BY week ROWS 19 PRECEDING)),
-ss AS (SELECT ticker, week, lag(CASE WHEN slow IS NULL THEN NULL WHEN c > fast AND fast > slow THEN 1 WHEN c < fast AND fast < slow THEN -1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY week) AS htf FROM sm)"""
     inside = f"date <= (SELECT max(te) FROM sp) AND date >= (SELECT min(ts) FROM sp)" if window == "folds" else "date <= (SELECT max(te) FROM sp)"
     med = lambda v, c: f"quantile_cont({v}, 0.5) FILTER (WHERE {c})"
     over = lambda a, b: f"round({a} / nullif({b}, 0), 6)"
-    return f"""WITH ev AS ({' UNION ALL '.join(f'SELECT * FROM ({x})' for x in found)}), {BASE}, {LABELS}, {FOLDS}, sp AS (SELECT fold, (SELECT date FROM d WHERE i = lo) AS ts, (SELECT date FROM d WHERE i = hi) AS te FROM fo WHERE fold <> 'oos'), {state},
+    return f"""WITH ev AS ({' UNION ALL '.join(f'SELECT ticker, date, detector, side, strength FROM ({x})' for x in found)}), {BASE}, {LABELS}, {FOLDS}, sp AS (SELECT fold, (SELECT date FROM d WHERE i = lo) AS ts, (SELECT date FROM d WHERE i = hi) AS te FROM fo WHERE fold <> 'oos'), {STATE},
 rw AS (SELECT h3.ticker, h3.date, htf, label_long, label_long_outcome_return AS ol, label_short, label_short_outcome_return AS os FROM h3 LEFT JOIN ss ON ss.ticker = h3.ticker AND ss.week = h3.date + CAST((12 - dayofweek(h3.date)) % 7 AS INTEGER) WHERE {inside}),
 sd AS (SELECT ticker, date, 'long' AS side, label_long AS label, ol AS outcome, label_short AS other, os AS other_outcome, coalesce(htf = 1, false) AS wt, coalesce(htf = -1, false) AS ag FROM rw UNION ALL SELECT ticker, date, 'short', label_short, os, label_long, ol, coalesce(htf = -1, false), coalesce(htf = 1, false) FROM rw),
 bs AS (SELECT side, avg(label) AS base, avg(label) FILTER (WHERE wt) AS base_htf, avg(other) AS base_other, count(label) AS n_rows FROM sd GROUP BY 1), hi AS (SELECT ev.detector, ev.strength, sd.* FROM ev JOIN sd USING (ticker, date, side) WHERE label IS NOT NULL),
@@ -353,3 +350,19 @@ def e3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of both sides over the five folds and the held-out year, from all feature columns."""
     m = T.build_dataset(bars(spark, sf_dir))
     return evaluation.score_both_sides(m, evaluation.folds(m), T.feature_columns(m))
+
+
+@query("e8_ablation")
+def e8_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Technical features, block-print features and both, over the dates that have prints: metrics of each set, and in the
+    rows of set ``delta`` what both add to the technical ones on the held-out year."""
+    t = trades(spark, sf_dir).filter("size >= 30")
+    daily = t.groupBy("ticker", F.to_date("executed_at").alias("date")).agg(F.count("*").alias("dp_print_count"), F.sum("premium").alias("dp_total_premium"))
+    m = flow.print_intensity(flow.join_daily(T.build_dataset(bars(spark, sf_dir)), daily, "has_dp"))
+    groups = T.feature_groups(m)
+    sets = {"ta": groups["ta"], "dp": groups["dp"], "ta+dp": groups["ta"] + groups["dp"]}
+    reports, delta = evaluation.ablation(m, evaluation.folds, sets, F.lit("1998-01-01").cast("date"), ("ta", "ta+dp"))
+    figures = ["roc_auc", "pr_auc", "pr_auc_lift", "brier"]
+    own = reports.select("feature_set", "side", "segment", "n", *figures)
+    added = delta.select(F.lit("delta").alias("feature_set"), "side", F.lit("oos").alias("segment"), F.lit(None).cast("long").alias("n"), F.col("delta_roc_auc").alias("roc_auc"), F.col("delta_pr_auc").alias("pr_auc"), *[F.lit(None).cast("double").alias(c) for c in figures[2:]])
+    return own.unionByName(added)

@@ -121,16 +121,42 @@ def w30_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LEADING = BASE.index("i0 AS")
 
 
-def _rows_sql(cte: str, found: list[tuple[str, str, str, str, str]]) -> str:
-    """(name, long, short, strength if long, strength if short) -> event rows."""
-    parts = [f"SELECT ticker, date, '{n}' AS detector, '{side}' AS side, round(coalesce(({v})::DOUBLE, 0), 6) AS strength FROM {cte} WHERE {c}" for n, a, b, x, y in found for side, c, v in (("long", a, x), ("short", b, y))]
+STATE = """sw AS (SELECT ticker, date + CAST((12 - dayofweek(date)) % 7 AS INTEGER) AS week, arg_max(close, date) AS c FROM bars GROUP BY 1, 2),
+sm AS (SELECT *, CASE WHEN count(*) OVER f = 10 THEN avg(c) OVER f END AS fast, CASE WHEN count(*) OVER s = 20 THEN avg(c) OVER s END AS slow FROM sw WINDOW f AS (PARTITION BY ticker ORDER BY week ROWS 9 PRECEDING), s AS (PARTITION BY ticker ORDER BY week ROWS 19 PRECEDING)),
+ss AS (SELECT ticker, week, lag(CASE WHEN slow IS NULL THEN NULL WHEN c > fast AND fast > slow THEN 1 WHEN c < fast AND fast < slow THEN -1 ELSE 0 END) OVER (PARTITION BY ticker ORDER BY week) AS htf FROM sm)"""
+FIGURES: dict[str, list[str]] = {
+    "p1_divergences": [],
+    "p2_gaps": ["gap_atr"],
+    "p3_clouds": ["slow_slope_atr"],
+    "p4_false_breaks": ["overshoot_atr", "level"],
+    "p5_flags": ["flag_len", "pole_move_atr"],
+    "p6_squeezes": ["squeeze_pctile_prev", "squeeze_run_prev", "expansion_tr_atr"],
+    "p7_p8_p9_stateful": ["level_price", "level_touches", "break_age", "touch_count", "convergence", "confluence_count", "fib_level", "reclaim_cleanliness"],
+}
+
+
+def _rows_sql(cte: str, found: list[tuple], figures: dict[str, tuple[str, str]] | None = None) -> str:
+    """(name, long, short, strength if long, strength if short[, figures]) -> event rows."""
+    parts = []
+    for n, a, b, x, y, *own in found:
+        for k, (side, c, v) in enumerate((("long", a, x), ("short", b, y))):
+            more = "".join(f", round(({both[k]})::DOUBLE, 6) AS {name}" for name, both in (own[0] if own else figures or {}).items())
+            parts.append(f"SELECT ticker, date, '{n}' AS detector, '{side}' AS side, round(coalesce(({v})::DOUBLE, 0), 6) AS strength{more} FROM {cte} WHERE {c}")
     return " UNION ALL ".join(parts)
 
 
+def _stated(sql: str) -> str:
+    """An event statement with the weekly trend of each event's day."""
+    return f"WITH e AS ({sql}), {BASE[: BASE.index('i0 AS')].rstrip().rstrip(',')}, {STATE} SELECT e.*, htf::DOUBLE AS htf FROM e LEFT JOIN ss ON ss.ticker = e.ticker AND ss.week = e.date + CAST((12 - dayofweek(e.date)) % 7 AS INTEGER)"
+
+
 def _event(name: str, family, sql: str | None = None) -> None:
-    @query(name, sql)
+    @query(name, sql and _stated(sql))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(family(detectors.prepared(bars(spark, sf_dir), family)))
+        b = bars(spark, sf_dir)
+        out = detectors.with_state(family(detectors.prepared(b, family)), b)
+        kind = ["kind"] if family is detectors.detect_universe else []
+        return rounded(out.select("ticker", "date", "detector", "side", "strength", *kind, *[F.col("meta")[c].alias(c) for c in FIGURES[name]], "htf"))
 
 
 def _divergence_sql() -> str:
@@ -151,7 +177,7 @@ _event("p1_divergences", detectors.divergences, _divergence_sql())
 _GAPS = []
 for _k in ("1.0", "1.5"):
     _GAPS += [(f"gap_go_{_k}", f"g >= {_k} AND close > open", f"g <= -{_k} AND close < open", "abs(g)", "abs(g)"), (f"gap_fade_{_k}", f"g <= -{_k} AND close > open", f"g >= {_k} AND close < open", "abs(g)", "abs(g)")]
-_event("p2_gaps", detectors.gaps, f"WITH {BASE}, g AS (SELECT *, (open - c1) / nullif(lag(atr_14) OVER {W}, 0) AS g FROM i3) {_rows_sql('g', _GAPS)}")
+_event("p2_gaps", detectors.gaps, f"WITH {BASE}, g AS (SELECT *, (open - c1) / nullif(lag(atr_14) OVER {W}, 0) AS g FROM i3) {_rows_sql('g', _GAPS, {'gap_atr': ('g', 'g')})}")
 
 
 def _ema(x: str, span: int) -> str:
@@ -168,8 +194,8 @@ def _cloud_sql() -> str:
         two.append(f"{name}_mid - lag({name}_mid) OVER {W} AS {name}_s, lag({name}_ft) OVER {W} AS {name}_ft1, lag({name}_fb) OVER {W} AS {name}_fb1, rn > {max(a, b, c, d, 14) + 2} AS {name}_warm")
         three.append(f"lag({name}_s) OVER {W} AS {name}_s1")
         bull, bear = f"close > {name}_st AND {name}_s >= 0", f"close < {name}_sb AND {name}_s <= 0"
-        found.append((f"{name}_reclaim", f"{name}_warm AND c1 < {name}_fb1 AND close > {name}_ft AND {bull}", f"{name}_warm AND c1 > {name}_ft1 AND close < {name}_fb AND {bear}", f"greatest((close - {name}_ft) / nullif(atr_14, 0), 0)", f"greatest(({name}_fb - close) / nullif(atr_14, 0), 0)"))
-        found.append((f"{name}_curl_flip", f"{name}_warm AND {name}_s1 <= 0 AND {name}_s > 0 AND close > {name}_st", f"{name}_warm AND {name}_s1 >= 0 AND {name}_s < 0 AND close < {name}_sb", f"greatest({name}_s / nullif(atr_14, 0), 0)", f"greatest(-{name}_s / nullif(atr_14, 0), 0)"))
+        found.append((f"{name}_reclaim", f"{name}_warm AND c1 < {name}_fb1 AND close > {name}_ft AND {bull}", f"{name}_warm AND c1 > {name}_ft1 AND close < {name}_fb AND {bear}", f"greatest((close - {name}_ft) / nullif(atr_14, 0), 0)", f"greatest(({name}_fb - close) / nullif(atr_14, 0), 0)", {"slow_slope_atr": (f"{name}_s / nullif(atr_14, 0)",) * 2}))
+        found.append((f"{name}_curl_flip", f"{name}_warm AND {name}_s1 <= 0 AND {name}_s > 0 AND close > {name}_st", f"{name}_warm AND {name}_s1 >= 0 AND {name}_s < 0 AND close < {name}_sb", f"greatest({name}_s / nullif(atr_14, 0), 0)", f"greatest(-{name}_s / nullif(atr_14, 0), 0)", {"slow_slope_atr": (f"{name}_s / nullif(atr_14, 0)",) * 2}))
     emas = ", ".join(f"{_ema('close', s)} AS e{s}" for s in spans)
     return f"WITH {BASE}, e0 AS (SELECT *, {emas} FROM i3), e1 AS (SELECT *, {', '.join(one)} FROM e0), e2 AS (SELECT *, {', '.join(two)} FROM e1), e3 AS (SELECT *, {', '.join(three)} FROM e2) {_rows_sql('e3', found)}"
 
@@ -182,10 +208,10 @@ def _false_break_sql() -> str:
     for name, k in (("k20_1bar", 20), ("k55_1bar", 55)):
         cols += [f"{_roll('min', 'low', k, 1)} AS lo{k}", f"{_roll('max', 'high', k, 1)} AS hi{k}"]
         under, over = f"(lo{k} - low) / nullif(atr_14, 0)", f"(high - hi{k}) / nullif(atr_14, 0)"
-        found.append((name, f"low < lo{k} AND close > lo{k} AND {under} BETWEEN 0.25 AND 1.5", f"high > hi{k} AND close < hi{k} AND {over} BETWEEN 0.25 AND 1.5", under, over))
+        found.append((name, f"low < lo{k} AND close > lo{k} AND {under} BETWEEN 0.25 AND 1.5", f"high > hi{k} AND close < hi{k} AND {over} BETWEEN 0.25 AND 1.5", under, over, {"overshoot_atr": (under, over), "level": (f"lo{k}", f"hi{k}")}))
     cols += [f"{_roll('min', 'low', 20, 3)} AS lo", f"{_roll('max', 'high', 20, 3)} AS hi", f"{_roll('min', 'low', 3)} AS dlo", f"{_roll('max', 'high', 3)} AS dhi"]
     under, over = "(lo - dlo) / nullif(atr_14, 0)", "(dhi - hi) / nullif(atr_14, 0)"
-    found.append(("k20_2bar", f"c1 < lo AND (c2 >= lo OR (c2 < lo AND c3 >= lo)) AND close > lo AND {under} BETWEEN 0.25 AND 1.5", f"c1 > hi AND (c2 <= hi OR (c2 > hi AND c3 <= hi)) AND close < hi AND {over} BETWEEN 0.25 AND 1.5", under, over))
+    found.append(("k20_2bar", f"c1 < lo AND (c2 >= lo OR (c2 < lo AND c3 >= lo)) AND close > lo AND {under} BETWEEN 0.25 AND 1.5", f"c1 > hi AND (c2 <= hi OR (c2 > hi AND c3 <= hi)) AND close < hi AND {over} BETWEEN 0.25 AND 1.5", under, over, {"overshoot_atr": (under, over), "level": ("lo", "hi")}))
     return f"WITH {BASE}, f AS (SELECT *, {', '.join(cols)} FROM i3) {_rows_sql('f', found)}"
 
 
@@ -206,10 +232,10 @@ def _flag_sql() -> str:
             common = f"{span} <= {tight} AND ftr{f} <= {contraction} * ptr{f}" + (f" AND fv{f} <= {volume} * pv{f}" if volume else "")
             up, down = (f"{move} >= {least}", f"{move} <= -{least}") if least else (f"mp{f} >= 0.9 AND {move} > 0", f"mp{f} <= 1 - 0.9::DOUBLE AND {move} < 0")
             strength = f"abs({move}) / greatest({span}, 0.25)"
-            longs.append(f"CASE WHEN {common} AND {up} AND dr{f} <= 0 AND -dr{f} <= {retrace} * pm{f} AND close > fh{f} THEN {strength} END")
-            shorts.append(f"CASE WHEN {common} AND {down} AND dr{f} >= 0 AND dr{f} <= {retrace} * -pm{f} AND close < fl{f} THEN {strength} END")
+            longs.append(f"CASE WHEN {common} AND {up} AND dr{f} <= 0 AND -dr{f} <= {retrace} * pm{f} AND close > fh{f} THEN {{'s': {strength}, 'len': -{f}, 'move': {move}}} END")
+            shorts.append(f"CASE WHEN {common} AND {down} AND dr{f} >= 0 AND dr{f} <= {retrace} * -pm{f} AND close < fl{f} THEN {{'s': {strength}, 'len': -{f}, 'move': {move}}} END")
         sides.append(f"greatest({', '.join(longs)}) AS {name}_a, greatest({', '.join(shorts)}) AS {name}_b")
-        found.append((name, f"{name}_a IS NOT NULL AND {name}_b IS NULL", f"{name}_b IS NOT NULL AND {name}_a IS NULL", f"{name}_a", f"{name}_b"))
+        found.append((name, f"{name}_a IS NOT NULL AND {name}_b IS NULL", f"{name}_b IS NOT NULL AND {name}_a IS NULL", f"{name}_a.s", f"{name}_b.s", {"flag_len": (f"-{name}_a.len", f"-{name}_b.len"), "pole_move_atr": (f"{name}_a.move", f"{name}_b.move")}))
     return f"""WITH {BASE}, m0 AS (SELECT *, (close - lag(close, 5) OVER {W}) / nullif(atr_14, 0) AS momentum FROM i3), m1 AS (SELECT *, {_rank('momentum', 252)} AS mp FROM m0),
 m2 AS (SELECT *, {', '.join(cols)} FROM m1), m3 AS (SELECT ticker, date, {', '.join(sides)} FROM m2) {_rows_sql('m3', found)}"""
 
@@ -225,7 +251,7 @@ def _squeeze_sql() -> str:
         last.append(f"coalesce(lag({name}_broke) OVER {W}, false) AS {name}_broke1")
         ready = f"{name}_run1 >= {n} AND NOT {name}_broke1 AND true_range / nullif(atr_14, 0) >= {wide}" + (" AND coalesce(nr1, false)" if narrow else "")
         calm = "greatest(1 - bp1, 0)"
-        found.append((name, f"{ready} AND close > {name}_hi", f"{ready} AND close < {name}_lo", f"(close - {name}_hi) / nullif(atr_14, 0) * {calm}", f"({name}_lo - close) / nullif(atr_14, 0) * {calm}"))
+        found.append((name, f"{ready} AND close > {name}_hi", f"{ready} AND close < {name}_lo", f"(close - {name}_hi) / nullif(atr_14, 0) * {calm}", f"({name}_lo - close) / nullif(atr_14, 0) * {calm}", {"squeeze_pctile_prev": ("bp1", "bp1"), "squeeze_run_prev": (f"{name}_run1",) * 2, "expansion_tr_atr": ("true_range / nullif(atr_14, 0)",) * 2}))
     return f"""WITH {BASE}, {PCTL}, q0 AS (SELECT *, high - low AS span FROM p0), q1 AS (SELECT *, span <= {_roll('min', 'span', 7)} AS nr, {', '.join(cols)} FROM q0),
 q2 AS (SELECT *, lag(bb_bandwidth_pctile) OVER {W} AS bp1, lag(nr) OVER {W} AS nr1, {', '.join(more)} FROM q1), q3 AS (SELECT *, {', '.join(last)} FROM q2) {_rows_sql('q3', found)}"""
 
@@ -233,6 +259,17 @@ q2 AS (SELECT *, lag(bb_bandwidth_pctile) OVER {W} AS bp1, lag(nr) OVER {W} AS n
 _event("p6_squeezes", detectors.squeezes, _squeeze_sql())
 _event("p7_p8_p9_stateful", detectors.detect_universe)
 
+
+@query("p0_empty_weeks", f"""WITH {BASE[: BASE.index('i0 AS')].rstrip().rstrip(',')}, b AS (SELECT * FROM bars WHERE CAST(substr(ticker, 2) AS INTEGER) % 2 = 0 OR month(date) NOT IN (7, 8)), w AS (SELECT ticker, date + CAST((12 - dayofweek(date)) % 7 AS INTEGER) AS week, arg_max(close, date) AS c FROM b GROUP BY 1, 2),
+sp AS (SELECT ticker, CAST(unnest(generate_series(min(week), max(week), INTERVAL 7 DAY)) AS DATE) AS week FROM w GROUP BY 1), d AS (SELECT sp.ticker, sp.week, c FROM sp LEFT JOIN w USING (ticker, week)),
+m AS (SELECT *, CASE WHEN count(c) OVER f = 10 THEN avg(c) OVER f END AS fast, CASE WHEN count(c) OVER s = 20 THEN avg(c) OVER s END AS slow FROM d WINDOW f AS (PARTITION BY ticker ORDER BY week ROWS 9 PRECEDING), s AS (PARTITION BY ticker ORDER BY week ROWS 19 PRECEDING)),
+p AS (SELECT ticker, week, lag(CASE WHEN slow IS NULL THEN NULL WHEN c > fast AND fast > slow THEN 1.0 WHEN c < fast AND fast < slow THEN -1.0 ELSE 0.0 END) OVER (PARTITION BY ticker ORDER BY week) AS htf FROM m)
+SELECT b.ticker, b.date, coalesce(htf, 0)::DOUBLE AS htf FROM b LEFT JOIN p ON p.ticker = b.ticker AND p.week = b.date + CAST((12 - dayofweek(b.date)) % 7 AS INTEGER)""")
+def p0_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squeezes' convention, on bars that lack two months of every year for the odd tickers."""
+    b = bars(spark, sf_dir).filter((F.substring("ticker", 2, 9).cast("int") % 2 == 0) | ~F.month("date").isin(7, 8))
+    return detectors.weekly_state(b, 0.0, empty_weeks=True)
+
 # --- event sets and labels over the matrix -------------------------------------------------------------------------
 
 _SETS = {
