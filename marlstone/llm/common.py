@@ -128,14 +128,19 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
-def rows_of(df: DataFrame, keep: int) -> int:
-    """Number of rows, counted up to ``keep + 1`` only: a size check before a broadcast."""
-    return df.limit(keep + 1).count()
-
-
-def broadcast_if_small(df: DataFrame, limit: int) -> DataFrame:
-    """Hint a broadcast only if ``df`` has at most ``limit`` rows; larger tables keep the shuffled join."""
-    return F.broadcast(df) if rows_of(df, limit) <= limit else df
+def size_of(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of ``df``, by one aggregation: a size check before a broadcast."""
+    texts = [f.name for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    sums = [F.coalesce(F.sum(F.octet_length(F.col(f"`{c}`"))), F.lit(0)).alias(f"b{k}") for k, c in enumerate(texts)]
+    row = df.agg(F.count("*").alias("n"), *sums).first()
+    return row["n"], sum(row[1:]) + 16 * len(df.columns) * row["n"]
+
+
+def broadcast_if_small(df: DataFrame, limit: int, most_bytes: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast only if ``df`` has at most ``limit`` rows and ``most_bytes`` bytes; larger tables keep the shuffled
+    join."""
+    rows, size = size_of(df)
+    return F.broadcast(df) if rows <= limit and size <= most_bytes else df
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread: list[str], how: str = "inner", salts: int = 32) -> DataFrame:
