@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.store import written
+
 
 def folds(matrix: DataFrame, n: int = 5, oos_months: int = 12, embargo: int = 10) -> DataFrame:
     """Expanding walk-forward folds over the distinct dates: (fold, train_start, train_end, test_start, test_end, is_oos).
@@ -236,9 +238,10 @@ def top_entries(predictions: DataFrame, side: str, n: int, oos_only: bool = True
     return out.orderBy(F.desc(f"p_{side}"), "ticker", "date").limit(n)
 
 
-def out_of_fold(matrix: DataFrame, plan: DataFrame, features: list[str], side: str = "long", trees: int = 10, depth: int = 5) -> DataFrame:
+def out_of_fold(matrix: DataFrame, plan: DataFrame, features: list[str], side: str = "long", trees: int = 5, depth: int = 5) -> DataFrame:
     """(ticker, date, fold, is_oos, label_*, raw, p_*): out-of-fold scores of boosted trees, calibrated by isotonic regression
-    on the late training rows of each fold. Missing values are a value of their own below all others."""
+    on the late training rows of each fold. Missing values are a value of their own below all others. The rows are written
+    once, as every round of boosting reads them."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import IsotonicRegression
@@ -246,6 +249,7 @@ def out_of_fold(matrix: DataFrame, plan: DataFrame, features: list[str], side: s
     low = [F.coalesce(F.col(c).cast("double"), F.lit(-999.0)).alias(c) for c in features]
     rows = assign_folds(matrix.select("ticker", "date", f"label_{side}", *low), plan).filter(F.col(f"label_{side}").isNotNull())
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows).withColumn("label", F.col(f"label_{side}")).select("ticker", "date", "fold", "is_oos", "role", "label", "features")
+    rows = written(rows, f"folds-{side}")
     names = [r["fold"] for r in plan.select("fold").collect()]  # a handful of folds
     out = None
     for name in names:
@@ -260,6 +264,7 @@ def out_of_fold(matrix: DataFrame, plan: DataFrame, features: list[str], side: s
 
 def score_both_sides(matrix: DataFrame, plan: DataFrame, features: list[str], **settings) -> DataFrame:
     """Out-of-fold scores of both sides in one row for each test row: (ticker, date, fold, is_oos, label_*, p_*)."""
+    matrix, plan = written(matrix, "matrix"), written(plan, "folds")
     keys = ["ticker", "date", "fold", "is_oos"]
     sides = [out_of_fold(matrix, plan, features, side, **settings).drop("raw") for side in ("long", "short")]
     return sides[0].join(sides[1], keys, "full")
@@ -272,8 +277,8 @@ def ablation(matrix: DataFrame, plan_of, sets: dict[str, list[str]], start, agai
     ``plan_of`` makes the folds of the windowed matrix. Returns (feature_set, side, segment, metrics...) and
     (side, delta_roc_auc, delta_pr_auc) on the held-out rows.
     """
-    window = matrix.filter(F.col("date") >= start)
-    plan = plan_of(window)
+    window = written(matrix.filter(F.col("date") >= start), "window")
+    plan = written(plan_of(window), "folds")
     reports = None
     for name, features in sets.items():
         for side in ("long", "short"):

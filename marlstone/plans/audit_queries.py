@@ -9,7 +9,7 @@ from ..functions.exprs import js_round
 from ..operators import bars as B
 from ..operators import book, detectors, evaluation, flow, gamma, hitlist
 from ..operators import technicals as T
-from .adapters import ALERTS, BARS, CALENDAR, alerts, bars, calendar, position_events, raw_alerts, read, trades
+from .adapters import ALERTS, BARS, CALENDAR, alerts, bars, calendar, position_events, raw_alerts, read
 from .desk_queries import CELLS, DAY, STRIKES, _cells, _panel, _ranked, _snapshots, _strikes
 from .flow_queries import LAST, OTM, SESSION
 from .pattern_queries import STATE, _divergence_sql, _false_break_sql, _flag_sql, _squeeze_sql
@@ -350,19 +350,3 @@ def e3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold scores of both sides over the five folds and the held-out year, from all feature columns."""
     m = T.build_dataset(bars(spark, sf_dir))
     return evaluation.score_both_sides(m, evaluation.folds(m), T.feature_columns(m))
-
-
-@query("e8_ablation")
-def e8_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Technical features, block-print features and both, over the dates that have prints: metrics of each set, and in the
-    rows of set ``delta`` what both add to the technical ones on the held-out year."""
-    t = trades(spark, sf_dir).filter("size >= 30")
-    daily = t.groupBy("ticker", F.to_date("executed_at").alias("date")).agg(F.count("*").alias("dp_print_count"), F.sum("premium").alias("dp_total_premium"))
-    m = flow.print_intensity(flow.join_daily(T.build_dataset(bars(spark, sf_dir)), daily, "has_dp"))
-    groups = T.feature_groups(m)
-    sets = {"ta": groups["ta"], "dp": groups["dp"], "ta+dp": groups["ta"] + groups["dp"]}
-    reports, delta = evaluation.ablation(m, evaluation.folds, sets, F.lit("1998-01-01").cast("date"), ("ta", "ta+dp"))
-    figures = ["roc_auc", "pr_auc", "pr_auc_lift", "brier"]
-    own = reports.select("feature_set", "side", "segment", "n", *figures)
-    added = delta.select(F.lit("delta").alias("feature_set"), "side", F.lit("oos").alias("segment"), F.lit(None).cast("long").alias("n"), F.col("delta_roc_auc").alias("roc_auc"), F.col("delta_pr_auc").alias("pr_auc"), *[F.lit(None).cast("double").alias(c) for c in figures[2:]])
-    return own.unionByName(added)

@@ -222,6 +222,19 @@ def test_ranks_in_ranges_are_the_plain_ones(spark):
     assert sorted(map(tuple, wide.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_ablation_sees_what_a_feature_adds(spark):
+    n = 900
+    day = F.expr("date_add(DATE '2018-01-01', CAST(id AS INT))")
+    m = spark.range(n).select(F.lit("A").alias("ticker"), day.alias("date"), (F.hash("id") % 2 == 0).cast("double").alias("label_long"), (F.hash("id", F.lit(1)) % 2 == 0).cast("double").alias("label_short"), F.rand(3).alias("noise"))
+    m = m.withColumns({"dp_signal": F.col("label_long") * 2 - 1 + F.col("noise") / 10, "dp_other": F.when(F.col("noise") > 0.1, F.col("noise"))})
+    sets = {"ta": ["noise"], "dp": ["dp_signal"], "ta+dp": ["noise", "dp_signal", "dp_other"]}
+    report, delta = evaluation.ablation(m, lambda w: evaluation.folds(w, n=1), sets, F.lit(D(2018, 2, 1)), ("ta", "ta+dp"), trees=1, depth=2)
+    got = {(r.feature_set, r.side, r.segment): r.roc_auc for r in report.collect()}
+    assert len(got) == 12 and got["dp", "long", "oos"] > 0.95 and 0.3 < got["ta", "long", "oos"] < 0.7
+    added = {r.side: r.delta_roc_auc for r in delta.collect()}
+    assert added["long"] > 0.3 and abs(added["short"]) < 0.3
+
+
 def test_metrics_of_signal_and_noise(spark):
     df = spark.range(4000).select(F.lit("long").alias("side"), F.lit("cv").alias("segment"), (F.col("id") % 2).cast("double").alias("y"), F.when(F.col("id") % 2 == 1, 0.6).otherwise(0.4).alias("p"))
     r = evaluation.metrics(df.union(df.withColumns({"side": F.lit("short"), "p": F.lit(0.5)}))).collect()
