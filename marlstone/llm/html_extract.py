@@ -213,6 +213,8 @@ def _covered(n: int, starts: np.ndarray, run: int = RUN) -> np.ndarray:
 
 def text_with_runs(page: list[tuple[int, str]], shared: np.ndarray) -> str:
     """The text of a page whose hashes of runs on other pages are known."""
+    if all(place != OUTSIDE for place, _ in page):
+        return "\n".join(text for place, text in page if place == INSIDE)
     split = [text.split(" ") for _, text in page]
     n = sum(map(len, split))
     whole, within, places = page_runs(split)
@@ -296,7 +298,10 @@ def _large_hosts(packed: DataFrame, result: str) -> DataFrame:
     shared = seen.filter("asked and (low <> high or unnamed > 1 or (unnamed = 1 and low is not null))").select("site", "run")
     runs = runs.filter("asked").select("site", "run", "row")
     lists = salted_join(runs, shared, ["site", "run"], ["row"]).groupBy("row").agg(F.collect_set("run").alias("shared"))
-    known = rows.join(lists, "row", "left").select("id", "url", "blocks", F.coalesce("shared", F.array().cast("array<long>")).alias("shared"))
+    # A page without a block outside articles has nothing to lose, and stays where it is.
+    empty = F.array().cast("array<long>")
+    asked = rows.filter("asks").join(lists, "row", "left").select("id", "url", "blocks", F.coalesce("shared", empty).alias("shared"))
+    known = rows.filter("not asks").select("id", "url", "blocks", empty.alias("shared")).unionByName(asked)
 
     def text(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [text_with_runs(_unpacked(b), np.array(s, np.int64)) for b, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
