@@ -15,9 +15,10 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_columns, only
+from .common import map_columns, only, written
 
 # The base patterns and the least lengths.
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -143,10 +144,16 @@ def guess_bits(value: str, ranks: dict[str, int]) -> float:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text") -> list[str]:
-    """The most frequent words of all texts, most frequent first, ties by name: ``WORDS`` of them at most reach the driver."""
+    """The most frequent words of all texts, most frequent first, ties by name. Words of one count are taken all or none,
+    so that at most ``WORDS`` of them reach the driver."""
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+")).alias("w"))
     counts = words.filter(F.length("w").between(*LETTERS)).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_SEEN)
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(WORDS).collect()]
+    counts = written(counts, "words")
+    # One row for each distinct count: a running sum over a small table.
+    taken = F.sum("k").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
+    cut = counts.groupBy("n").agg(F.count("*").alias("k")).withColumn("taken", taken).filter(F.col("taken") <= WORDS).agg(F.min("n")).first()[0]
+    found = counts.filter(F.col("n") >= cut).collect() if cut is not None else []
+    return [r["w"] for r in sorted(found, key=lambda r: (-r["n"], r["w"]))]
 
 
 def spans_of(text: str | None, ranks: dict[str, int]) -> list[tuple[int, int, int]]:
