@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,43 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.ship import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. A local session without one gets a temporary folder;
-    on a cluster that would be a folder of one machine, and is refused."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
-
-
-def own_dir(spark: SparkSession) -> str:
-    """The folder of this application in the shared one."""
-    return f"{shared_dir(spark)}/marlstone-{spark.sparkContext.applicationId}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def remove_written(spark: SparkSession) -> bool:
-    """Delete all that this application's operators have written to the shared folder; their results can't be read
-    afterwards unless they were saved elsewhere."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..functions.store import fresh_path, written  # noqa: F401  the operators take both from here
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
