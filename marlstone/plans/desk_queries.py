@@ -255,14 +255,14 @@ r AS (SELECT ticker, date, x, (nv + 1) / (v + 1) - 1 AS y FROM f)"""
 
 @query("e9_fama_macbeth", f"""WITH {PANEL}, k AS (SELECT *, count(x) OVER (PARTITION BY date) AS n FROM r), z AS (SELECT date, rank() OVER (PARTITION BY date ORDER BY x) + (count(*) OVER (PARTITION BY date, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY date ORDER BY y) + (count(*) OVER (PARTITION BY date, y) - 1) / 2.0 AS ry FROM k WHERE n >= 20 AND x IS NOT NULL AND y IS NOT NULL),
 d AS (SELECT date, corr(rx, ry) AS c FROM z GROUP BY 1 HAVING count(*) >= 3 AND stddev_pop(rx) > 0 AND stddev_pop(ry) > 0)
-SELECT 'sent_cp_ratio' AS signal, 'fwd_1' AS horizon, count(*) AS n_dates, round(avg(c), 6) AS mean_corr, round(avg(c) / (stddev_samp(c) / sqrt(count(*))), 6) AS t FROM d""")
+SELECT 'sent_cp_ratio' AS signal, 'fwd_1' AS horizon, count(*) AS n_dates, round(avg(c), 6) AS mean_corr, round(avg(c) / (stddev_samp(c) / sqrt(count(*))), 6) AS t FROM d HAVING count(*) > 0""")
 def e9_fama(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.fama_macbeth(evaluation.long_form(_panel(spark, sf_dir), ["sent_cp_ratio"], ["fwd_1"])))
 
 
 @query("e10_quintile_spread", f"""WITH {PANEL}, q AS (SELECT date, count(*) AS n, quantile_cont(x, 0.2) AS lo, quantile_cont(x, 0.8) AS hi FROM r WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1 HAVING count(*) >= 20),
 d AS (SELECT date, avg(y) FILTER (WHERE x >= hi) - avg(y) FILTER (WHERE x <= lo) AS s FROM r JOIN q USING (date) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1)
-SELECT 'sent_cp_ratio' AS signal, 'fwd_1' AS horizon, count(*) AS n_dates, round(avg(s), 6) AS mean_spread, round(avg(s) / (stddev_samp(s) / sqrt(count(*))), 6) AS t FROM d WHERE s IS NOT NULL""")
+SELECT 'sent_cp_ratio' AS signal, 'fwd_1' AS horizon, count(*) AS n_dates, round(avg(s), 6) AS mean_spread, round(avg(s) / (stddev_samp(s) / sqrt(count(*))), 6) AS t FROM d WHERE s IS NOT NULL HAVING count(*) > 0""")
 def e10_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.quintile_spread(evaluation.long_form(_panel(spark, sf_dir), ["sent_cp_ratio"], ["fwd_1"])))
 
