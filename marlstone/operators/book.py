@@ -123,15 +123,40 @@ def apply_orphan_exits(stored: DataFrame, exits: DataFrame) -> DataFrame:
     }).drop("_steps", "_end")
 
 
+OPTION = r"^\s*\$?([A-Za-z.]{1,6})\s+\$?(\d+(?:\.\d+)?)\s*([CcPp])"
+EQUITY = r"^\s*\$?([A-Za-z.]{1,6})\s*$"
+
+
 def parse_messages(raw: DataFrame) -> DataFrame:
-    """Chat messages (id, at, author, title, contract, price, pct, notes) -> events: action, contract parts and share hint."""
-    title, note = F.lower("title"), F.lower(F.concat_ws(" ", "title", "notes"))
-    action = F.when(title.rlike(r"\b(open|entry|entered|new)"), "open").when(title.rlike(r"\badd"), "add").when(title.rlike(r"\b(trim|scale|partial)"), "trim").when(title.rlike(r"\b(close|exit|stopped|sold all)"), "close")
-    part = lambda k: F.regexp_extract("contract", r"^\s*\$?([A-Z.]{1,6})\s+\$?(\d+(?:\.\d+)?)\s*([CP])\w*\s+(\d{1,2}/\d{1,2}(?:/\d{2,4})?)", k)
-    number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '[-+]?\\\\d+(?:\\\\.\\\\d+)?', 0) AS double)")
-    share = F.when(note.rlike(r"\b75\s*%|three.quarters?"), 0.75).when(note.rlike(r"\b50\s*%|\bhalf\b|1/2"), 0.5).when(note.rlike(r"\bthird\b|1/3"), 1 / 3).when(note.rlike(r"\b25\s*%|\bquarter\b|1/4"), 0.25)
-    out = raw.withColumns({"action": action, "ticker": part(1), "strike": F.expr("try_cast(nullif(" + "regexp_extract(contract, '^\\\\s*\\\\$?([A-Z.]{1,6})\\\\s+\\\\$?(\\\\d+(?:\\\\.\\\\d+)?)\\\\s*([CP])', 2), '') AS double)"), "side": F.when(part(3) == "P", "PUT").when(part(3) == "C", "CALL").otherwise("LONG"), "expiry_label": part(4), "price": number("price"), "pct": number("pct"), "frac_hint": share})
-    return out.filter(F.col("action").isNotNull() & F.col("price").isNotNull())
+    """Chat messages (id, at, title, contract, expiration, entry_price, exit_price, pct, size, notes, and asset_type if
+    there are stocks) -> events: action, contract parts, expiry, the price that goes with the action, per cent and share.
+
+    The title names the action. A contract is an option, or a ticker alone (held long, but for ``asset_type`` option). An
+    expiry without a year that passed over a week before the message is next year's. Opens alone have a size. Messages
+    without action, contract or price are no events.
+    """
+    title = F.upper(F.coalesce("title", F.lit("")))
+    says = lambda *words: F.lit(False) if not words else title.rlike("|".join(words))
+    action = F.when(says("BUY TO OPEN"), "open").when(says(r"\bADD"), "add").when(says("SCALE OUT", r"\bTRIM"), "trim").when(says("SELL TO CLOSE"), "close")
+    note = F.lower(F.concat_ws(" ", "title", "notes"))
+    per_cent = F.nullif(F.regexp_extract(note, r"\b(25|50|75)\s*%", 1), F.lit("")).cast("double") / 100
+    share = F.coalesce(per_cent, F.when(note.rlike(r"\bhalf\b"), 0.5).when(note.rlike(r"\bquarter\b"), 0.25).when(note.rlike(r"\bthird\b"), 1 / 3))
+    option = lambda k: F.nullif(F.regexp_extract("contract", OPTION, k), F.lit(""))
+    equity = F.nullif(F.regexp_extract("contract", EQUITY, 1), F.lit(""))
+    if "asset_type" in raw.columns:
+        equity = F.when(F.coalesce("asset_type", F.lit("")) != "option", equity)
+    number = lambda c, drop: F.nullif(F.regexp_extract(F.regexp_replace(F.coalesce(c, F.lit("")), drop, ""), r"^\s*([-+]?\d+(?:\.\d+)?)", 1), F.lit("")).cast("double")
+    price = F.when(F.col("action").isin("open", "add"), number("entry_price", "[$,]")).otherwise(number("exit_price", "[$,]"))
+    label = lambda k: F.nullif(F.regexp_extract("expiration", r"^\s*(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?\s*$", k), F.lit("")).cast("int")
+    on = lambda year: F.try_to_date(F.format_string("%04d-%02d-%02d", year, label(1), label(2)), "yyyy-MM-dd")
+    this = on(F.year("at"))
+    given = F.when(label(3) < 100, label(3) + 2000).otherwise(label(3))
+    expiry = F.when(label(3).isNotNull(), on(given)).when(this < F.date_sub(F.to_date("at"), 7), on(F.year("at") + 1)).otherwise(this)
+    out = raw.withColumn("action", action).filter("action is not null").withColumns({
+        "ticker": F.upper(F.coalesce(option(1), equity)), "strike": option(2).cast("double"), "side": F.when(F.upper(option(3)) == "P", "PUT").when(F.upper(option(3)) == "C", "CALL").otherwise("LONG"),
+        "expiry": expiry, "price": price, "pct": number("pct", r"[%+\s]"), "size_label": F.when(F.col("action") == "open", F.nullif(F.initcap(F.trim("size")), F.lit(""))), "frac_hint": share,
+    })
+    return out.filter(F.col("ticker").isNotNull() & F.col("price").isNotNull())
 
 
 def monthly_gains(rows: DataFrame) -> DataFrame:

@@ -108,3 +108,30 @@ def u2_retag(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = alerts(spark, sf_dir)
     resolved = a.select("ticker").distinct().filter(F.substring("ticker", 2, 9).cast("int") % 2 == 0).withColumn("sector", F.lit("sector1"))
     return book.retag(a, resolved).groupBy("ticker").agg(F.count("*").alias("n"))
+
+
+@query("s5_timeframe_bars", """WITH e AS (SELECT 'U' || user_id AS ticker, ts, event_id, value FROM events), f AS (SELECT ticker, ts, event_id, value, '5m' AS timeframe, time_bucket(INTERVAL 5 MINUTE, ts) AS bar_time FROM e UNION ALL SELECT ticker, ts, event_id, value, '1h', time_bucket(INTERVAL 1 HOUR, ts) FROM e UNION ALL SELECT ticker, ts, event_id, value, '1d', time_bucket(INTERVAL 1 DAY, ts) FROM e)
+SELECT ticker, timeframe, epoch_us(bar_time) AS bar_us, round(arg_min(value, event_id), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(arg_max(value, event_id), 6) AS close, count(*) AS n FROM f GROUP BY 1, 2, 3""")
+def s5_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of three widths, stored up to some moment within one of each; the bars since, the forming ones anew, replace them."""
+    e = read(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.col("user_id")).alias("ticker"), F.col("ts").cast("timestamp").alias("time"), "event_id", "value")
+
+    def made(rows: DataFrame) -> DataFrame:
+        parts = [rows.groupBy("ticker", F.lit(n).alias("timeframe"), F.window("time", w)["start"].alias("bar_time")).agg(F.min_by("value", "event_id").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "event_id").alias("close"), F.count("*").alias("n")) for n, w in (("5m", "5 minutes"), ("1h", "1 hour"), ("1d", "1 day"))]
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+    moment = F.lit("2024-01-15 10:17:00").cast("timestamp")
+    out = B.upsert(made(e.filter(F.col("time") < moment)), made(e.filter(F.col("time") >= F.date_trunc("day", moment))), ["ticker", "timeframe", "bar_time"])
+    return rounded(out.select("ticker", "timeframe", F.unix_micros("bar_time").alias("bar_us"), "open", "high", "low", "close", "n"))
+
+
+@query("s3_normalise_bars", f"""WITH {TRADES}, d AS (SELECT ticker, CAST(executed_at AS DATE) AS date, price, seq FROM trades) SELECT ticker, date, round(arg_max(price, seq), 8) AS close FROM d GROUP BY 1, 2""")
+def s3_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades stand in for a provider's bars: several a day, stamped in milliseconds, of which the last to arrive is kept."""
+    raw = trades(spark, sf_dir).select("ticker", (F.unix_millis("executed_at") + 3_600_000).alias("t"), F.col("seq").alias("n"), F.round("price", 8).alias("close"))
+    return B.normalise_bars(raw).select("ticker", "date", "close")
+
+
+@query("s10_wide_integers", "SELECT CAST(l_orderkey AS VARCHAR) AS l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) AS l_partkey FROM lineitem")
+def s10_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return io.wide_integers(read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), ["l_orderkey", "l_partkey"])

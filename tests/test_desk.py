@@ -190,9 +190,24 @@ def test_sources(spark, tmp_path):
 
 
 def test_messages(spark):
-    raw = spark.createDataFrame([(1, "New Entry", "$ABC 202.5C 7/20", "$1.25", None, "small"), (2, "Trim half", "ABC 202.5C 7/20", "2.50", "+100%", None), (3, "chatter", "", None, None, None)], "id long, title string, contract string, price string, pct string, notes string")
-    a, b = book.parse_messages(raw).orderBy("id").collect()
-    assert (a.action, a.ticker, a.strike, a.side, a.price) == ("open", "ABC", 202.5, "CALL", 1.25) and (b.action, b.frac_hint, b.pct) == ("trim", 0.5, 100.0)
+    fields = "id long, title string, contract string, expiration string, entry_price string, exit_price string, pct string, size string, notes string, asset_type string"
+    rows = [
+        (1, "BUY TO OPEN", "abc 202.5c", "7/20", "$1,001.25", "9", None, " large ", None, "option"),
+        (2, "SCALE OUT half", "$ABC 202.5C", "7/20/27", "1", "2.50", "+ 100%", "Small", None, "option"),
+        (3, "SELL TO CLOSE", "XYZ", None, None, "11", "-3.5%", None, "75 % now", "equity"),
+        (4, "SELL TO CLOSE", "XYZ", None, None, "11", None, None, None, "option"),
+        (5, "chatter", "ABC 1C", "1/2", "1", "1", None, None, None, "option"),
+        (6, "ADD", "ABC 15P", "1/3", "n/a", "1", None, None, None, "option"),
+        (7, "ADD", "ABC 15P", "1/3", "2", None, None, "x", "a third", "option"),
+    ]
+    raw = spark.createDataFrame(rows, fields).withColumn("at", F.lit("2026-06-30 12:00:00").cast("timestamp"))
+    got = {r.id: r for r in book.parse_messages(raw).collect()}
+    assert sorted(got) == [1, 2, 3, 7]
+    a, b, c, d = (got[k] for k in (1, 2, 3, 7))
+    assert (a.action, a.ticker, a.strike, a.side, a.expiry, a.price, a.size_label, a.frac_hint) == ("open", "ABC", 202.5, "CALL", D(2026, 7, 20), 1001.25, "Large", None)
+    assert (b.action, b.price, b.pct, b.frac_hint, b.expiry, b.size_label) == ("trim", 2.5, 100.0, 0.5, D(2027, 7, 20), None)
+    assert (c.side, c.strike, c.ticker, c.price, c.pct, c.frac_hint) == ("LONG", None, "XYZ", 11.0, -3.5, 0.75)
+    assert (d.side, d.expiry, d.price, round(d.frac_hint, 3)) == ("PUT", D(2027, 1, 3), 2.0, 0.333)
 
 
 def test_folds_are_ordered_and_embargoed(spark):
