@@ -69,6 +69,24 @@ def op10_sadedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_digests
+
+    return line_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import document_variants
+
+    return document_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,11 +105,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_langid": op9_langid,
         "op10_sadedup": op10_sadedup,
+        "op11_line_dedup": op11_line_dedup,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_variants": op13_variants,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from .decontam import ORACLE
+    from . import decontam, line_dedup
 
-    return {"op6_decontam": ORACLE}
+    return {"op6_decontam": decontam.ORACLE, "op11_line_dedup": line_dedup.ORACLE}
