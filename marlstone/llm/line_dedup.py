@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, free_name, written
-from .decontam import LOWER, UPPER, row_key
+from .common import broadcast_if_small, free_name, lower_ascii, written
+from .decontam import row_key
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Common lines are broadcast up to so many rows, and joined by a shuffle beyond.
@@ -23,14 +23,9 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _lowered(text: Column) -> Column:
-    """The text with A-Z alone in lower case."""
-    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
-
-
 def _keys(text: Column, least_chars: int) -> Column:
     """(place from 0, h, g) of the lines whose key has ``least_chars`` code points or more."""
-    line = F.transform(lines_of(_lowered(text)), lambda x, k: F.struct(k.alias("place"), F.btrim(x, F.lit(SPACES)).alias("key")))
+    line = F.transform(lines_of(lower_ascii(text)), lambda x, k: F.struct(k.alias("place"), F.btrim(x, F.lit(SPACES)).alias("key")))
     long = F.filter(line, lambda x: F.length(x["key"]) >= least_chars)
     return F.transform(long, lambda x: F.struct(x["place"].alias("place"), F.xxhash64(x["key"]).alias("h"), F.xxhash64(F.lit(1), x["key"]).alias("g")))
 

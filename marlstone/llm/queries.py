@@ -113,6 +113,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontam, line_dedup
+    from . import decontam, line_dedup, prefix_trie, variants
 
-    return {"op6_decontam": decontam.ORACLE, "op11_line_dedup": line_dedup.ORACLE}
+    return {"op6_decontam": decontam.ORACLE, "op11_line_dedup": line_dedup.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE, "op13_variants": variants.ORACLE}
