@@ -1,164 +1,13 @@
-"""Positions from messages, earnings, gains and ticker metadata."""
+"""Gains, earnings and ticker metadata."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ship import ship
 from .bars import newest_per_key
 
-# Weight of a position by its size label, and the share a trim closes without a hint.
-SIZE_WEIGHT = {"Large": 0.05, "Medium": 0.03, "Small": 0.01, "Lotto": 0.005}
-TRIM_SHARE, NOTHING = 0.5, 1e-6
-
-POSITION = "key string, open_id long, size_label string, entry_price double, entry_at timestamp, remaining double, realized double, status string, n_events int, n_orphans int"
-
-
-def fold(key: str, messages: list[tuple], state: dict | None = None) -> tuple[list[tuple], dict]:
-    """Messages (action, at, message_id, price, pct, frac_hint, size_label) of a key in time order -> position rows.
-
-    An open starts a position; adds count; a trim closes its hinted share (or half) of what remains; a close closes
-    all. Exits without an open position are orphans. ``state`` carries the open position over batches.
-    """
-    state = state or {"open": None, "orphans": 0}
-    done = []
-    for action, at, message_id, price, pct, hint, size in messages:
-        p = state["open"]
-        if action == "open":
-            if p:
-                done.append(p)
-            state["open"] = {"id": message_id, "size": size, "price": price, "at": at, "left": 1.0, "sum": 0.0, "n": 1, "status": "OPEN"}
-            continue
-        if p is None:
-            state["orphans"] += action in ("trim", "close")
-            continue
-        p["n"] += 1
-        if action in ("trim", "close"):
-            part = p["left"] if action == "close" else (hint if hint == hint and hint is not None else TRIM_SHARE) * p["left"]
-            p["sum"] += part * (pct if pct is not None and pct == pct else 0.0)
-            p["left"] = 0.0 if action == "close" else max(0.0, p["left"] - part)
-            if p["left"] < NOTHING:
-                p["left"], p["status"] = 0.0, "CLOSED"
-                done.append(p)
-                state["open"] = None
-    rows = [(key, p["id"], p["size"], p["price"], p["at"], p["left"], p["sum"], p["status"], p["n"], state["orphans"]) for p in [*done, *([state["open"]] if state["open"] else [])]]
-    return rows, state
-
-
-MESSAGE = ["action", "at", "message_id", "price", "pct", "frac_hint", "size_label"]
-
-
-def stitch_positions(messages: DataFrame) -> DataFrame:
-    """Fold of every key's messages: one row for each position; ``n_orphans`` is the key's count of exits without one."""
-    ship(messages.sparkSession)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "message_id"])
-        rows, _ = fold(str(pdf["key"].iloc[0]), list(pdf[MESSAGE].itertuples(index=False, name=None)))
-        return pd.DataFrame(rows, columns=[x.split(" ")[0] for x in POSITION.split(", ")])
-
-    return messages.groupBy("key").applyInPandas(run, POSITION)
-
-
-def weight() -> Column:
-    out = F.when(F.col("size_label").isNull(), 0.01)
-    for label, w in SIZE_WEIGHT.items():
-        out = out.when(F.col("size_label") == label, w)
-    return out.otherwise(0.01)
-
-
-def price_positions(positions: DataFrame, marks: DataFrame, as_of: Column) -> DataFrame:
-    """Live per cent of open positions by their marks; expired ones settle at the last mark (0 without one)."""
-    p = positions.join(marks.select("key", "mark", "expiry"), "key", "left")
-    open_ = F.col("status") == "OPEN"
-    expired = open_ & F.coalesce(F.col("expiry") < as_of, F.lit(False))
-    mark = F.when(expired, F.coalesce("mark", F.lit(0.0))).otherwise(F.col("mark"))
-    p = p.withColumn("live_pct", F.when(open_, (mark - F.col("entry_price")) / F.nullif("entry_price", F.lit(0.0)) * 100))
-    p = p.withColumns({"realized": F.when(expired, F.col("realized") + F.col("remaining") * F.coalesce("live_pct", F.lit(0.0))).otherwise(F.col("realized")), "remaining": F.when(expired, 0.0).otherwise(F.col("remaining")), "status": F.when(expired, "CLOSED").otherwise(F.col("status"))})
-    return p.withColumn("book_delta", weight() * (F.col("realized") + F.col("remaining") * F.coalesce("live_pct", F.lit(0.0))))
-
-
-def position_stats(positions: DataFrame) -> DataFrame:
-    """Open book, mean live per cent, win rate and counts."""
-    open_, closed = F.col("status") == "OPEN", F.col("status") == "CLOSED"
-    return positions.agg(
-        F.coalesce(F.sum(F.when(open_, F.col("book_delta"))), F.lit(0.0)).alias("open_book_pct"), F.coalesce(F.avg(F.when(open_, F.col("live_pct"))), F.lit(0.0)).alias("mean_live_pct"),
-        F.coalesce(F.avg(F.when(closed, (F.col("realized") > 0).cast("double"))), F.lit(0.0)).alias("win_rate"), F.count_if(open_).alias("n_open"), F.count_if(closed).alias("n_closed"),
-    )
-
-
-def equity_curve(positions: DataFrame) -> DataFrame:
-    """Running weighted result of closed positions in the order of entry, to 3 digits: within each day of entry, on top of
-    the days before (one row a day)."""
-    closed = positions.filter("status = 'CLOSED'").select("entry_at", "key", "open_id", F.to_date("entry_at").alias("day"), (weight() * F.col("realized")).alias("gain"))
-    days = closed.groupBy("day").agg(F.sum("gain").alias("gain"))
-    before = days.select("day", F.coalesce(F.sum("gain").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
-    own = F.sum("gain").over(W.partitionBy("day").orderBy("entry_at", "key", "open_id").rowsBetween(W.unboundedPreceding, 0))
-    return closed.withColumn("own", own).join(before, "day").select("entry_at", "key", "open_id", F.round(F.col("before") + F.col("own"), 3).alias("cum"))
-
-
-def apply_orphan_exits(stored: DataFrame, exits: DataFrame) -> DataFrame:
-    """Exits (key, action, at, message_id, pct, frac_hint) of positions that are stored already, in time order.
-
-    Only open positions take them, each message once; a frozen one takes a close only. A trim closes its hinted share (or
-    half) of what then remains, a close all of it; what comes after the last share finds nothing left.
-    """
-    none = F.array().cast("array<bigint>")
-    open_ = stored.filter("status = 'OPEN'").select("key", F.coalesce("seen_ids", none).alias("_seen"), "frozen")
-    new = exits.filter(F.col("action").isin("trim", "close")).dropDuplicates(["key", "message_id"]).join(open_, "key")
-    new = new.filter(~F.array_contains("_seen", F.col("message_id")) & (~F.col("frozen") | (F.col("action") == "close")))
-    share = F.when(F.col("action") == "close", 1.0).otherwise(F.coalesce("frac_hint", F.lit(TRIM_SHARE)))
-    steps = new.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("at", "message_id", share.alias("share"), F.coalesce("pct", F.lit(0.0)).alias("pct")))).alias("_steps"))
-    out = stored.join(steps, "key", "left")
-    start = F.struct(F.col("remaining").cast("double").alias("left"), F.col("realized").cast("double").alias("sum"))
-    step = lambda a, x: F.struct((a["left"] * (1 - x["share"])).alias("left"), (a["sum"] + a["left"] * x["share"] * x["pct"]).alias("sum"))
-    out = out.withColumn("_end", F.when(F.col("_steps").isNotNull(), F.aggregate("_steps", start, step)))
-    left = F.coalesce("_end.left", "remaining")
-    return out.withColumns({
-        "realized": F.coalesce("_end.sum", "realized"), "remaining": F.when(left < NOTHING, 0.0).otherwise(left), "status": F.when(F.col("_end").isNotNull() & (left < NOTHING), "CLOSED").otherwise(F.col("status")),
-        "seen_ids": F.array_union(F.coalesce("seen_ids", none), F.coalesce(F.transform("_steps", lambda x: x["message_id"]), none)),
-    }).drop("_steps", "_end")
-
-
-OPTION = r"^\s*\$?([A-Za-z.]{1,6})\s+\$?(\d+(?:\.\d+)?)\s*([CcPp])"
-EQUITY = r"^\s*\$?([A-Za-z.]{1,6})\s*$"
-
-
-def parse_messages(raw: DataFrame) -> DataFrame:
-    """Chat messages (id, at, title, contract, expiration, entry_price, exit_price, pct, size, notes, and asset_type if
-    there are stocks) -> events: action, contract parts, expiry, the price that goes with the action, per cent and share.
-
-    The title names the action. A contract is an option, or a ticker alone (held long, but for ``asset_type`` option). An
-    expiry without a year that passed over a week before the message is next year's. Opens alone have a size. Messages
-    without action, contract or price are no events.
-    """
-    title = F.upper(F.coalesce("title", F.lit("")))
-    says = lambda *words: F.lit(False) if not words else title.rlike("|".join(words))
-    action = F.when(says("BUY TO OPEN"), "open").when(says(r"\bADD"), "add").when(says("SCALE OUT", r"\bTRIM"), "trim").when(says("SELL TO CLOSE"), "close")
-    note = F.lower(F.concat_ws(" ", "title", "notes"))
-    per_cent = F.nullif(F.regexp_extract(note, r"\b(25|50|75)\s*%", 1), F.lit("")).cast("double") / 100
-    share = F.coalesce(per_cent, F.when(note.rlike(r"\bhalf\b"), 0.5).when(note.rlike(r"\bquarter\b"), 0.25).when(note.rlike(r"\bthird\b"), 1 / 3))
-    option = lambda k: F.nullif(F.regexp_extract("contract", OPTION, k), F.lit(""))
-    equity = F.nullif(F.regexp_extract("contract", EQUITY, 1), F.lit(""))
-    if "asset_type" in raw.columns:
-        equity = F.when(F.coalesce("asset_type", F.lit("")) != "option", equity)
-    number = lambda c, drop: F.nullif(F.regexp_extract(F.regexp_replace(F.coalesce(c, F.lit("")), drop, ""), r"^\s*([-+]?\d+(?:\.\d+)?)", 1), F.lit("")).cast("double")
-    price = F.when(F.col("action").isin("open", "add"), number("entry_price", "[$,]")).otherwise(number("exit_price", "[$,]"))
-    label = lambda k: F.nullif(F.regexp_extract("expiration", r"^\s*(\d{1,2})/(\d{1,2})(?:/(\d{2,4}))?\s*$", k), F.lit("")).cast("int")
-    on = lambda year: F.try_to_date(F.format_string("%04d-%02d-%02d", year, label(1), label(2)), "yyyy-MM-dd")
-    this = on(F.year("at"))
-    given = F.when(label(3) < 100, label(3) + 2000).otherwise(label(3))
-    expiry = F.when(label(3).isNotNull(), on(given)).when(this < F.date_sub(F.to_date("at"), 7), on(F.year("at") + 1)).otherwise(this)
-    out = raw.withColumn("action", action).filter("action is not null").withColumns({
-        "ticker": F.upper(F.coalesce(option(1), equity)), "strike": option(2).cast("double"), "side": F.when(F.upper(option(3)) == "P", "PUT").when(F.upper(option(3)) == "C", "CALL").otherwise("LONG"),
-        "expiry": expiry, "price": price, "pct": number("pct", r"[%+\s]"), "size_label": F.when(F.col("action") == "open", F.nullif(F.initcap(F.trim("size")), F.lit(""))), "frac_hint": share,
-    })
-    return out.filter(F.col("ticker").isNotNull() & F.col("price").isNotNull())
-
-
 def monthly_gains(rows: DataFrame) -> DataFrame:
     """Sum of each month, the running sum, and the total."""
     m = rows.groupBy(F.to_date(F.date_trunc("month", "date")).alias("month")).agg(F.sum("gain").alias("gain"))

@@ -373,7 +373,8 @@ def retracements(bars: dict[str, np.ndarray], p: dict) -> Found:
     """A leg between the last two opposite pivots, pulled back into a retracement near other pivots, and closed out of
     the pull-back bar again. Without ``use`` any pull-back counts: the control."""
     high, low, close, atr, m = bars["high"], bars["low"], bars["close"], bars["atr"], p["m"]
-    pivots = sorted([(int(k), 1, float(high[k])) for k in _pivots(bars, m, True)] + [(int(k), -1, float(low[k])) for k in _pivots(bars, m, False)])
+    # A bar that is both kinds of pivot counts as a high first, then as a low: the low is the leg's end.
+    pivots = sorted([(int(k), 1, float(high[k])) for k in _pivots(bars, m, True)] + [(int(k), -1, float(low[k])) for k in _pivots(bars, m, False)], key=lambda r: r[0])
     known: list[tuple[int, int, float]] = []
     prices: list[float] = []  # of the known pivots, sorted
     nxt, leg, out = 0, None, []

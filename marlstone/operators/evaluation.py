@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.store import written
+from .boosting import Settings, out_of_fold
 
 
 def folds(matrix: DataFrame, n: int = 5, oos_months: int = 12, embargo: int = 10) -> DataFrame:
@@ -163,7 +164,8 @@ def between_within(pairs: DataFrame) -> DataFrame:
 def metrics(scored: DataFrame) -> DataFrame:
     """(side, segment, y, p) -> n, base rate, PR-AUC, lift, ROC-AUC, Brier score, precision and recall of the top tenth.
 
-    Distinct scores are summed up within 1,024 ranges of a side and segment, on top of the ranges above them.
+    Distinct scores are summed up within 1,024 ranges of a side and segment, on top of the ranges above them. Where all
+    labels are one class there is nothing to rank: only rows and base rate are given.
     """
     keys = ["side", "segment"]
     g = scored.groupBy(*keys, "p").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).withColumn("part", F.floor(F.col("p") * 1024))
@@ -179,7 +181,9 @@ def metrics(scored: DataFrame) -> DataFrame:
     curves = g.groupBy(*keys).agg(auc.alias("roc_auc"), ap.alias("pr_auc"))
     cut = scored.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("y").alias("base_rate"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"), F.percentile("p", 0.9).alias("cut"))
     top = scored.join(F.broadcast(cut.select(*keys, "cut")), keys).groupBy(*keys).agg(F.avg(F.when(F.col("p") >= F.col("cut"), F.col("y"))).alias("top_decile_precision"), (F.sum(F.when(F.col("p") >= F.col("cut"), F.col("y"))) / F.nullif(F.sum("y"), F.lit(0.0))).alias("top_decile_recall"))
-    return cut.drop("cut").join(curves, keys).join(top, keys).withColumn("pr_auc_lift", F.col("pr_auc") / F.nullif("base_rate", F.lit(0.0)))
+    out = cut.drop("cut").join(curves, keys).join(top, keys).withColumn("pr_auc_lift", F.col("pr_auc") / F.nullif("base_rate", F.lit(0.0)))
+    both = (F.col("base_rate") > 0) & (F.col("base_rate") < 1)
+    return out.withColumns({c: F.when(both, F.col(c)) for c in out.columns if c not in (*keys, "n", "base_rate")})
 
 
 def score_rules(rows: DataFrame, rules: dict[str, Column], value: str, batch: int = 64, min_rows: int = 150, min_dates: int = 8) -> DataFrame:
@@ -238,62 +242,30 @@ def top_entries(predictions: DataFrame, side: str, n: int, oos_only: bool = True
     return out.orderBy(F.desc(f"p_{side}"), "ticker", "date").limit(n)
 
 
-def out_of_fold(matrix: DataFrame, plan: DataFrame, features: list[str], side: str = "long", trees: int = 5, depth: int = 5) -> DataFrame:
-    """(ticker, date, fold, is_oos, label_*, raw, p_*): out-of-fold scores of boosted trees, calibrated by isotonic regression
-    on the late training rows of each fold. Missing values are a value of their own below all others. The rows are written
-    once, as every round of boosting reads them."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    low = [F.coalesce(F.col(c).cast("double"), F.lit(-999.0)).alias(c) for c in features]
-    rows = assign_folds(matrix.select("ticker", "date", f"label_{side}", *low), plan).filter(F.col(f"label_{side}").isNotNull())
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(rows).withColumn("label", F.col(f"label_{side}")).select("ticker", "date", "fold", "is_oos", "role", "label", "features")
-    rows = written(rows, f"folds-{side}")
-    names = [r["fold"] for r in plan.select("fold").collect()]  # a handful of folds
-    out = None
-    for name in names:
-        one = rows.filter(F.col("fold") == name)
-        model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=7, maxBins=64).fit(one.filter("role = 'fit'"))
-        scored = model.transform(one.filter("role <> 'fit'")).withColumn("raw", _second(F.col("probability")))
-        iso = IsotonicRegression(featuresCol="raw", predictionCol="p").fit(scored.filter("role = 'calibrate'").select("raw", "label"))
-        test = iso.transform(scored.filter("role = 'test'").select("ticker", "date", "fold", "is_oos", "label", "raw"))
-        out = test if out is None else out.unionByName(test)
-    return out.withColumnRenamed("p", f"p_{side}").withColumnRenamed("label", f"label_{side}")
-
-
-def score_both_sides(matrix: DataFrame, plan: DataFrame, features: list[str], **settings) -> DataFrame:
+def score_both_sides(matrix: DataFrame, plan: DataFrame, features: list[str], settings: Settings | None = None) -> DataFrame:
     """Out-of-fold scores of both sides in one row for each test row: (ticker, date, fold, is_oos, label_*, p_*)."""
-    matrix, plan = written(matrix, "matrix"), written(plan, "folds")
-    keys = ["ticker", "date", "fold", "is_oos"]
-    sides = [out_of_fold(matrix, plan, features, side, **settings).drop("raw") for side in ("long", "short")]
-    return sides[0].join(sides[1], keys, "full")
+    return out_of_fold(matrix, plan, {"all": features}, settings=settings).drop("feature_set")
 
 
-def ablation(matrix: DataFrame, plan_of, sets: dict[str, list[str]], start, against: tuple[str, str], **settings) -> tuple[DataFrame, DataFrame]:
+def report_of(scored: DataFrame) -> DataFrame:
+    """Metrics by feature set, side and segment (cv or oos) of scores with ``feature_set``."""
+    sides = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(f"label_{side}").alias("y"), F.col(f"p_{side}").alias("p")) for side in ("long", "short")]))
+    flat = scored.select("feature_set", F.when(F.col("is_oos"), "oos").otherwise("cv").alias("segment"), sides.alias("x")).select("feature_set", "segment", "x.*")
+    flat = flat.filter("y is not null and p is not null").withColumn("side", F.concat_ws("/", "feature_set", "side")).drop("feature_set")
+    out = metrics(flat)
+    return out.withColumns({"feature_set": F.substring_index("side", "/", 1), "side": F.substring_index("side", "/", -1)})
+
+
+def ablation(matrix: DataFrame, plan_of, sets: dict[str, list[str]], start, against: tuple[str, str], settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
     """Metrics of models on feature sets over one window of dates, and what the second named set adds over the first.
 
     ``start``: the window's first date (a column), as what only later rows have can't be compared on earlier ones;
-    ``plan_of`` makes the folds of the windowed matrix. Returns (feature_set, side, segment, metrics...) and
-    (side, delta_roc_auc, delta_pr_auc) on the held-out rows.
+    ``plan_of`` makes the folds of the windowed matrix. All sets' models are boosted together. Returns (feature_set,
+    side, segment, metrics...) and (side, delta_roc_auc, delta_pr_auc) on the held-out rows.
     """
     window = written(matrix.filter(F.col("date") >= start), "window")
-    plan = written(plan_of(window), "folds")
-    reports = None
-    for name, features in sets.items():
-        for side in ("long", "short"):
-            scored = out_of_fold(window, plan, features, side, **settings)
-            flat = scored.select(F.lit(side).alias("side"), F.when(F.col("is_oos"), "oos").otherwise("cv").alias("segment"), F.col(f"label_{side}").alias("y"), F.col(f"p_{side}").alias("p"))
-            report = metrics(flat).withColumn("feature_set", F.lit(name))
-            reports = report if reports is None else reports.unionByName(report)
+    report = written(report_of(out_of_fold(window, plan_of(window), sets, settings=settings)), "report")
     first, second = against
-    of = lambda n: F.col("feature_set") == n
-    pick = lambda n, c: F.max(F.when(of(n), F.col(c)))
-    delta = reports.filter("segment = 'oos'").groupBy("side").agg(*[(pick(second, c) - pick(first, c)).alias(f"delta_{c}") for c in ("roc_auc", "pr_auc")])
-    return reports, delta
-
-
-def _second(vector: Column) -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(vector)[1]
+    pick = lambda n, c: F.max(F.when(F.col("feature_set") == n, F.col(c)))
+    delta = report.filter("segment = 'oos'").groupBy("side").agg(*[(pick(second, c) - pick(first, c)).alias(f"delta_{c}") for c in ("roc_auc", "pr_auc")])
+    return report, delta

@@ -178,14 +178,22 @@ def sector_flow(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("sector").agg(F.sum(signed).alias("net_premium"), js_round(calls * 100 / F.sum("premium")).cast("long").alias("call_pct")).orderBy(F.desc("net_premium"))
 
 
-def net_impact(alerts: DataFrame, n: int = 10) -> DataFrame:
-    """For each New York day the ``n`` tickers with the largest net premium either way: call ask - bid + put bid - ask."""
-    net = F.when(F.col("type") == "CALL", F.col("ask_prem") - F.col("bid_prem")).otherwise(F.col("bid_prem") - F.col("ask_prem"))
-    daily = alerts.groupBy(local_date(F.col("time")).alias("date"), "ticker").agg(F.round(F.sum(net), 6).alias("net"))
+def net_premium() -> Column:
+    """An alert's net premium: ask - bid of a call, bid - ask of a put."""
+    return F.when(F.col("type") == "CALL", F.col("ask_prem") - F.col("bid_prem")).otherwise(F.col("bid_prem") - F.col("ask_prem"))
+
+
+def largest_nets(daily: DataFrame, n: int) -> DataFrame:
+    """Of (date, ticker, net) each day's ``n`` tickers with the largest net either way."""
     order = W.partitionBy("date").orderBy(F.desc(F.abs("net")), "ticker")
     return daily.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n).drop("n")
 
 
+def net_impact(alerts: DataFrame, n: int = 10) -> DataFrame:
+    """For each New York day the ``n`` tickers with the largest net premium either way."""
+    return largest_nets(alerts.groupBy(local_date(F.col("time")).alias("date"), "ticker").agg(F.round(F.sum(net_premium()), 6).alias("net")), n)
+
+
 # --- chain sentiment -----------------------------------------------------------------------------------------------
 
 

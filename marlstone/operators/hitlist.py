@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import js_round
 from ..functions.market import contract_label, day_bounds, local_date, money_label, moneyness_weight, option_symbol, prior_weekday
+from .positions import shown
 
 # Fixed values of the score.
 BULL_CP, BEAR_CP, LEAST_VOLUME = 2.0, 0.5, 5000
@@ -169,8 +170,12 @@ def list_of_day(hits: DataFrame, day: Column) -> DataFrame:
 
 
 def attach_positions(hits: DataFrame, positions: DataFrame) -> DataFrame:
-    """Open positions of each hit's ticker, the newest entry first."""
-    open_ = positions.filter("status = 'OPEN'").groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("entry_at", "key", "book_delta")), asc=False).alias("open_positions"))
+    """Open positions of each hit's ticker, the newest entry first, but for those hidden by hand: contract (strike, side and
+    expiry label of an option, else the ticker), side, live per cent and moderator."""
+    digits = F.regexp_replace(F.format_string("%.4f", "strike"), r"\.?0+$", "")
+    label = F.concat(F.lit("$"), digits, F.when(F.col("side") == "PUT", "P").otherwise("C"), F.coalesce(F.concat(F.lit(" "), "expiry_label"), F.lit("")))
+    contract = F.when(F.col("strike").isNotNull(), label).otherwise(F.col("ticker")).alias("contract")
+    open_ = shown(positions).filter("status = 'OPEN'").groupBy("ticker").agg(F.sort_array(F.collect_list(F.struct("entry_at", "open_id", contract, "side", "live_pct", "moderator")), asc=False).alias("open_positions"))
     return hits.join(open_, "ticker", "left")
 
 

@@ -141,9 +141,46 @@ def position_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.get_json_object("props", "$.k").cast("double") - 50).alias("pct"),
         F.expr("CASE CAST(get_json_object(props, '$.k') AS INT) % 4 WHEN 1 THEN 0.25D WHEN 2 THEN 0.75D END").alias("frac_hint"),
         F.expr("CASE CAST(get_json_object(props, '$.k') AS INT) % 4 WHEN 0 THEN 'Large' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Lotto' ELSE 'Small' END").alias("size_label"),
+        F.concat(F.lit("m"), F.col("user_id")).alias("ticker"),
+        F.expr("CASE WHEN user_id % 3 = 0 THEN 'equity' ELSE 'option' END").alias("asset_type"),
+        F.expr("CASE user_id % 3 WHEN 0 THEN 'LONG' WHEN 1 THEN 'CALL' ELSE 'PUT' END").alias("side"),
+        F.expr("CASE WHEN user_id % 3 <> 0 THEN user_id % 40 + 0.5D END").alias("strike"),
+        F.expr("CASE WHEN user_id % 3 <> 0 THEN '3/15' END").alias("expiry_label"),
+        F.expr("CASE WHEN user_id % 3 <> 0 THEN DATE '2024-03-15' END").alias("expiry"),
+        F.concat(F.lit("mod"), F.col("user_id") % 4).alias("moderator"),
+        (F.col("event_id") % 7 == 0).alias("hidden"),
     )
 
 
+MESSAGES = """msg AS (
+  SELECT 'm' || user_id AS key, event_id AS message_id, ts AS t_,
+    CASE event_type WHEN 'signup' THEN 'open' WHEN 'view' THEN 'add' WHEN 'click' THEN 'trim' ELSE 'close' END AS action, value AS price,
+    CAST(json_extract_string(props, '$.k') AS DOUBLE) - 50 AS pct,
+    CASE CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 WHEN 1 THEN 0.25 WHEN 2 THEN 0.75 END::DOUBLE AS hint,
+    CASE CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 WHEN 0 THEN 'Large' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Lotto' ELSE 'Small' END AS size_label,
+    CASE WHEN user_id % 3 = 0 THEN 'equity' ELSE 'option' END AS asset_type, event_id % 7 = 0 AS hidden,
+    CASE WHEN user_id % 3 = 0 THEN 'm' || user_id ELSE '$' || (user_id % 40 + 0.5) || CASE WHEN user_id % 3 = 2 THEN 'P' ELSE 'C' END || ' 3/15' END AS contract,
+    'mod' || (user_id % 4) AS moderator
+  FROM events WHERE event_type <> 'error')"""
+
+
+def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as a chat would bring them: titles, contracts, prices, per cents and labels as text, some of them odd."""
+    k = "CAST(get_json_object(props, '$.k') AS INT)"
+    e = read(spark, sf_dir, "events")
+    pick = lambda n, *values: F.expr(f"CASE {n} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END")
+    return e.select(
+        F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("at"),
+        F.expr("CASE event_type WHEN 'signup' THEN '** BUY TO OPEN **' WHEN 'view' THEN 'ADD to it' WHEN 'click' THEN 'SCALE OUT half' WHEN 'purchase' THEN 'SELL TO CLOSE' ELSE 'good morning' END").alias("title"),
+        pick(f"{k} % 7", "'spy 400c'", "' QQQ  350.5 P '", "'AMD'", "'SPY 400 calendar'", "'BRK.B 10p'", "'$TSLA 200c'", "'LONGNAME 5c'").alias("contract"),
+        pick(f"{k} % 6", "'7/20'", "'1/3'", "'2/30'", "'12/19/25'", "'next week'", "''").alias("expiration"),
+        pick(f"{k} % 5", "concat('$1,0', event_id % 90 + 10)", "'.85'", "'$.85'", "'n/a'", "'12.'").alias("entry_price"),
+        pick(f"{k} % 4", "'2.50'", "'$0.05 each'", "NULL", "'1e1'").alias("exit_price"),
+        pick(f"{k} % 3", "'+12.5%'", "'- 3 %'", "NULL").alias("pct"), pick(f"{k} % 6", "' large '", "'L'", "'med'", "'Medium'", "'lotto ticket'", "NULL").alias("size"),
+        pick(f"{k} % 5", "'25 % off'", "'a third of it'", "NULL", "'150%'", "'QUARTER'").alias("notes"), F.expr("CASE WHEN user_id % 2 = 0 THEN 'option' ELSE 'equity' END").alias("asset_type"), F.expr("CASE WHEN user_id % 5 > 0 THEN concat(' mod', user_id % 5, ' ') END").alias("moderator"),
+    )
+
+
 def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ticker, report_date, eps_estimate, eps_actual, move_1d, market_cap) from orders."""
     return read(spark, sf_dir, "orders").groupBy(F.concat(F.lit("C"), F.col("o_custkey")).alias("ticker"), F.to_date("o_orderdate").alias("report_date")).agg(

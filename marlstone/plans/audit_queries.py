@@ -9,7 +9,7 @@ from ..functions.exprs import js_round
 from ..operators import bars as B
 from ..operators import book, detectors, evaluation, flow, gamma, hitlist
 from ..operators import technicals as T
-from .adapters import ALERTS, BARS, CALENDAR, alerts, bars, calendar, position_events, raw_alerts, read
+from .adapters import ALERTS, BARS, CALENDAR, alerts, bars, calendar, raw_alerts, read
 from .desk_queries import CELLS, DAY, STRIKES, _cells, _panel, _ranked, _snapshots, _strikes
 from .flow_queries import LAST, OTM, SESSION
 from .pattern_queries import STATE, _divergence_sql, _false_break_sql, _flag_sql, _squeeze_sql
@@ -50,73 +50,6 @@ def a15_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("ticker", "strike", "expiry", "dte", "net_oi"), 4)
 
 
-# --- positions -----------------------------------------------------------------------------------------------------
-
-MESSAGES = """msg AS (SELECT 'm' || user_id AS key, event_id AS message_id, ts AS t_, CASE event_type WHEN 'signup' THEN 'open' WHEN 'view' THEN 'add' WHEN 'click' THEN 'trim' ELSE 'close' END AS action, value AS price,
-  CAST(json_extract_string(props, '$.k') AS DOUBLE) - 50 AS pct, CASE CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 WHEN 1 THEN 0.25 WHEN 2 THEN 0.75 END::DOUBLE AS hint,
-  CASE CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 WHEN 0 THEN 'Large' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Lotto' ELSE 'Small' END AS size_label FROM events WHERE event_type <> 'error')"""
-_SHARE = "CASE action WHEN 'close' THEN 1.0 WHEN 'trim' THEN coalesce(hint, 0.5) ELSE 0.0 END::DOUBLE AS share"
-
-
-def _folded(source: str) -> str:
-    """Positions of a table of messages: what is left is a running product, and a message counts while something is left."""
-    return f"""f0 AS (SELECT *, {_SHARE}, count(*) FILTER (WHERE action = 'open') OVER (PARTITION BY key ORDER BY t_, message_id) AS grp FROM {source}),
-f1 AS (SELECT *, coalesce(product(1 - share) OVER (PARTITION BY key, grp ORDER BY t_, message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM f0), f2 AS (SELECT *, grp > 0 AND before >= 1e-6 AS live FROM f1),
-f3 AS (SELECT key, arg_min(message_id, (t_, message_id)) AS open_id, arg_min(size_label, (t_, message_id)) AS size_label, arg_min(price, (t_, message_id)) AS entry_price, min(t_) AS entry_at, product(1 - share) AS p, sum(before * share * pct) AS realized, count(*) AS n_events FROM f2 WHERE live GROUP BY key, grp),
-f4 AS (SELECT key, count(*) FILTER (WHERE NOT live AND action IN ('trim', 'close')) AS n_orphans FROM f2 GROUP BY 1),
-pos AS (SELECT f3.* EXCLUDE (p), CASE WHEN p < 1e-6 THEN 0 ELSE p END::DOUBLE AS remaining, CASE WHEN p < 1e-6 THEN 'CLOSED' ELSE 'OPEN' END AS status, n_orphans FROM f3 JOIN f4 USING (key))"""
-
-
-@query("r5_positions", f"WITH {MESSAGES}, {_folded('msg')} SELECT key, open_id, size_label, round(entry_price, 6) AS entry_price, entry_at, round(remaining, 6) AS remaining, round(realized, 6) + 0.0 AS realized, status, CAST(n_events AS INTEGER) AS n_events, CAST(n_orphans AS INTEGER) AS n_orphans FROM pos")
-def r5_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rounded(book.stitch_positions(position_events(spark, sf_dir)))
-    return out.withColumns({"entry_at": F.col("entry_at").cast("timestamp_ntz"), "realized": F.col("realized") + 0.0})
-
-
-def _priced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    messages = position_events(spark, sf_dir)
-    marks = messages.groupBy("key").agg(F.max_by("price", "message_id").alias("mark"), F.date_add(F.lit("2024-01-14").cast("date"), (F.max("message_id") % 9).cast("int")).alias("expiry"))
-    return book.price_positions(book.stitch_positions(messages), marks, F.lit(DAY).cast("date"))
-
-
-PRICED = f"""{MESSAGES}, {_folded('msg')}, mk AS (SELECT key, arg_max(price, message_id) AS mark, DATE '2024-01-14' + CAST(max(message_id) % 9 AS INTEGER) AS expiry FROM msg GROUP BY 1),
-p1 AS (SELECT pos.*, mark, status = 'OPEN' AND expiry < DATE '{DAY}' AS expired FROM pos LEFT JOIN mk USING (key)),
-p2 AS (SELECT *, CASE WHEN status = 'OPEN' THEN (CASE WHEN expired THEN coalesce(mark, 0) ELSE mark END - entry_price) / nullif(entry_price, 0) * 100 END AS live FROM p1),
-priced AS (SELECT key, open_id, entry_at, CASE WHEN expired THEN realized + remaining * coalesce(live, 0) ELSE realized END AS realized, CASE WHEN expired THEN 0 ELSE remaining END AS remaining, CASE WHEN expired THEN 'CLOSED' ELSE status END AS status, live,
-  CASE size_label WHEN 'Large' THEN 0.05 WHEN 'Medium' THEN 0.03 WHEN 'Lotto' THEN 0.005 ELSE 0.01 END::DOUBLE AS w FROM p2), p3 AS (SELECT *, w * (realized + remaining * coalesce(live, 0)) AS delta FROM priced)"""
-
-
-@query("r7_a21_position_stats", f"""WITH {PRICED} SELECT round(coalesce(sum(delta) FILTER (WHERE status = 'OPEN'), 0), 6) AS open_book_pct, round(coalesce(avg(live) FILTER (WHERE status = 'OPEN'), 0), 6) AS mean_live_pct,
-  round(coalesce(avg((realized > 0)::INT) FILTER (WHERE status = 'CLOSED'), 0), 6)::DOUBLE AS win_rate, count(*) FILTER (WHERE status = 'OPEN') AS n_open, count(*) FILTER (WHERE status = 'CLOSED') AS n_closed FROM p3""")
-def a21_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(book.position_stats(_priced(spark, sf_dir)))
-
-
-@query("a22_equity_curve", f"WITH {PRICED} SELECT entry_at, key, open_id, round(sum(w * realized) OVER (ORDER BY entry_at, key, open_id ROWS UNBOUNDED PRECEDING) + 0.00037, 2) AS cum FROM p3 WHERE status = 'CLOSED'")
-def a22_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The curve, which has three digits, to two: moved off the halves, at which engines that add in another order part."""
-    out = book.equity_curve(_priced(spark, sf_dir))
-    return out.select(F.col("entry_at").cast("timestamp_ntz").alias("entry_at"), "key", "open_id", F.round(F.col("cum") + 0.00037, 2).alias("cum"))
-
-
-CUT = "2024-01-20"
-
-
-@query("r8_orphan_exits", f"""WITH {MESSAGES}, early AS (SELECT * FROM msg WHERE t_ < TIMESTAMP '{CUT}'), {_folded('early')}, last AS (SELECT *, CAST(substr(key, 2) AS INTEGER) % 3 = 0 AS frozen FROM pos QUALIFY row_number() OVER (PARTITION BY key ORDER BY open_id DESC) = 1),
-x AS (SELECT m.key, m.t_, m.message_id, m.pct, CASE m.action WHEN 'close' THEN 1.0 ELSE coalesce(hint, 0.5) END::DOUBLE AS share, remaining FROM msg m JOIN last ON m.key = last.key WHERE m.t_ >= TIMESTAMP '{CUT}' AND m.action IN ('trim', 'close') AND status = 'OPEN' AND (NOT frozen OR m.action = 'close') AND m.message_id % 10 <> 0),
-y AS (SELECT *, coalesce(product(1 - share) OVER (PARTITION BY key ORDER BY t_, message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before FROM x), z AS (SELECT key, product(1 - share) AS p, sum(remaining * before * share * pct) AS gain, count(*) AS n FROM y GROUP BY 1)
-SELECT key, open_id, round(CASE WHEN remaining * coalesce(p, 1) < 1e-6 THEN 0 ELSE remaining * coalesce(p, 1) END, 6)::DOUBLE AS remaining, round(realized + coalesce(gain, 0), 6) + 0.0 AS realized, CASE WHEN n IS NOT NULL AND remaining * p < 1e-6 THEN 'CLOSED' ELSE status END AS status FROM last LEFT JOIN z USING (key)""")
-def r8_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions as stored at a time, and the exits that come later; every tenth message was seen before."""
-    messages, cut = position_events(spark, sf_dir), F.lit(CUT).cast("timestamp")
-    late = messages.filter(F.col("at") >= cut)
-    seen = late.filter("message_id % 10 = 0").groupBy("key").agg(F.collect_list("message_id").alias("seen_ids"))
-    stored = book.stitch_positions(messages.filter(F.col("at") < cut)).groupBy("key").agg(F.max_by(F.struct("open_id", "remaining", "realized", "status"), "open_id").alias("p")).select("key", "p.*")
-    stored = stored.join(seen, "key", "left").withColumn("frozen", F.substring("key", 2, 9).cast("int") % 3 == 0)
-    out = rounded(book.apply_orphan_exits(stored, late).select("key", "open_id", "remaining", "realized", "status"))
-    return out.withColumn("realized", F.col("realized") + 0.0)
-
-
 # --- hit list ------------------------------------------------------------------------------------------------------
 
 
@@ -204,15 +137,6 @@ def w25_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(hitlist.ladder_overlay(ladder.withColumns({"direction": F.when(even, "UP").otherwise("DOWN"), "date": F.lit(DAY).cast("date")})).withColumn("t05", js_round(F.col("t05"), 2)))
 
 
-@query("j10_open_positions", f"WITH {MESSAGES}, {_folded('msg')}, u AS (SELECT DISTINCT 'm' || user_id AS ticker FROM events) SELECT u.ticker, count(open_id) AS n_open, max(open_id) AS newest FROM u LEFT JOIN (SELECT * FROM pos WHERE status = 'OPEN') p ON p.key = u.ticker GROUP BY 1")
-def j10_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's open positions, newest first; users stand in for hits."""
-    hits = read(spark, sf_dir, "events").select(F.concat(F.lit("m"), F.col("user_id")).alias("ticker")).distinct()
-    p = book.stitch_positions(position_events(spark, sf_dir)).withColumns({"ticker": F.col("key"), "book_delta": F.lit(0.0), "key": F.col("open_id").cast("string")})
-    out = hitlist.attach_positions(hits, p)
-    return out.select("ticker", F.coalesce(F.size("open_positions"), F.lit(0)).cast("long").alias("n_open"), F.try_element_at("open_positions", F.lit(1))["key"].cast("long").alias("newest"))
-
-
 # --- raw alerts ----------------------------------------------------------------------------------------------------
 
 RAW = """rk AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, round(value * 10000, 2) AS prem FROM events WHERE event_id % 50 <> 0 AND event_id % 41 <> 0),

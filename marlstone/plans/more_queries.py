@@ -75,13 +75,6 @@ def r9_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(streams.live_flow(alerts(spark, sf_dir)), 4)
 
 
-@query("r1_distinct_alerts", f"WITH {ALERTS} SELECT ticker, count(DISTINCT id) AS n FROM alerts GROUP BY 1")
-def r1_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every alert twice, upserted by id."""
-    a = alerts(spark, sf_dir)
-    return B.upsert(a, a, ["id"]).groupBy("ticker").agg(F.count("*").alias("n"))
-
-
 @query("r4_snapshots", f"""WITH {ALERTS}, m AS (SELECT ticker, CAST(time AS DATE) AS date, strftime(time, '%H:%M') AS t, max(id) AS id FROM alerts GROUP BY 1, 2, 3) SELECT ticker, date, count(*) AS n_minutes, max(id) AS last_id FROM m GROUP BY 1, 2""")
 def r4_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = alerts(spark, sf_dir).groupBy("ticker", F.to_date("time").alias("date"), F.date_format("time", "HH:mm").alias("t")).agg(F.max("id").alias("id"))

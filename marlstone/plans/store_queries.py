@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.store import fresh_path
@@ -57,30 +58,113 @@ def s9_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.read.parquet(path).groupBy("day").agg(F.count("*").alias("n"), F.sum("premium").alias("premium")), 2)
 
 
-@query("r1_alert_sink", f"WITH {ALERTS} SELECT id, ticker, round(CASE WHEN id % 5 = 0 THEN premium + 1 ELSE premium END, 4) AS premium FROM alerts")
-def r1_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three micro-batches of the alert sink; the second brings every fifth alert again with another premium, and runs twice."""
-    path = fresh_path(spark, "alerts")
-    put = streams.upsert_into(path, ["id"], "seen", "time")
-    a = alerts(spark, sf_dir).select("id", "time", "ticker", "premium").withColumn("seen", F.lit(1))
-    put(a.filter("id % 2 = 0"), 0)
-    again = a.filter("id % 5 = 0").withColumns({"premium": F.col("premium") + 1, "seen": F.lit(2)})
-    for _ in range(2):
-        put(a.filter("id % 2 = 1 and id % 5 <> 0").unionByName(again), 1)
-    return rounded(spark.read.parquet(path).select("id", "ticker", "premium"), 4)
+def in_parts(df: DataFrame, part: Column, name: str) -> str:
+    """Write the rows as one file for each part, in the order of the parts, and give the folder."""
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    for k in sorted(r[0] for r in df.select(part.alias("p")).distinct().collect()):  # a few parts
+        df.filter(part == k).coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
-@query("r2_tape_sink", f"""WITH {TRADES}, l AS (SELECT * FROM trades WHERE executed_at >= TIMESTAMP '2001-06-01' AND premium >= 40000 AND id IN (SELECT arg_min(id, (executed_at, seq)) FROM trades WHERE executed_at >= TIMESTAMP '2001-06-01' AND premium >= 40000 GROUP BY ticker, price, size)),
-r AS (SELECT ticker, id, row_number() OVER (PARTITION BY ticker ORDER BY price * size DESC, executed_at DESC, id) AS rank FROM l) SELECT ticker, id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+@query(
+    "r1_alert_sink",
+    f"""WITH {ALERTS} SELECT id, ticker, round(CASE WHEN id % 5 = 0 THEN premium + 1 ELSE premium END, 4) AS premium,
+  CASE WHEN id % 35 = 0 THEN NULL WHEN id % 5 = 0 THEN CAST(time AS DATE) + 1 ELSE CAST(time AS DATE) END AS day FROM alerts""",
+)
+def r1_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of alerts in three batches. The last brings every fifth one again with another premium, on the next day, or
+    without a time: it replaces the row wherever that was."""
+    a = alerts(spark, sf_dir).select("id", "time", "ticker", "premium").withColumn("seen", F.lit(1))
+    moved = F.when(F.col("id") % 35 != 0, F.col("time") + F.make_dt_interval(F.lit(1)))
+    again = a.filter("id % 5 = 0").withColumns({"premium": F.col("premium") + 1, "seen": F.lit(2), "time": moved})
+    source, path = in_parts(a.unionByName(again), F.when(F.col("seen") == 2, 2).otherwise(F.col("id") % 2), "alerts"), fresh_path(spark, "alert-table")
+    stream = streams.file_stream(spark, source, again.schema, files=1)
+    streams.drain(stream.writeStream.foreachBatch(streams.upsert_into(path, ["id"], "seen", "time")), fresh_path(spark, "checkpoint"))
+    return rounded(spark.read.parquet(path).select("id", "ticker", "premium", "day"), 4)
+
+
+@query(
+    "r1_distinct_alerts",
+    f"WITH {ALERTS} SELECT ticker, count(*) AS n, round(sum(premium), 2) AS premium FROM alerts GROUP BY 1",
+)
+def r1_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of which every third comes twice, through the stream that lets each id pass once."""
+    a = alerts(spark, sf_dir).select("id", "time", "ticker", "premium")
+    source, path = in_parts(a.unionByName(a.filter("id % 3 = 0")), F.to_date("time") >= F.lit("2024-01-15"), "repeated"), fresh_path(spark, "distinct")
+    stream = streams.distinct_alerts(streams.file_stream(spark, source, a.schema, files=1))
+    streams.drain(stream.writeStream.format("parquet").option("path", path), fresh_path(spark, "checkpoint"))
+    return rounded(spark.read.parquet(path).groupBy("ticker").agg(F.count("*").alias("n"), F.sum("premium").alias("premium")), 2)
+
+
+@query(
+    "r2_tape_sink",
+    f"""WITH {TRADES}, th AS (SELECT ticker, premium AS threshold FROM trades QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY premium DESC, id) = 50),
+k AS (SELECT t.*, executed_at >= TIMESTAMP '2000-01-01' AS late FROM trades t JOIN th USING (ticker) WHERE price * size >= threshold),
+l AS (SELECT * FROM k WHERE id IN (SELECT arg_min(id, (executed_at, seq)) FROM k WHERE executed_at < TIMESTAMP '2000-01-31' GROUP BY ticker, price, size)
+  OR id IN (SELECT arg_min(id, (executed_at, seq)) FROM k WHERE late GROUP BY ticker, price, size)),
+r AS (SELECT ticker, id, row_number() OVER (PARTITION BY ticker ORDER BY price * size DESC, executed_at DESC, id) AS rank FROM l)
+SELECT ticker, id, CAST(rank AS INTEGER) AS rank, round((201 - rank) / 2.0, 2)::DOUBLE AS percentile FROM r WHERE rank <= 200""",
+)
 def r2_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two micro-batches of the tape of some months, which overlap by a month; the ranks of what was kept."""
-    path = fresh_path(spark, "tape-sink")
-    t = trades(spark, sf_dir).filter("executed_at >= '2001-06-01'")
-    least = t.select("ticker").distinct().withColumn("threshold", F.lit(40_000.0))
-    put = streams.insert_trades_into(path, least, top=5)
-    put(t.filter("executed_at < '2001-09-01'"), 0)
-    put(t.filter("executed_at >= '2001-08-01'"), 1)
-    return spark.read.parquet(f"{path}_ranks").select("ticker", "id", "rank")
+    """The tape as a stream of two batches that overlap by a month; thresholds are each ticker's 50th print."""
+    t = trades(spark, sf_dir)
+    first, last = t.filter("executed_at < '2000-01-31'").withColumn("part", F.lit(0)), t.filter("executed_at >= '2000-01-01'").withColumn("part", F.lit(1))
+    source, path = in_parts(first.unionByName(last), F.col("part"), "tape"), fresh_path(spark, "tape-sink")
+    put = streams.insert_trades_into(path, prints.notional_thresholds(t), unit="year")
+    streams.drain(streams.file_stream(spark, source, first.schema, files=1).writeStream.foreachBatch(put), fresh_path(spark, "checkpoint"))
+    return spark.read.parquet(f"{path}_ranks").select("ticker", "id", "rank", F.col("percentile").cast("double").alias("percentile"))
+
+
+@query(
+    "r3_tide_stream",
+    """WITH b AS (
+  SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS bucket, arg_max(value, (ts, event_id)) AS net_premium, count(*) AS n FROM events GROUP BY 1
+) SELECT bucket, round(net_premium, 4) AS net_premium, n FROM b""",
+)
+def r3_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tide buckets of the events of three files, kept current by the stream and put into a table by bucket."""
+    e = read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("net_premium"), F.lit(0.0).alias("volume"))
+    source, path = in_parts(e, F.floor(F.dayofmonth("time") / 11), "tide"), fresh_path(spark, "tide-table")
+    buckets = streams.tide_buckets(streams.file_stream(spark, source, e.schema, files=1))
+    streams.drain(buckets.writeStream.outputMode("update").foreachBatch(streams.upsert_into(path, ["bucket"], None, "bucket")), fresh_path(spark, "checkpoint"))
+    out = spark.read.parquet(path).select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "net_premium", "n")
+    return rounded(out, 4)
+
+
+@query(
+    "r4_minutes_sink",
+    """WITH m AS (
+  SELECT 'U' || user_id AS ticker, CAST(ts AS DATE) AS date, strftime(ts, '%H:%M') AS t, event_id AS seq, round(value, 4) AS spot FROM events
+), l AS (SELECT ticker, date, t, arg_max(spot, seq) AS spot FROM m GROUP BY 1, 2, 3)
+SELECT ticker, date, CAST(count(*) AS INTEGER) AS n, string_agg(t, ',' ORDER BY t) AS minutes, round(sum(spot), 4) AS spots FROM l GROUP BY 1, 2""",
+)
+def r4_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of three batches, each with minutes of every day: late ones, and some that replace an earlier one."""
+    e = read(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.col("user_id")).alias("ticker"), F.to_date("ts").alias("date"), F.date_format("ts", "HH:mm").alias("t"), F.col("event_id").alias("seq"), F.round("value", 4).alias("spot"))
+    n = F.row_number().over(W.partitionBy("ticker", "date", "t").orderBy("seq"))
+    parts = e.withColumn("n", F.least(n, F.lit(2))).withColumn("part", F.when(F.col("n") > 1, 2).otherwise(F.col("seq") % 2)).drop("n")
+    source, path = in_parts(parts, F.col("part"), "snapshots"), fresh_path(spark, "minutes")
+    stream = streams.file_stream(spark, source, parts.schema, files=1).drop("part")
+    streams.drain(stream.writeStream.foreachBatch(streams.append_minutes_into(path, "seq")), fresh_path(spark, "checkpoint"))
+    out = spark.read.parquet(path)
+    spots = F.aggregate("minutes", F.lit(0.0), lambda a, m: a + m["spot"])
+    return rounded(out.select("ticker", "date", F.size("minutes").alias("n"), F.array_join(F.transform("minutes", lambda m: m["t"]), ",").alias("minutes"), spots.alias("spots")), 4)
+
+
+@query(
+    "r9_net_impact_stream",
+    f"""WITH {ALERTS}, d AS (
+  SELECT CAST(time - INTERVAL 5 HOUR AS DATE) AS date, ticker, round(sum(CASE WHEN type = 'CALL' THEN ask_prem - bid_prem ELSE bid_prem - ask_prem END), 6) AS net
+  FROM alerts GROUP BY 1, 2
+) SELECT date, ticker, round(net, 4) AS net FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(net) DESC, ticker) AS n FROM d) WHERE n <= 10""",
+)
+def r9_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day's largest net premiums, kept current over three batches that each reach over the edge of a day."""
+    a = alerts(spark, sf_dir).select("time", "ticker", "type", "ask_prem", "bid_prem")
+    source, path = in_parts(a, F.floor(F.datediff("time", F.lit("2024-01-01").cast("date")) / 10), "flow"), fresh_path(spark, "nets")
+    nets = streams.live_net(streams.file_stream(spark, source, a.schema, files=1))
+    streams.drain(nets.writeStream.outputMode("update").foreachBatch(streams.net_impact_into(path)), fresh_path(spark, "checkpoint"))
+    return rounded(spark.read.parquet(f"{path}_top").select("date", "ticker", "net"), 4)
 
 
 @query("d3_last_snapshot", f"WITH {CHAIN} SELECT ticker, date, spot + 1 AS spot, k, \"cA\", \"pB\" FROM chain WHERE k > 0")

@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from marlstone.functions import market as M
-from marlstone.operators import book, candles, evaluation, flow, hitlist, prints
+from marlstone.operators import book, boosting, candles, evaluation, flow, hitlist, positions, prints
 from marlstone.sources import io
 from marlstone.streaming import streams
 
@@ -76,14 +77,19 @@ def test_alerts_are_normalised(spark):
 
 
 def test_exits_of_stored_positions(spark):
-    stored = spark.createDataFrame([("a", 0.5, 20.0, "OPEN", [1], False), ("b", 1.0, 0.0, "OPEN", None, True), ("c", 0.0, 5.0, "CLOSED", None, False), ("d", 0.4, 1.0, "OPEN", None, False)], "key string, remaining double, realized double, status string, seen_ids array<bigint>, frozen boolean")
+    fields = "key string, remaining double, realized double, status string, seen_ids array<bigint>, frozen boolean"
+    stored = spark.createDataFrame([("a", 0.5, 20.0, "OPEN", [1], False), ("b", 1.0, 0.0, "OPEN", None, True), ("c", 0.0, 5.0, "CLOSED", None, False), ("d", 0.4, 1.0, "OPEN", None, False)], fields)
     rows = [("a", "trim", 1, 1, 99.0, None), ("a", "trim", 2, 2, 40.0, 0.5), ("a", "trim", 3, 3, 80.0, None), ("a", "trim", 3, 3, 80.0, None), ("a", "close", 4, 4, 10.0, None), ("a", "trim", 5, 5, 70.0, None), ("b", "trim", 6, 6, 50.0, None), ("c", "close", 7, 7, 50.0, None)]
-    exits = spark.createDataFrame([(k, a, utc("2026-05-05T10:00:00") + dt.timedelta(minutes=t), i, p, h) for k, a, t, i, p, h in rows], "key string, action string, at timestamp, message_id long, pct double, frac_hint double")
-    got = {r.key: r for r in book.apply_orphan_exits(stored, exits).collect()}
+    exits = spark.createDataFrame([(k, a, utc("2026-05-05T10:00:00") + dt.timedelta(minutes=t), i, p, h, 2.0) for k, a, t, i, p, h in rows], "key string, action string, at timestamp, message_id long, pct double, frac_hint double, price double")
+    got = {r.key: r for r in positions.apply_orphan_exits(stored, exits).collect()}
     assert (got["a"].remaining, got["a"].realized, got["a"].status) == (0.0, 20 + 0.25 * 40 + 0.125 * 80 + 0.125 * 10, "CLOSED") and got["a"].seen_ids == [1, 2, 3, 4, 5]
-    assert [(got[k].remaining, got[k].realized, got[k].status) for k in "bcd"] == [(1.0, 0.0, "OPEN"), (0.0, 5.0, "CLOSED"), (0.4, 1.0, "OPEN")]
+    # A row that was corrected by hand takes a trim as any other does.
+    assert [(got[k].remaining, got[k].realized, got[k].status) for k in "bcd"] == [(0.5, 25.0, "OPEN"), (0.0, 5.0, "CLOSED"), (0.4, 1.0, "OPEN")]
     late = exits.withColumn("action", F.lit("close"))
-    assert {r.key: r.status for r in book.apply_orphan_exits(stored, late).collect()}["b"] == "CLOSED"
+    priced = stored.withColumns({"mark": F.lit(1.0), "live_pct": F.lit(3.0), "size_label": F.lit("Large")})
+    closed = {r.key: r for r in positions.apply_orphan_exits(priced, late).collect()}
+    assert (closed["b"].status, closed["b"].mark, closed["b"].live_pct, closed["b"].book_delta) == ("CLOSED", 2.0, None, 5.0)
+    assert (closed["d"].mark, closed["d"].live_pct) == (1.0, 3.0)
 
 
 def test_daily_join_fills(spark):
@@ -116,20 +122,17 @@ def test_prints(spark):
     assert {r.id for r in changed.collect()} == {"b", "c", "d"}
 
 
-def test_positions_and_their_stream(spark, tmp_path):
+def test_positions(spark):
     schema = "key string, message_id long, at timestamp, action string, price double, pct double, frac_hint double, size_label string"
-    rows = [("k", 1, "open", None, None), ("k", 2, "trim", 40.0, None), ("k", 3, "trim", 20.0, 0.5), ("k", 4, "close", 10.0, None), ("k", 5, "trim", 1.0, None), ("j", 6, "open", None, None)]
+    rows = [("k", 1, "open", None, None), ("k", 2, "trim", 40.0, None), ("k", 8, "add", None, None), ("k", 9, "trim", 20.0, 0.5), ("k", 14, "close", 10.0, None), ("k", 15, "trim", 1.0, None), ("j", 6, "open", None, None), ("j", 7, "open", None, None)]
     made = [(k, i, utc("2026-05-05T10:00:00") + dt.timedelta(minutes=i), a, 2.0, p, f, "Large") for k, i, a, p, f in rows]
-    want = {"k": (0.0, 0.5 * 40 + 0.25 * 20 + 0.25 * 10, "CLOSED"), "j": (1.0, 0.0, "OPEN")}
-    got = book.stitch_positions(spark.createDataFrame(made, schema)).collect()
-    assert {r.key: (r.remaining, r.realized, r.status) for r in got} == want and {r.key: r.n_orphans for r in got} == {"k": 1, "j": 0}
-    for n, part in enumerate((made[:2], made[2:])):
-        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
-    source = streams.file_stream(spark, str(tmp_path / "in/*"), spark.createDataFrame(made, schema).schema).select("*")
-    q = streams.stitch_stream(source).writeStream.format("memory").queryName("positions").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    last = {r.key: (r.remaining, r.realized, r.status) for r in spark.sql("SELECT * FROM positions ORDER BY n_events").collect()}
-    assert last == want
+    messages = spark.createDataFrame(made, schema)
+    found = positions.stitch_positions(messages)
+    got = {(r.key, r.open_id): r for r in found.collect()}
+    assert (got["k", 1].remaining, got["k", 1].realized, got["k", 1].status) == (0.0, 0.5 * 40 + 0.25 * 20 + 0.25 * 10, "CLOSED")
+    assert [(e.action, e.frac_closed, e.pct, e.message_id) for e in got["k", 1].events] == [("open", None, None, 1), ("trim", 0.5, 40.0, 2), ("add", None, None, 8), ("trim", 0.25, 20.0, 9), ("close", 0.25, 10.0, 14)]
+    assert {k: r.status for k, r in got.items() if k[0] == "j"} == {("j", 6): "OPEN", ("j", 7): "OPEN"} and got["k", 1].n_orphans == 1
+    assert [r.message_id for r in positions.orphan_exits(messages, found).collect()] == [15]
 
 
 def test_streams_agree_with_batches(spark, tmp_path):
@@ -158,6 +161,18 @@ def test_sinks_replace_touched_days_only(spark, tmp_path):
         assert sorted((r.id, r.v) for r in spark.read.parquet(path).collect()) == [(1, 1.0), (2, 3.0), (3, 4.0)]
     assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "alerts/day=2026-05-05").glob("*.parquet")} == other
 
+    # A row without a time stays, one whose time moves leaves its old day, and a day that loses its last row goes.
+    put(rows((7, "2026-05-05T12:00:00", 7.0)).withColumn("time", F.lit(None).cast("timestamp")), 2)
+    put(rows((8, "2026-05-05T12:00:00", 8.0)).withColumn("time", F.lit(None).cast("timestamp")), 3)
+    for _ in range(2):
+        put(rows((1, "2026-05-09T10:00:00", 1.5), (8, "2026-05-06T10:00:00", 8.5)), 4)
+    got = sorted((r.id, r.v, str(r.day)) for r in spark.read.parquet(path).collect())
+    assert got == [(1, 1.5, "2026-05-09"), (2, 3.0, "2026-05-06"), (3, 4.0, "2026-05-06"), (7, 7.0, "None"), (8, 8.5, "2026-05-06")]
+    assert not (tmp_path / "alerts/day=2026-05-05").exists() and not list((tmp_path / "alerts_staged").glob("*"))
+    with pytest.raises(AnalysisException):  # another schema is an error, not an empty table
+        put(rows((9, "2026-05-06T10:00:00", 1.0)).withColumn("more", F.lit(1)), 5)
+    assert spark.read.parquet(path).count() == 5
+
     tape = str(tmp_path / "tape")
     thresholds = spark.createDataFrame([("T", 100.0), ("U", 100.0)], "ticker string, threshold double")
     take = streams.insert_trades_into(tape, thresholds, top=2)
@@ -167,6 +182,34 @@ def test_sinks_replace_touched_days_only(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(tape).collect()) == ["a", "b", "c", "e"]
     ranks = spark.read.parquet(f"{tape}_ranks")
     assert sorted((r.ticker, r["rank"], r.id) for r in ranks.collect()) == [("T", 1, "e"), ("T", 2, "b"), ("U", 1, "c")]
+    other = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "tape_ranks/ticker=U").glob("*.parquet")}
+    for _ in range(2):
+        take(trades(("f", "T", "2026-05-06T10:00:00", 35.0)), 2)
+        assert sorted((r["rank"], r.id) for r in spark.read.parquet(f"{tape}_ranks").filter("ticker = 'T'").collect()) == [(1, "e"), (2, "f")]
+    assert {p.name: p.stat().st_mtime_ns for p in (tmp_path / "tape_ranks/ticker=U").glob("*.parquet")} == other
+    # A run that ended after the trades were inserted is made up for by the next run of its batch.
+    new = trades(("g", "U", "2026-05-06T10:00:00", 50.0)).withColumn("day", F.to_date("executed_at"))
+    new.write.mode("append").partitionBy("day").parquet(tape)
+    take(new.drop("day"), 3)
+    assert [r.id for r in spark.read.parquet(f"{tape}_ranks").filter("ticker = 'U'").orderBy("rank").collect()] == ["g", "c"]
+
+
+def test_minutes_and_nets_are_kept_current(spark, tmp_path):
+    path = str(tmp_path / "minutes")
+    put = streams.append_minutes_into(path, "seq")
+    batch = lambda *x: spark.createDataFrame([("A", D(2026, 5, d), t, s, float(s)) for d, t, s in x], "ticker string, date date, t string, seq int, spot double")
+    put(batch((5, "09:31", 1), (5, "09:33", 2), (5, "09:33", 3), (6, "10:00", 4)), 0)
+    for _ in range(2):
+        put(batch((5, "09:32", 5), (5, "09:31", 6)), 1)
+        got = {r.date.day: [tuple(m) for m in r.minutes] for r in spark.read.parquet(path).collect()}
+        assert got == {5: [("09:31", 6.0), ("09:32", 5.0), ("09:33", 3.0)], 6: [("10:00", 4.0)]}
+    nets = str(tmp_path / "nets")
+    keep = streams.net_impact_into(nets, 2)
+    rows = lambda *x: spark.createDataFrame([(D(2026, 5, d), t, n) for d, t, n in x], "date date, ticker string, net double")
+    keep(rows((5, "A", 1.0), (5, "B", -3.0), (5, "C", 2.0), (6, "A", 1.0)), 0)
+    keep(rows((5, "A", 9.0)), 1)
+    assert sorted((r.date.day, r.ticker, r.net) for r in spark.read.parquet(f"{nets}_top").collect()) == [(5, "A", 9.0), (5, "B", -3.0), (6, "A", 1.0)]
+    assert spark.read.parquet(nets).count() == 4
 
 
 def test_sources(spark, tmp_path):
@@ -193,21 +236,28 @@ def test_messages(spark):
     fields = "id long, title string, contract string, expiration string, entry_price string, exit_price string, pct string, size string, notes string, asset_type string"
     rows = [
         (1, "BUY TO OPEN", "abc 202.5c", "7/20", "$1,001.25", "9", None, " large ", None, "option"),
-        (2, "SCALE OUT half", "$ABC 202.5C", "7/20/27", "1", "2.50", "+ 100%", "Small", None, "option"),
+        (2, "SCALE OUT half", "ABC 202.5C", "7/20/27", "1", "2.50", "+ 100%", "Small", None, "option"),
         (3, "SELL TO CLOSE", "XYZ", None, None, "11", "-3.5%", None, "75 % now", "equity"),
         (4, "SELL TO CLOSE", "XYZ", None, None, "11", None, None, None, "option"),
         (5, "chatter", "ABC 1C", "1/2", "1", "1", None, None, None, "option"),
         (6, "ADD", "ABC 15P", "1/3", "n/a", "1", None, None, None, "option"),
         (7, "ADD", "ABC 15P", "1/3", "2", None, None, "x", "a third", "option"),
+        (8, "ADD", "abc 15 p ", "2/30", "$.85", None, None, "x", None, "option"),
+        (9, "ADD", "SPY 400 calendar", "1/3", "2", None, None, "x", None, "option"),
+        (10, "TRIM", "ABC 15P", "1/3", "2", "2", None, "x", None, "option"),
+        (11, "add", "ABC 15P", "1/3", "2", "2", None, "x", None, "option"),
+        (12, "BUY TO OPEN", "BRK.B", "13/1/26", "1e1", None, None, "m", None, "equity"),
     ]
     raw = spark.createDataFrame(rows, fields).withColumn("at", F.lit("2026-06-30 12:00:00").cast("timestamp"))
-    got = {r.id: r for r in book.parse_messages(raw).collect()}
-    assert sorted(got) == [1, 2, 3, 7]
+    got = {r.id: r for r in positions.parse_messages(raw).collect()}
+    assert sorted(got) == [1, 2, 3, 7, 8, 12]
     a, b, c, d = (got[k] for k in (1, 2, 3, 7))
     assert (a.action, a.ticker, a.strike, a.side, a.expiry, a.price, a.size_label, a.frac_hint) == ("open", "ABC", 202.5, "CALL", D(2026, 7, 20), 1001.25, "Large", None)
     assert (b.action, b.price, b.pct, b.frac_hint, b.expiry, b.size_label) == ("trim", 2.5, 100.0, 0.5, D(2027, 7, 20), None)
     assert (c.side, c.strike, c.ticker, c.price, c.pct, c.frac_hint) == ("LONG", None, "XYZ", 11.0, -3.5, 0.75)
     assert (d.side, d.expiry, d.price, round(d.frac_hint, 3)) == ("PUT", D(2027, 1, 3), 2.0, 0.333)
+    assert (got[8].price, got[8].ticker, got[8].strike, got[8].expiry, got[8].size_label) == (0.85, "ABC", 15.0, D(2027, 3, 2), None)
+    assert (got[12].ticker, got[12].price, got[12].size_label, got[12].expiry, got[12].key) == ("BRK.B", 10.0, "Medium", D(2027, 1, 1), "unknown|BRK.B|LONG||13/1/26")
 
 
 def test_folds_are_ordered_and_embargoed(spark):
@@ -243,7 +293,7 @@ def test_ablation_sees_what_a_feature_adds(spark):
     m = spark.range(n).select(F.lit("A").alias("ticker"), day.alias("date"), (F.hash("id") % 2 == 0).cast("double").alias("label_long"), (F.hash("id", F.lit(1)) % 2 == 0).cast("double").alias("label_short"), F.rand(3).alias("noise"))
     m = m.withColumns({"dp_signal": F.col("label_long") * 2 - 1 + F.col("noise") / 10, "dp_other": F.when(F.col("noise") > 0.1, F.col("noise"))})
     sets = {"ta": ["noise"], "dp": ["dp_signal"], "ta+dp": ["noise", "dp_signal", "dp_other"]}
-    report, delta = evaluation.ablation(m, lambda w: evaluation.folds(w, n=1), sets, F.lit(D(2018, 2, 1)), ("ta", "ta+dp"), trees=1, depth=2)
+    report, delta = evaluation.ablation(m, lambda w: evaluation.folds(w, n=1), sets, F.lit(D(2018, 2, 1)), ("ta", "ta+dp"), boosting.Settings(trees=3, depth=2, min_child=20, columns=1.0))
     got = {(r.feature_set, r.side, r.segment): r.roc_auc for r in report.collect()}
     assert len(got) == 12 and got["dp", "long", "oos"] > 0.95 and 0.3 < got["ta", "long", "oos"] < 0.7
     added = {r.side: r.delta_roc_auc for r in delta.collect()}
@@ -255,6 +305,8 @@ def test_metrics_of_signal_and_noise(spark):
     r = evaluation.metrics(df.union(df.withColumns({"side": F.lit("short"), "p": F.lit(0.5)}))).collect()
     by = {x.side: x for x in r}
     assert by["long"].roc_auc == 1 and by["long"].pr_auc == 1 and by["short"].roc_auc == 0.5
+    one = evaluation.metrics(df.withColumn("y", F.lit(1.0))).first()
+    assert (one.n, one.base_rate) == (4000, 1.0) and one.brier is None and one.pr_auc is None and one.top_decile_precision is None
 
 
 def test_criteria():

@@ -22,13 +22,13 @@ def tickers(spark):
 
 
 def pivots_before(b, t, m):
-    """(bar, +1 or -1, price) of all pivots that are confirmed at bar t."""
+    """(bar, +1 or -1, price) of all pivots that are confirmed at bar t; of one bar the high comes first."""
     found = []
     for k in range(m, t - m + 1):
         for way, x, best in ((1, b["high"], max), (-1, b["low"], min)):
             if x[k] == best(x[k - m : k + m + 1]):
                 found.append((k, way, x[k]))
-    return sorted(found)
+    return sorted(found, key=lambda r: r[0])
 
 
 def pulled_back(b, p):
@@ -65,6 +65,16 @@ def pulled_back(b, p):
     return events
 
 
+def test_bars_that_are_both_pivots_end_a_leg_with_their_low(tickers):
+    """Such bars are in the data that the restatement is compared on, and their high comes before their low."""
+    n, m = 0, 3
+    for b in tickers:
+        for k in set(detectors._pivots(dict(b), m, True)) & set(detectors._pivots(dict(b), m, False)):
+            assert pivots_before(b, int(k) + m, m)[-2:] == [(k, 1, b["high"][k]), (k, -1, b["low"][k])]
+            n += k < 260
+    assert n > 0
+
+
 @pytest.mark.parametrize("name", ["fib_base", "fib_tight", "fib_loose_nofib"])
 def test_retracements(tickers, name):
     n = 0
