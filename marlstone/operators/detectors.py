@@ -14,8 +14,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
+from pyspark.sql.types import StructType
 
 from ..functions.exprs import flag, lag, per_ticker, ratio, rolling, run_length
 from ..functions.kernels import exponential
@@ -445,6 +447,49 @@ def detect_universe(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     return df.select("ticker", "date", "open", "high", "low", "close", "volume", "atr_14").groupBy("ticker").applyInPandas(run, EVENTS)
 
 
+def register_sql(spark: SparkSession, name: str = "detect") -> None:
+    """Make the detectors that are registered now a table function of SQL: ``SELECT * FROM detect(TABLE(bars), 'a, b')``, or
+    of all of them without names. The table has ticker, date, open, high, low, close, volume and atr_14 in any order; it
+    is partitioned by ticker and sorted by date by the function itself. Returns (ticker, date, detector, side, strength, kind).
+    """
+    ship(spark)
+    there = dict(STATEFUL)
+    columns = ("open", "high", "low", "close", "volume", "atr_14")
+
+    class Detect:
+        @staticmethod
+        def analyze(bars: AnalyzeArgument, names: AnalyzeArgument | None = None) -> AnalyzeResult:
+            have = {f.name for f in bars.dataType.fields}
+            if lacking := {"ticker", "date", *columns} - have:
+                raise ValueError(f"the table lacks {sorted(lacking)}")
+            chosen = [n.strip() for n in names.value.split(",")] if names is not None and names.value else list(there)
+            if unknown := set(chosen) - set(there):
+                raise ValueError(f"unknown detectors {sorted(unknown)}")
+            date = next(f.dataType for f in bars.dataType.fields if f.name == "date")
+            out = StructType().add("ticker", "string").add("date", date).add("detector", "string").add("side", "string").add("strength", "double").add("kind", "string")
+            return AnalyzeResult(out, partitionBy=[PartitioningColumn("ticker")], orderBy=[OrderingColumn("date")])
+
+        def __init__(self) -> None:
+            self.rows: list[tuple] = []
+            self.ticker, self.names = None, ""
+
+        def eval(self, bars: Row, names: str | None = None) -> None:
+            self.ticker, self.names = bars["ticker"], names
+            self.rows.append((bars["date"], *(bars[c] for c in columns)))
+
+        def terminate(self):
+            if not self.rows:
+                return
+            dates, *values = zip(*self.rows, strict=True)
+            arrays = {c: np.array([np.nan if x is None else x for x in v], float) for c, v in zip(columns, values, strict=True)}
+            arrays["atr"] = np.nan_to_num(arrays.pop("atr_14"))
+            for n in [n.strip() for n in self.names.split(",")] if self.names else there:
+                for t, side, strength, *more in there[n](arrays):
+                    yield self.ticker, dates[t], n, side, float(strength), (more or [None])[0]
+
+    spark.udtf.register(name, udtf(Detect))
+
+
 #: What each family reads besides the bars: recursive columns, averages' spans, and window blocks.
 NEEDS: dict[Callable[[DataFrame], DataFrame], tuple[tuple[str, ...], tuple[int, ...], bool]] = {
     divergences: (("rsi_14",), (), True),
@@ -465,9 +510,9 @@ def prepared(bars: DataFrame, *families: Callable[[DataFrame], DataFrame]) -> Da
     return T.swings(out) if any(n[2] for n in needs) else out
 
 
-def all_events(bars: DataFrame) -> DataFrame:
-    """Events of every detector."""
-    df = prepared(bars)
+def all_events(bars: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """Events of every detector; ``df`` is what ``prepared`` makes of the bars, if it is there already."""
+    df = prepared(bars) if df is None else df
     out = None
     for family in NEEDS:
         found = family(df)

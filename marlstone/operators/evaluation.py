@@ -53,10 +53,19 @@ def assign_folds(matrix: DataFrame, plan: DataFrame, calibration: float = 0.15,
     return out.withColumn("role", role).filter("role is not null").drop("fit_end", "calibrate_start")
 
 
+def join_events(matrix: DataFrame, events: DataFrame, detectors: list[str]) -> DataFrame:
+    """``matrix`` with a flag for each detector and side, ``<detector>_long`` and ``_short``: whether the row has its event."""
+    kinds = F.concat_ws("_", "detector", "side")
+    held = events.filter(F.col("detector").isin(*detectors)).groupBy("ticker", "date").agg(F.collect_set(kinds).alias("_events"))
+    flags = {f"{d}_{side}": F.coalesce(F.array_contains("_events", f"{d}_{side}"), F.lit(False)) for d in detectors for side in ("long", "short")}
+    return matrix.join(held, ["ticker", "date"], "left").withColumns(flags).drop("_events")
+
+
 def event_study(events: DataFrame, labels: DataFrame, plan: DataFrame, state: DataFrame | None = None, min_fold_events: int = 5, window: str = "folds") -> DataFrame:
     """(detector, side) -> how the label does on event rows against all rows of the cross-validation window.
 
-    ``events``: (ticker, date, detector, side, strength); ``labels``: (ticker, date, label_*, label_*_outcome_return);
+    ``events``: (ticker, date, detector, side, strength); ``labels``: (ticker, date, label_*, label_*_outcome_return, and
+    terminal_return_10, whose medians are given where it is there);
     ``state``: (ticker, date, htf), the weekly trend of every row. The window is the span of the folds' test parts, or with
     ``window="history"`` all that is not after it; the held-out year never counts. Blocks: all events; those with the
     weekly trend (also against the base of such rows); those against it, following either the event or the trend; and
@@ -68,7 +77,8 @@ def event_study(events: DataFrame, labels: DataFrame, plan: DataFrame, state: Da
     rows = labels.join(span).filter(inside).drop("_from", "_to")
     rows = rows.join(state.select("ticker", "date", "htf"), ["ticker", "date"], "left") if state is not None else rows.withColumn("htf", F.lit(None).cast("double"))
     each = [F.struct(F.lit(s).alias("side"), F.col(f"label_{s}").alias("label"), F.col(f"label_{s}_outcome_return").alias("outcome"), F.col(f"label_{o}").alias("other"), F.col(f"label_{o}_outcome_return").alias("other_outcome")) for s, o in (("long", "short"), ("short", "long"))]
-    sides = rows.select("ticker", "date", "htf", F.explode(F.array(*each)).alias("x")).select("ticker", "date", "htf", "x.*")
+    ends = ["terminal_return_10"] if "terminal_return_10" in labels.columns else []
+    sides = rows.select("ticker", "date", "htf", *ends, F.explode(F.array(*each)).alias("x")).select("ticker", "date", "htf", *ends, "x.*")
     way = F.when(F.col("side") == "long", F.col("htf")).otherwise(-F.col("htf"))
     sides = sides.withColumns({"with_trend": F.coalesce(way == 1, F.lit(False)), "against": F.coalesce(way == -1, F.lit(False))})
     base = sides.groupBy("side").agg(F.avg("label").alias("base"), F.avg(F.when(F.col("with_trend"), F.col("label"))).alias("base_htf"), F.avg("other").alias("base_other"), F.count("label").alias("n_rows"))
@@ -79,6 +89,7 @@ def event_study(events: DataFrame, labels: DataFrame, plan: DataFrame, state: Da
         F.count_if("with_trend").alias("n_htf"), F.avg(on("with_trend", "label")).alias("hit_rate_htf"), F.percentile(on("with_trend", "outcome"), 0.5).alias("median_outcome_htf"),
         F.count_if("against").alias("n_opposed"), F.avg(on("against", "label")).alias("hit_rate_opposed"), F.avg(on("against", "other")).alias("hit_rate_trend"),
         F.percentile(on("against", "outcome"), 0.5).alias("median_outcome_opposed"), F.percentile(on("against", "other_outcome"), 0.5).alias("median_outcome_trend"),
+        *[F.percentile(x, 0.5).alias(f"median_{c}{n}") for c in ends for x, n in ((F.col(c), ""), (on("with_trend", c), "_htf"), (on("against", c), "_opposed"))],
     )
     in_fold = lambda df: df.join(f, (df["date"] >= f["test_start"]) & (df["date"] <= f["test_end"]))
     fold_base = in_fold(sides).groupBy("fold", "side").agg(F.avg("label").alias("fold_base"))

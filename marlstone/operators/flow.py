@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.exprs import js_round, per_ticker, ratio
+from ..functions.exprs import js_round, ratio
+from ..functions.kernels import percentile_rank
 from ..functions.market import contract_label, local_date, otm_share, second_of_day
+from ..functions.ship import ship
 
 CLOSE_SECOND = 57600
 #: Events up to so many days before the first trading day move forward to it.
@@ -69,15 +72,19 @@ def join_flow_features(matrix: DataFrame, flow: DataFrame, prints: DataFrame) ->
 
 
 def print_intensity(matrix: DataFrame, window: int = 126) -> DataFrame:
-    """Block premium over dollar volume (0 without volume; to nine digits, so that equal days tie), and its trailing percentile."""
+    """Block premium over dollar volume (0 without volume; to nine digits, so that equal days tie), and its trailing percentile.
+
+    The percentile is a pass over each ticker's dates and shares alone."""
+    ship(matrix.sparkSession)
     share = F.round(F.coalesce(ratio(F.col("dp_total_premium"), F.col("close") * F.col("volume")), F.lit(0.0)), 9)
     out = matrix.withColumn("dp_premium_to_dollar_vol", share)
-    x = F.col("dp_premium_to_dollar_vol")
-    frame = per_ticker().rowsBetween(-(window - 1), 0)
-    seen = F.collect_list(x).over(frame)
-    less, same = F.size(F.filter("_seen", lambda v: v < x)), F.size(F.filter("_seen", lambda v: v == x))
-    out = out.withColumn("_seen", seen).withColumn("dp_premium_pctile", F.when(F.size("_seen") == window, (less + (same + 1) / 2) / window))
-    return out.drop("_seen")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date", kind="stable")
+        return pdf[["ticker", "date"]].assign(dp_premium_pctile=percentile_rank(pdf["x"].to_numpy(float), window))
+
+    ranks = out.select("ticker", "date", F.col("dp_premium_to_dollar_vol").alias("x")).groupBy("ticker").applyInPandas(run, "ticker string, date date, dp_premium_pctile double")
+    return out.join(ranks.withColumn("dp_premium_pctile", F.when(~F.isnan("dp_premium_pctile"), F.col("dp_premium_pctile"))), ["ticker", "date"], "left")
 
 
 # --- screens and feeds ---------------------------------------------------------------------------------------------
@@ -303,6 +310,14 @@ def side_mode(strikes: DataFrame, mode: str) -> DataFrame:
     return out.withColumns({"call": c("cA") + c("cB"), "put": c("pA") + c("pB")})
 
 
+def minute_of(days: DataFrame, minute: Column | None = None) -> DataFrame:
+    """(ticker, date, spot, strikes) of a minute ``t`` of each day's array, or of its last one where that minute is missing."""
+    last = F.try_element_at("minutes", F.lit(-1))
+    at = F.lit(None) if minute is None else F.try_element_at(F.filter("minutes", lambda m: m["t"] == minute), F.lit(1))
+    picked = last if minute is None else F.coalesce(at, last)
+    return days.select("ticker", "date", picked.alias("m")).select("ticker", "date", F.col("m.t").alias("t"), F.col("m.spot").alias("spot"), F.col("m.strikes").alias("strikes"))
+
+
 def chain_totals(snapshots: DataFrame, mode: str = "all", n: int = 20) -> DataFrame:
     """(ticker, date, call, put, cp, and buys, sales and their ratio of either side over the ``n`` strikes around spot).
 

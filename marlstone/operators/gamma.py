@@ -56,12 +56,14 @@ def heatmap_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def choose_expirations(expirations: DataFrame, as_of: Column, nearest: int = 7, fridays: int = 5) -> DataFrame:
-    """The nearest expirations, the next Fridays among them, and today's."""
+    """The nearest expirations, the next Fridays among them, and today, listed or not: on its last day an expiration isn't."""
     alive = expirations.filter(F.col("expiry") >= as_of).withColumn("dte", F.datediff("expiry", as_of))
     by = lambda cond: F.row_number().over(W.partitionBy("ticker", cond).orderBy("expiry"))
     friday = F.dayofweek("expiry") == 6
     out = alive.withColumns({"_n": F.row_number().over(W.partitionBy("ticker").orderBy("expiry")), "_f": by(friday)})
-    return out.filter((F.col("_n") <= nearest) | (friday & (F.col("_f") <= fridays)) | (F.col("dte") == 0)).drop("_n", "_f")
+    out = out.filter((F.col("_n") <= nearest) | (friday & (F.col("_f") <= fridays))).drop("_n", "_f")
+    today = expirations.select("ticker").distinct().select("ticker", as_of.alias("expiry"), F.lit(0).alias("dte"))
+    return out.filter("dte > 0").select("ticker", "expiry", "dte").unionByName(today)
 
 
 #: The share of spot within which a ticker's strikes are shown, and that of all others.
@@ -105,21 +107,23 @@ def heatmap_scale(cells: DataFrame, keys: list[str]) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.max(F.when(F.col("n") == 1, F.col("strike"))).alias("max_strike"), F.max(F.when(F.col("n") == 2, F.abs("net_oi"))).alias("scale"))
 
 
-def snapshot_as_of(snaps: DataFrame, requests: DataFrame) -> DataFrame:
+def snapshot_as_of(snaps: DataFrame, requests: DataFrame, now: Column | None = None) -> DataFrame:
     """(ticker, at) -> the snapshot to show: the newest with two or more expirations of the six hours up to ``at``, or
-    else the newest up to ``at``; nothing if that is over 72 hours old.
+    else the newest up to ``at``; nothing if that is over 72 hours old. A request without ``at`` is live: it takes the
+    good ones of the 24 hours up to ``now``, and is told by ``live``.
 
     Both sides are sorted together once; no range join.
     """
-    s = snaps.select("ticker", F.col("captured_at").alias("t"), F.struct("captured_at", "n_exp").alias("snap"), F.lit(None).cast("timestamp").alias("at"))
-    r = requests.select("ticker", F.col("at").alias("t"), F.lit(None).cast(s.schema["snap"].dataType).alias("snap"), "at")
+    when = F.coalesce("at", now if now is not None else F.current_timestamp())
+    s = snaps.select("ticker", F.col("captured_at").alias("t"), F.struct("captured_at", "n_exp").alias("snap"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("boolean").alias("live"))
+    r = requests.select("ticker", when.alias("t"), F.lit(None).cast(s.schema["snap"].dataType).alias("snap"), when.alias("at"), F.col("at").isNull().alias("live"))
     order = W.partitionBy("ticker").orderBy("t", F.col("snap").isNull()).rowsBetween(W.unboundedPreceding, 0)
     last = F.last("snap", ignorenulls=True).over(order)
     good = F.last(F.when(F.col("snap.n_exp") >= 2, F.col("snap")), ignorenulls=True).over(order)
     out = s.unionByName(r).withColumns({"good": good, "last": last}).filter("at is not null")
     hours = lambda c: (F.unix_micros("at") - F.unix_micros(c)) / 3.6e9
-    pick = F.when(hours(F.col("good.captured_at")) < 6, F.col("good")).otherwise(F.col("last"))
-    out = out.select("ticker", "at", pick.alias("x")).select("ticker", "at", "x.*")
+    pick = F.when(hours(F.col("good.captured_at")) < F.when(F.col("live"), 24).otherwise(6), F.col("good")).otherwise(F.col("last"))
+    out = out.select("ticker", "at", "live", pick.alias("x")).select("ticker", "at", "live", "x.*")
     return out.filter((F.unix_micros("at") - F.unix_micros("captured_at")) / 3.6e9 <= 72)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import js_round
 from ..functions.market import contract_label, day_bounds, local_date, money_label, moneyness_weight, option_symbol, prior_weekday
 from .positions import shown
+from .technicals import weekly_atr_ladder
 
 # Fixed values of the score.
 BULL_CP, BEAR_CP, LEAST_VOLUME = 2.0, 0.5, 5000
@@ -88,9 +89,12 @@ def persistence(alerts: DataFrame, snapshots: DataFrame, day: Column, min_premiu
 
 
 def best_print(prints: DataFrame, as_of: Column) -> DataFrame:
-    """The best ranked print of each ticker in the last 48 hours."""
+    """The best ranked print of each ticker in the 48 hours before ``as_of``: rank, premium, and whether it is of that New
+    York day or older."""
     recent = prints.filter(F.col("rank").isNotNull() & (F.col("executed_at") >= as_of - F.make_dt_interval(F.lit(0), F.lit(PRINT_HOURS))))
-    return recent.groupBy("ticker").agg(F.min("rank").alias("print_rank"))
+    g = recent.groupBy("ticker").agg(F.min_by(F.struct("rank", "executed_at", "premium"), F.struct("rank", "executed_at")).alias("x"))
+    start, _ = day_bounds(local_date(as_of))
+    return g.select("ticker", F.col("x.rank").alias("print_rank"), F.when(F.col("x.executed_at") >= start, "today").otherwise("yesterday").alias("print_age"), F.col("x.premium").alias("print_premium"))
 
 
 def score(candidates: DataFrame) -> DataFrame:
@@ -129,13 +133,23 @@ def thesis(hits: DataFrame) -> DataFrame:
     return hits.withColumn("thesis", words)
 
 
-def hit_list(alerts: DataFrame, prints: DataFrame, snapshots: DataFrame, criteria: Criteria, day: Column) -> DataFrame:
-    """The day's list: (rank, ticker, points, contract, peers, theme, thesis), best first."""
+def hit_list(alerts: DataFrame, prints: DataFrame, snapshots: DataFrame, criteria: Criteria, day: Column, weeks: DataFrame | None = None, quotes: DataFrame | None = None) -> DataFrame:
+    """The day's list: (rank, ticker, points, contract, print, peers, theme, thesis), best first.
+
+    With ``weeks`` (weekly bars, the one in progress too) each row has its weekly range and targets (null without enough
+    weeks), by the spot of the top alert; with ``quotes`` of contracts the entry and last price, which are the
+    mark of the suggested contract at the time of the list.
+    """
     base = by_ticker(qualifying(alerts, criteria, day), day)
     near = best_print(prints, day.cast("timestamp"))
     base = base.join(near, "ticker", "inner" if criteria.require_print else "left").join(latest_sentiment(snapshots), "ticker", "left").join(persistence(alerts, snapshots, day, criteria.min_premium), "ticker", "left")
     best = score(base).withColumn("rank", F.row_number().over(W.orderBy(F.desc("total"), F.desc("total_premium"), "ticker"))).filter(F.col("rank") <= criteria.max_alerts)
     out = thesis(best.join(peers_and_theme(base), "ticker"))
+    if weeks is not None:
+        out = out.join(weekly_atr_ladder(weeks, best.select("ticker", "spot")).drop("spot"), "ticker", "left")
+    if quotes is not None:
+        mark = option_marks(quotes).select(F.col("occ").alias("contract_occ"), F.round("mark", 4).alias("entry_price"))
+        out = out.join(mark, "contract_occ", "left").withColumn("last_price", F.col("entry_price"))
     rounded = {c: js_round(F.col(c), 1) for c in ("flow_pts", "sentiment_pts", "total")}
     return out.withColumns(rounded)
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import js_round
+from ..functions.store import written
 from ..operators import bars as B
 from ..operators import book, detectors, evaluation, flow, gamma, hitlist
 from ..operators import technicals as T
@@ -57,7 +58,7 @@ def _hit_sql(least: int = 700_000, grades: str = "'HIGH', 'MED'") -> str:
     return f"""q AS (SELECT * FROM alerts WHERE CAST(time - INTERVAL 5 HOUR AS DATE) = DATE '2024-01-16' AND side = 'BUY' AND premium >= {least} AND confidence IN ({grades})),
 w AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY premium DESC, id) AS n, premium * CASE WHEN strike <= 0 THEN 1.0 WHEN abs(strike - spot) / spot <= 0.025 THEN 1.0 WHEN (type = 'CALL' AND strike > spot) OR (type = 'PUT' AND strike < spot) THEN 1.5 ELSE 0.75 END AS wp FROM q),
 g AS (SELECT ticker, sum(premium) AS total_premium, sum(wp) AS weighted_premium, count(*) AS n_alerts, max(CASE confidence WHEN 'HIGH' THEN 3 WHEN 'MED' THEN 2 ELSE 1 END) AS grade,
-  CASE WHEN count(*) FILTER (WHERE sentiment = 'BEARISH') > count(*) FILTER (WHERE sentiment = 'BULLISH') THEN 'DOWN' ELSE 'UP' END AS direction, arg_min(sector, n) AS sector, arg_min(strike, n) AS t_strike, arg_min(type, n) AS t_type, arg_min(expiry, n) AS t_expiry FROM w GROUP BY 1)"""
+  CASE WHEN count(*) FILTER (WHERE sentiment = 'BEARISH') > count(*) FILTER (WHERE sentiment = 'BULLISH') THEN 'DOWN' ELSE 'UP' END AS direction, arg_min(sector, n) AS sector, arg_min(strike, n) AS t_strike, arg_min(type, n) AS t_type, arg_min(expiry, n) AS t_expiry, arg_min(spot, n) AS t_spot FROM w GROUP BY 1)"""
 
 
 HIT = _hit_sql()
@@ -90,11 +91,35 @@ def h4_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _MONEY = "CASE WHEN total_premium >= 1e9 THEN printf('$%.1fB', total_premium / 1e9) WHEN total_premium >= 1e6 THEN printf('$%.1fM', total_premium / 1e6) WHEN total_premium >= 1e3 THEN printf('$%.0fK', total_premium / 1e3) ELSE printf('$%.0f', total_premium) END"
 
 
+def _weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly bars of the hits' tickers: those of the suppliers of the same number."""
+    return B.weekly(bars(spark, sf_dir)).withColumn("ticker", F.concat(F.lit("U"), F.substring("ticker", 2, 9)))
+
+
+def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two days of quotes of every contract that was traded; some without a bid, some without any price."""
+    from ..functions.market import option_symbol
+
+    occ = option_symbol(F.col("ticker"), F.col("expiry"), F.col("type"), F.col("strike"))
+    c = alerts(spark, sf_dir).groupBy(occ.alias("occ")).agg(F.max("id").alias("n"))
+    day = F.explode(F.sequence(F.lit(0), F.lit(1)))
+    bid = F.when(F.col("n") % 3 > 0, F.col("n") % 50 + F.col("d") + 0.25).otherwise(0.0)
+    last = F.when(F.col("n") % 4 > 0, F.col("n") % 50 + 0.125).otherwise(0.0)
+    return c.withColumn("d", day).select("occ", F.date_add(F.lit("2024-01-15").cast("date"), F.col("d")).alias("date"), bid.alias("bid"), (F.col("n") % 50 + F.col("d") + 0.5).alias("ask"), last.alias("last"))
+
+
+_TARGETS = ", ".join(f"floor(({x}) * 100 + 0.5) / 100 AS {c}" for c, x in (("atr_w", "a"), ("up05", "t_spot + 0.5 * a"), ("up1", "t_spot + a"), ("up2", "t_spot + 2 * a"), ("dn05", "t_spot - 0.5 * a"), ("dn1", "t_spot - a"), ("dn2", "t_spot - 2 * a")))
+
+
 @query("h1_hit_list", f"""WITH {LAST}, {HIT}, {_persistence_sql(700_000)},
+ld AS (WITH {LADDER} SELECT 'U' || substr(ticker, 2) AS ticker, a FROM a),
+qt AS (
+  SELECT ticker || strftime(expiry, '%y%m%d') || left(type, 1) || lpad(CAST(CAST(floor(strike * 1000 + 0.5) AS BIGINT) AS VARCHAR), 8, '0') AS occ, max(id) AS n FROM alerts GROUP BY 1
+), mk AS (SELECT occ, CASE WHEN n % 3 > 0 THEN (n % 50 + 1.25 + n % 50 + 1.5) / 2 WHEN n % 4 > 0 THEN n % 50 + 0.125 END::DOUBLE AS mark FROM qt),
 pk AS (SELECT w.ticker, strike, type, expiry FROM w JOIN g USING (ticker) WHERE n <= 5 AND expiry > DATE '{DAY}' AND expiry <= DATE '{DAY}' + 92 QUALIFY row_number() OVER (PARTITION BY w.ticker ORDER BY type = CASE direction WHEN 'UP' THEN 'CALL' ELSE 'PUT' END DESC, wp DESC, n) = 1),
-rk AS (SELECT ticker, time, row_number() OVER (PARTITION BY ticker ORDER BY premium DESC, time DESC, id) AS rank FROM alerts), pr AS (SELECT ticker, CAST(min(rank) AS INTEGER) AS print_rank FROM rk WHERE rank <= 200 AND time >= TIMESTAMP '{DAY}' - INTERVAL 48 HOUR GROUP BY 1),
+rk AS (SELECT ticker, time, premium, row_number() OVER (PARTITION BY ticker ORDER BY premium DESC, time DESC, id) AS rank FROM alerts), pr AS (SELECT ticker, CAST(min(rank) AS INTEGER) AS print_rank, arg_min(premium, rank) AS print_premium, CASE WHEN arg_min(time, rank) >= TIMESTAMP '{DAY}' - INTERVAL 19 HOUR THEN 'today' ELSE 'yesterday' END AS print_age FROM rk WHERE rank <= 200 AND time >= TIMESTAMP '{DAY}' - INTERVAL 48 HOUR GROUP BY 1),
 cs AS (SELECT ticker, (ca + cb) / (pa + pb) AS cp FROM days WHERE date = (SELECT max(date) FROM days) AND 20 * (ca + cb + pa + pb) >= 5000 AND pa + pb > 0),
-b AS (SELECT g.*, pk.strike, pk.type, pk.expiry, print_rank, cp, days, coalesce(cp >= 2 OR cp <= 0.5, false) AS fires FROM g LEFT JOIN pk USING (ticker) LEFT JOIN pr USING (ticker) LEFT JOIN cs USING (ticker) LEFT JOIN persist USING (ticker)),
+b AS (SELECT g.*, pk.strike, pk.type, pk.expiry, print_rank, print_age, print_premium, cp, days, coalesce(cp >= 2 OR cp <= 0.5, false) AS fires FROM g LEFT JOIN pk USING (ticker) LEFT JOIN pr USING (ticker) LEFT JOIN cs USING (ticker) LEFT JOIN persist USING (ticker)),
 s AS (SELECT *, 40 * cume_dist() OVER (ORDER BY weighted_premium) * CASE grade WHEN 3 THEN 1.0 WHEN 2 THEN 0.8 ELSE 0.6 END::DOUBLE AS flow, CASE WHEN fires THEN greatest(least(25, 25 * (CASE WHEN cp >= 2 THEN cp ELSE 1 / greatest(cp, 0.01) END - 1.5) / 4.5), 6) ELSE 0 END::DOUBLE AS sent,
   CASE WHEN print_rank <= 10 THEN 15.0 WHEN print_rank IS NOT NULL THEN 10.0 ELSE 0.0 END::DOUBLE AS print_pts, least(20, coalesce(days, 0) * 5)::DOUBLE AS persistence_pts, fires AND CASE WHEN cp >= 1 THEN 'UP' ELSE 'DOWN' END = direction AS agree FROM b),
 t AS (SELECT *, (flow + sent + print_pts + persistence_pts) * CASE WHEN agree THEN 1.1 ELSE 1.0 END::DOUBLE AS points, row_number() OVER (PARTITION BY sector ORDER BY total_premium DESC, ticker) AS sn, count(*) OVER (PARTITION BY sector) AS sc FROM s),
@@ -103,10 +128,14 @@ SELECT CAST(rank AS INTEGER) AS rank, ticker, direction, floor(flow * 10 + 0.5)
   '$' || regexp_replace(printf('%.4f', coalesce(strike, t_strike)), '\\.?0+$', '') || left(coalesce(type, t_type), 1) || ' ' || strftime(coalesce(expiry, t_expiry), '%b %-d') AS contract,
   ticker || strftime(expiry, '%y%m%d') || left(type, 1) || lpad(CAST(CAST(floor(strike * 1000 + 0.5) AS BIGINT) AS VARCHAR), 8, '0') AS contract_occ, CAST(least(3, CASE WHEN sn <= 6 THEN least(sc, 6) - 1 ELSE 6 END) AS INTEGER) AS n_peers, theme_tickers,
   ticker || ': ' || {_MONEY} || ' bought in ' || n_alerts || CASE WHEN n_alerts = 1 THEN ' alert' ELSE ' alerts' END || ', ' || CASE direction WHEN 'UP' THEN 'bullish' ELSE 'bearish' END || CASE WHEN agree THEN ', chain sentiment agrees' ELSE '' END ||
-  CASE WHEN print_rank IS NOT NULL THEN ', ranked print #' || print_rank ELSE '' END || CASE WHEN coalesce(days, 0) > 0 THEN ', seen on ' || days || ' prior days' ELSE '' END AS thesis FROM r JOIN th USING (sector) WHERE rank <= 10""")
+  CASE WHEN print_rank IS NOT NULL THEN ', ranked print #' || print_rank ELSE '' END || CASE WHEN coalesce(days, 0) > 0 THEN ', seen on ' || days || ' prior days' ELSE '' END AS thesis,
+  print_rank, print_age, round(print_premium, 6) AS print_premium, {_TARGETS}, round(mark, 4) AS entry_price, round(mark, 4) AS last_price
+FROM r JOIN th USING (sector) LEFT JOIN ld USING (ticker)
+LEFT JOIN mk ON mk.occ = r.ticker || strftime(r.expiry, '%y%m%d') || left(r.type, 1) || lpad(CAST(CAST(floor(r.strike * 1000 + 0.5) AS BIGINT) AS VARCHAR), 8, '0')
+WHERE rank <= 10""")
 def h1_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = hitlist.hit_list(alerts(spark, sf_dir), _ranked(spark, sf_dir), _snapshots(spark, sf_dir), hitlist.Criteria(), F.lit(DAY).cast("date"))
-    return out.select("rank", "ticker", "direction", "flow_pts", "sentiment_pts", "print_pts", "persistence_pts", "agree", "total", "contract", "contract_occ", F.size("peers").alias("n_peers"), F.array_join("theme_tickers", ",").alias("theme_tickers"), "thesis")
+    out = hitlist.hit_list(alerts(spark, sf_dir), _ranked(spark, sf_dir), _snapshots(spark, sf_dir), hitlist.Criteria(), F.lit(DAY).cast("date"), _weeks(spark, sf_dir), _quotes(spark, sf_dir))
+    return rounded(out).select("rank", "ticker", "direction", "flow_pts", "sentiment_pts", "print_pts", "persistence_pts", "agree", "total", "contract", "contract_occ", F.size("peers").alias("n_peers"), F.array_join("theme_tickers", ",").alias("theme_tickers"), "thesis", "print_rank", "print_age", "print_premium", "atr_w", "up05", "up1", "up2", "dn05", "dn1", "dn2", "entry_price", "last_price")
 
 
 @query("a9_session_meta", f"""WITH {ALERTS}, {HIT}, l AS (SELECT sector, sum(total_premium) AS p FROM g GROUP BY 1) SELECT round(sum(total_premium), 4) AS total, round(coalesce(sum(total_premium) FILTER (WHERE direction = 'UP'), 0), 4) AS up,
@@ -183,9 +212,9 @@ def e2_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _study(spark: SparkSession, sf_dir: str, families: list | None, window: str, least: int) -> DataFrame:
     b = bars(spark, sf_dir)
-    labels = T.barrier_labels(T.with_recursions(b, want=("atr_14",)))
-    df = detectors.prepared(b, *(families or ()))
-    events = detectors.all_events(b) if families is None else families[0](df)
+    df = written(detectors.prepared(b, *(families or ())), "prepared")  # all uses read the bars and recursions from here
+    labels = T.forward_returns(T.barrier_labels(df.select(*b.columns, "atr_14")), (10,), "terminal_return")
+    events = detectors.all_events(b, df) if families is None else families[0](df)
     for family in (families or [])[1:]:
         events = events.unionByName(family(df))
     out = rounded(evaluation.event_study(events, labels, evaluation.folds(b), detectors.weekly_state(b), least, window))
@@ -200,18 +229,20 @@ def e5_study(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _study_sql(found: list[str], window: str, least: int) -> str:
     """The same from SQL events. Each source is a whole statement with its own CTEs."""
-    inside = f"date <= (SELECT max(te) FROM sp) AND date >= (SELECT min(ts) FROM sp)" if window == "folds" else "date <= (SELECT max(te) FROM sp)"
+    inside = "h3.date <= (SELECT max(te) FROM sp)" + (" AND h3.date >= (SELECT min(ts) FROM sp)" if window == "folds" else "")
     med = lambda v, c: f"quantile_cont({v}, 0.5) FILTER (WHERE {c})"
     over = lambda a, b: f"round({a} / nullif({b}, 0), 6)"
     return f"""WITH ev AS ({' UNION ALL '.join(f'SELECT ticker, date, detector, side, strength FROM ({x})' for x in found)}), {BASE}, {LABELS}, {FOLDS}, sp AS (SELECT fold, (SELECT date FROM d WHERE i = lo) AS ts, (SELECT date FROM d WHERE i = hi) AS te FROM fo WHERE fold <> 'oos'), {STATE},
-rw AS (SELECT h3.ticker, h3.date, htf, label_long, label_long_outcome_return AS ol, label_short, label_short_outcome_return AS os FROM h3 LEFT JOIN ss ON ss.ticker = h3.ticker AND ss.week = h3.date + CAST((12 - dayofweek(h3.date)) % 7 AS INTEGER) WHERE {inside}),
-sd AS (SELECT ticker, date, 'long' AS side, label_long AS label, ol AS outcome, label_short AS other, os AS other_outcome, coalesce(htf = 1, false) AS wt, coalesce(htf = -1, false) AS ag FROM rw UNION ALL SELECT ticker, date, 'short', label_short, os, label_long, ol, coalesce(htf = -1, false), coalesce(htf = 1, false) FROM rw),
+tr AS (SELECT ticker, date, lead(close, 10) OVER (PARTITION BY ticker ORDER BY date) / nullif(close, 0) - 1 AS tr10 FROM h3),
+rw AS (SELECT h3.ticker, h3.date, htf, tr10, label_long, label_long_outcome_return AS ol, label_short, label_short_outcome_return AS os FROM h3 JOIN tr ON tr.ticker = h3.ticker AND tr.date = h3.date LEFT JOIN ss ON ss.ticker = h3.ticker AND ss.week = h3.date + CAST((12 - dayofweek(h3.date)) % 7 AS INTEGER) WHERE {inside}),
+sd AS (SELECT ticker, date, tr10, 'long' AS side, label_long AS label, ol AS outcome, label_short AS other, os AS other_outcome, coalesce(htf = 1, false) AS wt, coalesce(htf = -1, false) AS ag FROM rw UNION ALL SELECT ticker, date, tr10, 'short', label_short, os, label_long, ol, coalesce(htf = -1, false), coalesce(htf = 1, false) FROM rw),
 bs AS (SELECT side, avg(label) AS base, avg(label) FILTER (WHERE wt) AS base_htf, avg(other) AS base_other, count(label) AS n_rows FROM sd GROUP BY 1), hi AS (SELECT ev.detector, ev.strength, sd.* FROM ev JOIN sd USING (ticker, date, side) WHERE label IS NOT NULL),
 mn AS (SELECT detector, side, count(*) AS n, avg(label) AS hit_rate, quantile_cont(outcome, 0.5) AS median_outcome, quantile_cont(strength, 0.5) AS median_strength, count(*) FILTER (WHERE wt) AS n_htf, avg(label) FILTER (WHERE wt) AS hit_rate_htf, {med('outcome', 'wt')} AS median_outcome_htf,
-  count(*) FILTER (WHERE ag) AS n_opposed, avg(label) FILTER (WHERE ag) AS hit_rate_opposed, avg(other) FILTER (WHERE ag) AS hit_rate_trend, {med('outcome', 'ag')} AS median_outcome_opposed, {med('other_outcome', 'ag')} AS median_outcome_trend FROM hi GROUP BY 1, 2),
+  count(*) FILTER (WHERE ag) AS n_opposed, avg(label) FILTER (WHERE ag) AS hit_rate_opposed, avg(other) FILTER (WHERE ag) AS hit_rate_trend, {med('outcome', 'ag')} AS median_outcome_opposed, {med('other_outcome', 'ag')} AS median_outcome_trend,
+  {med('tr10', 'true')} AS median_terminal_return_10, {med('tr10', 'wt')} AS median_terminal_return_10_htf, {med('tr10', 'ag')} AS median_terminal_return_10_opposed FROM hi GROUP BY 1, 2),
 fb AS (SELECT fold, side, avg(label) AS b FROM sd JOIN sp ON date BETWEEN ts AND te GROUP BY 1, 2), pf AS (SELECT fold, detector, side, avg(label) AS r FROM hi JOIN sp ON date BETWEEN ts AND te GROUP BY 1, 2, 3 HAVING count(*) >= {least}),
 lf AS (SELECT detector, side, count(r / nullif(b, 0)) AS n_folds, min(r / nullif(b, 0)) AS min_lift, max(r / nullif(b, 0)) AS max_lift FROM pf JOIN fb USING (fold, side) GROUP BY 1, 2)
-SELECT detector, side, n, round(median_strength, 4) AS median_strength, {', '.join(f'round({c}, 6) AS {c}' for c in 'hit_rate median_outcome hit_rate_htf median_outcome_htf hit_rate_opposed hit_rate_trend median_outcome_opposed median_outcome_trend base base_htf min_lift max_lift'.split())}, n_htf, n_opposed, n_folds,
+SELECT detector, side, n, round(median_strength, 4) AS median_strength, {', '.join(f'round({c}, 6) AS {c}' for c in 'hit_rate median_outcome hit_rate_htf median_outcome_htf hit_rate_opposed hit_rate_trend median_outcome_opposed median_outcome_trend median_terminal_return_10 median_terminal_return_10_htf median_terminal_return_10_opposed base base_htf min_lift max_lift'.split())}, n_htf, n_opposed, n_folds,
   {over('hit_rate', 'base')} AS lift, {over('hit_rate_htf', 'base')} AS lift_htf, {over('hit_rate_htf', 'base_htf')} AS lift_htf_base, {over('hit_rate_opposed', 'base')} AS lift_opposed, {over('hit_rate_trend', 'base_other')} AS lift_trend, round(n * 1000.0::DOUBLE / greatest(n_rows, 1), 6) AS events_per_1k
 FROM mn JOIN bs USING (side) LEFT JOIN lf USING (detector, side)"""
 
@@ -267,10 +298,3 @@ def d2_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chain features with the next day's return, split by date."""
     rows = flow.split_by_date(_panel(spark, sf_dir))
     return rounded(rows.groupBy("split").agg(F.count("*").alias("n"), F.count("sent_cp_ratio").alias("n_ratio"), F.avg("sent_cp_ratio").alias("mean_ratio"), F.avg("fwd_1").alias("mean")))
-
-
-@query("e3_out_of_fold")
-def e3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold scores of both sides over the five folds and the held-out year, from all feature columns."""
-    m = T.build_dataset(bars(spark, sf_dir))
-    return evaluation.score_both_sides(m, evaluation.folds(m), T.feature_columns(m))

@@ -63,8 +63,14 @@ def a16_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(gamma.heatmap_scale(gamma.heatmap_cells(_cells(spark, sf_dir), ["ticker"]), ["ticker"]), 4)
 
 
-@query("a14_expirations", f"""WITH {ALERTS}, e AS (SELECT DISTINCT ticker, expiry FROM alerts WHERE expiry >= DATE '{DAY}'), n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY expiry) AS n, row_number() OVER (PARTITION BY ticker, dayofweek(expiry) = 5 ORDER BY expiry) AS f FROM e)
-SELECT ticker, expiry, CAST(expiry - DATE '{DAY}' AS INTEGER) AS dte FROM n WHERE n <= 7 OR (dayofweek(expiry) = 5 AND f <= 5) OR expiry = DATE '{DAY}'""")
+@query(
+    "a14_expirations",
+    f"""WITH {ALERTS}, e AS (SELECT DISTINCT ticker, expiry FROM alerts WHERE expiry >= DATE '{DAY}'),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY expiry) AS n, row_number() OVER (PARTITION BY ticker, dayofweek(expiry) = 5 ORDER BY expiry) AS f FROM e
+) SELECT ticker, expiry, CAST(expiry - DATE '{DAY}' AS INTEGER) AS dte FROM n WHERE n <= 7 OR (dayofweek(expiry) = 5 AND f <= 5)
+UNION SELECT ticker, DATE '{DAY}', 0 FROM alerts""",
+)
 def a14_expirations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gamma.choose_expirations(alerts(spark, sf_dir).select("ticker", "expiry").distinct(), F.lit(DAY).cast("date")).select("ticker", "expiry", "dte")
 
@@ -214,7 +220,7 @@ def _snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = alerts(spark, sf_dir).select("id", "ticker", F.col("time").alias("executed_at"), F.lit(1.0).alias("price"), F.col("premium").alias("size"))
+    a = alerts(spark, sf_dir).select("id", "ticker", F.col("time").alias("executed_at"), F.lit(1.0).alias("price"), F.col("premium").alias("size"), "premium")
     return prints.rerank(a)
 
 

@@ -56,12 +56,19 @@ def j5_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ticker", "date", F.round("p_long", 6).alias("p_long"), F.round("entry", 8).alias("entry"), *levels)
 
 
-@query("j6_events_with_labels", f"""WITH {BARS}, f AS (SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) > close AS up, close > open AS ev FROM bars) SELECT ev AS event, count(*) AS n, count(*) FILTER (WHERE up) AS n_up FROM f GROUP BY 1""")
+@query(
+    "j6_events_with_labels",
+    f"""WITH {BARS}, f AS (
+  SELECT ticker, date, lead(close) OVER (PARTITION BY ticker ORDER BY date) > close AS up, coalesce(close > open, false) AS ev, coalesce(close < open, false) AS dn FROM bars
+) SELECT ev AS rise_long, dn AS rise_short, count(*) AS n, count(*) FILTER (WHERE up) AS n_up FROM f GROUP BY 1, 2""",
+)
 def j6_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rises and falls within a day as a detector's events, on all bars with the next one's direction."""
     b = bars(spark, sf_dir)
-    events = b.filter("close > open").select("ticker", "date", F.lit(True).alias("event"))
-    out = T.forward_returns(b, (1,)).join(events, ["ticker", "date"], "left").withColumn("event", F.coalesce("event", F.lit(False)))
-    return out.groupBy("event").agg(F.count("*").alias("n"), F.count_if(F.col("fwd_1") > 0).alias("n_up"))
+    way = F.when(F.col("close") > F.col("open"), "long").when(F.col("close") < F.col("open"), "short")
+    events = b.select("ticker", "date", F.lit("rise").alias("detector"), way.alias("side")).filter("side is not null")
+    out = evaluation.join_events(T.forward_returns(b, (1,)), events, ["rise"])
+    return out.groupBy("rise_long", "rise_short").agg(F.count("*").alias("n"), F.count_if(F.col("fwd_1") > 0).alias("n_up"))
 
 
 @query("r3_tide_buckets", """WITH b AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS bucket, arg_max(value, CAST(epoch_us(ts) AS HUGEINT) * 100000000 + event_id) AS net_premium, count(*) AS n FROM events GROUP BY 1) SELECT epoch_us(bucket) AS bucket_us, round(net_premium, 4) AS net_premium, n FROM b""")
