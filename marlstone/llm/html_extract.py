@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -34,20 +35,28 @@ VOID = "area base br col embed hr img input link meta source track wbr".split()
 MARKS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|breadcrumbs?|menu|navbar|nav|navigation|sidebar|side|widget|footer|masthead|header|comments?|commentlist|discussion|replies|respond|disqus|share|sharing|social|related|recommended|login|signup|search)(?:$|[\s_-])", re.I)
 ROLES = re.compile(r"navigation|banner|contentinfo|complementary|search|form|dialog|alert", re.I)
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+#: Inside an article only these names count, as whole words of a container's class or id: all else there is its text.
+CERTAIN = set("ad ads advert advertisement advertising adsbygoogle ad-container ad-slot ad-banner banner-ad cookie-banner cookie-notice cookie-consent notice sidebar side-bar menu nav navbar breadcrumb breadcrumbs comments comment-list commentlist comment-section comments-section comments-area disqus_thread respond newsletter newsletter-signup".split())
+CONTAINERS = set("div section ul ol dl table center details span".split())
+
+# A quotation mark opens a string only right after an equals sign; elsewhere it is a character as any other.
+MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 INSIDE, OUTSIDE, DROPPED = 0, 1, 2
 
 
-def _marked(name: str, attributes: str) -> bool:
+def _marked(name: str, attributes: str, inside: bool) -> bool:
+    """Whether an element begins a part that isn't main text."""
     if name in ASIDE:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return False
     for key, *values in ATTRIBUTE.findall(attributes):
         value, key = "".join(values), key.lower()
-        if key in ("class", "id") and MARKS.search(value) or key == "role" and ROLES.search(value) or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
+        if key in ("class", "id") and (name in CONTAINERS and not CERTAIN.isdisjoint(value.lower().split()) if inside else MARKS.search(value)):
+            return True
+        if key == "role" and ROLES.search(value) or key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             return True
     return False
 
@@ -56,13 +65,15 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     """(place, text) of every block of text in page order: inside an article, outside of any, or in a dropped part.
 
     An article or main element that opens inside an unclosed dropped element ends it. White space of a block is one
-    blank; character references are decoded.
+    blank; character references are decoded. Headers and footers are dropped wherever they stand, those of an article
+    with them. The time goes with the page's length, whatever is left open in it.
     """
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool]] = []
+    stack: list[tuple[str, bool, int]] = []  # name, whether it begins a dropped part, and since how many articles
+    names: Counter = Counter()  # of the stack
     here: list[str] = []
     page = page or ""
-    at, dropped, articles = 0, 0, 0
+    at, dropped, articles, opened = 0, 0, 0, 0
 
     def end_block() -> None:
         text = " ".join("".join(here).split())
@@ -87,11 +98,12 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         if name in BLOCK or name in RAW:
             end_block()
         if m[1]:
-            if any(name == open_ for open_, _ in stack):
+            if names[name]:
                 end_block()
                 while stack:
-                    open_, bad = stack.pop()
-                    dropped -= bad
+                    open_, bad, when = stack.pop()
+                    names[open_] -= 1
+                    dropped -= bad and when == opened
                     articles -= open_ in ("article", "main")
                     if open_ == name:
                         break
@@ -101,14 +113,15 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
                 at = len(page) if end is None else end.start() if end[0].lower().startswith("<body") else end.end()
         elif name not in VOID and not m[3].endswith("/"):
             if name in ("article", "main") and not articles:
-                stack, dropped = [(o, False) for o, _ in stack], 0
-            bad = _marked(name, m[3])
+                opened, dropped = opened + 1, 0  # what was dropped before ends here
+            bad = _marked(name, m[3], articles > 0)
             if name in BLOCK or bad:
                 if name not in BLOCK:
                     end_block()
                 dropped += bad
                 articles += name in ("article", "main")
-                stack.append((name, bad))
+                names[name] += 1
+                stack.append((name, bad, opened))
     end_block()
     return out
 

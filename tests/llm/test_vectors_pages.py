@@ -77,6 +77,58 @@ def test_repeated_runs_need_two_pages():
     assert not html_extract.repeated(tokens, np.zeros(18, int)).any()
 
 
+def test_repeated_runs_against_plain_loops():
+    rng = random.Random(4)
+    for case in range(40):
+        run, kinds = rng.choice([2, 3, 8]), rng.choice([2, 4, 30])
+        sizes = [rng.randrange(0, 25) for _ in range(rng.randrange(1, 7))]
+        phrase = [rng.randrange(kinds) for _ in range(run + 3)]
+        streams = [[rng.randrange(kinds) for _ in range(n)] for n in sizes]
+        for s in streams:
+            if s and rng.random() < 0.6:
+                at = rng.randrange(len(s))
+                s[at:at] = phrase[rng.randrange(3) :]
+        tokens = np.array([t for s in streams for t in s], np.int64)
+        page = np.repeat(np.arange(len(streams)), [len(s) for s in streams])
+        part = page * 2 + np.array([k % 7 > 4 for k in range(len(page))], int) if case % 2 and len(page) else page
+        whole = lambda k: k + run <= len(tokens) and part[k] == part[k + run - 1]  # noqa: B023, E731
+        if case % 2:  # parts have to follow each other
+            part = np.maximum.accumulate(part) if len(part) else part
+        want = np.zeros(len(tokens), bool)
+        for a in range(len(tokens)):
+            if whole(a) and any(whole(b) and page[b] != page[a] and tokens[b : b + run].tolist() == tokens[a : a + run].tolist() for b in range(len(tokens))):
+                want[a : a + run] = True
+        assert html_extract.repeated(tokens, page, part, run).tolist() == want.tolist(), case
+
+
+def text_of(page):
+    return [t for kind, t in html_extract.blocks_of(page) if kind == html_extract.INSIDE]
+
+
+def test_marks_and_quotes():
+    wrap = lambda x: f"<body><article>{x}</article></body>"
+    assert text_of(wrap("<p class=it's>Main text here, don't lose</p>")) == ["Main text here, don't lose"]
+    assert text_of(wrap("<p title=\"a > b\" id='search'>kept</p><p class='social-studies'>this too</p><li class=ad>and this</li>")) == ["kept", "this too", "and this"]
+    assert text_of(wrap("<div class='x ad'>gone</div><section id=comments><p>gone</p></section><div class='addendum'>kept</div>")) == ["kept"]
+    assert text_of(wrap("<header><h1>gone</h1></header><nav>gone</nav><p>a<b>b</b>c &amp; d</p>")) == ["abc & d"]
+    assert text_of("<div class=ad>open<article><p>kept</p></article><p>out</p>") == ["kept"]
+    assert [t for k, t in html_extract.blocks_of("<div class='social-share'>no</div><p>yes</p>") if k == html_extract.OUTSIDE] == ["yes"]
+    assert text_of(wrap('<p title="never closed>kept</p>')) == ["kept"]
+
+
+def test_open_tags_take_time_in_proportion():
+    import time
+
+    def took(n):
+        page = "<article>" + "<div class=x>" * n + "</p>" * n + "<main>" * n + "</article>" * n + "<a b='c" * n
+        began = time.perf_counter()
+        html_extract.blocks_of(page)
+        return time.perf_counter() - began
+
+    took(1_000)
+    assert took(40_000) < 30 * took(4_000)
+
+
 def test_permutation_and_shards(spark):
     for n in (1, 2, 3, 5, 1000, 70_001):
         assert sorted(shards.permute(np.arange(n), n).tolist()) == list(range(n))
