@@ -265,11 +265,14 @@ def mode_ratio(calls: tuple[Column, Column], puts: tuple[Column, Column], mode:
 
 
 def _strike_sums(snapshots: DataFrame) -> tuple[DataFrame, bool]:
-    """Snapshots with the sum of each side over their strikes, and whether there are premiums by side."""
+    """Snapshots with the sum of each side over their strikes, and whether the schema has premiums by side. A snapshot of
+    which no strike has them, as on old days, has its volumes in their place."""
     fields = snapshots.schema["strikes"].dataType.elementType.fieldNames()
     some = all(c in fields for c in PREMIUMS)
     add = lambda c: F.aggregate("strikes", F.lit(0.0), lambda acc, s: acc + F.coalesce(s[c], F.lit(0.0)))
-    return snapshots.withColumns({c: add(c) for c in (*SIDES, *(PREMIUMS if some else ()))}), some
+    known = F.exists("strikes", lambda s: s[PREMIUMS[0]].isNotNull()) if some else None
+    rated = {p: F.when(known, add(p)).otherwise(add(c)) for c, p in zip(SIDES, PREMIUMS, strict=True)} if some else {}
+    return snapshots.withColumns({c: add(c) for c in SIDES} | rated), some
 
 
 def market_sentiment(snapshots: DataFrame, day: Column | None = None, least: float = 5000.0) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import bars_since, last_value, run_length
 from ..operators import bars as B
+from ..operators import scans
 from ..operators import technicals as T
 from .adapters import BARS, bars
 from .registry import query, rounded
@@ -114,6 +115,14 @@ def w4_atr_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pick(T.with_recursions(bars(spark, sf_dir)), REC)
 
 
+@query("w4_atr_by_blocks", f"WITH {BASE} SELECT ticker, date, round(true_range, 6) AS true_range, round(atr_14, 6) AS atr_14 FROM i3")
+def w4_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same average by blocks of a year, as for series that are too long for one task."""
+    year = F.year("date")
+    ranged = scans.blocked_range(bars(spark, sf_dir), year)
+    return rounded(scans.smoothed(ranged, F.col("true_range"), "atr_14", 14, year).select("ticker", "date", "true_range", "atr_14"))
+
+
 SW = ", ".join(f"swing_{s}_m{m}{c}" for m in (3, 5) for s in ("high", "low") for c in ("", "_conf"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.store import fresh_path
 from ..operators import detectors, flow, gamma, hitlist
-from ..sources import io
+from ..sources import io, stored
 from .adapters import ALERTS, BARS, CALENDAR, CHAIN, alerts, bars, calendar, chain, read
 from .desk_queries import CELLS, DAY, _cells, _ranked
 from .flow_queries import SESSION
@@ -115,6 +115,45 @@ def a28_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.chain_totals(shown.drop("t")).select("ticker", "date", "call", "put").join(shown.select("ticker", "date", "t"), ["ticker", "date"])
 
 
+@query(
+    "d3_stored_days",
+    f"""WITH {CHAIN}, s AS (
+  SELECT ticker, date, sum("cA" + "cB") AS call, sum("pA" + "pB") AS put, sum("cPA" + "cPB") AS cp, sum("pPA" + "pPB") AS pp FROM chain GROUP BY 1, 2
+), r AS (SELECT *, CASE WHEN date >= DATE '2024-01-15' THEN cp / nullif(pp, 0) ELSE call / nullif(put, 0) END AS ratio FROM s)
+SELECT ticker, date, '15:59' AS t, call, put, round(greatest(-99, least(99, ratio)), 6) AS cp FROM r""",
+)
+def d3_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days stored as variants, of which those before the 15th have no premiums by side: ratios go by volume there."""
+    path, old = fresh_path(spark, "stored-days"), F.col("date") < F.lit("2024-01-15")
+    c = chain(spark, sf_dir)
+    strike = F.struct("k", "cA", "cB", "pA", "pB", "cP", "pP", *[F.when(~old, F.col(p)).alias(p) for p in ("cPA", "cPB", "pPA", "pPB")])
+    days = c.groupBy("ticker", "date").agg(F.max("spot").alias("spot"), F.collect_list(strike).alias("strikes"))
+    first = F.struct(F.lit("09:31").alias("t"), F.slice("strikes", 1, 1).alias("strikes"))
+    minutes = F.to_json(F.array(first, F.struct(F.lit("15:59").alias("t"), F.col("strikes"))))
+    broken = days.limit(1).select(F.lit("BAD").alias("ticker"), "date", "spot", F.lit("[{").alias("minutes"))
+    stored.as_variant(days.select("ticker", "date", "spot", minutes.alias("minutes")).unionByName(broken), "minutes").write.parquet(path)
+    last = stored.stored_minute(spark.read.parquet(path))
+    return rounded(flow.chain_totals(last.drop("t")).select("ticker", "date", "call", "put", "cp").join(last.select("ticker", "date", "t"), ["ticker", "date"]))
+
+
+@query(
+    "a13_stored_heatmaps",
+    f"""WITH {CELLS} SELECT ticker, strike, expiry, round(net_oi, 4) AS net_oi, CAST(count(*) OVER (PARTITION BY ticker, strike) AS INTEGER) AS n FROM cells SEMI JOIN ok USING (ticker)""",
+)
+def a13_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heatmaps stored as variants, strikes with maps by expiry, and their cells again."""
+    path = fresh_path(spark, "heatmaps")
+    cells = gamma.heatmap_cells(_cells(spark, sf_dir), ["ticker"]).withColumn("net_dv", F.lit(0.0))
+    rows = gamma.heatmap_rows(cells, ["ticker"])
+    by = F.transform_values("by_exp", lambda _, c: F.struct(c["net_oi"].alias("netOI"), c["net_dv"].alias("netDV")))
+    snaps = rows.groupBy("ticker", "spot").agg(F.collect_list(F.struct("strike", by.alias("byExp"))).alias("strikes"))
+    text = F.to_json(F.struct(F.array(F.struct(F.lit("2024-01-19").alias("date"), F.lit(2).alias("dte"))).alias("expirations"), "strikes"))
+    stored.as_variant(snaps.select("ticker", "spot", F.lit(DAY).cast("timestamp").alias("captured_at"), text.alias("cells")), "cells").write.parquet(path)
+    back = stored.stored_cells(spark.read.parquet(path)).filter("n_exp = 1 and v_oi is null")
+    again = gamma.heatmap_rows(back, ["ticker"]).select("ticker", "strike", F.size("by_exp").alias("n"))
+    return rounded(back.select("ticker", "strike", "expiry", "net_oi").join(again, ["ticker", "strike"]), 4)
+
+
 @query(
     "j7_best_print",
     f"""WITH {ALERTS}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY premium DESC, time DESC, id) AS rank FROM alerts),
