@@ -29,7 +29,8 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TRADES = """trades AS (
-  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS id, 'S' || l_suppkey AS ticker, l_shipdate AS executed_at,
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS id,
+  'S' || l_suppkey AS ticker, l_shipdate AS executed_at,
     l_extendedprice / l_quantity AS price, l_quantity AS size, l_extendedprice AS premium, l_orderkey * 100 + l_linenumber AS seq
   FROM lineitem)"""
 
@@ -91,7 +92,8 @@ alerts AS (
     CASE WHEN k >= 70 THEN 'HIGH' WHEN k >= 30 THEN 'MED' ELSE 'LOW' END AS confidence, premium,
     CASE WHEN is_buy THEN premium * 0.8::DOUBLE ELSE premium * 0.2::DOUBLE END AS ask_prem,
     premium - CASE WHEN is_buy THEN premium * 0.8::DOUBLE ELSE premium * 0.2::DOUBLE END AS bid_prem,
-    spot, spot * (1 + (k - 50) / 100.0::DOUBLE) AS strike, CAST(time AS DATE) + k % 30 AS expiry, CAST(k * 5 + 1 AS BIGINT) AS size, CAST(100 - k AS BIGINT) AS oi,
+    spot, spot * (1 + (k - 50) / 100.0::DOUBLE) AS strike, CAST(time AS DATE) + k % 30 AS expiry, CAST(k * 5 + 1 AS BIGINT) AS size,
+  CAST(100 - k AS BIGINT) AS oi,
     'sector' || (user_id % 11) AS sector, 'rule' || (k % 5) AS rule, CASE WHEN k % 10 <> 9 THEN k % 2 = 0 END AS all_opening, k % 7 = 0 AS multi_leg,
     CASE WHEN k % 5 = 0 THEN 'ETF' ELSE 'Common Stock' END AS issue_type
   FROM events_k)"""
@@ -111,12 +113,16 @@ def chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CHAIN = f"""{ALERTS}, chain AS (
   SELECT ticker, CAST(time AS DATE) AS date, 100.0::DOUBLE AS spot, round(100.0::DOUBLE * strike / spot, 6) AS k,
-    sum(CASE WHEN type = 'CALL' AND side = 'BUY' THEN size::DOUBLE ELSE 0 END) AS "cA", sum(CASE WHEN type = 'CALL' AND side = 'SELL' THEN size::DOUBLE ELSE 0 END) AS "cB",
-    sum(CASE WHEN type = 'PUT' AND side = 'BUY' THEN size::DOUBLE ELSE 0 END) AS "pA", sum(CASE WHEN type = 'PUT' AND side = 'SELL' THEN size::DOUBLE ELSE 0 END) AS "pB",
+    sum(CASE WHEN type = 'CALL' AND side = 'BUY' THEN size::DOUBLE ELSE 0 END) AS "cA", sum(CASE WHEN type = 'CALL' AND side = 'SELL' THEN size::DOUBLE ELSE 0
+  END) AS "cB",
+    sum(CASE WHEN type = 'PUT' AND side = 'BUY' THEN size::DOUBLE ELSE 0 END) AS "pA", sum(CASE WHEN type = 'PUT' AND side = 'SELL' THEN size::DOUBLE ELSE 0
+  END) AS "pB",
     sum(CASE WHEN type = 'CALL' THEN CASE side WHEN 'BUY' THEN premium ELSE -premium END ELSE 0 END) AS "cP",
     sum(CASE WHEN type = 'PUT' THEN CASE side WHEN 'BUY' THEN premium ELSE -premium END ELSE 0 END) AS "pP",
-    sum(CASE WHEN type = 'CALL' AND side = 'BUY' THEN premium ELSE 0 END) AS "cPA", sum(CASE WHEN type = 'CALL' AND side = 'SELL' THEN premium ELSE 0 END) AS "cPB",
-    sum(CASE WHEN type = 'PUT' AND side = 'BUY' THEN premium ELSE 0 END) AS "pPA", sum(CASE WHEN type = 'PUT' AND side = 'SELL' THEN premium ELSE 0 END) AS "pPB"
+    sum(CASE WHEN type = 'CALL' AND side = 'BUY' THEN premium ELSE 0 END) AS "cPA", sum(CASE WHEN type = 'CALL' AND side = 'SELL' THEN premium ELSE 0
+  END) AS "cPB",
+    sum(CASE WHEN type = 'PUT' AND side = 'BUY' THEN premium ELSE 0 END) AS "pPA", sum(CASE WHEN type = 'PUT' AND side = 'SELL' THEN premium ELSE 0
+  END) AS "pPB"
   FROM alerts GROUP BY 1, 2, 4)"""
 
 
@@ -127,7 +133,8 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CALENDAR = """calendar AS (
-  SELECT date FROM (SELECT CAST(unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE), INTERVAL 1 DAY)) AS DATE) AS date FROM events) WHERE dayofweek(date) NOT IN (0, 6))"""
+  SELECT date FROM (SELECT CAST(unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE), INTERVAL 1 DAY)) AS DATE) AS date FROM events)
+  WHERE dayofweek(date) NOT IN (0, 6))"""
 
 
 def position_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +166,8 @@ MESSAGES = """msg AS (
     CASE CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 WHEN 1 THEN 0.25 WHEN 2 THEN 0.75 END::DOUBLE AS hint,
     CASE CAST(json_extract_string(props, '$.k') AS INTEGER) % 4 WHEN 0 THEN 'Large' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Lotto' ELSE 'Small' END AS size_label,
     CASE WHEN user_id % 3 = 0 THEN 'equity' ELSE 'option' END AS asset_type, event_id % 7 = 0 AS hidden,
-    CASE WHEN user_id % 3 = 0 THEN 'm' || user_id ELSE '$' || (user_id % 40 + 0.5) || CASE WHEN user_id % 3 = 2 THEN 'P' ELSE 'C' END || ' 3/15' END AS contract,
+    CASE WHEN user_id % 3 = 0 THEN 'm' || user_id ELSE '$' || (user_id % 40 + 0.5) || CASE WHEN user_id % 3 = 2 THEN 'P' ELSE 'C' END || ' 3/15'
+  END AS contract,
     'mod' || (user_id % 4) AS moderator
   FROM events WHERE event_type <> 'error')"""
 
@@ -189,7 +197,8 @@ def earnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EARNINGS = """earnings AS (
-  SELECT 'C' || o_custkey AS ticker, CAST(o_orderdate AS DATE) AS report_date, round(min(o_totalprice) / 1e5, 4) AS eps_estimate, round(avg(o_totalprice) / 1e5, 4) AS eps_actual,
+  SELECT 'C' || o_custkey AS ticker, CAST(o_orderdate AS DATE) AS report_date, round(min(o_totalprice) / 1e5, 4) AS eps_estimate,
+  round(avg(o_totalprice) / 1e5, 4) AS eps_actual,
     round(max(o_totalprice) % 17 - 8, 4) AS move_1d, sum(o_totalprice) AS market_cap
   FROM orders GROUP BY 1, 2)"""
 

@@ -70,7 +70,8 @@ def r5_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     "r6_messages",
     r"""WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events),
 r AS (
-  SELECT event_id AS id, ts AS t_, CASE event_type WHEN 'signup' THEN 'open' WHEN 'view' THEN 'add' WHEN 'click' THEN 'trim' WHEN 'purchase' THEN 'close' END AS action,
+  SELECT event_id AS id, ts AS t_, CASE event_type WHEN 'signup' THEN 'open' WHEN 'view' THEN 'add' WHEN 'click' THEN 'trim' WHEN 'purchase' THEN 'close'
+  END AS action,
     CASE k % 7 WHEN 0 THEN 'spy 400c' WHEN 1 THEN ' QQQ  350.5 P ' WHEN 2 THEN 'AMD' WHEN 3 THEN 'SPY 400 calendar' WHEN 4 THEN 'BRK.B 10p'
       WHEN 5 THEN '$TSLA 200c' ELSE 'LONGNAME 5c' END AS contract,
     CASE k % 6 WHEN 0 THEN '7/20' WHEN 1 THEN '1/3' WHEN 2 THEN '2/30' WHEN 3 THEN '12/19/25' WHEN 4 THEN 'next week' ELSE '' END AS expiration,
@@ -82,18 +83,22 @@ r AS (
     CASE WHEN user_id % 5 > 0 THEN 'mod' || (user_id % 5) ELSE 'unknown' END AS moderator, user_id % 2 = 0 AS options
   FROM e
 ), p AS (
-  SELECT *, regexp_matches(contract, '^\s*[A-Za-z.]{1,6}\s+\d+(\.\d+)?\s*[cCpP]\s*$') AS opt, regexp_matches(contract, '^\s*[A-Za-z.]{1,6}\s*$') AND NOT options AS eq,
+  SELECT *, regexp_matches(contract, '^\s*[A-Za-z.]{1,6}\s+\d+(\.\d+)?\s*[cCpP]\s*$') AS opt, regexp_matches(contract, '^\s*[A-Za-z.]{1,6}\s*$')
+  AND NOT options AS eq,
     TRY_CAST(regexp_extract(regexp_replace(CASE WHEN action IN ('open', 'add') THEN entry_price ELSE exit_price END, '[$,]', '', 'g'),
       '^\s*([-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?)', 1) AS DOUBLE) AS price,
-    TRY_CAST(regexp_extract(expiration, '^(\d{1,2})/(\d{1,2})', 1) AS INTEGER) AS m, TRY_CAST(regexp_extract(expiration, '^(\d{1,2})/(\d{1,2})', 2) AS INTEGER) AS d
+    TRY_CAST(regexp_extract(expiration, '^(\d{1,2})/(\d{1,2})', 1) AS INTEGER) AS m, TRY_CAST(regexp_extract(expiration, '^(\d{1,2})/(\d{1,2})',
+  2) AS INTEGER) AS d
   FROM r WHERE action IS NOT NULL
 ), x AS (
-  SELECT *, CASE WHEN m IS NULL THEN NULL WHEN expiration LIKE '%/25' THEN DATE '2025-01-01' ELSE make_date(year(t_), 1, 1) END AS y FROM p WHERE (opt OR eq) AND price IS NOT NULL
+  SELECT *, CASE WHEN m IS NULL THEN NULL WHEN expiration LIKE '%/25' THEN DATE '2025-01-01' ELSE make_date(year(t_), 1, 1) END AS y FROM p WHERE (opt OR eq)
+  AND price IS NOT NULL
 ), z AS (SELECT *, CAST(y + to_months(m - 1) AS DATE) + (d - 1) AS this FROM x)
 SELECT id, action, CASE WHEN opt THEN upper(regexp_extract(contract, '([A-Za-z.]{1,6})', 1)) ELSE upper(trim(contract)) END AS ticker,
   CASE WHEN opt THEN CAST(regexp_extract(contract, '\s(\d+(\.\d+)?)', 1) AS DOUBLE) END AS strike,
   CASE WHEN NOT opt THEN 'LONG' WHEN upper(trim(contract)) LIKE '%C' THEN 'CALL' ELSE 'PUT' END AS side,
-  CASE WHEN expiration NOT LIKE '%/25' AND this < t_ - INTERVAL 7 DAY THEN CAST(y + INTERVAL 1 YEAR + to_months(m - 1) AS DATE) + (d - 1) ELSE this END AS expiry,
+  CASE WHEN expiration NOT LIKE '%/25' AND this < t_ - INTERVAL 7 DAY THEN CAST(y + INTERVAL 1 YEAR + to_months(m - 1) AS DATE) + (d - 1) ELSE this
+  END AS expiry,
   round(price, 6) AS price, pct, CASE WHEN action = 'open' THEN size_label END AS size_label, hint AS frac_hint, moderator
 FROM z""",
 )
@@ -113,9 +118,11 @@ PRICED = f"""{MESSAGES}, {_folded('msg')}, mk AS (
   SELECT key, arg_max(price, message_id) AS mark, DATE '2024-01-14' + CAST(max(message_id) % 9 AS INTEGER) AS expiry FROM msg GROUP BY 1
 ), p1 AS (SELECT pos.*, mark, status = 'OPEN' AND expiry < DATE '{DAY}' AS expired FROM pos LEFT JOIN mk USING (key)),
 p2 AS (
-  SELECT *, CASE WHEN status = 'OPEN' THEN (CASE WHEN expired THEN coalesce(mark, 0) ELSE mark END - entry_price) / nullif(entry_price, 0) * 100 END AS live FROM p1
+  SELECT *, CASE WHEN status = 'OPEN' THEN (CASE WHEN expired THEN coalesce(mark, 0) ELSE mark END - entry_price) / nullif(entry_price, 0) * 100 END AS live
+  FROM p1
 ), priced AS (
-  SELECT key, open_id, entry_at, asset_type, hidden, contract, moderator, CASE WHEN expired THEN realized + remaining * coalesce(live, 0) ELSE realized END AS realized,
+  SELECT key, open_id, entry_at, asset_type, hidden, contract, moderator, CASE WHEN expired THEN realized + remaining * coalesce(live, 0) ELSE realized
+  END AS realized,
     CASE WHEN expired THEN 0 ELSE remaining END AS remaining, CASE WHEN expired THEN 'CLOSED' ELSE status END AS status, live,
     CASE size_label WHEN 'Large' THEN 0.1 WHEN 'Medium' THEN 0.05 WHEN 'Lotto' THEN 0.005 ELSE 0.01 END AS w
   FROM p2
@@ -191,29 +198,36 @@ def _stored_and_derived(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Da
 @query(
     "r8_overrides",
     f"""WITH {MESSAGES}, early AS (SELECT * FROM msg WHERE t_ < TIMESTAMP '{CUT}'), {_folded('early')}, stored AS (
-  SELECT key, open_id, size_label, status, open_id % 3 = 0 AS frozen, CASE WHEN open_id % 3 = 0 AND status = 'OPEN' THEN 0.25 ELSE remaining END AS remaining, realized,
+  SELECT key, open_id, size_label, status, open_id % 3 = 0 AS frozen, CASE WHEN open_id % 3 = 0 AND status = 'OPEN' THEN 0.25 ELSE remaining END AS remaining,
+  realized,
     CASE WHEN open_id % 4 = 0 THEN 'typo' ELSE key END AS occ FROM pos
-), {_folded('msg').replace('f0 AS', 'g0 AS').replace('f1 AS', 'g1 AS').replace('f2 AS', 'g2 AS').replace('f3 AS', 'g3 AS').replace('f4 AS', 'g4 AS').replace('pos AS', 'whole AS')
+),
+  {_folded('msg').replace('f0 AS', 'g0 AS').replace('f1 AS', 'g1 AS').replace('f2 AS', 'g2 AS').replace('f3 AS', 'g3 AS').replace('f4 AS', 'g4 AS').replace('pos AS', 'whole AS')
     .replace('FROM f0', 'FROM g0').replace('FROM f1', 'FROM g1').replace('FROM f2', 'FROM g2').replace('FROM f3 JOIN f4', 'FROM g3 JOIN g4').replace('f3.*', 'g3.*')},
 ends AS (
   SELECT min(message_id) FILTER (action = 'open') AS open_id, arg_max(pct, (t_, message_id)) FILTER (action = 'close') AS pct,
     arg_max(price, (t_, message_id)) FILTER (action = 'close') AS price
   FROM g2 WHERE live GROUP BY key, grp
 ), d AS (
-  SELECT whole.*, pct, price, CASE WHEN status = 'OPEN' AND open_id % 5 <> 0 THEN entry_price * 1.1::DOUBLE END AS mark FROM whole LEFT JOIN ends USING (open_id)
+  SELECT whole.*, pct, price, CASE WHEN status = 'OPEN' AND open_id % 5 <> 0 THEN entry_price * 1.1::DOUBLE END AS mark FROM whole LEFT JOIN ends
+  USING (open_id)
 ), l AS (SELECT *, CASE WHEN entry_price <> 0 THEN (mark - entry_price) / entry_price * 100 END AS live FROM d),
 b AS (
-  SELECT coalesce(s.open_id, l.open_id) AS open_id, coalesce(s.size_label, l.size_label) AS size_label, coalesce(frozen, false) AS frozen, s.status AS st, l.status AS dt,
+  SELECT coalesce(s.open_id, l.open_id) AS open_id, coalesce(s.size_label, l.size_label) AS size_label, coalesce(frozen, false) AS frozen, s.status AS st,
+  l.status AS dt,
     s.remaining AS sr, s.realized AS sg, l.remaining AS dr, l.realized AS dg, pct, price, mark, live, s.occ IS NOT DISTINCT FROM l.key AS same
   FROM stored s FULL JOIN l ON s.open_id = l.open_id
 ), k AS (
-  SELECT *, frozen AND st = 'OPEN' AND dt = 'CLOSED' AS ends, frozen AND st = 'OPEN' AND dt = 'OPEN' AND mark IS NOT NULL AND live IS NOT NULL AND same AS marks,
+  SELECT *, frozen AND st = 'OPEN' AND dt = 'CLOSED' AS ends, frozen AND st = 'OPEN' AND dt = 'OPEN' AND mark IS NOT NULL AND live IS NOT NULL
+  AND same AS marks,
     NOT frozen AND (dt = 'CLOSED' OR mark IS NOT NULL OR st IS NULL) AS fresh FROM b
 ), o AS (
-  SELECT open_id, size_label, frozen, ends OR marks OR fresh AS touched, st IS NULL AS is_new, CASE WHEN ends THEN 'CLOSED' WHEN frozen THEN st ELSE dt END AS status,
+  SELECT open_id, size_label, frozen, ends OR marks OR fresh AS touched, st IS NULL AS is_new, CASE WHEN ends THEN 'CLOSED' WHEN frozen THEN st ELSE dt
+  END AS status,
     CASE WHEN ends THEN 0 WHEN frozen THEN sr ELSE dr END::DOUBLE AS remaining,
     CASE WHEN ends THEN sg + sr * coalesce(pct, 0) WHEN frozen THEN sg ELSE dg END AS realized,
-    CASE WHEN ends THEN coalesce(price, 1.0) WHEN marks OR fresh THEN mark ELSE 1.0 END AS mark, CASE WHEN ends THEN NULL WHEN marks OR fresh THEN live ELSE 2.0 END AS live
+    CASE WHEN ends THEN coalesce(price, 1.0) WHEN marks OR fresh THEN mark ELSE 1.0 END AS mark, CASE WHEN ends THEN NULL WHEN marks OR fresh THEN live
+  ELSE 2.0 END AS live
   FROM k
 ) SELECT open_id, frozen, status, round(remaining, 6) AS remaining, round(realized, 6) + 0.0 AS realized, round(mark, 6) AS mark, round(live, 6) AS live_pct,
   round(CASE WHEN touched THEN CASE size_label WHEN 'Large' THEN 0.1 WHEN 'Medium' THEN 0.05 WHEN 'Lotto' THEN 0.005 ELSE 0.01 END::DOUBLE
@@ -252,8 +266,10 @@ def r5_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j10_open_positions",
     f"""WITH {PRICED}, u AS (SELECT DISTINCT 'm' || user_id AS ticker FROM events), o AS (
-  SELECT key, open_id, contract, live, moderator, row_number() OVER (PARTITION BY key ORDER BY entry_at DESC, open_id DESC) AS n FROM p3 WHERE status = 'OPEN' AND NOT hidden
-) SELECT u.ticker, count(open_id) AS n_open, max(contract) FILTER (n = 1) AS newest, round(max(live) FILTER (n = 1), 6) AS live_pct, max(moderator) FILTER (n = 1) AS moderator
+  SELECT key, open_id, contract, live, moderator, row_number() OVER (PARTITION BY key ORDER BY entry_at DESC, open_id DESC) AS n FROM p3 WHERE status = 'OPEN'
+  AND NOT hidden
+) SELECT u.ticker, count(open_id) AS n_open, max(contract) FILTER (n = 1) AS newest, round(max(live) FILTER (n = 1), 6) AS live_pct, max(moderator)
+  FILTER (n = 1) AS moderator
 FROM u LEFT JOIN o ON o.key = u.ticker GROUP BY 1""",
 )
 def j10_positions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,8 @@ def s1_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.read_universe(spark, path)
 
 
-@query("s2_trade_files", f"WITH {TRADES} SELECT ticker, count(*) AS n, round(sum(price * floor(size)), 2) AS notional, min(CAST(executed_at AS DATE)) AS first FROM trades WHERE size <> 7 GROUP BY 1")
+@query("s2_trade_files", f"""WITH {TRADES} SELECT ticker, count(*) AS n, round(sum(price * floor(size)), 2) AS notional, min(CAST(executed_at AS DATE)) AS first
+  FROM trades WHERE size <> 7 GROUP BY 1""")
 def s2_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tape as gzipped CSV with nanoseconds; a size of 7 is written as not a number."""
     path = fresh_path(spark, "tape")
@@ -34,8 +35,10 @@ def s2_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 2)
 
 
-@query("s7_ranked_corpus", f"""WITH {TRADES}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY price * size DESC, executed_at DESC, id) AS rank FROM trades)
-SELECT ticker, CAST(rank AS INTEGER) AS rank, id, round(price * size, 4) AS premium, round((201 - rank) / 2.0, 2)::DOUBLE AS percentile FROM r WHERE rank <= 20""")
+@query("s7_ranked_corpus", f"""WITH {TRADES}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY price * size DESC, executed_at DESC, id) AS rank
+  FROM trades)
+SELECT ticker, CAST(rank AS INTEGER) AS rank, id, round(price * size, 4) AS premium, round((201 - rank) / 2.0, 2)::DOUBLE AS percentile FROM r
+  WHERE rank <= 20""")
 def s7_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder for each ticker; only its path names it."""
     path = fresh_path(spark, "corpus")
@@ -46,7 +49,8 @@ def s7_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("ticker", "rank", "id", F.round("premium", 4).alias("premium"), F.col("percentile").cast("double").alias("percentile"))
 
 
-@query("s9_replace_days", f"WITH {ALERTS} SELECT CAST(time AS DATE) AS day, count(*) AS n, round(sum(CASE WHEN CAST(time AS DATE) >= DATE '2024-01-20' THEN 2 * premium ELSE premium END), 2) AS premium FROM alerts WHERE CAST(time AS DATE) < DATE '2024-01-20' OR id % 2 = 0 GROUP BY 1")
+@query("s9_replace_days", f"""WITH {ALERTS} SELECT CAST(time AS DATE) AS day, count(*) AS n, round(sum(CASE WHEN CAST(time AS DATE) >= DATE '2024-01-20'
+  THEN 2 * premium ELSE premium END), 2) AS premium FROM alerts WHERE CAST(time AS DATE) < DATE '2024-01-20' OR id % 2 = 0 GROUP BY 1""")
 def s9_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table by day, whose days from the 20th on are replaced twice."""
     path = fresh_path(spark, "days")
@@ -154,7 +158,8 @@ def r4_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "r9_net_impact_stream",
     f"""WITH {ALERTS}, d AS (
-  SELECT CAST(time - INTERVAL 5 HOUR AS DATE) AS date, ticker, round(sum(CASE WHEN type = 'CALL' THEN ask_prem - bid_prem ELSE bid_prem - ask_prem END), 6) AS net
+  SELECT CAST(time - INTERVAL 5 HOUR AS DATE) AS date, ticker, round(sum(CASE WHEN type = 'CALL' THEN ask_prem - bid_prem ELSE bid_prem - ask_prem END),
+  6) AS net
   FROM alerts GROUP BY 1, 2
 ) SELECT date, ticker, round(net, 4) AS net FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY abs(net) DESC, ticker) AS n FROM d) WHERE n <= 10""",
 )

@@ -16,7 +16,8 @@ from .registry import query, rounded
 
 @query(
     "s1_load_candles",
-    f"WITH {BARS} SELECT ticker, date, round(close, 6) AS close, volume FROM bars WHERE ticker IN ('S1', 'S7', 'S40') AND date BETWEEN DATE '1998-03-01' AND DATE '1999-02-28'",
+    f"""WITH {BARS} SELECT ticker, date, round(close, 6) AS close, volume FROM bars WHERE ticker IN ('S1', 'S7', 'S40') AND date BETWEEN DATE '1998-03-01'
+  AND DATE '1999-02-28'""",
 )
 def s1_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written by ticker, and read for some tickers and a span of dates."""
@@ -42,7 +43,8 @@ def s9_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s10_artifacts",
-    "SELECT o_orderpriority AS priority, fmt, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders, (VALUES ('parquet'), ('csv'), ('json')) f(fmt) GROUP BY 1, 2",
+    """SELECT o_orderpriority AS priority, fmt, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders, (VALUES ('parquet'), ('csv'), ('json')) f(fmt)
+  GROUP BY 1, 2""",
 )
 def s10_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as an artifact of each format, read back with the types of the extract."""
@@ -82,7 +84,8 @@ def j2_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "a13_heatmap_rows",
     f"""WITH {CELLS}, c AS (SELECT * FROM cells SEMI JOIN ok USING (ticker))
-SELECT ticker, strike, CAST(count(*) AS INTEGER) AS n, min(CAST(expiry AS VARCHAR)) AS first, round(arg_min(net_oi, expiry), 4) AS net_first, round(arg_max(net_oi, expiry), 4) AS net_last
+SELECT ticker, strike, CAST(count(*) AS INTEGER) AS n, min(CAST(expiry AS VARCHAR)) AS first, round(arg_min(net_oi, expiry), 4) AS net_first,
+  round(arg_max(net_oi, expiry), 4) AS net_last
 FROM c GROUP BY 1, 2""",
 )
 def a13_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +141,8 @@ def d3_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "a13_stored_heatmaps",
-    f"""WITH {CELLS} SELECT ticker, strike, expiry, round(net_oi, 4) AS net_oi, CAST(count(*) OVER (PARTITION BY ticker, strike) AS INTEGER) AS n FROM cells SEMI JOIN ok USING (ticker)""",
+    f"""WITH {CELLS} SELECT ticker, strike, expiry, round(net_oi, 4) AS net_oi, CAST(count(*) OVER (PARTITION BY ticker, strike) AS INTEGER) AS n FROM cells
+  SEMI JOIN ok USING (ticker)""",
 )
 def a13_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Heatmaps stored as variants, strikes with maps by expiry, and their cells again."""
@@ -194,7 +198,8 @@ def _outside(bars: dict) -> list[tuple]:
     "p10_sql_detector",
     f"""WITH {BARS}, p AS (
   SELECT *, lag(high) OVER w AS ph, lag(low) OVER w AS pl, lag(close) OVER w AS pc FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY date)
-) SELECT ticker, date, 'outside' AS detector, CASE WHEN close > pc THEN 'long' ELSE 'short' END AS side, round(high - low, 6) AS strength FROM p WHERE high > ph AND low < pl""",
+) SELECT ticker, date, 'outside' AS detector, CASE WHEN close > pc THEN 'long' ELSE 'short' END AS side, round(high - low, 6) AS strength FROM p
+  WHERE high > ph AND low < pl""",
 )
 def p10_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A detector of one's own, registered and called from SQL as a table function."""
