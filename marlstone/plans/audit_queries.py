@@ -41,11 +41,11 @@ def k4_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT l.*, strike < spot AS under FROM l JOIN newest USING (ticker, date)), n AS (SELECT *, row_number() OVER (PARTITION BY ticker, under
   ORDER BY abs(strike - spot), strike) AS n, count(*) FILTER (WHERE under) OVER (PARTITION BY ticker) AS nb, count(*) FILTER (WHERE NOT under)
   OVER (PARTITION BY ticker) AS na FROM b),
-t AS (SELECT *, least(3 + greatest(0, 3 - nb), na) AS ta FROM n) SELECT ticker, date, strike, combined FROM t WHERE CASE WHEN under
-  THEN n <= least(3 + greatest(0, 3 - ta), nb) ELSE n <= ta END""")
+t AS (SELECT *, least(50 + greatest(0, 50 - nb), na) AS ta FROM n) SELECT ticker, date, strike, combined FROM t WHERE CASE WHEN under
+  THEN n <= least(50 + greatest(0, 50 - ta), nb) ELSE n <= ta END""")
 def k5_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     snaps = _strikes(spark, sf_dir).groupBy("ticker", F.col("date").alias("captured_at")).agg(F.max("spot").alias("spot"), F.collect_list(F.struct("strike", "combined")).alias("strikes"))
-    return gamma.chart_rows(snaps, 6).select("ticker", F.col("captured_at").alias("date"), "strike", "combined")
+    return gamma.chart_rows(snaps).select("ticker", F.col("captured_at").alias("date"), "strike", "combined")
 
 
 @query("a15_heatmap_view", f"""WITH {CELLS}, i AS (SELECT cells.*, CASE ticker WHEN 'U1' THEN 0.25 WHEN 'U2' THEN 0.10 WHEN 'U3' THEN 0.20 ELSE 0.15

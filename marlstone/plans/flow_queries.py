@@ -122,15 +122,24 @@ def _legs(ask: str, bid: str, mode: str) -> str:
 LEGS = "round(ca, 4) AS \"cA\", round(cb, 4) AS \"cB\", round(pa, 4) AS \"pA\", round(pb, 4) AS \"pB\", round(cpa, 4) AS \"cPA\", round(cpb, 4) AS \"cPB\", round(ppa, 4) AS \"pPA\", round(ppb, 4) AS \"pPB\""
 
 
+#: Contracts of these chains stand for so many, so that the surveyed gate of 5,000 parts tickers.
+BUSY = 10
+
+
+def _busy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chain(spark, sf_dir).withColumns({c: F.col(c) * BUSY for c in ("cA", "cB", "pA", "pB")})
+
+
 @query("a5_market_sentiment", f"""WITH {LAST} SELECT ticker, call_vol, put_vol, round({_capped('call_vol', 'put_vol')}, 4) AS cp, round({_capped('cpa', 'cpb')},
-  4) AS call_bs, round({_capped('ppa', 'ppb')}, 4) AS put_bs, call_vol + put_vol >= 500 AS liquid, {LEGS} FROM summary""")
+  4) AS call_bs, round({_capped('ppa', 'ppb')}, 4) AS put_bs, call_vol + put_vol >= 5000 AS liquid, {LEGS}
+  FROM (SELECT * REPLACE ({', '.join(f'{BUSY} * {c} AS {c}' for c in ('call_vol', 'put_vol', 'ca', 'cb', 'pa', 'pb'))}) FROM summary)""")
 def a5_market(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(O.market_sentiment(O.chain_minute(chain(spark, sf_dir)), least=500.0).drop("sentiment"), 4)
+    return rounded(O.market_sentiment(O.chain_minute(_busy(spark, sf_dir))).drop("sentiment"), 4)
 
 
 def _leaders_sql(mode: str) -> str:
     cp = f"greatest(-99, least({_legs('cpa', 'cpb', mode)} / nullif({_legs('ppa', 'ppb', mode)}, 0), 99))"
-    return f"SELECT '{mode}' AS mode, ticker, {cp} AS cp FROM summary WHERE call_vol + put_vol >= 200"
+    return f"SELECT '{mode}' AS mode, ticker, {cp} AS cp FROM summary WHERE {BUSY} * (call_vol + put_vol) >= 5000"
 
 
 @query("a6_sentiment_leaders", f"""WITH {LAST}, r AS ({' UNION ALL '.join(map(_leaders_sql, ('all', 'ask', 'net')))}), b AS (SELECT *, CASE WHEN cp > 2
@@ -139,7 +148,7 @@ SELECT mode, board, CAST(rank AS INTEGER) AS rank, ticker, round(cp, 6) AS cp FR
   WHEN board = 'bull' THEN -cp ELSE cp END, ticker) AS rank FROM b WHERE board IS NOT NULL) WHERE rank <= 20""")
 def a6_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boards of all three side modes."""
-    summary = O.market_sentiment(O.chain_minute(chain(spark, sf_dir)), least=200.0)
+    summary = O.market_sentiment(O.chain_minute(_busy(spark, sf_dir)))
     boards = [O.sentiment_leaders(summary, m).withColumn("mode", F.lit(m)) for m in ("all", "ask", "net")]
     return rounded(boards[0].unionByName(boards[1]).unionByName(boards[2]))
 

@@ -38,11 +38,11 @@ def s2_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("s7_ranked_corpus", f"""WITH {TRADES}, r AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY price * size DESC, executed_at DESC, id) AS rank
   FROM trades)
 SELECT ticker, CAST(rank AS INTEGER) AS rank, id, round(price * size, 4) AS premium, round((201 - rank) / 2.0, 2)::DOUBLE AS percentile FROM r
-  WHERE rank <= 20""")
+  WHERE rank <= 200""")
 def s7_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder for each ticker; only its path names it."""
     path = fresh_path(spark, "corpus")
-    top = prints.rerank(trades(spark, sf_dir)).filter("rank <= 20").select(F.concat_ws("", "ticker").alias("t"), "rank", "id", "price", "size")
+    top = prints.rerank(trades(spark, sf_dir)).filter("rank <= 200").select(F.concat_ws("", "ticker").alias("t"), "rank", "id", "price", "size")
     top.write.partitionBy("t").parquet(path)
     raw = io.read_ranked_corpus(spark, path)
     out = raw.withColumn("ticker", F.regexp_replace("ticker", "^t=", ""))
