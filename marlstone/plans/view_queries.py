@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.store import fresh_path
 from ..operators import detectors, flow, gamma, hitlist
-from ..sources import io, stored
+from ..sources import io, stored, tape
 from .adapters import ALERTS, BARS, CALENDAR, CHAIN, alerts, bars, calendar, chain, read
 from .desk_queries import CELLS, DAY, _cells, _ranked
 from .flow_queries import SESSION
@@ -26,6 +28,31 @@ def s1_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(io.load_candles(spark, path, ["S1", "S7", "S40"], "1998-03-01", "1999-02-28").select("ticker", "date", "close", "volume"))
 
 
+@query(
+    "s6_tape_cursor",
+    """WITH t AS (SELECT 'U' || user_id AS ticker, event_id AS id, ts, value, event_type FROM events WHERE CAST(ts AS DATE) <> DATE '2024-01-13'),
+c AS (
+  SELECT ticker, greatest(coalesce(max(ts) FILTER (event_type = 'purchase' AND ts <= TIMESTAMP '2024-01-14 15:00:00'), TIMESTAMP '2024-01-12'), TIMESTAMP '2024-01-12 18:00:00') AS since
+  FROM t GROUP BY 1
+) SELECT ticker, count(*) AS n, round(sum(value), 4) AS total, min(id) AS first FROM t JOIN c USING (ticker)
+WHERE ts BETWEEN since AND TIMESTAMP '2024-01-14 18:00:00' AND ts >= TIMESTAMP '2024-01-12 18:00:00' AND value IS NOT NULL GROUP BY 1""",
+)
+def s6_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as trades in daily files, of which one day has none; purchases up to an afternoon are stored, and the tape is
+    read on from there, 48 hours back at most."""
+    root, at = fresh_path(spark, "tape-days"), F.col("ts").cast("timestamp")
+    e = read(spark, sf_dir, "events").withColumn("ticker", F.concat(F.lit("U"), F.col("user_id")))
+    t = e.select(F.lit("").alias("conditions"), "ticker", F.lit(7).alias("trf_id"), F.unix_micros(at).alias("us"), F.col("event_id").alias("id"), F.col("value").alias("price"), F.lit(1.9).alias("size"), F.to_date("ts").alias("day"))
+    t = t.withColumn("sip_timestamp", F.col("us") * 1000 + 999).drop("us")
+    for k in (10, 11, 12, 14, 15):
+        day = dt.date(2024, 1, k)
+        t.filter(F.col("day") == F.lit(day)).drop("day").write.option("header", True).csv(tape.day_file(root, day), compression="gzip")
+    now, cut = dt.datetime(2024, 1, 14, 18, tzinfo=dt.UTC), F.lit("2024-01-14 15:00:00").cast("timestamp")
+    stored_ = e.filter((F.col("event_type") == "purchase") & (at <= cut) & (F.to_date("ts") != F.lit("2024-01-13").cast("date"))).select("ticker", at.alias("executed_at"))
+    new = tape.tape_since(spark, root, stored_, e, now, most_hours=48)
+    return rounded(new.groupBy("ticker").agg(F.count("*").alias("n"), F.sum("price").alias("total"), F.min(F.col("id").cast("long")).alias("first")), 4)
+
+
 @query(
     "s9_day_archive",
     """SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 2) AS value FROM events

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRADE_SCHEMA = "ticker string, id string, price double, size double, sip_timestamp long, conditions string, exchange int"
+TRADE_SCHEMA = "ticker string, id string, price double, size double, sip_timestamp long, conditions string, exchange int, trf_id int"
 
 
 def load_candles(spark: SparkSession, path: str, tickers: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
@@ -26,12 +26,16 @@ def read_universe(spark: SparkSession, path: str) -> DataFrame:
     return words.select(F.upper(F.trim("w")).alias("ticker")).filter("ticker <> '' and ticker <> 'TICKER'").distinct()
 
 
-def read_trades(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Daily trade files (.csv.gz) with a declared schema. A gzip file is one task; ``partitions`` deals its rows on.
+def read_trades(spark: SparkSession, path: str | list[str], partitions: int | None = None) -> DataFrame:
+    """Daily trade files (.csv.gz), whose columns are told by their headings. A gzip file is one task; ``partitions`` deals
+    its rows on.
 
-    Rows without ticker, id, finite price and size, or timestamp are left out; times are micros from nanos.
+    Rows without ticker, id, finite price and size, or whole timestamp are left out; sizes are whole, times are micros from
+    nanos. Only the columns that are used are parsed.
     """
-    raw = spark.read.csv(path, schema=TRADE_SCHEMA, header=True, mode="PERMISSIVE")
+    raw = spark.read.csv(path, header=True, mode="PERMISSIVE")
+    one = lambda f: (F.col(f.split()[0]).try_cast(f.split()[1]) if f.split()[0] in raw.columns else F.lit(None).cast(f.split()[1])).alias(f.split()[0])
+    raw = raw.select(*[one(f) for f in TRADE_SCHEMA.split(", ")])
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != F.lit(float("inf")))
     out = raw.filter(F.col("ticker").isNotNull() & (F.col("ticker") != "") & F.col("id").isNotNull() & finite("price") & finite("size") & F.col("sip_timestamp").isNotNull())
     out = out.withColumns({"executed_at": F.timestamp_micros(F.expr("sip_timestamp div 1000")), "size": F.floor("size").cast("double"), "seq": F.col("sip_timestamp")})

@@ -27,6 +27,9 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from marlstone.functions.store import remove_written
+
+    remove_written(session)
     session.stop()
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import market as M
 from marlstone.operators import book, boosting, candles, evaluation, flow, hitlist, positions, prints
-from marlstone.sources import io
+from marlstone.sources import io, tape
 from marlstone.streaming import streams
 
 D = dt.date
@@ -218,6 +218,17 @@ def test_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_text("ticker,id,price,size,sip_timestamp,conditions,exchange\nAA,1,10.5,3.9,1700000000123456789,,4\n,2,1,1,1,,\nBB,3,NaN,1,5,,\n")
     t = io.read_trades(spark, str(tmp_path / "t.csv"), 2).collect()
     assert [(r.ticker, r.size, r.executed_at.microsecond) for r in t] == [("AA", 3.0, 123456)]
+    (tmp_path / "order.csv").write_text("conditions,sip_timestamp,ticker,trf_id,size,price,id\n12,1700000000000000001,AA,4,2,1e1,x\n,soon,AA,4,2,1,y\n")
+    assert [tuple(r)[:5] + (r.trf_id, r.exchange) for r in io.read_trades(spark, str(tmp_path / "order.csv")).collect()] == [("AA", "x", 10.0, 2.0, 1700000000000000001, 4, None)]
+    day = lambda k: tape.day_file(str(tmp_path / "days"), D(2026, 5, k))
+    row = lambda i, t, at: (i, t, 10.0, 5.0, int(utc(at).timestamp()) * 10**9)
+    for k, rows in ((4, [row("old", "A", "2026-05-04T09:00:00")]), (5, [row("a", "A", "2026-05-05T20:00:00"), row("b", "A", "2026-05-05T21:00:00"), row("c", "B", "2026-05-05T15:00:00"), row("d", "B", "2026-05-05T17:00:00")]), (6, [row("e", "A", "2026-05-06T10:00:00"), row("f", "A", "2026-05-06T17:00:00"), row("g", "Z", "2026-05-06T10:00:00")])):
+        spark.createDataFrame(rows, "id string, ticker string, price double, size double, sip_timestamp long").coalesce(1).write.option("header", True).csv(day(k), compression="gzip")
+    held = spark.createDataFrame([("A", utc("2026-05-05T21:00:00")), ("A", utc("2026-05-01T21:00:00"))], "ticker string, executed_at timestamp")
+    universe = spark.createDataFrame([("A",), ("B",), ("B",)], "ticker string")
+    now = utc("2026-05-06T16:00:00")
+    assert sorted(r.id for r in tape.tape_since(spark, str(tmp_path / "days"), held, universe, now).collect()) == ["b", "d", "e"]
+    assert tape.tape_since(spark, str(tmp_path / "nothing"), held, universe, now) is None
     df = spark.createDataFrame([(utc("2026-05-05T10:00:00"), 1), (utc("2026-05-06T10:00:00"), 2), (utc("2026-05-07T10:00:00"), 3)], "ts timestamp, v long")
     root = str(tmp_path / "arc")
     io.archive_days(df, "ts", root, F.lit("2026-05-07").cast("date"), existing=spark.createDataFrame([(D(2026, 5, 5),)], "day date"))
