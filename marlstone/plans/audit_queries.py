@@ -10,9 +10,9 @@ from ..functions.store import written
 from ..operators import bars as B
 from ..operators import book, detectors, evaluation, flow, gamma, hitlist
 from ..operators import technicals as T
-from .adapters import ALERTS, BARS, CALENDAR, alerts, bars, calendar, raw_alerts, read
+from .adapters import ALERTS, BARS, CALENDAR, alerts, bars, calendar, raw_alerts
 from .desk_queries import CELLS, DAY, STRIKES, _cells, _panel, _ranked, _snapshots, _strikes
-from .flow_queries import LAST, OTM, SESSION
+from .flow_queries import LAST, SESSION
 from .pattern_queries import STATE, _divergence_sql, _false_break_sql, _flag_sql, _squeeze_sql
 from .registry import query, rounded
 from .technical_queries import BASE, LABELS, LADDER, W

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import js_round
 from ..operators import bars as B
 from ..operators import book, candles, detectors, evaluation, flow, gamma, hitlist, prints
 from ..operators import technicals as T
-from .adapters import ALERTS, BARS, CALENDAR, CHAIN, EARNINGS, TRADES, alerts, bars, calendar, chain, earnings, position_events, read, trades
+from .adapters import ALERTS, BARS, CHAIN, EARNINGS, TRADES, alerts, bars, chain, earnings, read, trades
 from .registry import query, rounded
 
 DAY = "2024-01-17"

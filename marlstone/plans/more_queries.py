@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
-from ..operators import book, candles, evaluation, flow, hitlist, prints
+from ..operators import book, candles, evaluation, hitlist, prints
 from ..operators import technicals as T
 from ..sources import io
 from ..streaming import streams

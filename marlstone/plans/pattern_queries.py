@@ -9,7 +9,7 @@ from ..operators import detectors, evaluation
 from ..operators import technicals as T
 from .adapters import bars
 from .registry import query, rounded
-from .technical_queries import _ESC, _FRESH, _L01, BASE, PCTL, SWINGS, TREND, W, _label_sql, _over, _rank, _roll, _since
+from .technical_queries import _ESC, _FRESH, _L01, BASE, PCTL, SWINGS, TREND, W, _label_sql, _rank, _roll, _since
 
 RUN = "(PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 

@@ -79,13 +79,15 @@ def upsert_into(path: str, keys: list[str], order: str | None = None, time_col:
         spark, stage = batch.sparkSession, Stage(batch.sparkSession, path, batch_id)
         new = batch.dropna(subset=keys).withColumn("day", F.to_date(time_col))
         new = stage.keep(newest_per_key(new, keys, F.desc(order)) if order else new.dropDuplicates(keys))
+        if not (days := set(_values(new, "day"))):
+            stage.done()
+            return
         placed = new.select(*keys, "day", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("key_bucket"))
         was = _parts(spark, index, "key_bucket", _values(placed, "key_bucket"))
-        days = set(_values(new, "day"))
         if was is not None:
             was = stage.keep(was)
             days |= set(_values(was.join(placed, keys, "left_semi"), "day"))
-        old = _parts(spark, path, "day", list(days)) if days else None
+        old = _parts(spark, path, "day", list(days))
         rows = new if old is None else old.select(*new.columns).join(new, keys, "left_anti").unionByName(new)
         stage.replace(rows, path, "day", list(days))
         stage.replace(placed if was is None else was.select(*placed.columns).join(placed, keys, "left_anti").unionByName(placed), index, "key_bucket")

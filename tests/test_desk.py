@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from marlstone.functions import market as M
-from marlstone.operators import book, boosting, candles, evaluation, flow, hitlist, positions, prints
+from marlstone.operators import boosting, candles, evaluation, flow, hitlist, positions, prints
 from marlstone.sources import io, tape
 from marlstone.streaming import streams
 
@@ -153,6 +153,7 @@ def test_sinks_replace_touched_days_only(spark, tmp_path):
     path = str(tmp_path / "alerts")
     put = streams.upsert_into(path, ["id"], "time")
     rows = lambda *x: spark.createDataFrame([(i, utc(t), v) for i, t, v in x], "id long, time timestamp, v double")
+    put(rows(), 9)  # a batch without rows leaves no table
     put(rows((1, "2026-05-05T10:00:00", 1.0), (2, "2026-05-06T10:00:00", 2.0)), 0)
     other = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "alerts/day=2026-05-05").glob("*.parquet")}
     more = rows((2, "2026-05-06T11:00:00", 3.0), (3, "2026-05-06T12:00:00", 4.0), (2, "2026-05-06T10:30:00", 9.0))
