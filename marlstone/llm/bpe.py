@@ -307,7 +307,8 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
 
 def decode(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: tuple[str, str] | None = None) -> DataFrame:
-    """(id, bytes binary) of each row of ids; null ids give empty bytes."""
+    """(id, bytes binary) of each row of ids; null and empty ids give empty bytes, repeated rows each theirs, lists of any
+    length are decoded whole, and an empty table gives an empty result. An id beyond the vocabulary is an error."""
     path, pattern = vocabulary or default_vocabulary()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -140,7 +140,8 @@ def keep_rows(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) ->
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, limit: int = 4) -> DataFrame:
     """One row of each group of near duplicates, with all columns: the one with the smallest id (a null id first;
-    among equal ids the smaller hash of the text; one of repeated rows)."""
+    among equal ids the smaller hash of the text; one of repeated rows). Null and empty texts are copies of each other;
+    very long texts are taken whole; columns may have any names; an empty table gives an empty result."""
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
     found = near_duplicates(docs.select(key.alias("key"), F.col(text_col).alias("text")), "key", "text", shingle, limit)
     chosen = written(found.filter(F.col("key").eqNullSafe(F.col("component_id"))).select("key.id", "key.h").distinct(), "chosen")
