@@ -161,7 +161,7 @@ def d3_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.struct(F.lit("09:31").alias("t"), F.slice("strikes", 1, 1).alias("strikes"))
     minutes = F.to_json(F.array(first, F.struct(F.lit("15:59").alias("t"), F.col("strikes"))))
     broken = days.limit(1).select(F.lit("BAD").alias("ticker"), "date", "spot", F.lit("[{").alias("minutes"))
-    stored.as_variant(days.select("ticker", "date", "spot", minutes.alias("minutes")).unionByName(broken), "minutes").write.parquet(path)
+    stored.write_whole(stored.as_variant(days.select("ticker", "date", "spot", minutes.alias("minutes")).unionByName(broken), "minutes"), path)
     last = stored.stored_minute(spark.read.parquet(path))
     return rounded(flow.chain_totals(last.drop("t")).select("ticker", "date", "call", "put", "cp").join(last.select("ticker", "date", "t"), ["ticker", "date"]))
 
@@ -179,10 +179,10 @@ def a13_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = F.transform_values("by_exp", lambda _, c: F.struct(c["net_oi"].alias("netOI"), c["net_dv"].alias("netDV")))
     snaps = rows.groupBy("ticker", "spot").agg(F.collect_list(F.struct("strike", by.alias("byExp"))).alias("strikes"))
     text = F.to_json(F.struct(F.array(F.struct(F.lit("2024-01-19").alias("date"), F.lit(2).alias("dte"))).alias("expirations"), "strikes"))
-    stored.as_variant(snaps.select("ticker", "spot", F.lit(DAY).cast("timestamp").alias("captured_at"), text.alias("cells")), "cells").write.parquet(path)
+    stored.write_whole(stored.as_variant(snaps.select("ticker", "spot", F.lit(DAY).cast("timestamp").alias("captured_at"), text.alias("cells")), "cells"), path)
     back = stored.stored_cells(spark.read.parquet(path)).filter("n_exp = 1 and v_oi is null")
-    again = gamma.heatmap_rows(back, ["ticker"]).select("ticker", "strike", F.size("by_exp").alias("n"))
-    return rounded(back.select("ticker", "strike", "expiry", "net_oi").join(again, ["ticker", "strike"]), 4)
+    again = gamma.heatmap_rows(back, ["ticker"]).select("ticker", "strike", F.size("by_exp").alias("n"), F.explode("by_exp").alias("expiry", "c"))
+    return rounded(again.select("ticker", "strike", F.col("expiry").cast("date").alias("expiry"), F.col("c.net_oi").alias("net_oi"), "n"), 4)
 
 
 @query(
