@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 from ..functions.market import week_end
 
 
-def bars_from_trades(trades: DataFrame, period: Column) -> DataFrame:
-    """(ticker, executed_at, price, size, seq) -> one bar for each ticker and period, in one pass with partial aggregation."""
+def bars_from_trades(trades: DataFrame, period: Column, by_ticker: bool = False) -> DataFrame:
+    """(ticker, executed_at, price, size, seq) -> one bar for each ticker and period, in one pass with partial aggregation.
+
+    ``by_ticker`` is for trades of which few make a bar, so that partial sums save nothing: they are brought to their ticker
+    once, and the bars and the windows and grouped passes over a ticker that follow need no other shuffle or sort.
+    """
     order = F.struct("executed_at", "seq")
-    return trades.groupBy("ticker", period.alias("date")).agg(
+    rows = trades.select("ticker", period.alias("date"), "executed_at", "price", "size", "seq")
+    rows = rows.repartition("ticker").sortWithinPartitions("ticker", "date") if by_ticker else rows
+    return rows.groupBy("ticker", "date").agg(
         F.min_by("price", order).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", order).alias("close"),
         F.sum("size").alias("volume"), (F.sum(F.col("price") * F.col("size")) / F.sum("size")).alias("vwap"), F.count("*").alias("transactions"),
     )

@@ -28,10 +28,8 @@ from . import technicals as T
 EVENTS = "ticker string, date date, detector string, side string, strength double, kind string, meta map<string,double>"
 
 
-def weekly_state(bars: DataFrame, warmup_value: float | None = None, exponential_: bool = False, fast: int = 10, slow: int = 20, empty_weeks: bool = False) -> DataFrame:
-    """(ticker, date, htf): the trend of the week completed before each day's: close over fast over slow average is 1,
-    the reverse -1, else 0; ``warmup_value`` until the slow average is there. A week without bars doesn't count, or with
-    ``empty_weeks`` it leaves the averages missing until they are full again (the convention of the squeezes)."""
+def _weekly_trend(bars: DataFrame, exponential_: bool = False, fast: int = 10, slow: int = 20, empty_weeks: bool = False) -> DataFrame:
+    """(ticker, week, htf): the trend of the week before, for each week by its end."""
     weeks = bars.groupBy("ticker", week_end(F.col("date")).alias("date")).agg(F.max_by("close", "date").alias("close"))
     if empty_weeks:
         span = weeks.groupBy("ticker").agg(F.min("date").alias("a"), F.max("date").alias("b"))
@@ -50,14 +48,24 @@ def weekly_state(bars: DataFrame, warmup_value: float | None = None, exponential
         weeks = weeks.withColumns({"f": rolling(F.avg, "close", fast), "s": rolling(F.avg, "close", slow)})
     c, f, s = F.col("close"), F.col("f"), F.col("s")
     state = F.when(s.isNull() | f.isNull(), None).when((c > f) & (f > s), 1.0).when((c < f) & (f < s), -1.0).otherwise(0.0)
-    weeks = weeks.withColumn("state", state).select("ticker", F.col("date").alias("week"), F.lag("state").over(per_ticker()).alias("htf"))
-    out = bars.select("ticker", "date", week_end(F.col("date")).alias("week")).join(weeks, ["ticker", "week"], "left").drop("week")
+    return weeks.withColumn("state", state).select("ticker", F.col("date").alias("week"), F.lag("state").over(per_ticker()).alias("htf"))
+
+
+def _in_week(rows: DataFrame, weeks: DataFrame, warmup_value: float | None) -> DataFrame:
+    out = rows.withColumn("week", week_end(F.col("date"))).join(weeks, ["ticker", "week"], "left").drop("week")
     return out.na.fill(warmup_value, ["htf"]) if warmup_value is not None else out
 
 
-def with_state(events: DataFrame, bars: DataFrame, **how) -> DataFrame:
-    """Events with ``htf``, the weekly trend of their day; ``how`` goes to ``weekly_state``."""
-    return events.join(weekly_state(bars, **how), ["ticker", "date"], "left")
+def weekly_state(bars: DataFrame, warmup_value: float | None = None, **how) -> DataFrame:
+    """(ticker, date, htf): the trend of the week completed before each day's: close over fast over slow average is 1,
+    the reverse -1, else 0; ``warmup_value`` until the slow average is there. A week without bars doesn't count, or with
+    ``empty_weeks`` it leaves the averages missing until they are full again (the convention of the squeezes)."""
+    return _in_week(bars.select("ticker", "date"), _weekly_trend(bars, **how), warmup_value)
+
+
+def with_state(events: DataFrame, bars: DataFrame, warmup_value: float | None = None, **how) -> DataFrame:
+    """Events with ``htf``, the weekly trend of their day, as in ``weekly_state``: they meet the weeks, not the bars."""
+    return _in_week(events, _weekly_trend(bars, **how), warmup_value)
 
 
 Meta = dict[str, tuple[Column, Column]]
