@@ -24,7 +24,7 @@ from .registry import query, rounded
 def s1_candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars written by ticker, and read for some tickers and a span of dates."""
     path = fresh_path(spark, "candles")
-    bars(spark, sf_dir).write.partitionBy("ticker").parquet(path)
+    io.write_candles(bars(spark, sf_dir), path)
     return rounded(io.load_candles(spark, path, ["S1", "S7", "S40"], "1998-03-01", "1999-02-28").select("ticker", "date", "close", "volume"))
 
 

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 TRADE_SCHEMA = "ticker string, id string, price double, size double, sip_timestamp long, conditions string, exchange int, trf_id int"
 
 
+def write_candles(bars: DataFrame, path: str) -> None:
+    """Bars as Parquet in the order of ticker and date: a ticker lies in one file, and each file's statistics say which
+    tickers and dates are where. There is no folder for a ticker, as files would then grow with tickers times tasks."""
+    bars.repartition("ticker").sortWithinPartitions("ticker", "date").write.parquet(path)
+
+
 def load_candles(spark: SparkSession, path: str, tickers: list[str] | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
     """Bars of the given tickers and dates (both ends included); the filters reach the Parquet scan."""
     out = spark.read.parquet(path)

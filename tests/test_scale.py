@@ -7,7 +7,9 @@ import glob
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from marlstone.sources import stored
+from marlstone.functions.exprs import lag
+from marlstone.operators.bars import bars_from_trades
+from marlstone.sources import io, stored
 
 
 def test_documents_are_stored_whole(spark, tmp_path):
@@ -24,3 +26,26 @@ def test_documents_are_stored_whole(spark, tmp_path):
     plan = back._jdf.queryExecution().optimizedPlan().toString()
     top = plan[: plan.rindex("Generate")]
     assert "try_variant_get" not in top, plan
+
+
+def test_candles_have_no_folder_for_each_ticker(spark, tmp_path):
+    path = str(tmp_path / "candles")
+    rows = spark.range(3000).select(F.concat(F.lit("S"), F.col("id") % 300).alias("ticker"), F.date_add(F.lit("2026-01-01").cast("date"), (F.col("id") / 300).cast("int")).alias("date"), F.lit(1.0).alias("close"))
+    io.write_candles(rows, path)
+    files = glob.glob(f"{path}/**/*.parquet", recursive=True)
+    assert len(files) <= 4 and sum(pq.read_metadata(f).num_rows for f in files) == 3000
+    assert io.load_candles(spark, path, ["S7"], "2026-01-02", "2026-01-04").count() == 3
+
+
+def test_bars_by_ticker_need_one_shuffle(spark):
+    """The bars of scattered trades, and a window over their ticker, share a shuffle and a sort; values are those of the plain way."""
+    t = spark.range(4000).select(F.concat(F.lit("S"), F.col("id") % 13).alias("ticker"), F.timestamp_seconds(F.col("id") * 9000).alias("executed_at"), (F.col("id") * 37 % 101 + 1.0).alias("price"), (F.col("id") % 5 + 1.0).alias("size"), F.col("id").alias("seq"))
+    day = F.to_date("executed_at")
+    near, plain = bars_from_trades(t, day, by_ticker=True), bars_from_trades(t, day)
+    assert near.exceptAll(plain).isEmpty() and plain.exceptAll(near).isEmpty()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = near.withColumn("before", lag("close"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange ") == 1 and plan.count(" Sort [") == 1, plan
