@@ -272,10 +272,11 @@ def _study(spark: SparkSession, sf_dir: str, families: list | None, window: str,
     b = bars(spark, sf_dir)
     df = written(detectors.prepared(b, *(families or ())), "prepared")  # all uses read the bars and recursions from here
     labels = T.forward_returns(T.barrier_labels(df.select(*b.columns, "atr_14")), (10,), "terminal_return")
+    kept = df.select(*b.columns)
     events = detectors.all_events(b, df) if families is None else families[0](df)
     for family in (families or [])[1:]:
         events = events.unionByName(family(df))
-    out = rounded(evaluation.event_study(events, labels, evaluation.folds(b), detectors.weekly_state(b), least, window))
+    out = rounded(evaluation.event_study(events, labels, evaluation.folds(kept), detectors.weekly_state(kept), least, window))
     return out.withColumn("median_strength", F.round("median_strength", 4))
 
 

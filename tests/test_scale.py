@@ -5,10 +5,14 @@ from __future__ import annotations
 import glob
 
 import pyarrow.parquet as pq
+from conftest import SF
 from pyspark.sql import functions as F
 
 from marlstone.functions.exprs import lag
+from marlstone.functions.store import written
+from marlstone.operators import evaluation, flow
 from marlstone.operators.bars import bars_from_trades
+from marlstone.plans import flow_queries
 from marlstone.sources import io, stored
 
 
@@ -49,3 +53,22 @@ def test_bars_by_ticker_need_one_shuffle(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Exchange ") == 1 and plan.count(" Sort [") == 1, plan
+
+
+def test_boards_rank_every_ticker_of_200_contracts(spark):
+    days = flow.chain_minute(flow_queries.chain(spark, SF))
+    last = days.join(days.agg(F.max("date").alias("date")), "date")
+    liquid = flow.market_sentiment(flow.chain_minute(flow_queries._busy(spark, SF, flow_queries.LED))).filter("liquid")
+    want = last.filter("call_vol + put_vol >= 200").select("ticker")
+    assert 0 < last.filter("call_vol + put_vol >= 500").count() < want.count()
+    assert sorted(liquid.select("ticker").collect()) == sorted(want.collect())
+
+
+def test_study_works_its_rows_out_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(evaluation, "written", lambda df, name: kept.append(name) or written(df, name))
+    days = spark.range(400).select(F.lit("S").alias("ticker"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 5).cast("int")).alias("date"))
+    labels = days.withColumns({f"label_{s}{c}": F.lit(1.0) for s in ("long", "short") for c in ("", "_outcome_return")})
+    events = days.select("*", F.lit("d").alias("detector"), F.lit("long").alias("side"), F.lit(1.0).alias("strength"))
+    out = evaluation.event_study(events, labels, evaluation.folds(days))
+    assert kept == ["study-rows", "study-hits"] and out.first()["hit_rate"] == 1.0
