@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import datetime as dt
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -16,21 +16,34 @@ from ..operators.positions import CONTRACT, EVENT, NOTHING, OTHER_WEIGHT, SIZE_W
 #: Exits of positions older than this are applied to the stored row, as their opening message isn't read again.
 LOOKBACK_DAYS = 30
 DAY = 86_400_000_000  # in micros
-#: Where a state store is needed that keeps lists and timers.
+#: Where a state store is needed that keeps timers.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 KEYS = "asset_type string, ticker string, side string, strike double, expiry date"
 ROW = "open_id long, moderator string, expiry_label string, size_label string, entry_price double, entry_at long, remaining double, realized double, frozen boolean, shadow double, current boolean, mark double, live_pct double"
-LINE = "open_id long, action string, price double, frac_closed double, pct double, at long, message_id long"
-BOOK = f"{KEYS}, open_id long, moderator string, expiry_label string, size_label string, entry_price double, entry_at timestamp, remaining double, realized double, status string, frozen boolean, mark double, live_pct double, book_delta double, n_events int, events array<struct<{', '.join(f.replace(' ', ': ', 1) for f in EVENT.split(', '))}>>"
+LINE = "action string, price double, frac_closed double, pct double, at long, message_id long"
+
+
+def _struct(fields: str) -> str:
+    return f"struct<{', '.join(f.replace(' ', ': ', 1) for f in fields.split(', '))}>"
+
+
+#: A contract's open rows, each with its events, as one value: read and written once for each batch that touches it.
+STATE = f"rows array<{_struct(ROW)[:-1]}, events: array<{_struct(LINE)}>>>"
+#: What the processor gives: times in micros, which Spark turns into those of the book (``_dated``).
+OUT = f"{KEYS}, open_id long, moderator string, expiry_label string, size_label string, entry_price double, entry_at long, remaining double, realized double, status string, frozen boolean, mark double, live_pct double, book_delta double, n_events int, events array<{_struct(LINE)}>"
+OUT_NAMES = [f.split()[0] for f in OUT.split(", events")[0].split(", ")] + ["events"]
+LINE_NAMES = [f.split()[0] for f in LINE.split(", ")]
 NAMES = [f.split()[0] for f in ROW.split(", ")]
 
 
 class Book:
-    """The open positions of one contract. ``rows`` are dicts by ``ROW`` with their ``events``; ``touched`` are the changed ones."""
+    """The open positions of one contract. ``rows`` are dicts by ``ROW`` with their ``events``; ``touched`` are the changed
+    ones, and ``had`` says whether there were any to begin with."""
 
     def __init__(self, rows: list[dict]) -> None:
         self.rows, self.touched = rows, {}
+        self.had = bool(rows)
 
     def take(self, action: str, at: int, message_id: int, price: float, pct: float | None, hint: float | None, size: str | None, moderator: str, label: str) -> None:
         """One message in its order of time.
@@ -94,63 +107,61 @@ class Book:
             self.rows = [x for x in self.rows if x is not r]
 
 
-def _micros(t: pd.Timestamp) -> int:
-    return pd.Timestamp(t).value // 1000
+def _expires(expiry: dt.date) -> int:
+    """The day after a contract's expiry, in micros."""
+    return ((expiry - dt.date(1970, 1, 1)).days + 1) * DAY
 
 
 def _plain(x):
-    """Missing values of pandas as None."""
-    return None if x is None or x is pd.NaT or x != x else x
+    """Numbers that are none as None."""
+    return x if known(x) else None
 
 
 class BookProcessor(StatefulProcessor):
-    """State: the open rows of a contract and their events. Timer: the day after its expiry."""
+    """State: the open rows of a contract with their events, one value. Timer: the day after its expiry."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.rows, self.events = handle.getListState("rows", ROW), handle.getListState("events", LINE)
+        self.handle, self.state = handle, handle.getValueState("book", STATE)
 
     def _load(self) -> Book:
-        events: dict[int, list[tuple]] = {}
-        for line in self.events.get() if self.events.exists() else ():
-            events.setdefault(line[0], []).append(tuple(line[1:]))
-        held = self.rows.get() if self.rows.exists() else ()
-        return Book([dict(zip(NAMES, tuple(r), strict=True)) | {"events": events.get(r[0], [])} for r in held])
-
-    def _store(self, key: tuple, book: Book) -> Iterator[pd.DataFrame]:
-        lines = [(r["open_id"], *e) for r in book.rows for e in r["events"]]
-        for state, held in ((self.rows, [tuple(r[c] for c in NAMES) for r in book.rows]), (self.events, lines)):
-            state.put(held) if held else state.clear()  # a list can't be empty
-        if book.rows and key[4] is not None:
-            self.handle.registerTimer((_micros(key[4]) + DAY) // 1000)
-        out = []
+        held = self.state.get()
+        rows = [] if held is None else [dict(zip(NAMES, tuple(r), strict=False)) | {"events": [tuple(e) for e in r[len(NAMES)]]} for r in held[0]]
+        return Book(rows)
+
+    def _store(self, key: tuple, book: Book) -> Iterator[Row]:
+        if book.rows:
+            self.state.update(([(*(r[c] for c in NAMES), r["events"]) for r in book.rows],))
+        elif book.had:
+            self.state.clear()
+        if book.rows and not book.had and key[4] is not None:  # a contract that had open rows has its timer
+            self.handle.registerTimer(_expires(key[4]) // 1000)
         for r in book.touched.values():
             delta = SIZE_WEIGHT.get(r["size_label"], OTHER_WEIGHT) * (r["realized"] + r["remaining"] * (r["live_pct"] or 0.0))
-            events = [{"action": a, "price": p, "frac_closed": f, "pct": c, "at": pd.Timestamp(t, unit="us"), "message_id": i} for a, p, f, c, t, i in r["events"]]
             status = "OPEN" if any(x is r for x in book.rows) else "CLOSED"
-            out.append((*key, r["open_id"], r["moderator"], r["expiry_label"], r["size_label"], r["entry_price"], pd.Timestamp(r["entry_at"], unit="us"), r["remaining"], r["realized"], status, r["frozen"], r["mark"], r["live_pct"], delta, len(events), events))
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in BOOK.split(", events")[0].split(", ")] + ["events"])
+            events = [dict(zip(LINE_NAMES, e, strict=True)) for e in r["events"]]
+            out = (*key, r["open_id"], r["moderator"], r["expiry_label"], r["size_label"], r["entry_price"], r["entry_at"], r["remaining"], r["realized"], status, r["frozen"], r["mark"], r["live_pct"], delta, len(events), events)
+            yield Row(**dict(zip(OUT_NAMES, out, strict=True)))
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
         book = self._load()
-        for r in initialState.to_dict("records"):
-            frozen, left = bool(_plain(r["frozen"])), float(r["remaining"])
+        for r in initialState["stored"]:
+            frozen, left = bool(r["frozen"]), float(r["remaining"])
             # A frozen row's shadow is what its messages alone have left of it.
-            shadow = float(r["derived_remaining"]) if frozen and _plain(r.get("derived_remaining")) is not None else left if frozen else None
-            events = [(e["action"], _plain(e["price"]), _plain(e["frac_closed"]), _plain(e["pct"]), _micros(e["at"]), int(e["message_id"])) for e in r["events"]]
-            book.rows.append({"open_id": int(r["open_id"]), "moderator": r["moderator"], "expiry_label": _plain(r["expiry_label"]) or "", "size_label": _plain(r["size_label"]), "entry_price": float(r["entry_price"]), "entry_at": _micros(r["entry_at"]), "remaining": left, "realized": float(r["realized"]), "frozen": frozen, "shadow": shadow, "current": bool(r["current"]), "mark": _plain(r["mark"]), "live_pct": _plain(r["live_pct"]), "events": events})
+            shadow = float(r["derived_remaining"]) if frozen and _plain(r["derived_remaining"]) is not None else left if frozen else None
+            events = [(e["action"], _plain(e["price"]), _plain(e["frac_closed"]), _plain(e["pct"]), e["at"], e["message_id"]) for e in r["events"]]
+            book.rows.append({"open_id": r["open_id"], "moderator": r["moderator"], "expiry_label": r["expiry_label"] or "", "size_label": r["size_label"], "entry_price": float(r["entry_price"]), "entry_at": r["entry_at"], "remaining": left, "realized": float(r["realized"]), "frozen": frozen, "shadow": shadow, "current": bool(r["current"]), "mark": _plain(r["mark"]), "live_pct": _plain(r["live_pct"]), "events": events})
         for _ in self._store(key, book):
             pass
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        book, new = self._load(), pd.concat(list(rows)).sort_values(["at", "message_id"])
-        for m in new.to_dict("records"):
-            book.take(m["action"], _micros(m["at"]), int(m["message_id"]), _plain(m["price"]), _plain(m["pct"]), _plain(m["frac_hint"]), _plain(m["size_label"]), _plain(m["moderator"]) or "unknown", _plain(m["expiry_label"]) or "")
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        book = self._load()
+        for m in sorted(rows, key=lambda m: (m["micros"], m["message_id"])):
+            book.take(m["action"], m["micros"], m["message_id"], _plain(m["price"]), _plain(m["pct"]), _plain(m["frac_hint"]), m["size_label"], m["moderator"] or "unknown", m["expiry_label"] or "")
         yield from self._store(key, book)
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         book = self._load()
-        book.settle(_micros(key[4]))
+        book.settle(_expires(key[4]) - DAY)
         yield from self._store(key, book)
 
     def close(self) -> None:
@@ -158,7 +169,7 @@ class BookProcessor(StatefulProcessor):
 
 
 def use_rocks(spark: SparkSession) -> None:
-    """Lists, timers and initial states need the state store that keeps them off the heap."""
+    """Timers and initial states need the state store that keeps them off the heap."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
 
 
@@ -176,9 +187,18 @@ def book_stream(messages: DataFrame, stored: DataFrame | None = None, delay: str
     spark = messages.sparkSession
     ship(spark)
     use_rocks(spark)
-    grouped = messages.select(*CONTRACT, *MESSAGES).withWatermark("at", delay).groupBy(*CONTRACT)
+    grouped = messages.select(*CONTRACT, *MESSAGES, F.unix_micros("at").alias("micros")).withWatermark("at", delay).groupBy(*CONTRACT)
     first = None
     if stored is not None:
         last = W.partitionBy(*CONTRACT, "moderator", "expiry_label").orderBy(F.desc("entry_at"), F.desc("open_id"))
-        first = stored.withColumn("current", F.row_number().over(last) == 1).filter("status = 'OPEN'").select(*CONTRACT, *STORED).groupBy(*CONTRACT)
-    return grouped.transformWithStateInPandas(BookProcessor(), BOOK, "Update", "EventTime", first)
+        held = stored.withColumn("current", F.row_number().over(last) == 1).filter("status = 'OPEN'").select(*CONTRACT, *STORED)
+        held = held.withColumns({"entry_at": F.unix_micros("entry_at"), "events": _lines(F.unix_micros)})
+        # One row for each contract: its state is written once.
+        first = held.groupBy(*CONTRACT).agg(F.collect_list(F.struct(*STORED)).alias("stored")).groupBy(*CONTRACT)
+    changed = grouped.transformWithState(BookProcessor(), OUT, "Update", "EventTime", first)
+    return changed.withColumns({"entry_at": F.timestamp_micros("entry_at"), "events": _lines(F.timestamp_micros)})
+
+
+def _lines(time: Callable[[Column], Column]) -> Column:
+    """``events`` with their times turned into others."""
+    return F.transform("events", lambda e: F.struct(*[(time(e[c]) if c == "at" else e[c]).alias(c) for c in LINE_NAMES]))

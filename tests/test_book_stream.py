@@ -104,3 +104,47 @@ def test_stream_settles_at_the_mark_after_expiry(result):
     assert (new.status, new.remaining) == ("CLOSED", 0.0)
     assert new.realized == pytest.approx(0.5 * 40 + 0.25 * 20 + 0.25 * 50)
     assert [e.action for e in new.events] == ["open", "trim", "trim", "close"] and new.events[-1].message_id == -10
+
+
+class Handle:
+    """A state handle that counts what crosses to the state store."""
+
+    def __init__(self):
+        self.held, self.calls = None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.held
+
+    def update(self, value):
+        self.calls.append("update")
+        self.held = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.held = None
+
+    def registerTimer(self, at):
+        self.calls.append(at)
+
+
+def test_a_contract_costs_one_read_and_one_write_of_its_state_a_batch():
+    from pyspark.sql import Row
+
+    from marlstone.streaming.book_stream import BookProcessor
+
+    handle, processor = Handle(), BookProcessor()
+    processor.init(handle)
+    key = ("option", "A", "CALL", 1.0, dt.date(1970, 1, 2))
+    line = lambda action, k, pct=None: Row(action=action, micros=k, message_id=k, price=2.0, pct=pct, frac_hint=None, size_label="Large", moderator="m", expiry_label="7/20")
+    held = Row(open_id=1, moderator="x", expiry_label=None, size_label="Small", entry_price=1.0, entry_at=0, remaining=1.0, realized=0.0, frozen=False, derived_remaining=None, mark=None, live_pct=None, events=[], current=True)
+    processor.handleInitialState(key, Row(stored=[held, held]), None)
+    assert handle.calls == ["get", "update", 2 * DAY // 1000] and len(handle.held[0]) == 2
+    handle.calls.clear()
+    got = list(processor.handleInputRows(key, iter([line("trim", 8, 40.0), line("open", 7)]), None))
+    assert handle.calls == ["get", "update"]  # the timer is there already
+    assert [(r.open_id, r.status, r.remaining, r.realized, r.n_events) for r in got] == [(7, "OPEN", 0.5, 20.0, 2)]
+    assert [r.open_id for r in processor.handleExpiredTimer(key, None, None)] == [1, 7] and handle.held is None
