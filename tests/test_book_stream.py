@@ -148,3 +148,21 @@ def test_a_contract_costs_one_read_and_one_write_of_its_state_a_batch():
     assert handle.calls == ["get", "update"]  # the timer is there already
     assert [(r.open_id, r.status, r.remaining, r.realized, r.n_events) for r in got] == [(7, "OPEN", 0.5, 20.0, 2)]
     assert [r.open_id for r in processor.handleExpiredTimer(key, None, None)] == [1, 7] and handle.held is None
+
+
+def test_positions_are_folded_as_a_partition_passes(spark):
+    rows = [(f"k{k}", k * 10 + j, T0 + dt.timedelta(hours=j), a, 2.0, p, None, "Small") for k in range(3) for j, (a, p) in enumerate([("trim", 1.0), ("open", None), ("trim", 40.0), ("add", None), ("close", 10.0), ("open", None), ("close", float("nan"))])]
+    messages = spark.createDataFrame(rows[::-1], "key string, message_id long, at timestamp, action string, price double, pct double, frac_hint double, size_label string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # a key goes over several batches
+    try:
+        out = positions.stitch_positions(messages)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().toString()  # no call of its own for each key
+        got = {(r.key, r.open_id): r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert sorted(got) == [(f"k{k}", k * 10 + j) for k in range(3) for j in (1, 5)]
+    for (key, open_id), r in got.items():
+        first = open_id % 10 == 1
+        assert (r.status, r.remaining, r.realized, r.n_orphans, r.n_events) == ("CLOSED", 0.0, 0.5 * 40 + 0.5 * 10 if first else 0.0, 1, 4 if first else 2)
+        assert [e.message_id for e in r.events] == ([open_id + j for j in range(4)] if first else [open_id, open_id + 1])
