@@ -44,3 +44,13 @@ def relative_strength(close: np.ndarray, n: int) -> np.ndarray:
 def percentile_rank(x: np.ndarray, window: int) -> np.ndarray:
     """Rank of each value in its trailing window over the window's size; ties get their mean rank; no partial windows."""
     return pd.Series(x).rolling(window, min_periods=window).rank(pct=True).to_numpy()
+
+
+def rolled(kind: str, x: np.ndarray, n: int, back: int = 0) -> np.ndarray:
+    """A window's mean, std (of the population), min or max over the ``n`` values that end ``back`` before each; missing
+    where the window isn't full or has a missing value."""
+    out = np.full(len(x), np.nan)
+    if len(x) >= n + back:
+        values = getattr(np.lib.stride_tricks.sliding_window_view(x, n), kind)(axis=1)
+        out[n - 1 + back :] = values[: len(values) - back]
+    return out

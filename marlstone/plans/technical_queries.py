@@ -179,6 +179,11 @@ def w13_volatility(spark: SparkSession, sf_dir: str) -> DataFrame:
 TR = "trend_stack_state, bars_since_stack_change, ma_spread, dist_to_sma20_atr, slope_sma20, dist_to_sma200_atr, slope_sma200"
 
 
+def _averaged(df: DataFrame, more: T.Rolls | None = None) -> DataFrame:
+    """Bars with the range's average, all moving averages and ``more`` rolling columns, from one pass."""
+    return T.with_recursions(df, want=("atr_14",), rolls=T.average_rolls() | (more or {}))
+
+
 @query("w9_w14_trend", f"""WITH {BASE}, {SWINGS}, {TREND}, t1 AS (SELECT *, lag(trend_stack_state) OVER {W} AS before FROM t0),
 t2 AS (SELECT ticker, date, trend_stack_state, CASE WHEN trend_stack_state IS NOT NULL
   THEN {_since('trend_stack_state IS NOT NULL AND trend_stack_state IS DISTINCT FROM before')} END AS bars_since_stack_change,
@@ -186,7 +191,7 @@ t2 AS (SELECT ticker, date, trend_stack_state, CASE WHEN trend_stack_state IS NO
   OVER {W}) / close AS slope_sma20,
   (close - sma_200) / nullif(atr_14, 0) AS dist_to_sma200_atr, (sma_200 - lag(sma_200, 20) OVER {W}) / close AS slope_sma200 FROM t1) {_ordered('t2', TR)}""")
 def w14_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pick(T.trend(T.moving_averages(T.with_recursions(bars(spark, sf_dir)))), TR)
+    return _pick(T.trend(_averaged(bars(spark, sf_dir))), TR)
 
 
 ZO = "zone_50_upper, zone_50_lower, in_zone_50, touch_50, bars_since_touch_50, in_zone_200, touch_200"
@@ -200,7 +205,7 @@ z2 AS (SELECT *, CASE WHEN in_zone_50 = 1 AND trend_stack_state >= 1 THEN 1 WHEN
   CASE WHEN in_zone_200 = 1 AND trend_stack_state >= 1 THEN 1 WHEN in_zone_200 = 1 AND trend_stack_state <= -1 THEN -1 ELSE 0 END AS touch_200 FROM z1),
 z3 AS (SELECT *, {_since('touch_50 <> 0')} AS bars_since_touch_50 FROM z2) {_ordered('z3', ZO)}""")
 def w15_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pick(T.zones(T.trend(T.moving_averages(T.with_recursions(bars(spark, sf_dir))))), ZO)
+    return _pick(T.zones(T.trend(_averaged(bars(spark, sf_dir)))), ZO)
 
 
 RE = "swing_reclaim, reclaim_penetration_atr, bars_since_reclaim, trend_aligned_reclaim"
@@ -219,7 +224,7 @@ r3 AS (SELECT ticker, date, swing_reclaim, CASE swing_reclaim WHEN 1 THEN down W
   CASE WHEN swing_reclaim = 1 AND trend_stack_state >= 1 THEN 1 WHEN swing_reclaim = -1 AND trend_stack_state <= -1 THEN -1 ELSE 0
   END AS trend_aligned_reclaim FROM r2) {_ordered('r3', RE)}""")
 def w16_reclaims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pick(T.reclaims(T.trend(T.moving_averages(T.with_recursions(T.swings(bars(spark, sf_dir)))))), RE)
+    return _pick(T.reclaims(T.trend(_averaged(T.swings(bars(spark, sf_dir)), T.reach_rolls()))), RE)
 
 
 BR = "range_breakout, squeeze_intensity, squeeze_duration, breakout_strength_atr, bars_since_breakout"
@@ -275,7 +280,7 @@ LABELS = f"{_label_sql()}, h3 AS (SELECT *, {_L01} FROM h2)"
 @query("w22_barrier_labels", f"WITH {BASE}, {LABELS} SELECT ticker, date, label_long_barrier, label_short_barrier, " + ", ".join(f"round(({c})::DOUBLE, 6) AS {c}" for c in LABEL.split(", ")) + """
   FROM h3""")
 def w22_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = T.barrier_labels(T.with_recursions(bars(spark, sf_dir)))
+    out = T.barrier_labels(T.with_recursions(bars(spark, sf_dir), want=("atr_14",)))
     return out.select("ticker", "date", "label_long_barrier", "label_short_barrier", *[F.round(c, 6).alias(c) for c in LABEL.split(", ")])
 
 
@@ -283,7 +288,7 @@ def w22_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
   FILTER (WHERE label_long IS NOT NULL AND label_short IS NOT NULL) AS n_labelable,
   count(*) FILTER (WHERE rn > 266 AND label_long IS NOT NULL AND label_short IS NOT NULL) AS n_valid FROM h3 GROUP BY 1""")
 def w23_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = T.validity(T.barrier_labels(T.with_recursions(bars(spark, sf_dir))))
+    out = T.validity(T.barrier_labels(T.with_recursions(bars(spark, sf_dir), want=("atr_14",))))
     return out.groupBy("ticker").agg(F.count("*").alias("n"), F.count_if("is_warmup").alias("n_warmup"), F.count_if("is_labelable").alias("n_labelable"), F.count_if("is_valid").alias("n_valid"))
 
 

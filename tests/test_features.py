@@ -143,3 +143,20 @@ def test_own_detector(spark, bars):
         assert detectors.detect_universe(T.with_recursions(bars), ["every_50"]).agg(F.count("*")).first()[0] == 9
     finally:
         del detectors.STATEFUL["every_50"]
+
+
+def test_long_windows_are_rolled_in_the_pass(spark):
+    """The pass gives what Spark's windows give, missing values included, and the matrix has no long sliding window left."""
+    rng = np.random.default_rng(5)
+    close = np.round(rng.uniform(5, 9, 90), 2).tolist()
+    close[30] = None
+    rows = [(t, pd.Timestamp("2024-01-01").date() + pd.Timedelta(days=k), c, c and c + 1, c and c - 1, 100.0 + k) for t, n in (("A", 90), ("B", 12)) for k, c in enumerate(close[:n])]
+    df = spark.createDataFrame(rows, "ticker string, date date, close double, high double, low double, volume double")
+    rolls = T.average_rolls() | T.band_rolls() | T.reach_rolls() | T.range_rolls()
+    got = T.with_recursions(df, want=("atr_14",), rolls=rolls).orderBy("ticker", "date").toPandas()
+    want = df.select("*", *[c.alias(n) for n, c in T._rolls(df, rolls).items()]).orderBy("ticker", "date").toPandas()
+    for n in rolls:
+        np.testing.assert_allclose(got[n].astype(float), want[n].astype(float), rtol=1e-12, err_msg=n)
+    assert got["sma_20"].notna().sum() == 90 - 19 - 20
+    plan = T.build_features(df.withColumns({"open": F.col("close"), "vwap": F.col("close"), "transactions": F.lit(1)}))._jdf.queryExecution().analyzed().toString()
+    assert "avg(close" not in plan and "stddev_pop(" not in plan
