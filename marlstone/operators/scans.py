@@ -7,13 +7,15 @@ filled from the value it begins with. A ticker's minutes of ten years are many t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.groups import in_groups, whole_groups
 from ..functions.ship import ship
 from ..functions.store import written
 
@@ -82,29 +84,34 @@ def smoothed(rows: DataFrame, value: Column, name: str, n: int, block: Column, k
     counts = narrow.groupBy("ticker", "_block").agg(F.count("_x").alias("_n"))
     so_far = F.coalesce(F.sum("_n").over(W.partitionBy("ticker").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     befores = written(counts.select("ticker", "_block", so_far.alias("_before")), "counts")  # one row for each block
-    kind = dict(held.dtypes)["_block"]
-
-    def maps(key: tuple, part: pa.Table) -> pa.Table:
-        part = part.sort_by("_at")
-        got = block_map(part.column("_x").to_numpy().astype(float), part.column("_before")[0].as_py(), n, keep)
-        return pa.Table.from_arrays([pa.array([k.as_py()], t) for k, t in zip(key, (part.schema.field("ticker").type, part.schema.field("_block").type), strict=True)] + [pa.array([v]) for v in got], names=["ticker", "_block", *[c.split()[0] for c in MADE.split(", ")]])
-
-    def starts(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        got = compose(pdf["block_count"].tolist(), pdf["seed_sum"].tolist(), pdf["power"].tolist(), pdf["added"].tolist(), n)
-        return pdf[["ticker", "_block"]].assign(_before=[g[0] for g in got], _sum=[g[1] for g in got], _value=[np.nan if g[2] is None else g[2] for g in got])
-
-    def filled(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        first = pdf.iloc[0]
-        made = fill(pdf["_x"].to_numpy(float), int(first["_before"]), float(first["_sum"]), None if first["_value"] != first["_value"] else float(first["_value"]), n, keep)
-        return pdf.drop(columns=["_before", "_sum", "_value", "_x", "_block"]).assign(**{name: made})
-
-    blocks = narrow.join(befores, ["ticker", "_block"]).groupBy("ticker", "_block").applyInArrow(maps, f"ticker string, _block {kind}, {MADE}")
-    begins = written(blocks.groupBy("ticker").applyInPandas(starts, f"ticker string, _block {kind}, _before long, _sum double, _value double"), "starts")
+    kind, own = dict(held.dtypes)["_block"], rows.columns
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, groups in whole_groups(batches, ["ticker", "_block"]):
+            x, before = t.column("_x").to_numpy().astype(float), t.column("_before").to_numpy()
+            got = [block_map(x[a:b], int(before[a]), n, keep) for a, b in groups]
+            first = t.select(["ticker", "_block"]).take([a for a, _ in groups]).combine_chunks().columns
+            made = [pa.array(v, k) for v, k in zip(zip(*got, strict=True), (pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)]
+            yield from pa.Table.from_arrays([*first, *made], names=["ticker", "_block", *[c.split()[0] for c in MADE.split(", ")]]).to_batches()
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, groups in whole_groups(batches, ["ticker"]):
+            columns = [t.column(c.split()[0]).to_pylist() for c in MADE.split(", ")]
+            got = [g for a, b in groups for g in compose(*[c[a:b] for c in columns], n)]
+            made = [pa.array(v, k) for v, k in zip(zip(*got, strict=True), (pa.int64(), pa.float64(), pa.float64()), strict=True)]
+            yield from pa.Table.from_arrays([t.column("ticker"), t.column("_block"), *made], names=["ticker", "_block", "_before", "_sum", "_value"]).to_batches()
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, groups in whole_groups(batches, ["ticker", "_block"]):
+            x = t.column("_x").to_numpy().astype(float)
+            before, total, value = (t.column(c).take([a for a, _ in groups]).to_pylist() for c in ("_before", "_sum", "_value"))
+            made = np.concatenate([fill(x[a:b], *begin, n, keep) for (a, b), *begin in zip(groups, before, total, value, strict=True)])
+            yield from t.select(own).append_column(name, pa.array(made, from_pandas=True)).to_batches()
+
+    blocks = in_groups(narrow.join(befores, ["ticker", "_block"]), ["ticker", "_block"], "_at").mapInArrow(maps, f"ticker string, _block {kind}, {MADE}")
+    begins = written(in_groups(blocks, ["ticker"], "_block").mapInArrow(starts, f"ticker string, _block {kind}, _before long, _sum double, _value double"), "starts")
     schema = rows.select("*", F.lit(None).cast("double").alias(name)).schema
-    out = held.join(begins, ["ticker", "_block"]).groupBy("ticker", "_block").applyInPandas(filled, schema)
-    return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
+    return in_groups(held.join(begins, ["ticker", "_block"]), ["ticker", "_block"], order).mapInArrow(filled, schema)
 
 
 def blocked_range(bars: DataFrame, block: Column, order: str = "date") -> DataFrame:

@@ -50,3 +50,20 @@ def test_blocks_of_a_table(spark):
         want.append(0.5 * want[-1] + 0.5 * v)
     assert np.allclose(gaps.loc[gaps["x"].notna(), "avg"].to_numpy()[2:], want) and gaps.loc[gaps["x"].isna(), "avg"].isna().all()
     assert scans.smoothed(df.limit(0), F.col("high"), "avg", 3, month).count() == 0
+
+
+def test_groups_pass_whole_whatever_the_batches():
+    import pyarrow as pa
+
+    from marlstone.functions.groups import whole_groups
+
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        sizes = rng.integers(1, 9, rng.integers(1, 8))
+        keys = [k if k != 2 else None for k, size in enumerate(sizes) for _ in range(size)]
+        t = pa.table({"k": pa.array(keys, pa.int64()), "v": list(range(len(keys)))})
+        cuts = [0, *np.sort(rng.integers(0, len(keys) + 1, rng.integers(0, 9))).tolist(), len(keys)]
+        batches = [b for a, z in zip(cuts, cuts[1:], strict=False) for b in t.slice(a, z - a).to_batches()]
+        got = [part.slice(a, z - a).column("v").to_pylist() for part, groups in whole_groups(iter(batches), ["k"]) for a, z in groups]
+        ends = np.cumsum([0, *sizes]).tolist()
+        assert got == [list(range(a, z)) for a, z in zip(ends, ends[1:], strict=False)]
