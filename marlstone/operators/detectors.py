@@ -478,24 +478,25 @@ def register_sql(spark: SparkSession, name: str = "detect") -> None:
             return AnalyzeResult(out, partitionBy=[PartitioningColumn("ticker")], orderBy=[OrderingColumn("date")])
 
         def __init__(self) -> None:
-            self.rows: list[tuple] = []
-            self.ticker, self.names = None, ""
+            self.rows: list[Row] = []
+            self.names = None
 
         def eval(self, bars: Row, names: str | None = None) -> None:
-            self.ticker, self.names = bars["ticker"], names
-            self.rows.append((bars["date"], *(bars[c] for c in columns)))
+            self.rows.append(bars)  # nothing else for each row: fields are looked up by name once for a ticker
+            self.names = names
 
         def terminate(self):
             if not self.rows:
                 return
-            dates, *values = zip(*self.rows, strict=True)
-            arrays = {c: np.array([np.nan if x is None else x for x in v], float) for c, v in zip(columns, values, strict=True)}
+            by_name = dict(zip(self.rows[0].__fields__, zip(*self.rows, strict=True), strict=True))
+            ticker, dates = by_name["ticker"][0], by_name["date"]
+            arrays = {c: np.array([np.nan if x is None else x for x in by_name[c]], float) for c in columns}
             arrays["atr"] = np.nan_to_num(arrays.pop("atr_14"))
             for n in [n.strip() for n in self.names.split(",")] if self.names else there:
                 for t, side, strength, *more in there[n](arrays):
-                    yield self.ticker, dates[t], n, side, float(strength), (more or [None])[0]
+                    yield ticker, dates[t], n, side, float(strength), (more or [None])[0]
 
-    spark.udtf.register(name, udtf(Detect))
+    spark.udtf.register(name, udtf(Detect, useArrow=True))
 
 
 #: What each family reads besides the bars: recursive columns, averages' spans, and window blocks.

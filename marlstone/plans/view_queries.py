@@ -235,6 +235,7 @@ def p10_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
         detectors.register_sql(spark, "detect_events")
     finally:
         del detectors.STATEFUL["outside"]
-    bars(spark, sf_dir).withColumn("atr_14", F.lit(1.0)).createOrReplaceTempView("detector_bars")
+    needed = bars(spark, sf_dir).select("ticker", "date", "open", "high", "low", "close", "volume", F.lit(1.0).alias("atr_14"))
+    needed.createOrReplaceTempView("detector_bars")
     found = spark.sql("SELECT * FROM detect_events(TABLE(detector_bars), 'outside')")
     return rounded(found.select("ticker", "date", "detector", "side", "strength"))
