@@ -48,10 +48,17 @@ def read_trades(spark: SparkSession, path: str | list[str], partitions: int | No
     return out.repartition(partitions) if partitions else out
 
 
+def write_ranked_corpus(prints: DataFrame, path: str) -> None:
+    """Ranked prints as Parquet in the order of ticker and rank, as ``write_candles`` has bars: no folder for a ticker, as
+    folders and files would then grow with the tickers, and each costs far more than the 200 rows in it."""
+    prints.repartition("ticker").sortWithinPartitions("ticker", "rank").write.parquet(path)
+
+
 def read_ranked_corpus(spark: SparkSession, root: str, top: int = 200) -> DataFrame:
-    """``<TICKER>/top200.parquet`` files: the ticker from the path, the premium from price and size, the percentile from the rank."""
+    """``write_ranked_corpus``'s files, or ``<TICKER>/top200.parquet`` files, whose ticker is that of the path; the premium from
+    price and size, the percentile from the rank."""
     raw = spark.read.option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(root)
-    named = raw.withColumn("ticker", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+\.parquet(?:/[^/]*)?$", 1))
+    named = raw if "ticker" in raw.columns else raw.withColumn("ticker", F.regexp_extract(F.input_file_name(), r"/([^/]+)/[^/]+\.parquet(?:/[^/]*)?$", 1))
     premium = F.coalesce(F.col("premium"), F.col("price") * F.col("size")) if "premium" in raw.columns else F.col("price") * F.col("size")
     return named.withColumns({"premium": premium, "percentile": F.round((top + 1 - F.col("rank")) / 2.0, 2)})
 

@@ -326,3 +326,12 @@ def test_criteria():
         hitlist.Criteria(confidence="SOME")
     with pytest.raises(ValueError):
         hitlist.Criteria(max_alerts=0)
+
+
+def test_ranked_corpus_has_no_folder_for_a_ticker(spark, tmp_path):
+    rows = [(f"T{t}", r, f"{t}-{r}", 2.0 * t, 3.0) for t in range(60) for r in (2, 1)]
+    path = str(tmp_path / "corpus")
+    io.write_ranked_corpus(spark.createDataFrame(rows, "ticker string, rank int, id string, price double, size double"), path)
+    assert len(list((tmp_path / "corpus").rglob("*.parquet"))) <= 4 and not [p for p in (tmp_path / "corpus").iterdir() if p.is_dir()]
+    got = io.read_ranked_corpus(spark, path).collect()
+    assert sorted((r.ticker, r["rank"], r.id, r.premium, r.percentile) for r in got) == sorted((t, r, i, p * s, (201 - r) / 2) for t, r, i, p, s in rows)
