@@ -96,17 +96,19 @@ def upsert_into(path: str, keys: list[str], order: str | None = None, time_col:
     return run
 
 
-def insert_trades_into(path: str, thresholds: DataFrame, top: int = TOP, lookback_hours: int = 24, unit: str = "day"):
+def insert_trades_into(path: str, thresholds: DataFrame, top: int = TOP, lookback_hours: int = 24, unit: str = "day", buckets: int = 64):
     """A ``foreachBatch`` sink of the trade tape: trades at or over their ticker's threshold that aren't there already, in a
     table partitioned by day (or another ``unit`` of ``date_trunc``) at ``path``; and the ``top`` prints of each ticker with
-    their ranks at ``{path}_ranks``, partitioned by ticker.
+    their ranks at ``{path}_ranks``, partitioned by hash buckets of the ticker: a folder for each ticker would cost far more than
+    the ``top`` rows in it.
 
     A batch is compared with the days from its first trade less the look-back on. Ranks are kept as a state that merges:
     the first ``top`` of a ticker are those of its first ``top`` so far and the batch's rows, so that a batch reads the
-    ranks of the tickers it holds, and neither other tickers' nor the corpus.
+    ranks of the buckets whose tickers it holds, and neither other buckets' nor the corpus.
     """
     ranks = f"{path.rstrip('/')}_ranks"
     part = lambda c: F.to_date(F.date_trunc(unit, c))
+    bucket = F.pmod(F.xxhash64("ticker"), F.lit(buckets)).cast("int")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark, stage = batch.sparkSession, Stage(batch.sparkSession, path, batch_id)
@@ -119,12 +121,13 @@ def insert_trades_into(path: str, thresholds: DataFrame, top: int = TOP, lookbac
         old = _parts(spark, path, "day", days)
         rows = kept if old is None else insert_new(old.select(*kept.columns), kept, "id")
         stage.replace(rows, path, "day")
-        tickers = kept.select("ticker").distinct()
         # The days just written, not the batch: what a run that failed half-way had inserted is ranked as well.
         new = _parts(spark, path, "day", _values(kept, "day")).select(*kept.columns).join(kept.select("ticker", "id"), ["ticker", "id"], "left_semi")
-        if exists(spark, ranks):
-            new = new.unionByName(spark.read.parquet(ranks).select(*kept.columns).join(F.broadcast(tickers), "ticker", "left_semi")).dropDuplicates(["ticker", "id"])
-        stage.replace(rerank(new, top).filter("rank is not null"), ranks, "ticker")
+        had = _parts(spark, ranks, "ticker_bucket", _values(kept.select(bucket.alias("b")), "b"))
+        if had is not None:
+            new = new.unionByName(had.select(*kept.columns)).dropDuplicates(["ticker", "id"])
+        ranked = rerank(new, top).filter("rank is not null").withColumn("ticker_bucket", bucket)
+        stage.replace(ranked.repartition("ticker_bucket"), ranks, "ticker_bucket")
         stage.done()
 
     return run

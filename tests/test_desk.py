@@ -335,3 +335,19 @@ def test_ranked_corpus_has_no_folder_for_a_ticker(spark, tmp_path):
     assert len(list((tmp_path / "corpus").rglob("*.parquet"))) <= 4 and not [p for p in (tmp_path / "corpus").iterdir() if p.is_dir()]
     got = io.read_ranked_corpus(spark, path).collect()
     assert sorted((r.ticker, r["rank"], r.id, r.premium, r.percentile) for r in got) == sorted((t, r, i, p * s, (201 - r) / 2) for t, r, i, p, s in rows)
+
+
+def test_ranks_of_the_tape_lie_in_buckets(spark, tmp_path):
+    tape, names = str(tmp_path / "tape"), [f"T{k}" for k in range(40)]
+    thresholds = spark.createDataFrame([(n, 1.0) for n in names], "ticker string, threshold double")
+    take = streams.insert_trades_into(tape, thresholds, top=2, buckets=4)
+    trades = lambda *x: spark.createDataFrame([(i, n, utc("2026-05-06T10:00:00"), p, 1.0, p, k) for k, (i, n, p) in enumerate(x)], "id string, ticker string, executed_at timestamp, price double, size double, premium double, seq long")
+    take(trades(*[(f"{n}-{p}", n, float(p)) for n in names for p in (5, 6, 7)]), 0)
+    folders = sorted((tmp_path / "tape_ranks").glob("ticker_bucket=*"))
+    assert 1 < len(folders) <= 4
+    stamps = {p: p.stat().st_mtime_ns for f in folders for p in f.glob("*.parquet")}
+    take(trades(("new", "T7", 9.0)), 1)
+    now = {p: p.stat().st_mtime_ns for f in folders for p in f.glob("*.parquet")}
+    assert len({p.parent for p, _ in stamps.items() - now.items()}) == 1  # one bucket is written again
+    want = [(n, r, i) for n in names for r, i in enumerate(("new", f"{n}-7") if n == "T7" else (f"{n}-7", f"{n}-6"), 1)]
+    assert sorted((r.ticker, r["rank"], r.id) for r in spark.read.parquet(f"{tape}_ranks").collect()) == sorted(want)
