@@ -1,8 +1,11 @@
-"""Near duplicates by the Jaccard similarity of their word shingles: MinHash bands find candidates, exact sets decide.
+"""Near duplicates by the Jaccard similarity of their word shingles: the anchors of ``simhash`` and MinHash bands find
+candidates, exact sets decide.
 
-The words are those of ``simhash``. Texts of the same words form one node. A node's ``BANDS`` band keys each hash
-``ROWS`` minima over its distinct shingles; two nodes with a similarity of 0.8 miss each other in all bands with a
-probability of (1 - 0.8 ** 6) ** 24, under 0.001. No candidate becomes a link before the two sets are compared.
+The words are those of ``simhash``. Texts of the same words form one node. Nodes whose SimHash fingerprints, over the same
+shingles as the sets, are linked by 4 or fewer differing bits form an anchor bucket (``simhash.close_pairs``). A similarity
+of 0.8 leaves 10 of 64 bits different, which no bounded number of anchors reaches, so that a node also has ``BANDS`` band
+keys, which each hash ``ROWS`` minima over its distinct shingles; two nodes with a similarity of 0.8 miss each other in all
+bands with a probability of (1 - 0.8 ** 6) ** 24, under 0.001. No candidate becomes a link before the two sets are compared.
 
 A bucket's members are first compared with a few of its nodes, so that a large group of near copies costs a number
 of comparisons that grows with the group, not with its square: those that share most buckets (near the text that the
@@ -25,12 +28,15 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, broadcast_if_small, map_columns, salted_join, written
 from .graph import connected_components
-from .simhash import LOWER, SEED, keep_rows
+from .simhash import LOWER, SEED, close_pairs, fingerprint, keep_rows
 
 SHINGLE = 5
 #: Least similarity of near duplicates, as a fraction.
 SIMILAR = (4, 5)
 BANDS, ROWS = 24, 6
+#: Blocks of a fingerprint for the anchors: 4 differing bits leave at most 1 in either long block, or none in the short one. That
+#: takes 35 copies of a fingerprint, where the blocks of ``simhash`` take 178; a stage has the disk for the bands besides.
+ANCHORED = ((0, 24, 1), (24, 24, 1), (48, 16, 0))
 #: Nodes of a bucket that all its members are compared with before components are known: by hash, and most central ones.
 PIVOTS, HUBS = 2, 2
 #: Sets are binned by size; a bin's sizes differ by this factor at most.
@@ -81,14 +87,21 @@ def similar(a: set[bytes], b: set[bytes]) -> bool:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """(key, text) -> (key, node, bands); the node is the hash of the words."""
+    """(key, text) -> (key, node, bands, fp); the node is the hash of the words, fp their fingerprint."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         words = [joined_words(x) for x in as_bytes(batch.column(1))]
-        nodes = np.frombuffer(b"".join(xxhash.xxh64_digest(w, SEED) for w in words), ">i8").astype(np.int64)
-        return pa.record_batch([batch.column(0), pa.array(nodes), pa.array([band_keys(w) for w in words], pa.list_(pa.int64()))], names=["key", "node", "bands"])
+        nodes, prints = (np.frombuffer(b"".join(x), ">i8").astype(np.int64) for x in ([xxhash.xxh64_digest(w, SEED) for w in words], [fingerprint(w, SHINGLE) for w in words]))
+        return pa.record_batch([batch.column(0), pa.array(nodes), pa.array([band_keys(w) for w in words], pa.list_(pa.int64())), pa.array(prints)], names=["key", "node", "bands", "fp"])
 
-    return map_columns(docs, ["key", "text"], f"key {docs.schema['key'].dataType.simpleString()}, node long, bands array<long>", run)
+    return map_columns(docs, ["key", "text"], f"key {docs.schema['key'].dataType.simpleString()}, node long, bands array<long>, fp long", run)
+
+
+def _anchored(nodes: DataFrame) -> DataFrame:
+    """(node, bucket): the anchor bucket of each node with words, named by its smallest fingerprint."""
+    prints = nodes.filter(F.size("bands") > 0).select("node", "fp")
+    roots = connected_components(close_pairs(prints.select("fp").distinct(), blocks=ANCHORED)).withColumnRenamed("node", "fp")
+    return salted_join(prints, roots, ["fp"], ["node"], "left", salts=8).select("node", F.xxhash64(F.lit("anchors"), F.coalesce("root", "fp")).alias("bucket"))
 
 
 def _with_text(pairs: DataFrame, texts: DataFrame, side: str, other: str) -> DataFrame:
@@ -197,8 +210,8 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 def components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key (id, h), text) -> (node, least key) of all nodes, and (node, root) of those with a near duplicate."""
     prints = written(_sketches(docs), "sketches")
-    nodes = written(prints.groupBy("node").agg(F.min("key").alias("least"), F.first("bands").alias("bands")), "nodes")
-    bands = nodes.select("node", F.explode("bands").alias("bucket"))
+    nodes = written(prints.groupBy("node").agg(F.min("key").alias("least"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "nodes")
+    bands = nodes.select("node", F.explode("bands").alias("bucket")).unionByName(written(_anchored(nodes), "anchored"))
     shared = bands.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("bucket")
     members = written(salted_join(bands, written(shared, "shared"), ["bucket"], ["node"], salts=8), "members")
     first = salted_join(members, written(_pivots(members), "pivots"), ["bucket"], ["node"], salts=8).select(F.col("node").alias("x"), F.explode("ys").alias("y"))

@@ -24,8 +24,9 @@ from .graph import connected_components
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SEED = 42
 CHUNK = 1 << 15
+Blocks = tuple[tuple[int, int, int], ...]
 #: (first bit, bits, bits that the two may differ in): thresholds 2 and 1 cover every split of 4 differing bits.
-BLOCKS = ((0, 31, 2), (31, 33, 1))
+BLOCKS: Blocks = ((0, 31, 2), (31, 33, 1))
 #: Bits of a block that the Hamming code covers; the others must agree with the anchor or count as an error.
 CODE_BITS = 31
 
@@ -68,17 +69,17 @@ def _syndrome(bits: tuple[int, ...]) -> int:
     return out
 
 
-def anchor_errors(spark: SparkSession) -> DataFrame:
-    """(slot, error): slot is block * 32 + syndrome; value XOR error is an anchor in reach. 5,554 rows, whatever the data."""
+def anchor_errors(spark: SparkSession, blocks: Blocks = BLOCKS) -> DataFrame:
+    """(slot, error): slot is block * 32 + syndrome; value XOR error is an anchor in reach. 5,554 rows, whatever the data.
+    A block shorter than the code is one whose missing bits are zero; its anchors may have them set."""
     rows = []
-    for block, (_, bits, differ) in enumerate(BLOCKS):
+    for block, (_, bits, differ) in enumerate(blocks):
         for weight in range(differ + 2):
-            rows += [(block * 32 + _syndrome(e), sum(1 << b for b in e)) for e in combinations(range(bits), weight)]
+            rows += [(block * 32 + _syndrome(e), sum(1 << b for b in e)) for e in combinations(range(max(bits, CODE_BITS)), weight)]
     return spark.createDataFrame(rows, "slot int, error long")
 
 
-def _block(fp: Column, block: int) -> Column:
-    first, bits, _ = BLOCKS[block]
+def _block(fp: Column, first: int, bits: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << bits) - 1))
 
 
@@ -94,15 +95,16 @@ def _home_error(slot: Column) -> Column:
     return F.when(slot % 32 == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), slot % 32 - 1))
 
 
-def close_pairs(values: DataFrame, limit: int = 4) -> DataFrame:
-    """(fp) distinct -> (a, b) with a < b for each two that differ in 1 to ``limit`` (at most 4) bits.
+def close_pairs(values: DataFrame, limit: int = 4, blocks: Blocks = BLOCKS) -> DataFrame:
+    """(fp) distinct -> (a, b) with a < b for each two that differ in 1 to ``limit`` bits, at most as many as the blocks cover.
 
     Homes and visitors meet in a shuffled equi-join on the anchor; only close pairs leave the join.
     """
-    if limit > 4:
-        raise ValueError("the blocks cover up to 4 differing bits")
-    errors = F.broadcast(anchor_errors(values.sparkSession))
-    parts = F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("fp"), k).alias("value"), _slot(_block(F.col("fp"), k), k).alias("slot")) for k in range(len(BLOCKS))])
+    if limit > (covered := sum(differ + 1 for *_, differ in blocks) - 1):
+        raise ValueError(f"the blocks cover up to {covered} differing bits")
+    errors = F.broadcast(anchor_errors(values.sparkSession, blocks))
+    cuts = [_block(F.col("fp"), first, bits) for first, bits, _ in blocks]
+    parts = F.array(*[F.struct(F.lit(k).alias("block"), value.alias("value"), _slot(value, k).alias("slot")) for k, value in enumerate(cuts)])
     cut = values.select("fp", F.explode(parts).alias("p")).select("fp", "p.*")
     key = F.col("value").bitwiseXOR(F.col("error")).bitwiseOR(F.col("block").cast("long") * F.lit(1 << 40))
     home = cut.withColumn("error", _home_error(F.col("slot"))).select(key.alias("key"), F.col("fp").alias("a"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from marlstone.llm import near_dups
+from marlstone.llm import near_dups, simhash
 
 
 def test_near_dedup_stage_against_all_pairs(spark):
@@ -56,3 +56,43 @@ def test_pairs_between_components_of_a_bucket_are_compared(spark, monkeypatch):
     texts = [" ".join(f"g{g}w{k}" for k in range(100)) + " end" * c for g in range(6) for c in range(1, 4)]
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in near_dups.keep_one(table).collect()) == [0, 3, 6, 9, 12, 15]
+
+
+def _without_bands(monkeypatch):
+    """Bands that no two texts share, so that only anchors find pairs."""
+    monkeypatch.setattr(near_dups, "band_keys", lambda joined: [near_dups.xxhash.xxh64_intdigest(joined) >> 1] if joined else [])
+
+
+def test_near_duplicates_are_found_by_anchors_of_five_word_fingerprints(spark, monkeypatch):
+    _without_bands(monkeypatch)
+    rnd = random.Random(3)
+    texts, groups = [], []
+    for _ in range(8):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(1500)]
+        groups.append(len(texts))
+        texts += [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (0, 700, 1499)] + [" ".join(base)]
+    prints = [int.from_bytes(near_dups.fingerprint(t.encode(), 5), "big") for t in texts]
+    assert all(min((prints[k] ^ prints[g + j]).bit_count() for j in range(4) if g + j != k) <= 4 for g in groups for k in range(g, g + 4))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dups.keep_one(table).collect()) == groups
+
+
+def test_anchors_alone_link_nothing(spark, monkeypatch):
+    """All fingerprints are equal: the sets of shingles still decide, for each two nodes of the bucket."""
+    _without_bands(monkeypatch)
+    monkeypatch.setattr(near_dups, "fingerprint", lambda words, shingle: bytes(8))
+    texts = [" ".join(f"g{g}w{k}" for k in range(100)) + " end" * c for g in range(6) for c in range(1, 4)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in near_dups.keep_one(table).collect()) == [0, 3, 6, 9, 12, 15]
+
+
+def test_blocks_of_the_stage_cover_four_bits(spark):
+    rnd = random.Random(5)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pairs = []
+    for _ in range(300):
+        a = rnd.getrandbits(64)
+        pairs.append((a, a ^ sum(1 << b for b in rnd.sample(range(64), rnd.randrange(1, 5)))))
+    table = spark.createDataFrame([(signed(x),) for x in {x for p in pairs for x in p}], "fp long")
+    got = {(r.a, r.b) for r in simhash.close_pairs(table, blocks=near_dups.ANCHORED).collect()}
+    assert {tuple(sorted(map(signed, p))) for p in pairs} <= got
