@@ -4,23 +4,26 @@
 ``with_state`` adds the weekly trend.
 
 The first six families are window expressions. Level flips, wedges and retracements keep a book of pivots as they
-go along a ticker: small state machines, all variants in one grouped pass. ``register_detector`` adds one's own.
+go along a ticker: small state machines, all variants in one pass over sorted partitions. Books of levels go along many
+tickers at once, as arrays; lines are fitted at all pivots of a ticker at once. ``register_detector`` adds one's own.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
 from pyspark.sql.types import StructType
 
 from ..functions.exprs import flag, lag, per_ticker, ratio, rolling, run_length
-from ..functions.kernels import exponential
+from ..functions.groups import whole_groups
+from ..functions.kernels import exponential, wilder
 from ..functions.market import week_end
 from ..functions.ship import ship
 from . import technicals as T
@@ -234,6 +237,13 @@ def _extremes(x: np.ndarray, m: int, top: bool) -> np.ndarray:
     return np.flatnonzero(x[m : n - m] == (view.max(axis=1) if top else view.min(axis=1))) + m
 
 
+def _lists(bars: dict[str, np.ndarray]) -> tuple[list[float], ...]:
+    """High, low, close and atr as plain floats, which loops over bars read faster; made once for all variants."""
+    if "_lists" not in bars:
+        bars["_lists"] = tuple(bars[c].tolist() for c in ("high", "low", "close", "atr"))
+    return bars["_lists"]
+
+
 FLIPS = {
     "srflip_base": dict(cluster=0.25, touches=2, margin=0.25, zone=0.25, pierce=0.5, hold=0.0, soonest=2, latest=40, held=10, age=250),
     "srflip_strict": dict(cluster=0.25, touches=3, margin=0.25, zone=0.25, pierce=0.5, hold=0.1, soonest=2, latest=30, held=10, age=250),
@@ -255,7 +265,7 @@ class Level:
 
 def level_flips(bars: dict[str, np.ndarray], p: dict, m: int = 3) -> Found:
     """Breaks of a level that had held, retested from the other side: the first bar back in its zone decides."""
-    high, low, close, atr = bars["high"], bars["low"], bars["close"], bars["atr"]
+    high, low, close, atr = _lists(bars)
     confirmed: dict[int, list[float]] = {}
     for x, top in ((high, True), (low, False)):
         for at in _pivots(bars, m, top):
@@ -301,6 +311,116 @@ def level_flips(bars: dict[str, np.ndarray], p: dict, m: int = 3) -> Found:
     return out
 
 
+def _side_by_side(tickers: list[dict[str, np.ndarray]], m: int) -> dict[str, np.ndarray]:
+    """Arrays (bar, ticker): prices, atr (0 beyond a ticker's last bar), and the prices of pivots where they are confirmed."""
+    shape = max(len(b["close"]) for b in tickers), len(tickers)
+    out = {c: np.zeros(shape) for c in ("high", "low", "close", "atr")} | {c: np.full(shape, np.nan) for c in ("top", "bottom")}
+    for k, b in enumerate(tickers):
+        for c in ("high", "low", "close", "atr"):
+            out[c][: len(b[c]), k] = b[c]
+        for c, x, top in (("top", "high", True), ("bottom", "low", False)):
+            at = _pivots(b, m, top)
+            out[c][at + m, k] = b[x][at]
+    return out
+
+
+class Books:
+    """The levels of many tickers: arrays (place in the ticker's book, ticker). Places are taken in the order in which levels
+    are made; one without a level has no price."""
+
+    EMPTY = {"price": np.nan, "total": 0.0, "touches": 0, "above": False, "since": 0, "armed": 0, "broke": -1, "last": np.iinfo(np.int32).max}
+    KINDS = {"price": float, "total": float, "touches": np.int32, "above": bool, "since": np.int32, "armed": np.int8, "broke": np.int32, "last": np.int32}
+
+    def __init__(self, width: int, places: int = 64):
+        self.held = {c: np.full((places, width), v, self.KINDS[c]) for c, v in self.EMPTY.items()}
+        self.count = np.zeros(width, int)
+
+    def flat(self, name: str) -> np.ndarray:
+        return self.held[name].reshape(-1)
+
+    def room(self) -> None:
+        """Places for one more level in each book: those of levels that are gone, or else twice as many as there are."""
+        places = len(self.held["price"])
+        if self.count.max() < places:
+            return
+        gone = np.isnan(self.held["price"])
+        order = np.argsort(gone, axis=0, kind="stable")
+        self.held = {c: np.take_along_axis(x, order, axis=0) for c, x in self.held.items()}
+        self.count = places - gone.sum(axis=0)
+        if self.count.max() > places * 3 // 4:
+            self.held = {c: np.concatenate([x, np.full(x.shape, self.EMPTY[c], x.dtype)]) for c, x in self.held.items()}
+
+
+def level_flips_together(tickers: list[dict[str, np.ndarray]], p: dict, m: int = 3) -> list[Found]:
+    """``level_flips`` of each of many tickers of about the same length: the same steps, a bar of all tickers at a time."""
+    b, width = _side_by_side(tickers, m), len(tickers)
+    books = Books(width)
+    fired: list[tuple[np.ndarray, ...]] = []
+    for t in range(len(b["close"])):
+        high, low, close, atr = (b[c][t] for c in ("high", "low", "close", "atr"))
+        live = atr > 0
+        if not live.any():
+            continue
+        flat = books.flat
+        if len(at := np.flatnonzero(flat("armed"))):
+            at = at[live[at % width] & (t - flat("broke")[at] >= p["soonest"])]
+            k, way, price, waited = at % width, flat("armed")[at].astype(float), flat("price")[at], t - flat("broke")[at]
+            a, late = atr[k], waited > p["latest"]
+            depth = way * (price - np.where(way > 0, low[k], high[k]))
+            back = ~late & (depth >= -p["zone"] * a)
+            flat("armed")[at[late | back]] = 0
+            holds = back & (depth <= p["pierce"] * a) & (way * (close[k] - price) > p["hold"] * a) & (way * (b["close"][t - 1][k] - price) > 0) & (flat("touches")[at] >= p["touches"])
+            if holds.any():
+                at, k, way, price, waited, depth, a = (x[holds] for x in (at, k, way, price, waited, depth, a))
+                touches = flat("touches")[at].astype(float)
+                score = touches * (1 - 0.75 * np.minimum(np.maximum(depth, 0.0) / (p["pierce"] * a), 1.0))
+                fired.append((k, np.full(len(k), t), way, score, at // width, price, touches, waited.astype(float)))
+        used = int(books.count.max())
+        above = books.held["above"][:used]
+        beyond, margin = close - books.held["price"][:used], np.where(live, p["margin"] * atr, np.inf)
+        changed = np.where(above, beyond < -margin, beyond > margin)
+        if len(at := np.flatnonzero(changed)):
+            held = at[t - flat("since")[at] >= p["held"]]
+            above ^= changed
+            flat("armed")[held] = np.where(flat("above")[held], 1, -1)
+            flat("broke")[held] = t
+            flat("since")[at] = t
+            flat("last")[at] = t
+        for prices in (b["top"][t], b["bottom"][t]):
+            k = np.flatnonzero(live & ~np.isnan(prices))
+            if not len(k):
+                continue
+            x, used = prices[k], int(books.count.max())
+            away = np.abs(books.held["price"][:used, k] - x)
+            away = np.where(away <= p["cluster"] * atr[k], away, np.inf)
+            if used:
+                j = used - 1 - np.argmin(away[::-1], axis=0)  # of equally near ones the newest
+                near = away[j, np.arange(len(k))] < np.inf
+                at = (j * width + k)[near]
+                flat("total")[at] += x[near]
+                flat("touches")[at] += 1
+                flat("price")[at] = flat("total")[at] / flat("touches")[at]
+                flat("last")[at] = t
+                k, x = k[~near], x[~near]
+            books.room()
+            at = books.count[k] * width + k
+            for name, value in (("price", x), ("total", x), ("touches", 1), ("above", close[k] > x), ("since", t), ("armed", 0), ("broke", -1), ("last", t)):
+                books.flat(name)[at] = value
+            books.count[k] += 1
+        old = np.flatnonzero((books.held["last"][: int(books.count.max())] < t - p["age"]) & live)
+        for name in ("price", "armed", "last") if len(old) else ():
+            books.flat(name)[old] = Books.EMPTY[name]
+    out: list[Found] = [[] for _ in tickers]
+    if fired:
+        k, t, way, score, place, *figures = (np.concatenate(x) for x in zip(*fired, strict=True))
+        order = np.lexsort((place, -score, -way, t, k))
+        k, t, way, score, *figures = (x[order] for x in (k, t, way, score, *figures))
+        best = np.r_[True, (np.diff(k) != 0) | (np.diff(t) != 0) | (np.diff(way) != 0)]
+        for ticker, bar, side, s, price, touches, waited in zip(*(x[best].tolist() for x in (k, t, way, score, *figures)), strict=True):
+            out[ticker].append((bar, "long" if side > 0 else "short", s, None, {"level_price": price, "level_touches": touches, "break_age": waited}))
+    return out
+
+
 WEDGES = {
     "wedge_base": dict(m=3, back=60, most=4, flat=0.03, converge=0.02, fit=0.40, shrink=0.25, margin=0.05, age=15),
     "wedge_strict": dict(m=3, back=50, most=5, flat=0.025, converge=0.03, fit=0.28, shrink=0.40, margin=0.10, age=12),
@@ -308,60 +428,69 @@ WEDGES = {
 }
 
 
-def _line(at: list[int], x: np.ndarray) -> tuple[float, float, float]:
-    """Slope, intercept and mean absolute residual of the least-squares line."""
-    t, y = np.array(at, float), x[at]
-    d = t - t.mean()
-    slope = float((d * y).sum() / (d * d).sum())
-    base = float(y.mean() - slope * t.mean())
-    return slope, base, float(np.abs(y - base - slope * t).mean())
+def _recent(pivots: np.ndarray, t: np.ndarray, p: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(first, end) in ``pivots`` of the recent ones that are confirmed at each bar t: the last few that aren't too old."""
+    end = np.searchsorted(pivots + p["m"], t, "right")
+    return np.maximum(np.searchsorted(pivots, t - p["back"], "left"), end - min(p["most"], 12)).clip(0), end
+
 
+def _lines(pivots: np.ndarray, x: np.ndarray, first: np.ndarray, end: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slope, intercept and mean absolute residual of the least-squares line through the pivots of each range, of two or more."""
+    n = (end - first).astype(float)
+    spots = [np.minimum(first + j, end - 1) for j in range(most)]
+    there = [(first + j < end).astype(float) for j in range(most)]
+    at, y = [pivots[s].astype(float) for s in spots], [x[pivots[s]] for s in spots]
+    total = lambda parts: sum((v * w for v, w in zip(parts, there, strict=True)), np.zeros(len(n)))
+    centre = total(at) / n
+    d = [v - centre for v in at]
+    slope = total([v * w for v, w in zip(d, y, strict=True)]) / total([v * v for v in d])
+    base = total(y) / n - slope * centre
+    return slope, base, total([np.abs(w - base - slope * v) for v, w in zip(at, y, strict=True)]) / n
 
-def _breaks(top: float, bottom: float, flat: float) -> tuple[str | None, tuple[int, ...]]:
-    """The shape of a pair of slopes, and the directions it may break in: rising wedges down, falling ones up, triangles
-    either way."""
-    if top > flat and bottom > flat:
-        return "rising_wedge", (-1,)
-    if top < -flat and bottom < -flat:
-        return "falling_wedge", (1,)
-    if abs(top) <= flat and bottom > flat:
-        return "ascending_triangle", (1, -1)
-    if top < -flat and abs(bottom) <= flat:
-        return "descending_triangle", (1, -1)
-    return ("symmetric_triangle", (1, -1)) if top < -flat and bottom > flat else (None, ())
+
+#: Shape and the directions it may break in: rising wedges down, falling ones up, triangles either way.
+SHAPES: list[tuple[str, tuple[int, ...]]] = [("rising_wedge", (-1,)), ("falling_wedge", (1,)), *((f"{n}_triangle", (1, -1)) for n in ("ascending", "descending", "symmetric"))]
+
+
+def _shapes(top: np.ndarray, bottom: np.ndarray, flat: float) -> np.ndarray:
+    """Which of ``SHAPES`` each pair of slopes is, or -1."""
+    level = np.abs(top) <= flat
+    rules = [(top > flat) & (bottom > flat), (top < -flat) & (bottom < -flat), level & (bottom > flat), (top < -flat) & (np.abs(bottom) <= flat), (top < -flat) & (bottom > flat)]
+    return np.select(rules, range(len(rules)), -1)
 
 
 def wedges(bars: dict[str, np.ndarray], p: dict) -> Found:
     """Converging lines through recent pivots, refitted at each confirmed one; the first close beyond a line uses them up."""
-    high, low, close, atr, m = bars["high"], bars["low"], bars["close"], bars["atr"], p["m"]
+    high, low, m, (_, _, close, atr) = bars["high"], bars["low"], p["m"], _lists(bars)
     tops, bottoms = _pivots(bars, m, True), _pivots(bars, m, False)
-    at_pivot = set((tops + m).tolist()) | set((bottoms + m).tolist())
-    lines, out = None, []
-    for t in range(len(close)):
-        a = atr[t]
-        if t in at_pivot:
-            lines = None
-            recent = [[int(k) for k in piv[piv + m <= t][-12:] if k >= t - p["back"]][-p["most"] :] for piv in (tops, bottoms)]
-            if a > 0 and min(map(len, recent)) >= 2:
-                (rs, rb, rm), (ss, sb, sm) = _line(recent[0], high), _line(recent[1], low)
-                (kind, ways), start = _breaks(rs / a, ss / a, p["flat"]), min(recent[0][0], recent[1][0])
-                first, now = (rb + rs * start) - (sb + ss * start), (rb + rs * t) - (sb + ss * t)
-                fits = max(rm, sm) <= p["fit"] * a and (ss - rs) / a >= p["converge"] and first > 0 and now > 0
-                if fits and ways and 1 - now / first >= p["shrink"] and sb + ss * t - p["margin"] * a <= close[t] <= rb + rs * t + p["margin"] * a:
-                    lines = (rs, rb, ss, sb, first, ways, len(recent[0]) + len(recent[1]), t, kind)
-        if lines is None:
-            continue
-        rs, rb, ss, sb, first, ways, touches, made, kind = lines
-        top, bottom = rb + rs * t, sb + ss * t
-        if t - made > p["age"] or top <= bottom or not a > 0:
-            lines = None
-            continue
-        way = 1 if close[t] > top + p["margin"] * a else -1 if close[t] < bottom - p["margin"] * a else 0
-        if way:
-            if way in ways:
-                narrowed = min(max(1 - (top - bottom) / first, 0.0), 1.0)
-                out.append((t, "long" if way > 0 else "short", touches * narrowed, kind, {"touch_count": float(touches), "convergence": narrowed}))
-            lines = None
+    made = np.union1d(tops + m, bottoms + m)  # bars at which a pivot is confirmed; lines last until the next of them
+    until = np.append(made, len(close))[1:]
+    (r0, r1), (s0, s1) = _recent(tops, made, p), _recent(bottoms, made, p)
+    a = bars["atr"][made]
+    ready = (a > 0) & (r1 - r0 >= 2) & (s1 - s0 >= 2)
+    made, until, r0, r1, s0, s1, a = (x[ready] for x in (made, until, r0, r1, s0, s1, a))
+    if not len(made):
+        return []
+    (rs, rb, rm), (ss, sb, sm) = _lines(tops, high, r0, r1, p["most"]), _lines(bottoms, low, s0, s1, p["most"])
+    shape, start = _shapes(rs / a, ss / a, p["flat"]), np.minimum(tops[r0], bottoms[s0])
+    first, now = (rb + rs * start) - (sb + ss * start), (rb + rs * made) - (sb + ss * made)
+    fits = (shape >= 0) & (np.maximum(rm, sm) <= p["fit"] * a) & ((ss - rs) / a >= p["converge"]) & (first > 0) & (now > 0)
+    c, slack = bars["close"][made], p["margin"] * a
+    fits &= (1 - now / np.where(first > 0, first, 1.0) >= p["shrink"]) & (sb + ss * made - slack <= c) & (c <= rb + rs * made + slack)
+    out: Found = []
+    touches = (r1 - r0) + (s1 - s0)
+    for start_, end, u, v, r, s, wide, n, k in zip(*(x[fits].tolist() for x in (made, until, rs, rb, ss, sb, first, touches, shape)), strict=True):
+        kind, ways = SHAPES[k]
+        for t in range(start_, min(end, start_ + p["age"] + 1)):
+            top, bottom, slack = v + u * t, s + r * t, p["margin"] * atr[t]
+            if top <= bottom or not atr[t] > 0:
+                break
+            way = 1 if close[t] > top + slack else -1 if close[t] < bottom - slack else 0
+            if way:
+                if way in ways:
+                    narrowed = min(max(1 - (top - bottom) / wide, 0.0), 1.0)
+                    out.append((t, "long" if way > 0 else "short", n * narrowed, kind, {"touch_count": float(n), "convergence": narrowed}))
+                break
     return out
 
 
@@ -375,61 +504,87 @@ RETRACEMENTS = {
 
 def _others(prices: list[float], price: float, reach: float, ends: tuple[float, float]) -> int:
     """How many sorted prices lie within reach of a price and aren't the leg's own ends."""
-    found = prices[bisect_left(prices, price - reach) : bisect_right(prices, price + reach)]
-    return sum(abs(x - ends[0]) > 1e-9 and abs(x - ends[1]) > 1e-9 for x in found)
+    first, end = bisect_left(prices, price - reach), bisect_right(prices, price + reach)
+    if abs(price - ends[0]) > reach + 1e-6 and abs(price - ends[1]) > reach + 1e-6:
+        return end - first
+    return sum(abs(x - ends[0]) > 1e-9 and abs(x - ends[1]) > 1e-9 for x in prices[first:end])
+
+
+def _known(bars: dict[str, np.ndarray], m: int) -> list[tuple[int, int, float]]:
+    """(bar, way, price) of all pivots, found once for all variants. A bar that is both kinds of pivot counts as a high first, then as a low: the low is the leg's end."""
+    key = f"_known_{m}"
+    if key not in bars:
+        tops, bottoms = ([(int(k), way, float(bars[c][k])) for k in _pivots(bars, m, way > 0)] for way, c in ((1, "high"), (-1, "low")))
+        bars[key] = sorted(tops + bottoms, key=lambda r: r[0])
+    return bars[key]
 
 
 def retracements(bars: dict[str, np.ndarray], p: dict) -> Found:
     """A leg between the last two opposite pivots, pulled back into a retracement near other pivots, and closed out of
     the pull-back bar again. Without ``use`` any pull-back counts: the control."""
-    high, low, close, atr, m = bars["high"], bars["low"], bars["close"], bars["atr"], p["m"]
-    # A bar that is both kinds of pivot counts as a high first, then as a low: the low is the leg's end.
-    pivots = sorted([(int(k), 1, float(high[k])) for k in _pivots(bars, m, True)] + [(int(k), -1, float(low[k])) for k in _pivots(bars, m, False)], key=lambda r: r[0])
-    known: list[tuple[int, int, float]] = []
-    prices: list[float] = []  # of the known pivots, sorted
-    nxt, leg, out = 0, None, []
-    for t in range(len(close)):
+    (high, low, close, atr), m, use, age = _lists(bars), p["m"], p["use"], p["age"]
+    pivots = _known(bars, m)
+    prices: list[float] = []  # of the pivots before nxt, sorted
+    nxt, end, out, t = 0, len(close), [], -1
+    way, levels, zone = 0, [], None  # without a leg the way is 0
+    start = to = at = 0
+    while True:
+        t += 1
+        if not way:  # nothing happens before the next pivot is confirmed
+            if nxt == len(pivots):
+                break
+            t = max(t, pivots[nxt][0] + m)
+        if t >= end:
+            break
         before = nxt
         while nxt < len(pivots) and pivots[nxt][0] + m <= t:
-            known.append(pivots[nxt])
             insort(prices, pivots[nxt][2])
             nxt += 1
         a = atr[t]
         if not a > 0:
             continue
-        if nxt > before and len(known) > 1:
-            (_, k0, p0), (at, k1, p1) = known[-2:]
+        if nxt > before and nxt > 1:
+            (_, k0, p0), (place, k1, p1) = pivots[nxt - 2 : nxt]
             if k0 != k1 and abs(p1 - p0) >= p["leg"] * a:
-                leg = {"way": k1, "from": p0, "to": p1, "at": at, "zone": None}
-        if leg is None:
-            continue
-        if t - leg["at"] > p["age"]:
-            leg = None
+                way, start, to, at, zone = k1, p0, p1, place, None
+                levels = [(share, p1 - share * (p1 - p0)) for share in p["levels"]]
+        if not way:
             continue
-        way = leg["way"]
-        if leg["zone"] is None:
+        if t - at > age:
+            way = 0
+        elif zone is None:
+            if not use and not (low[t] < to if way > 0 else high[t] > to):
+                continue
             best, at_share = 0, 0.0
-            for share in p["levels"]:
-                price = leg["to"] - share * (leg["to"] - leg["from"])
-                met = low[t] <= price <= high[t] if p["use"] else (low[t] < leg["to"] if way > 0 else high[t] > leg["to"])
-                near = _others(prices, price, p["near"] * a, (leg["from"], leg["to"])) if met else 0
-                if near and near + p["use"] > best:
-                    best, at_share = near + p["use"], share
+            for share, price in levels:
+                if not use or low[t] <= price <= high[t]:
+                    near = _others(prices, price, p["near"] * a, (start, to))
+                    if near and near + use > best:
+                        best, at_share = near + use, share
             if best:
-                leg["zone"] = (high[t] if way > 0 else low[t], best, at_share)
-            continue
-        edge, factors, at_share = leg["zone"]
-        if way * (close[t] - edge) > 0:
+                zone = (high[t] if way > 0 else low[t], best, at_share)
+        elif way * (close[t] - zone[0]) > 0:
+            edge, factors, at_share = zone
             clean = way * (close[t] - edge) / a
             out.append((t, "long" if way > 0 else "short", factors * clean, None, {"confluence_count": float(factors), "fib_level": at_share, "reclaim_cleanliness": clean}))
-            leg = None
-        elif (low[t] < leg["from"]) if way > 0 else (high[t] > leg["from"]):
-            leg = None
+            way = 0
+        elif (low[t] < start) if way > 0 else (high[t] > start):
+            way = 0
     return out
 
 
+def _flips(p: dict) -> Callable[[dict[str, np.ndarray]], Found]:
+    """``level_flips`` with its parameters, marked as one that can go along many tickers at once."""
+
+    def run(bars: dict[str, np.ndarray]) -> Found:
+        return level_flips(bars, p)
+
+    run.flips = True
+    return run
+
+
 STATEFUL: dict[str, Callable[[dict[str, np.ndarray]], Found]] = {
-    **{n: lambda b, p=p: level_flips(b, p) for n, p in FLIPS.items()},
+    **{n: _flips(p) for n, p in FLIPS.items()},
     **{n: lambda b, p=p: wedges(b, p) for n, p in WEDGES.items()},
     **{n: lambda b, p=p: retracements(b, p) for n, p in RETRACEMENTS.items()},
 }
@@ -441,18 +596,74 @@ def register_detector(name: str, fn: Callable[[dict[str, np.ndarray]], Found]) -
     STATEFUL[name] = fn
 
 
+#: Tickers and bars that a task takes at once, and the fewest tickers whose books go side by side.
+TOGETHER, MOST_BARS, FEWEST = 256, 1 << 18, 8
+
+
+def _alike(lengths: list[int]) -> Iterator[list[int]]:
+    """Places of tickers by length, cut where one is less than half as long as the first of its group."""
+    group: list[int] = []
+    for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        if group and lengths[k] * 2 < lengths[group[0]]:
+            yield group
+            group = []
+        group.append(k)
+    yield group
+
+
+def found_in(tickers: list[dict[str, np.ndarray]], chosen: dict[str, Callable[[dict[str, np.ndarray]], Found]]) -> Iterator[tuple[int, str, tuple]]:
+    """(place of the ticker, detector, event) of many tickers."""
+    groups = list(_alike([len(b["close"]) for b in tickers]))
+    for name, fn in chosen.items():
+        flips = FLIPS.get(name) if getattr(fn, "flips", False) else None
+        for group in groups:
+            together = flips is not None and len(group) >= FEWEST
+            found = level_flips_together([tickers[k] for k in group], flips) if together else [fn(tickers[k]) for k in group]
+            yield from ((k, name, event) for k, events in zip(group, found, strict=True) for event in events)
+
+
+def _true_range(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndarray:
+    before = np.r_[np.nan, close[:-1]]
+    return np.fmax(np.fmax(high - low, np.abs(high - before)), np.abs(low - before))
+
+
 def detect_universe(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Events of the detectors with state, all in one pass over each ticker; needs ``atr_14``."""
+    """Events of the detectors with state, all in one pass over each ticker; without ``atr_14`` the pass makes it.
+
+    A task holds a batch, its longest ticker, and up to ``TOGETHER`` tickers or ``MOST_BARS`` bars with their books.
+    """
     ship(df.sparkSession)
     chosen = {n: STATEFUL[n] for n in names or STATEFUL}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        arrays = {c: pdf[c].to_numpy(float) for c in ("open", "high", "low", "close", "volume")} | {"atr": np.nan_to_num(pdf["atr_14"].to_numpy(float))}
-        rows = [(pdf["ticker"].iloc[0], pdf["date"].iloc[t], n, side, float(s), *(more or (None, None))) for n, fn in chosen.items() for t, side, s, *more in fn(arrays)]
-        return pd.DataFrame(rows, columns=["ticker", "date", "detector", "side", "strength", "kind", "meta"])
-
-    return df.select("ticker", "date", "open", "high", "low", "close", "volume", "atr_14").groupBy("ticker").applyInPandas(run, EVENTS)
+    prices, given = ["open", "high", "low", "close", "volume"], ["atr_14"] if "atr_14" in df.columns else []
+
+    def arrays(t: pa.Table, a: int, b: int) -> dict[str, np.ndarray]:
+        part = t.slice(a, b - a)
+        out = {c: part.column(c).to_numpy().astype(float) for c in prices + given}
+        atr = out.pop("atr_14") if given else wilder(_true_range(out["high"], out["low"], out["close"]), 14)
+        return out | {"atr": np.nan_to_num(atr)}
+
+    def events(held: list[tuple[str, pa.ChunkedArray, dict[str, np.ndarray]]]) -> pa.RecordBatch:
+        rows = [(held[k][0], held[k][1][e[0]].as_py(), n, e[1], float(e[2]), *((*e[3:], None, None)[:2])) for k, n, e in found_in([b for *_, b in held], chosen)]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+        columns[6] = [m if m is None else list(m.items()) for m in columns[6]]
+        kinds = (pa.string(), pa.date32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.map_(pa.string(), pa.float64()))
+        return pa.record_batch([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in EVENTS.replace("string,double", "").split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bars = [], 0
+        for t, groups in whole_groups(batches, ["ticker"]):
+            for a, b in groups:
+                held.append((t.column("ticker")[a].as_py(), t.column("day").slice(a, b - a), arrays(t, a, b)))
+                bars += b - a
+                if len(held) == TOGETHER or bars >= MOST_BARS:
+                    yield events(held)
+                    held, bars = [], 0
+        if held:
+            yield events(held)
+
+    # The window brings bars to their ticker and in order, unless they are there already.
+    placed = df.select("ticker", F.to_date("date").alias("day"), *[F.col(c).cast("double") for c in prices + given], F.row_number().over(per_ticker()).alias("at"))
+    return placed.mapInArrow(run, EVENTS)
 
 
 def register_sql(spark: SparkSession, name: str = "detect") -> None:
@@ -507,7 +718,7 @@ NEEDS: dict[Callable[[DataFrame], DataFrame], tuple[tuple[str, ...], tuple[int,
     false_breaks: (("atr_14",), (), False),
     flags: (("atr_14", "momentum_pctile"), (), False),
     squeezes: (("atr_14", "bb_bandwidth_pctile"), (), False),
-    detect_universe: (("atr_14",), (), False),
+    detect_universe: ((), (), False),
 }
 
 
@@ -515,7 +726,8 @@ def prepared(bars: DataFrame, *families: Callable[[DataFrame], DataFrame]) -> Da
     """Bars with the columns that the families (all, if none is named) read."""
     needs = [NEEDS[f] for f in families or NEEDS]
     want = tuple(sorted({c for n in needs for c in n[0]}))
-    out = T.with_recursions(bars, spans=tuple(sorted({s for n in needs for s in n[1]})), want=want)
+    spans = tuple(sorted({s for n in needs for s in n[1]}))
+    out = T.with_recursions(bars, spans=spans, want=want) if want or spans else bars
     return T.swings(out) if any(n[2] for n in needs) else out
 
 

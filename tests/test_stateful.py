@@ -188,3 +188,26 @@ def test_level_flips(tickers, name):
         assert np.allclose([x[2] for x in got], [x[2] for x in want])
         n += len(got)
     assert n > 0
+
+
+@pytest.mark.parametrize("name", list(detectors.FLIPS))
+def test_level_flips_of_many_tickers_at_once(tickers, name):
+    """The same events as one ticker at a time: with bars that have no atr, short tickers, and more levels than places."""
+    many = [dict(b) for b in tickers] + [{k: v[:n].copy() for k, v in b.items()} for b in tickers for n in (0, 3, 90, 300)]
+    for k, b in enumerate(many):
+        b["atr"] = np.where(np.arange(len(b["atr"])) % 37 == k, 0.0, b["atr"])
+    want = [detectors.level_flips(dict(b), detectors.FLIPS[name]) for b in many]
+    assert detectors.level_flips_together([dict(b) for b in many], detectors.FLIPS[name]) == want
+    assert sum(map(len, want)) > 0
+    got = [[] for _ in many]
+    for k, detector, event in detectors.found_in(many, {name: detectors.STATEFUL[name]}):
+        got[k].append(event)
+        assert detector == name
+    assert got == want
+
+
+def test_events_need_no_atr_from_before(spark):
+    """The pass makes it where the bars don't have it, and the events are the same."""
+    b = bars(spark, SF.replace("sf0.001", "sf0.01")).filter("ticker < 'S3'")
+    got, want = (detectors.detect_universe(x).toPandas().sort_values(["ticker", "detector", "date", "side"], ignore_index=True) for x in (b, T.with_recursions(b, want=("atr_14",))))
+    assert len(got) > 100 and got.equals(want)
