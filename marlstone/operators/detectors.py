@@ -627,8 +627,22 @@ def _true_range(high: np.ndarray, low: np.ndarray, close: np.ndarray) -> np.ndar
     return np.fmax(np.fmax(high - low, np.abs(high - before)), np.abs(low - before))
 
 
-def detect_universe(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Events of the detectors with state, all in one pass over each ticker; without ``atr_14`` the pass makes it.
+def _trend_of_bars(days: np.ndarray, close: np.ndarray, fast: int = 10, slow: int = 20) -> np.ndarray:
+    """What ``weekly_state`` has for each bar of one ticker, by days since 1970 in order; missing values are NaN."""
+    week = days + (12 - (days + 4) % 7) % 7
+    ends = np.flatnonzero(np.r_[np.diff(week) != 0, True])
+    c = close[ends]
+    f, s = (np.full(len(c), np.nan) for _ in range(2))
+    for out, n in ((f, fast), (s, slow)):
+        if len(c) >= n:
+            out[n - 1 :] = sum(c[k : len(c) - n + 1 + k] for k in range(n)) / n
+    state = np.where(np.isnan(f) | np.isnan(s), np.nan, np.where((c > f) & (f > s), 1.0, np.where((c < f) & (f < s), -1.0, 0.0)))
+    return np.r_[np.nan, state[:-1]][np.searchsorted(ends, np.arange(len(close)))]
+
+
+def detect_universe(df: DataFrame, names: list[str] | None = None, trend: bool = False) -> DataFrame:
+    """Events of the detectors with state, all in one pass over each ticker; without ``atr_14`` the pass makes it, and with
+    ``trend`` it adds the ``htf`` that ``with_state`` takes from the bars once more.
 
     A task holds a batch, its longest ticker, and up to ``TOGETHER`` tickers or ``MOST_BARS`` bars with their books.
     """
@@ -642,18 +656,21 @@ def detect_universe(df: DataFrame, names: list[str] | None = None) -> DataFrame:
         atr = out.pop("atr_14") if given else wilder(_true_range(out["high"], out["low"], out["close"]), 14)
         return out | {"atr": np.nan_to_num(atr)}
 
-    def events(held: list[tuple[str, pa.ChunkedArray, dict[str, np.ndarray]]]) -> pa.RecordBatch:
-        rows = [(held[k][0], held[k][1][e[0]].as_py(), n, e[1], float(e[2]), *((*e[3:], None, None)[:2])) for k, n, e in found_in([b for *_, b in held], chosen)]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-        columns[6] = [m if m is None else list(m.items()) for m in columns[6]]
+    def events(held: list[tuple[str, np.ndarray, dict[str, np.ndarray]]]) -> pa.RecordBatch:
+        htf = [_trend_of_bars(days, b["close"]).tolist() for _, days, b in held] if trend else None
+        rows = [(held[k][0], held[k][1][e[0]], n, e[1], float(e[2]), *((*e[3:], None, None)[:2]), htf and htf[k][e[0]]) for k, n, e in found_in([b for *_, b in held], chosen)]
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+        columns[1], columns[6] = np.array(columns[1], np.int32), [m if m is None else list(m.items()) for m in columns[6]]
         kinds = (pa.string(), pa.date32(), pa.string(), pa.string(), pa.float64(), pa.string(), pa.map_(pa.string(), pa.float64()))
-        return pa.record_batch([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in EVENTS.replace("string,double", "").split(", ")])
+        made = [pa.array(x, kind) if kind != pa.date32() else pa.array(x).cast(kind) for x, kind in zip(columns, kinds, strict=False)]
+        made += [pa.array(columns[7], pa.float64(), from_pandas=True)] * trend
+        return pa.record_batch(made, names=["ticker", "date", "detector", "side", "strength", "kind", "meta", "htf"][: len(made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bars = [], 0
         for t, groups in whole_groups(batches, ["ticker"]):
             for a, b in groups:
-                held.append((t.column("ticker")[a].as_py(), t.column("day").slice(a, b - a), arrays(t, a, b)))
+                held.append((t.column("ticker")[a].as_py(), t.column("day").slice(a, b - a).to_numpy().astype("datetime64[D]").astype(np.int64), arrays(t, a, b)))
                 bars += b - a
                 if len(held) == TOGETHER or bars >= MOST_BARS:
                     yield events(held)
@@ -663,7 +680,7 @@ def detect_universe(df: DataFrame, names: list[str] | None = None) -> DataFrame:
 
     # The window brings bars to their ticker and in order, unless they are there already.
     placed = df.select("ticker", F.to_date("date").alias("day"), *[F.col(c).cast("double") for c in prices + given], F.row_number().over(per_ticker()).alias("at"))
-    return placed.mapInArrow(run, EVENTS)
+    return placed.mapInArrow(run, EVENTS + ", htf double" * trend)
 
 
 def register_sql(spark: SparkSession, name: str = "detect") -> None:

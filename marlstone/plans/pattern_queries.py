@@ -180,8 +180,10 @@ def _event(name: str, family, sql: str | None = None) -> None:
     @query(name, sql and _stated(sql))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         b = bars(spark, sf_dir)
-        out = detectors.with_state(family(detectors.prepared(b, family)), b)
-        kind = ["kind"] if family is detectors.detect_universe else []
+        stateful = family is detectors.detect_universe
+        df = detectors.prepared(b, family)
+        out = family(df, trend=True) if stateful else detectors.with_state(family(df), b)
+        kind = ["kind"] if stateful else []
         return rounded(out.select("ticker", "date", "detector", "side", "strength", *kind, *[F.col("meta")[c].alias(c) for c in FIGURES[name]], "htf"))
 
 

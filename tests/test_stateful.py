@@ -211,3 +211,11 @@ def test_events_need_no_atr_from_before(spark):
     b = bars(spark, SF.replace("sf0.001", "sf0.01")).filter("ticker < 'S3'")
     got, want = (detectors.detect_universe(x).toPandas().sort_values(["ticker", "detector", "date", "side"], ignore_index=True) for x in (b, T.with_recursions(b, want=("atr_14",))))
     assert len(got) > 100 and got.equals(want)
+
+
+def test_the_pass_adds_the_weekly_trend(spark):
+    b = bars(spark, SF.replace("sf0.001", "sf0.01")).filter("ticker < 'S3'")
+    key = ["ticker", "detector", "date", "side"]
+    got, want = (x.toPandas().sort_values(key, ignore_index=True) for x in (detectors.detect_universe(b, trend=True), detectors.with_state(detectors.detect_universe(b), b)))
+    assert got["htf"].isna().any() and set(got["htf"].dropna()) == {-1.0, 0.0, 1.0}
+    assert got.equals(want[got.columns])
