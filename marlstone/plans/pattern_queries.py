@@ -80,8 +80,8 @@ _NUMBERS = ", ".join(f"round(({c})::DOUBLE, {8 if c in _PRICES else 6}) AS {c}"
   is_labelable, is_valid, {_NUMBERS} FROM matrix WHERE is_valid""")
 def w28_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the whole trimmed matrix of features and labels."""
-    out = T.build_dataset(bars(spark, sf_dir))
-    return out.select(*[F.round(c, 8 if c in _PRICES else 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    b = bars(spark, sf_dir)
+    return T.build_dataset(b, digits={c: 8 if c in _PRICES else 6 for c, t in T.build_dataset(b).dtypes if t == "double"})
 
 
 _STACK = " UNION ALL ".join(f"SELECT 'ta' AS grp, '{c}' AS feature, count(*) AS n, count({c}) AS n_present, round(avg(({c})::DOUBLE), 4) AS mean FROM matrix" for c in _TA)
