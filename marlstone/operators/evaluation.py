@@ -71,22 +71,53 @@ def event_study(events: DataFrame, labels: DataFrame, plan: DataFrame, state: Da
     weekly trend (also against the base of such rows); those against it, following either the event or the trend; and
     the lift's range over the folds with enough events.
     """
-    f = F.broadcast(plan.filter("not is_oos").select("fold", "test_start", "test_end"))
-    span = F.broadcast(plan.filter("not is_oos").agg(F.min("test_start").alias("_from"), F.max("test_end").alias("_to")))
-    inside = (F.col("date") <= F.col("_to")) & (F.col("date") >= F.col("_from") if window == "folds" else F.lit(True))
-    rows = labels.join(span).filter(inside).drop("_from", "_to")
+    rows = _inside(labels, plan, window)
     rows = rows.join(state.select("ticker", "date", "htf"), ["ticker", "date"], "left") if state is not None else rows.withColumn("htf", F.lit(None).cast("double"))
     # Labels, states and events are long window plans; each is worked out once for the bases, the folds and the hits.
     used = [f"label_{s}{c}" for s in ("long", "short") for c in ("", "_outcome_return")] + [c for c in ("terminal_return_10",) if c in labels.columns]
     rows = written(rows.select("ticker", "date", "htf", *used), "study-rows")
-    each = [F.struct(F.lit(s).alias("side"), F.col(f"label_{s}").alias("label"), F.col(f"label_{s}_outcome_return").alias("outcome"), F.col(f"label_{o}").alias("other"), F.col(f"label_{o}_outcome_return").alias("other_outcome")) for s, o in (("long", "short"), ("short", "long"))]
-    ends = ["terminal_return_10"] if "terminal_return_10" in labels.columns else []
-    sides = rows.select("ticker", "date", "htf", *ends, F.explode(F.array(*each)).alias("x")).select("ticker", "date", "htf", *ends, "x.*")
-    way = F.when(F.col("side") == "long", F.col("htf")).otherwise(-F.col("htf"))
-    sides = sides.withColumns({"with_trend": F.coalesce(way == 1, F.lit(False)), "against": F.coalesce(way == -1, F.lit(False))})
-    base = sides.groupBy("side").agg(F.avg("label").alias("base"), F.avg(F.when(F.col("with_trend"), F.col("label"))).alias("base_htf"), F.avg("other").alias("base_other"), F.count("label").alias("n_rows"))
+    sides = _sides(rows)
     hit = written(events.select("ticker", "date", "detector", "side", "strength").join(sides.filter("label is not null"), ["ticker", "date", "side"]), "study-hits")
+    return _study_figures(sides, hit, plan, min_fold_events)
+
+
+def event_study_of_rows(rows: DataFrame, plan: DataFrame, min_fold_events: int = 5, window: str = "folds") -> DataFrame:
+    """``event_study`` of rows that hold their labels, weekly trend and events (``patterns.study_rows``): nothing is joined."""
+    rows = _inside(rows, plan, window)
+    own = rows.filter("size(events) > 0").withColumn("e", F.explode("events")).withColumns({c: F.col("e")[c] for c in ("detector", "side", "strength")})
+    pick = lambda a, b: F.when(F.col("side") == "long", F.col(a)).otherwise(F.col(b))
+    both = {"label": pick("label_long", "label_short"), "other": pick("label_short", "label_long")}
+    both |= {"outcome": pick("label_long_outcome_return", "label_short_outcome_return"), "other_outcome": pick("label_short_outcome_return", "label_long_outcome_return")}
+    return _study_figures(_sides(rows), _with_trend(own.withColumns(both)).filter("label is not null"), plan, min_fold_events)
+
+
+def _inside(rows: DataFrame, plan: DataFrame, window: str) -> DataFrame:
+    span = F.broadcast(plan.filter("not is_oos").agg(F.min("test_start").alias("_from"), F.max("test_end").alias("_to")))
+    inside = (F.col("date") <= F.col("_to")) & (F.col("date") >= F.col("_from") if window == "folds" else F.lit(True))
+    return rows.join(span).filter(inside).drop("_from", "_to")
+
+
+def _with_trend(rows: DataFrame) -> DataFrame:
+    way = F.when(F.col("side") == "long", F.col("htf")).otherwise(-F.col("htf"))
+    return rows.withColumns({"with_trend": F.coalesce(way == 1, F.lit(False)), "against": F.coalesce(way == -1, F.lit(False))})
+
+
+def _sides(rows: DataFrame) -> DataFrame:
+    """Each row twice: as a long and as a short one."""
+    ends = ["terminal_return_10"] if "terminal_return_10" in rows.columns else []
+    each = [F.struct(F.lit(s).alias("side"), F.col(f"label_{s}").alias("label"), F.col(f"label_{s}_outcome_return").alias("outcome"), F.col(f"label_{o}").alias("other"), F.col(f"label_{o}_outcome_return").alias("other_outcome")) for s, o in (("long", "short"), ("short", "long"))]
+    return _with_trend(rows.select("ticker", "date", "htf", *ends, F.explode(F.array(*each)).alias("x")).select("ticker", "date", "htf", *ends, "x.*"))
+
+
+def _study_figures(sides: DataFrame, hit: DataFrame, plan: DataFrame, min_fold_events: int) -> DataFrame:
+    """What ``event_study`` gives, from the rows by side and the hits. Rows and hits meet the folds as sums by date."""
+    f = F.broadcast(plan.filter("not is_oos").select("fold", "test_start", "test_end"))
+    ends = ["terminal_return_10"] if "terminal_return_10" in sides.columns else []
     on = lambda c, v: F.when(F.col(c), F.col(v))
+    mean = lambda s, n: F.sum(s) / F.nullif(F.sum(n), F.lit(0))
+    whole = {"label": F.col("label"), "htf": on("with_trend", "label"), "other": F.col("other")}
+    daily = sides.groupBy("date", "side").agg(*[x for c, v in whole.items() for x in (F.sum(v).alias(f"sum_{c}"), F.count(v).alias(f"n_{c}"))])
+    base = daily.groupBy("side").agg(mean("sum_label", "n_label").alias("base"), mean("sum_htf", "n_htf").alias("base_htf"), mean("sum_other", "n_other").alias("base_other"), F.sum("n_label").alias("n_rows"))
     main = hit.groupBy("detector", "side").agg(
         F.count("*").alias("n"), F.avg("label").alias("hit_rate"), F.percentile("outcome", 0.5).alias("median_outcome"), F.percentile("strength", 0.5).alias("median_strength"),
         F.count_if("with_trend").alias("n_htf"), F.avg(on("with_trend", "label")).alias("hit_rate_htf"), F.percentile(on("with_trend", "outcome"), 0.5).alias("median_outcome_htf"),
@@ -95,8 +126,9 @@ def event_study(events: DataFrame, labels: DataFrame, plan: DataFrame, state: Da
         *[F.percentile(x, 0.5).alias(f"median_{c}{n}") for c in ends for x, n in ((F.col(c), ""), (on("with_trend", c), "_htf"), (on("against", c), "_opposed"))],
     )
     in_fold = lambda df: df.join(f, (df["date"] >= f["test_start"]) & (df["date"] <= f["test_end"]))
-    fold_base = in_fold(sides).groupBy("fold", "side").agg(F.avg("label").alias("fold_base"))
-    per = in_fold(hit).groupBy("fold", "detector", "side").agg(F.count("*").alias("k"), F.avg("label").alias("rate")).filter(F.col("k") >= min_fold_events)
+    fold_base = in_fold(daily).groupBy("fold", "side").agg(mean("sum_label", "n_label").alias("fold_base"))
+    hits = hit.groupBy("date", "detector", "side").agg(F.count("*").alias("k"), F.sum("label").alias("s"))
+    per = in_fold(hits).groupBy("fold", "detector", "side").agg(F.sum("k").alias("k"), mean("s", "k").alias("rate")).filter(F.col("k") >= min_fold_events)
     lift = F.col("rate") / F.nullif("fold_base", F.lit(0.0))
     lifts = per.join(fold_base, ["fold", "side"]).withColumn("l", lift).groupBy("detector", "side").agg(F.count("l").alias("n_folds"), F.min("l").alias("min_lift"), F.max("l").alias("max_lift"))
     out = main.join(F.broadcast(base), "side").join(lifts, ["detector", "side"], "left")

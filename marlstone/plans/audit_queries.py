@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.exprs import js_round
 from ..functions.store import written
 from ..operators import bars as B
-from ..operators import book, detectors, evaluation, flow, gamma, hitlist
+from ..operators import book, detectors, evaluation, flow, gamma, hitlist, patterns
 from ..operators import technicals as T
 from .adapters import ALERTS, BARS, CALENDAR, alerts, bars, calendar, raw_alerts
 from .desk_queries import CELLS, DAY, STRIKES, _cells, _panel, _ranked, _snapshots, _strikes
@@ -269,14 +269,8 @@ def e2_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _study(spark: SparkSession, sf_dir: str, families: list | None, window: str, least: int) -> DataFrame:
-    b = bars(spark, sf_dir)
-    df = written(detectors.prepared(b, *(families or ())), "prepared")  # all uses read the bars and recursions from here
-    labels = T.forward_returns(T.barrier_labels(df.select(*b.columns, "atr_14")), (10,), "terminal_return")
-    kept = df.select(*b.columns)
-    events = detectors.all_events(b, df) if families is None else families[0](df)
-    for family in (families or [])[1:]:
-        events = events.unionByName(family(df))
-    out = rounded(evaluation.event_study(events, labels, evaluation.folds(kept), detectors.weekly_state(kept), least, window))
+    rows = written(patterns.study_rows(bars(spark, sf_dir), families), "study-rows")  # all that a study needs of a bar
+    out = rounded(evaluation.event_study_of_rows(rows, written(evaluation.folds(rows), "folds"), least, window))
     return out.withColumn("median_strength", F.round("median_strength", 4))
 
 
