@@ -10,6 +10,7 @@ tickers at once, as arrays; lines are fitted at all pivots of a ticker at once.
 
 from __future__ import annotations
 
+import datetime as dt
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
@@ -18,8 +19,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, udtf
-from pyspark.sql.types import StructType
+from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn, SelectedColumn, udtf
+from pyspark.sql.types import DateType, StructType
 
 from ..functions.exprs import flag, lag, per_ticker, ratio, rolling, run_length
 from ..functions.groups import whole_groups
@@ -703,28 +704,32 @@ def register_sql(spark: SparkSession, name: str = "detect") -> None:
                 raise ValueError(f"unknown detectors {sorted(unknown)}")
             date = next(f.dataType for f in bars.dataType.fields if f.name == "date")
             out = StructType().add("ticker", "string").add("date", date).add("detector", "string").add("side", "string").add("strength", "double").add("kind", "string")
-            return AnalyzeResult(out, partitionBy=[PartitioningColumn("ticker")], orderBy=[OrderingColumn("date")])
+            # A row costs by its fields: figures are one of them, and a date is its day.
+            day = "unix_date(date)" if isinstance(date, DateType) else "date"
+            figures = f"array({', '.join(f'CAST({c} AS DOUBLE)' for c in columns)})"
+            return AnalyzeResult(out, partitionBy=[PartitioningColumn("ticker")], orderBy=[OrderingColumn("date")], select=[SelectedColumn("ticker"), SelectedColumn(day, "day"), SelectedColumn(figures, "figures")])
 
         def __init__(self) -> None:
             self.rows: list[Row] = []
             self.names = None
 
         def eval(self, bars: Row, names: str | None = None) -> None:
-            self.rows.append(bars)  # nothing else for each row: fields are looked up by name once for a ticker
+            self.rows.append(bars)  # nothing else for each row: fields are taken apart once for a ticker
             self.names = names
 
         def terminate(self):
             if not self.rows:
                 return
-            by_name = dict(zip(self.rows[0].__fields__, zip(*self.rows, strict=True), strict=True))
-            ticker, dates = by_name["ticker"][0], by_name["date"]
-            arrays = {c: np.array([np.nan if x is None else x for x in by_name[c]], float) for c in columns}
+            tickers, days, figures = zip(*self.rows, strict=True)
+            arrays = dict(zip(columns, np.array(figures, float).T.copy(), strict=True))
             arrays["atr"] = np.nan_to_num(arrays.pop("atr_14"))
+            at = lambda t: dt.date(1970, 1, 1) + dt.timedelta(days[t]) if isinstance(days[t], int) else days[t]
             for n in [n.strip() for n in self.names.split(",")] if self.names else there:
                 for t, side, strength, *more in there[n](arrays):
-                    yield ticker, dates[t], n, side, float(strength), (more or [None])[0]
+                    yield tickers[t], at(t), n, side, float(strength), (more or [None])[0]
 
-    spark.udtf.register(name, udtf(Detect, useArrow=True))
+    # Rows come pickled: with Arrow, each call of ``eval`` would give a table of its own back, which costs far more than the row.
+    spark.udtf.register(name, udtf(Detect, useArrow=False))
 
 
 #: What each family reads besides the bars: recursive columns, averages' spans, and window blocks.

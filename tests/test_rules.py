@@ -85,3 +85,19 @@ def test_detectors_from_sql(spark):
         spark.sql("SELECT * FROM detect_test(TABLE(some_bars), 'nothing')").collect()
     with pytest.raises(Exception, match="lacks"):
         spark.sql("SELECT * FROM detect_test(TABLE(SELECT ticker, date FROM some_bars))").collect()
+
+
+def test_detectors_from_sql_take_narrow_rows(spark):
+    b = T.with_recursions(bars(spark, SF).filter("ticker in ('S1', 'S2')"), want=("atr_14",)).drop("true_range")
+    b = b.withColumn("volume", F.when(F.col("ticker") == "S1", F.col("volume")))
+    detectors.register_sql(spark, "detect_narrow")
+    got = {}
+    for kind in ("date", "timestamp"):
+        b.withColumn("date", F.col("date").cast(kind)).createOrReplaceTempView("narrow_bars")
+        found = spark.sql("SELECT * FROM detect_narrow(TABLE(narrow_bars), 'fib_base')")
+        assert found.schema["date"].dataType.typeName() == kind
+        got[kind] = sorted((r.ticker, str(r.date)[:10], r.side, r.strength) for r in found.collect())
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPythonUDTF" in plan and "figures, array(" in plan
+    want = sorted((r.ticker, str(r.date), r.side, r.strength) for r in detectors.detect_universe(b.na.fill(0.0, ["volume"]), ["fib_base"]).collect())
+    assert got["date"] == got["timestamp"] == want and want
